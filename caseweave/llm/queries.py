@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import linededup, mixing, sharding, simhash
 from .common import table
 
 
+def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     crc = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
@@ -17,10 +21,31 @@ def op4_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op4_sampled_splitters, op8_hash_threshold_mix)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_trie, op4_sampled_splitters, op5_bloom_lines, op8_hash_threshold_mix)}
+SQL: dict[str, str] = {
+    "op5_bloom_lines": """
+        WITH lines AS (
+            SELECT doc_id, i, unnest(l) AS line, unnest(range(len(l))) AS pos
+            FROM (SELECT doc_id, row_number() OVER () AS i, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+        ), gone AS (
+            SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+        FROM (SELECT keyed.*, gone.k IS NOT NULL AND doc_id <> keeper AS lost FROM keyed LEFT JOIN gone USING (k))
+        GROUP BY doc_id, i
+    """,
+}
