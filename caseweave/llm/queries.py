@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, sharding, simhash
+from . import decontaminate, linededup, mixing, sharding, simhash
 from .common import table
 
 
@@ -26,13 +26,43 @@ def op5_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return judged.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items, "contaminated")
+
+
 def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_trie, op4_sampled_splitters, op5_bloom_lines, op8_hash_threshold_mix)}
+QUERIES = {f.__name__: f for f in (op1_simhash_trie, op4_sampled_splitters, op5_bloom_lines, op7_suffix_arrays, op8_hash_threshold_mix)}
 SQL: dict[str, str] = {
+    "op7_suffix_arrays": """
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+        ), bw AS (
+            SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(list_slice(w, p, p + least(13, len(w)) - 1), ' ') AS g
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)
+        ), sizes AS (SELECT DISTINCT m FROM bw
+        ), dw AS (
+            SELECT i, m, p, array_to_string(list_slice(w, p, p + m - 1), ' ') AS g
+            FROM (SELECT i, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, sizes)
+        ), hits AS (SELECT dw.i, dw.p, dw.m, bw.item_id FROM dw JOIN bw USING (m, g)
+        ), covered AS (
+            SELECT i, count(DISTINCT q) AS n_hit FROM (SELECT i, unnest(range(p, p + m)) AS q FROM hits) GROUP BY i
+        ), items AS (
+            SELECT i, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT i, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY i
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN covered USING (i) LEFT JOIN items USING (i)
+    """,
     "op5_bloom_lines": """
         WITH lines AS (
             SELECT doc_id, i, unnest(l) AS line, unnest(range(len(l))) AS pos
