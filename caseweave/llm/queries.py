@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, sharding, simhash
-from .common import table
+from . import decontaminate, language, linededup, mixing, sharding, simhash
+from .common import scratch, table
 
 
 def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,18 @@ def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_trie, op4_sampled_splitters, op5_bloom_lines, op7_suffix_arrays, op8_hash_threshold_mix)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages by address, markup and text, and plain documents by source, declared language and text."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("long")
+    plain = docs.select(F.col("doc_id").cast("long"), none.alias("page_id"), *[c.alias(k) for k, c in language.plain_evidence(F.col("source"), F.col("lang"), F.col("text")).items()])
+    web = pages.select(none.alias("doc_id"), F.col("page_id").cast("long"), *[c.alias(k) for k, c in language.web_evidence(F.col("url"), F.col("html")).items()])
+    scores = scratch(language.score(plain.unionByName(web), language.train(docs)).withColumn("declared", F.col("_declared")).withColumn("host", F.col("_host")), "language-scores")
+    found = language.fuse(scores, language.evidence(scores))
+    return found.select("doc_id", "page_id", "host", "declared", "language", F.round("probability", 6).alias("probability"), "accepted")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_trie, op4_sampled_splitters, op5_bloom_lines, op7_suffix_arrays, op8_hash_threshold_mix, op10_language_id)}
 SQL: dict[str, str] = {
     "op7_suffix_arrays": """
         WITH d AS (

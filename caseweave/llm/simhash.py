@@ -65,7 +65,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for small in bounded(batch, "text"):
             found = fingerprints(text_bytes(small.column("text")))
-            yield pa.RecordBatch.from_arrays([small.column("_id"), pa.array(found.view(np.int64), pa.int64())], ["_id", "fp"])
+            yield pa.RecordBatch.from_arrays([small.column("_id"), small.column("_text_hash"), pa.array(found.view(np.int64), pa.int64())], ["_id", "_text_hash", "fp"])
 
 
 def rotated(fp: Column, block: Column) -> Column:
@@ -240,6 +240,23 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Working columns of every row of ``df``: ``_id``, ``_text_hash``, ``fp`` and ``component``, nulls as in near_duplicates()."""
+    docs = df.select(id_or_last(id_col).alias("_id"), text_hash(text_col).alias("_text_hash"), F.col(text_col).alias("text"))
+    marked = scratch(docs.mapInArrow(_fingerprint, "_id long, _text_hash long, fp long"), "simhash-docs")
+    unique = scratch(marked.groupBy("fp").agg(F.min("_id").alias("first")), "simhash-unique")
+    found = components(near_links(unique.select("fp")))
+    rooted = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = scratch(rooted, "simhash-roots")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    groups = rooted.join(smallest, "root").select("fp", "component")
+    return marked.join(groups, "fp")
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_col, F.octet_length(F.col(text_col)))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: the id, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest id of its group).
 
@@ -247,13 +264,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprints at three or fewer differing bits. Rows with equal ids are kept; null ids stand last, and the
     component of a group with no other id is null. An empty table gives an empty result.
     """
-    docs = df.select(id_or_last(id_col).alias("_id"), F.col(text_col).alias("text"))
-    marked = scratch(docs.mapInArrow(_fingerprint, "_id long, fp long"), "simhash-docs")
-    unique = scratch(marked.groupBy("fp").agg(F.min("_id").alias("first")), "simhash-unique")
-    found = components(near_links(unique.select("fp")))
-    rooted = unique.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch(rooted, "simhash-roots")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    groups = rooted.join(smallest, "root").select("fp", "component")
     known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return marked.join(groups, "fp").select(known("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), known("component").alias("component_id"))
+    rows = grouped(df, id_col, text_col)
+    return rows.select(known("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), known("component").alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each group, the document with the smallest id stays, in one row.
+
+    Among rows that share this id, one text stays, chosen by hash.
+    """
+    rows = scratch(grouped(df, id_col, text_col), "simhash-groups")
+    kept = rows.groupBy("component").agg(F.min(F.struct("_id", "_text_hash")).alias("k")).select("k.*")
+    again = rows.groupBy("_id", "_text_hash").count().where("count > 1")
+    named = df.withColumns({"_id": id_or_last(id_col), "_text_hash": text_hash(text_col)})
+    out = named.join(kept, ["_id", "_text_hash"], "left_semi")
+    if not again.isEmpty():
+        out = out.dropDuplicates(["_id", "_text_hash"])
+    return out.select(df.columns)
