@@ -148,6 +148,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     shared = spark.sparkContext.broadcast(filled.tobytes())
     suspects = scratch(docs.mapInArrow(_suspects(shared, bits), "_id long, key binary").groupBy("key", "_id").agg(F.lit(1).alias("one")).select("key", "_id"), "line-suspects")
     repeated = suspects.groupBy("key").agg(F.count("*").alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= MIN_DOCS).select("key", "keeper")
+    repeated = scratch(repeated, "line-repeated")  # so that a hot key's side of the join can be split
     gone = suspects.join(repeated, "key").where(F.col("_id") != F.col("keeper")).groupBy("_id").agg(F.collect_list("key").alias("_gone"))
     out = docs.join(gone, "_id", "left").mapInArrow(_drop, "_id long, n_lines long, n_dropped long, kept_text string")
     return out.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias(id_col), "n_lines", "n_dropped", "kept_text")

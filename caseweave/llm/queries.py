@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, mixing, sharding, simhash
+from . import decontaminate, language, linededup, mixing, pii, sharding, simhash
 from .common import scratch, table
 
 
@@ -26,6 +26,14 @@ def op5_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat(*[pii.listed(k) for k in pii.KINDS])
+    more = F.transform("_added", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
+
+
 def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
@@ -48,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_id", "host", "declared", "language", F.round("probability", 6).alias("probability"), "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_trie, op4_sampled_splitters, op5_bloom_lines, op7_suffix_arrays, op8_hash_threshold_mix, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash_trie, op4_sampled_splitters, op5_bloom_lines, op6_weak_supervision, op7_suffix_arrays, op8_hash_threshold_mix, op10_language_id)}
 SQL: dict[str, str] = {
     "op7_suffix_arrays": """
         WITH d AS (
