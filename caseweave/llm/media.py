@@ -164,7 +164,11 @@ BANDS = ((1, 5), (6, 63))
 
 
 def write(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Progressive JPEG files that hold the texts, and the number of payload blocks of each."""
+    """Progressive JPEG files that hold the texts, and the number of payload blocks of each.
+
+    Scans: DC and two AC bands without their last bit, then that bit of DC and of AC. Blocks beyond the payload, which
+    fill the last MCU, have no coefficients. A comment segment holds the number of payload blocks.
+    """
     blocks = np.maximum(1, -(-np.fromiter(map(len, texts), np.int64, len(texts)) // BLOCK))
     mcus = -(-blocks // MCU_BLOCKS)
     high = -(-mcus // MAX_WIDE)
@@ -384,6 +388,23 @@ def _ac_more(coefs, bits, lanes: Lanes, order, luts, ss, se, al) -> None:
         coefs[r, to] = sign << al
 
 
+def _mcu_order(mcu: tuple[int, int], parts: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, counted from the image's first, and planes of the blocks of an interleaved scan."""
+    grid = np.arange(mcu[0] * mcu[1])
+    order, plane = [], []
+    for i, x, y, w, first in parts:
+        for j in range(x * y):
+            order.append(first + (grid // mcu[0] * y + j // x) * w + grid % mcu[0] * x + j % x)
+            plane.append(np.full(len(grid), i))
+    return np.stack(order, 1).reshape(-1), np.stack(plane, 1).reshape(-1)
+
+
+def _plane_order(own: tuple[int, int], w: int, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, counted from the plane's first, of the blocks of a scan of one plane."""
+    grid = np.arange(own[0] * own[1])
+    return grid // own[0] * w + grid % own[0], np.full(len(grid), i)
+
+
 def read(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
     """The frames of progressive JPEG files, and the coefficients (zigzag order) of all their blocks, row by row."""
     whole = b"".join(files) + b"\xff\xd9"
@@ -396,10 +417,10 @@ def read(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
     keep = np.ones(len(data), bool)
     keep[stuffed] = False
     bits = _Bits(data[keep])
-    plain = lambda at: at - np.searchsorted(stuffed, at)
     luts, lut_of, images, rows = [np.zeros(1 << 16, np.int32)], {}, [], 0
     #: By step: (kind of scan) to lists of lanes; scans of other planes or files with the same step run side by side.
     steps: dict[tuple, list] = {}
+    orders: dict[tuple, tuple] = {}
     base = 0
     for f in files:
         at, end, quant, tables, every, image, count = base + 2, base + len(f), {}, {}, 0, None, {}
@@ -453,32 +474,25 @@ def read(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
                 ss, se, ah, al = *body[-3:-1], body[-1] >> 4, body[-1] & 15
                 stop = hard[bisect_left(hard, at)]
                 marks = restart[bisect_left(restart, at) : bisect_left(restart, stop)]
-                if len(parts) > 1 or (len(image.planes) == 1 and image.planes[0][:2] == [1, 1]):
-                    grid = np.arange(mcu[0] * mcu[1])
-                    order, plane = [], []
-                    for i, _ in parts:
-                        x, y, w, _, first, *_ = image.planes[i]
-                        for j in range(x * y):
-                            order.append(first + (grid // mcu[0] * y + j // x) * w + grid % mcu[0] * x + j % x)
-                            plane.append(np.full(len(grid), i))
-                    order, plane = np.stack(order, 1).reshape(-1), np.stack(plane, 1).reshape(-1)
-                    per = len(order) // len(grid)
+                together = len(parts) > 1 or (len(image.planes) == 1 and image.planes[0][:2] == [1, 1])
+                if together:
+                    key = (mcu, tuple((i, *image.planes[i][:3], image.planes[i][4] - image.planes[0][4]) for i, _ in parts))
+                    order, plane = orders[key] if key in orders else orders.setdefault(key, _mcu_order(*key))
+                    per, first = len(order) // (mcu[0] * mcu[1]), image.planes[0][4]
                 else:
                     _, _, w, _, first, _, own = image.planes[parts[0][0]]
-                    grid = np.arange(own[0] * own[1])
-                    order, per = first + grid // own[0] * w + grid % own[0], 1
-                    plane = np.full(len(order), parts[0][0])
-                lane = np.arange(len(marks) + 1) * (every or len(order)) * per
-                cursor = plain(np.array([at, *[m + 2 for m in marks]])) * 8
-                own_tables = np.zeros(4, np.int64)
+                    key = (own, w, parts[0][0])
+                    order, plane = orders[key] if key in orders else orders.setdefault(key, _plane_order(*key))
+                    per = 1
+                own_tables = [0] * 4
                 for i, t in parts:
                     own_tables[i] = tables.get(t >> 4, 0) if ss == 0 else tables.get(16 | t & 15, 0)
-                for i, _ in parts:
-                    count[i] = count.get(i, 0) + 1
-                step = max(count[i] for i, _ in parts)
+                step = max(count.get(i, 0) for i, _ in parts) + 1
                 for i, _ in parts:
                     count[i] = step
-                steps.setdefault((step, ss, se, ah, al), []).append((cursor, lane, order, plane, own_tables))
+                begins = [at]
+                begins += [m + 2 for m in marks]
+                steps.setdefault((step, ss, se, ah, al), []).append((begins, (every or len(order)) * per, order, plane, first, own_tables))
                 at = stop
         if image is None:
             raise ValueError("no frame")
@@ -492,12 +506,16 @@ def read(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
     for (_, ss, se, ah, al), scans in sorted(steps.items(), key=lambda x: x[0][0]):
         sizes = np.array([len(s[2]) for s in scans])
         offset = np.cumsum(sizes) - sizes
-        start = np.concatenate([o + s[1] for o, s in zip(offset, scans, strict=True)])
-        stop = np.concatenate([o + np.append(s[1][1:], n) for o, s, n in zip(offset, scans, sizes, strict=True)])
-        owner = np.repeat(np.arange(len(scans)), [len(s[0]) for s in scans])
-        order, plane = np.concatenate([s[2] for s in scans]), np.concatenate([s[3] for s in scans])
-        tables = np.stack([s[4] for s in scans])
-        lanes = Lanes(np.concatenate([s[0] for s in scans]), owner, start, np.minimum(stop, (offset + sizes)[owner]))
+        n = np.array([len(s[0]) for s in scans])
+        owner = np.repeat(np.arange(len(scans)), n)
+        rank = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        span = np.array([s[1] for s in scans])[owner]
+        end = (offset + sizes)[owner]
+        begin = np.fromiter((x for s in scans for x in s[0]), np.int64, len(owner))
+        order = np.concatenate([s[2] for s in scans]) + np.repeat(np.array([s[4] for s in scans]), sizes)
+        plane = np.concatenate([s[3] for s in scans])
+        tables = np.array([s[5] for s in scans])
+        lanes = Lanes((begin - np.searchsorted(stuffed, begin)) * 8, owner, np.minimum(offset[owner] + rank * span, end), np.minimum(offset[owner] + (rank + 1) * span, end))
         if ss == 0 and ah == 0:
             _dc_first(coefs, bits, lanes, order, plane, luts, tables, al)
         elif ss == 0:
