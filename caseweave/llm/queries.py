@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, media, mixing, pii, sharding, simhash
+from . import decontaminate, language, linededup, media, mixing, pii, secrets, sharding, simhash
 from .common import scratch, table
 
 
@@ -13,6 +13,11 @@ def op1_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.where("is_secret").select("doc_id", "source", "start", "end", F.sha2("value", 256).alias("value_sha256"), F.round("probability", 4).alias("probability"))
+
+
 def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     texts = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
@@ -62,7 +67,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_id", "host", "declared", "language", F.round("probability", 6).alias("probability"), "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_trie, op3_progressive_jpeg, op4_sampled_splitters, op5_bloom_lines, op6_weak_supervision, op7_suffix_arrays, op8_hash_threshold_mix, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash_trie, op2_secret_forest, op3_progressive_jpeg, op4_sampled_splitters, op5_bloom_lines, op6_weak_supervision, op7_suffix_arrays, op8_hash_threshold_mix, op10_language_id)}
 SQL: dict[str, str] = {
     "op7_suffix_arrays": """
         WITH d AS (
