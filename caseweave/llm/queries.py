@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, media, mixing, pii, secrets, sharding, simhash
+from . import decontaminate, language, linededup, media, mixing, pii, secrets, sharding, simhash, suffixdedup
 from .common import scratch, table
 
 
@@ -56,6 +56,11 @@ def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op9_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages by address, markup and text, and plain documents by source, declared language and text."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
@@ -67,7 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_id", "host", "declared", "language", F.round("probability", 6).alias("probability"), "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_trie, op2_secret_forest, op3_progressive_jpeg, op4_sampled_splitters, op5_bloom_lines, op6_weak_supervision, op7_suffix_arrays, op8_hash_threshold_mix, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash_trie, op2_secret_forest, op3_progressive_jpeg, op4_sampled_splitters, op5_bloom_lines, op6_weak_supervision, op7_suffix_arrays, op8_hash_threshold_mix, op9_bucket_pointers, op10_language_id)}
 SQL: dict[str, str] = {
     "op7_suffix_arrays": """
         WITH d AS (
