@@ -1,6 +1,518 @@
-"""All registered queries of the library and the SQL that gives the same rows."""
+"""All registered queries of the library and the SQL that gives the same rows.
+
+The reference's tables (cases, claims, facts, nodes) are not among the driver's, so each operator runs on the table
+of the closest shape; which one is said beside it. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from caseweave.functions import constants as C
+from caseweave.functions import sequence as S
+from caseweave.functions import text as T
+from caseweave.operators import claims as claims_op
+from caseweave.operators import evidence, graph, matrix, privacy, retrieval, workflow
+from caseweave.sources import files, portable
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _first_vector(spark: SparkSession, d: str) -> list[float]:
+    return _t(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+
+
+_DISTANCE = "round(greatest(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 0), 6)"
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query(f"SELECT vec_id, {_DISTANCE} AS distance, CASE WHEN {_DISTANCE} <= 0.28 THEN 'alta' WHEN {_DISTANCE} <= 0.38 THEN 'media' ELSE 'bassa' END AS band FROM embeddings ORDER BY 2, 1 LIMIT 8")
+def semantic_topk(spark, d):
+    """Nearest vectors to vector 0 (vectors stand for corpus fragments), with relevance bands."""
+    top = retrieval.nearest(_t(spark, d, "embeddings"), _first_vector(spark, d), 8)
+    return top.select("vec_id", "distance", T.relevance_band(F.col("distance")).alias("band"))
+
+
+@query(f"SELECT vec_id, label, {_DISTANCE} AS distance FROM embeddings WHERE label = 0 ORDER BY 3, 1 LIMIT 20")
+def semantic_topk_scoped(spark, d):
+    """Top k among the vectors that a user may see; the label stands for the owner."""
+    top = retrieval.nearest(retrieval.visible(_t(spark, d, "embeddings"), "label", 0), _first_vector(spark, d), 50)
+    return top.select("vec_id", "label", "distance")
+
+
+@query(f"WITH t AS (SELECT vec_id, {_DISTANCE} AS distance FROM embeddings ORDER BY 2, 1 LIMIT 8) SELECT * FROM t WHERE distance <= 0.65")
+def topk_then_cut_off(spark, d):
+    """The cut-off applies to the top k, not before it."""
+    return retrieval.nearest(_t(spark, d, "embeddings"), _first_vector(spark, d), 8, cut_off=0.65).select("vec_id", "distance")
+
+
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    f"""
+    WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10) || chr(10)), 1) AS i FROM documents),
+    q AS (SELECT doc_id, i, {_TRIM.format("raw")} AS b FROM p),
+    r AS (SELECT doc_id, i, j, substr(b, CAST(j AS INT) + 1, 800) AS chunk FROM (SELECT *, unnest(range(0, length(b), 800)) AS j FROM q WHERE b <> '')),
+    e AS (SELECT doc_id, 0 AS i, 0 AS j, '' AS chunk FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INT) AS ord, chunk FROM (SELECT * FROM r UNION ALL SELECT * FROM e)
+    """
+)
+def chunk_documents(spark, d):
+    return retrieval.chunk_documents(_t(spark, d, "documents"))
+
+
+@query("SELECT conv_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY turn, text), 1, 16000) AS context FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def compose_context(spark, d):
+    """Documents of a case in order, capped; conversations stand for cases."""
+    return retrieval.compose(_t(spark, d, "conversations"), "conv_id", ["turn"], "text")
+
+
+_FLAT = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    f"""
+    SELECT doc_id, substr(text, 1, 240) AS snippet, CASE WHEN length({_FLAT}) <= 320 THEN {_FLAT} ELSE regexp_replace(substr({_FLAT}, 1, 317), '^\\s+|\\s+$', '', 'g') || '...' END AS opening,
+           CASE WHEN source IS NULL THEN 'globale' WHEN lang = 'en' THEN 'caso' ELSE 'corpus' END AS origin FROM documents
+    """
+)
+def snippet_projection(spark, d):
+    docs = _t(spark, d, "documents")
+    origin = F.when(F.col("source").isNull(), F.lit("globale")).when(F.col("lang") == "en", F.lit("caso")).otherwise(F.lit("corpus"))
+    return docs.select("doc_id", F.substring("text", 1, 240).alias("snippet"), T.opening_text(F.col("text")).alias("opening"), origin.alias("origin"))
+
+
+# ---------------------------------------------------------------- text and privacy
+
+
+@query(
+    r"""
+    SELECT doc_id, unnest(l) AS value, CAST(generate_subscripts(l, 1) - 1 AS INT) AS ord
+    FROM (SELECT doc_id, regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') AS l FROM documents)
+    """
+)
+def email_entities(spark, d):
+    found = F.regexp_extract_all("text", F.lit(C.PII["EMAIL"]), F.lit(0))
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(found).alias("ord", "value"))
+
+
+@query(
+    r"""
+    SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '\b\d{1,3}(?:[.\s]\d{3})+(?:,\d+)?\b|\b\d+/\d{2,4}\b|\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b'),
+           lambda x: regexp_replace(x, '[€\s]', '', 'g')))) AS number FROM documents
+    """
+)
+def number_entities(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.explode(T.sensitive_numbers(F.col("text"))).alias("number"))
+
+
+@query(
+    r"""
+    WITH e AS (SELECT doc_id, unnest(l) AS value, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') AS l FROM documents))
+    SELECT doc_id, '[EMAIL_' || n || ']' AS placeholder, value, max(n) OVER (PARTITION BY doc_id) AS last FROM e
+    """
+)
+def placeholder_numbering(spark, d):
+    rows = email_entities(spark, d).withColumn("n", (F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).cast("long"))
+    named = rows.withColumn("placeholder", F.concat(F.lit("[EMAIL_"), F.col("n").cast("string"), F.lit("]")))
+    last = privacy.placeholder_counters(named.withColumnRenamed("doc_id", "case_id")).select(F.col("case_id").alias("doc_id"), F.col("last").cast("long").alias("last"))
+    return named.join(last, "doc_id").select("doc_id", "placeholder", "value", "last")
+
+
+@query(
+    r"""
+    SELECT doc_id, regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[EMAIL]', 'g') AS masked, true AS restored
+    FROM documents WHERE regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')
+    """
+)
+def mask_and_restore(spark, d):
+    """Numbered placeholders for emails and back; numbers are taken off for the comparison."""
+    docs = _t(spark, d, "documents").select("doc_id", "text").where(F.rlike("text", F.lit(C.PII["EMAIL"])))
+    spans = F.filter(privacy.pattern_spans(F.col("text")), lambda s: s["group"] == "EMAIL")
+    done = privacy.number_placeholders(docs.withColumn("spans", spans))
+    back = F.aggregate("entities", F.col("masked"), lambda s, e: F.replace(s, e["ph"], e["value"]))
+    return done.select("doc_id", F.regexp_replace("masked", r"\[EMAIL_\d+\]", "[EMAIL]").alias("masked"), (back == F.col("text")).alias("restored"))
+
+
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9_àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß'']+'), lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ('chiede','domanda','parte','attore','convenuto','rigetto','accertare','contratto','euro')))"
+
+
+@query(f"SELECT item_id, len({_TOKENS.format('text')}) AS n_tokens, list_sort({_TOKENS.format('text')})[1] AS first_token FROM benchmark")
+def relevance_tokens(spark, d):
+    rows = _t(spark, d, "benchmark").select("item_id", F.array_sort(T.relevance_tokens(F.col("text"))).alias("t"))
+    return rows.select("item_id", F.size("t").cast("long").alias("n_tokens"), F.get("t", F.lit(0)).alias("first_token"))
+
+
+@query(
+    f"""
+    WITH c AS (SELECT item_id AS claim_id, {_TOKENS.format("text")} AS t FROM benchmark), cx AS (SELECT claim_id, len(t) AS n, unnest(t) AS token FROM c),
+    s AS (SELECT doc_id, unnest({_TOKENS.format("text")}) AS token FROM documents),
+    h AS (SELECT claim_id, n, doc_id, count(*) AS common FROM s JOIN cx USING (token) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY common DESC, doc_id) AS rank FROM h)
+    SELECT claim_id, doc_id, common, round(common / n, 6) AS overlap, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5
+    """
+)
+def evidence_overlap_topk(spark, d):
+    """Benchmark items stand for claims, documents for evidence."""
+    return evidence.overlap_trace(_t(spark, d, "benchmark").withColumnRenamed("item_id", "claim_id"), _t(spark, d, "documents"))
+
+
+@query(
+    r"""
+    WITH w AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents)
+    SELECT doc_id, CAST(s AS INT) AS start, CAST(least(90, n - s) AS INT) AS n_words FROM (SELECT doc_id, n, unnest(CASE WHEN n = 0 THEN [] WHEN n <= 90 THEN [0] ELSE range(0, n, 70) END) AS s FROM w)
+    """
+)
+def ocr_segments(spark, d):
+    """Windows of 90 words, 70 apart, over whole documents."""
+    return _t(spark, d, "documents").select("doc_id", F.explode(T.word_windows(F.col("text"))).alias("w")).select("doc_id", "w.*")
+
+
+@query("SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE doc_id <> first_id")
+def duplicate_first_seen(spark, d):
+    """The text stands for the file name."""
+    return workflow.first_seen(_t(spark, d, "documents"), F.sha2("text", 256), ["doc_id"], "doc_id")
+
+
+@query(
+    r"""
+    WITH m AS (SELECT p_partkey AS doc_id, p_name AS label, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key, p_type AS summary FROM part WHERE trim(p_name) <> '')
+    SELECT key, 'concetto' AS kind, min_by(label, doc_id) AS label, min_by(summary, doc_id) AS summary, min(doc_id) AS doc_id FROM m WHERE key <> '' GROUP BY key
+    """
+)
+def entity_key_merge(spark, d):
+    """Part names stand for concept labels."""
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("seq"), F.lit("concetto").alias("kind"), F.col("p_name").alias("label"), F.col("p_type").alias("summary"))
+    return graph.merge_nodes(part).select("key", "kind", "label", "summary", "doc_id")
+
+
+# ---------------------------------------------------------------- workflow
+
+
+def _order_documents(spark, d):
+    """Orders as documents of a customer: status F accepted, P to verify, others processing."""
+    o = _t(spark, d, "orders")
+    return o.select(
+        F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("doc_id"), (F.col("o_orderstatus") != "O").alias("pseudonymised"),
+        F.when(F.col("o_orderstatus") == "F", "verificato").otherwise("da_verificare").alias("acceptance"), F.when(F.col("o_orderstatus") == "O", "in_corso").otherwise("completata").alias("extraction_state"),
+        F.lit("completata").alias("anonymisation_state"), F.col("o_orderpriority").alias("file_name"), F.col("o_orderkey").alias("ord"),
+    )
+
+
+@query(
+    """
+    SELECT o_custkey AS case_id, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS processing, count(*) FILTER (o_orderstatus <> 'O') AS pseudonymised,
+           count(*) FILTER (o_orderstatus = 'F') AS accepted, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS to_verify FROM orders GROUP BY o_custkey
+    """
+)
+def workflow_counts(spark, d):
+    return workflow.document_counts(_order_documents(spark, d))
+
+
+@query("SELECT case_id, doc_id, name, first_id FROM (SELECT o_custkey AS case_id, o_orderkey AS doc_id, lower(o_orderpriority) AS name, min(o_orderkey) OVER (PARTITION BY o_custkey, lower(o_orderpriority)) AS first_id FROM orders) WHERE doc_id <> first_id")
+def duplicate_names(spark, d):
+    return workflow.duplicate_names(_order_documents(spark, d))
+
+
+@query("SELECT o_orderkey AS doc_id, o_custkey AS case_id FROM orders WHERE o_orderstatus = 'F'")
+def usable_documents(spark, d):
+    return workflow.usable(_order_documents(spark, d)).select("doc_id", "case_id")
+
+
+@query(
+    """
+    WITH e AS (SELECT event_id, user_id, event_type AS after, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+    SELECT event_id, user_id, before, after FROM e WHERE before IS NOT NULL AND NOT (before = 'view' AND after = 'click') AND NOT (before = 'click' AND after = 'purchase') AND NOT (before = after)
+    """
+)
+def transition_violations(spark, d):
+    """Events of a user stand for states of a case; the table of legal transitions is the events' own."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _t(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("after"), F.lag("event_type").over(w).alias("before")).where("before IS NOT NULL")
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b in (("view", "click"), ("click", "purchase"))]))
+    legal = spark.range(1).select(steps.alias("s")).select("s.*")
+    return workflow.illegal_transitions(e.where("before <> after"), legal).select("event_id", "user_id", "before", "after")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def missing_rows_anti(spark, d):
+    """Customers without orders stand for claims without a fact row."""
+    return workflow.missing_rows(_t(spark, d, "customer"), _t(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey", "c_name")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 40")
+def ledger_latest(spark, d):
+    return workflow.latest(_t(spark, d, "events"), 40).select("event_id", "user_id", "event_type", "value")
+
+
+@query(
+    """
+    WITH e AS (SELECT event_id, user_id, event_type, props, lag(event_id) OVER w AS p, lag(event_type) OVER w AS t, lag(props) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    SELECT event_id, user_id, concat_ws(',', CASE WHEN event_type IS DISTINCT FROM t THEN 'event_type' END, CASE WHEN props IS DISTINCT FROM q THEN 'props' END) AS fields
+    FROM e WHERE p IS NOT NULL AND (event_type IS DISTINCT FROM t OR props IS DISTINCT FROM q)
+    """
+)
+def change_capture(spark, d):
+    """Names of the fields in which an event differs from its user's last one."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    now = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("props"), F.col("props"))
+    rows = _t(spark, d, "events").select("event_id", "user_id", now.alias("after"), F.lag(now).over(w).alias("before")).where("before IS NOT NULL")
+    fields = F.array_join(F.array_sort(F.map_keys(workflow.changed_fields(F.col("before"), F.col("after")))), ",")
+    return rows.select("event_id", "user_id", fields.alias("fields")).where("fields <> ''")
+
+
+# ---------------------------------------------------------------- matrix
+
+
+def _order_rows(spark, d):
+    """Orders as claims of a customer, their line items as traced sources.
+
+    Score: discount times ten; section by return flag (A the claimant's, R the opponent's, N common); an urgent order
+    is marked proven, one without priority has an open question, and a finished one has its reasoning.
+    """
+    o, items = _t(spark, d, "orders"), _t(spark, d, "lineitem")
+    section = F.when(F.col("l_returnflag") == "A", "attore").when(F.col("l_returnflag") == "R", "convenuto").otherwise("generici")
+    score = F.col("l_discount") * 10
+    source = F.struct(F.col("l_partkey").alias("doc_id"), section.alias("section"), score.alias("score"), T.reliability(score).alias("reliability"), F.when(F.col("l_linestatus") == "O", "decisiva").alias("rating"), F.lit("").alias("anchor"))
+    sources = items.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    some = lambda test, text: F.when(test, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    return o.join(sources, "o_orderkey", "left").select(
+        F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("claim_id"), F.col("o_orderkey").alias("fact_id"), F.lit("attore").alias("party"),
+        F.when(F.col("o_totalprice") > 250000, "onere").otherwise("").alias("burden"), F.when(F.col("o_orderstatus") == "F", "motivo").otherwise("").alias("reasoning"),
+        some(F.col("o_orderpriority") == "4-NOT SPECIFIED", "quesito").alias("open_questions"), some(F.col("o_orderpriority") == "5-LOW", "pacifico").alias("not_contested"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "provato").when(F.col("o_orderpriority") == "2-HIGH", "insufficiente").otherwise("da_verificare").alias("proof_state"),
+        F.when(F.col("o_orderpriority") == "3-MEDIUM", "silente").when(F.col("o_orderpriority") == "5-LOW", "non_contestato").otherwise("da_decidere").alias("adversarial_state"),
+        F.lit("").alias("adversarial_note"), "sources", F.when(F.col("o_totalprice") < 50000, 0.5).otherwise(0.8).alias("confidence"),
+    )
+
+
+def _drafts(spark, d):
+    """A customer with an even nation has an operative part."""
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_nationkey") < 12, "dispositivo").otherwise("").alias("operative_part"))
+
+
+_ROWS = """
+    s AS (SELECT l_orderkey, count(*) AS n, max(l_discount * 10) AS mx, count(*) FILTER (l_returnflag <> 'R') AS sup, count(*) FILTER (l_returnflag = 'R') AS opp,
+                 count(*) FILTER (l_discount * 10 < 0.45) AS weak, count(*) FILTER (l_linestatus = 'O') AS decisive FROM lineitem GROUP BY 1),
+    m AS (SELECT o_custkey AS case_id, o_orderkey AS claim_id, o_orderpriority AS p, o_orderstatus AS st, o_totalprice AS price, coalesce(n, 0) AS n, coalesce(mx, 0) AS mx, coalesce(sup, 0) AS sup,
+                 coalesce(opp, 0) AS opp, coalesce(weak, 0) AS weak, coalesce(decisive, 0) AS decisive, o_orderpriority = '4-NOT SPECIFIED' AS q, o_orderpriority = '5-LOW' AS nc FROM orders LEFT JOIN s ON l_orderkey = o_orderkey),
+    x AS (SELECT *, CASE WHEN sup > 0 AND opp > 0 THEN 'contestato' WHEN opp > 0 THEN 'controprovato' WHEN sup > 0 AND nc THEN 'non_contestato' WHEN sup > 0 THEN 'silente' ELSE 'da_decidere' END AS adv,
+                 CASE WHEN n = 0 OR mx < 0.45 THEN 'insufficiente' WHEN q THEN 'da_decidere' ELSE 'da_verificare' END AS proof FROM m)
+"""
+_ISSUES = f"""
+    WITH {_ROWS}, d AS (SELECT c_custkey AS case_id, c_nationkey < 12 AS part FROM customer),
+    i AS (
+        SELECT case_id, claim_id, 'R1' AS rule, 'alta' AS severity FROM x WHERE n = 0
+        UNION ALL SELECT case_id, claim_id, 'R2', 'media' FROM x WHERE n > 0 AND mx < 0.45
+        UNION ALL SELECT case_id, claim_id, 'R3', 'alta' FROM x WHERE p = '1-URGENT' AND proof = 'insufficiente'
+        UNION ALL SELECT case_id, claim_id, 'R4', 'media' FROM x WHERE p = '1-URGENT' AND q
+        UNION ALL SELECT case_id, claim_id, 'R5', 'bassa' FROM x WHERE p = '3-MEDIUM'
+        UNION ALL SELECT case_id, claim_id, 'R6', 'alta' FROM x WHERE opp > 0 AND nc
+        UNION ALL SELECT case_id, claim_id, 'R7', 'media' FROM x WHERE st <> 'F'
+        UNION ALL SELECT case_id, claim_id, 'R8', 'alta' FROM x WHERE st = 'F' AND p = '2-HIGH'
+        UNION ALL SELECT case_id, NULL, CASE WHEN coalesce(part, false) THEN 'R10' ELSE 'R9' END, 'alta' FROM (SELECT case_id, max(CASE WHEN st <> 'F' THEN 1 ELSE 0 END) AS miss FROM x GROUP BY 1) FULL JOIN d USING (case_id)
+            WHERE NOT coalesce(part, false) OR miss = 1
+    )
+"""
+
+
+@query(
+    f"""WITH {_ROWS} SELECT claim_id, CAST(n AS INT) AS n_sources, round(mx, 6) AS max_score, CASE WHEN n = 0 THEN 'assente' WHEN mx >= 0.68 THEN 'alta' WHEN mx >= 0.38 THEN 'media' ELSE 'bassa' END AS max_reliability,
+           CAST(sup AS INT) AS n_support, CAST(opp AS INT) AS n_opponent, adv AS suggested_adversarial, proof AS suggested_proof FROM x"""
+)
+def evidence_matrix(spark, d):
+    m = matrix.matrix(_order_rows(spark, d))
+    return m.select("claim_id", "n_sources", F.round("max_score", 6).alias("max_score"), "max_reliability", "n_support", "n_opponent", "suggested_adversarial", "suggested_proof")
+
+
+@query(
+    f"""
+    WITH {_ROWS} SELECT claim_id, concat_ws(',', CASE WHEN price <= 250000 THEN 'burden' END, CASE WHEN n = 0 THEN 'no_source' END, CASE WHEN n > 0 AND mx < 0.45 THEN 'weak_source' END, CASE WHEN q THEN 'open_questions' END,
+        CASE WHEN sup > 0 AND opp = 0 AND NOT nc THEN 'no_opponent_source' END, CASE WHEN adv = 'controprovato' THEN 'opponent_only' END, CASE WHEN adv = 'da_decidere' AND sup = 0 THEN 'unreadable' END, CASE WHEN st <> 'F' THEN 'reasoning' END) AS gaps FROM x
+    """
+)
+def gap_list(spark, d):
+    return matrix.matrix(_order_rows(spark, d)).select("claim_id", F.array_join("gaps", ",").alias("gaps"))
+
+
+@query(f"{_ISSUES} SELECT case_id, coalesce(claim_id, -1) AS claim_id, rule, severity FROM i")
+def rule_issues(spark, d):
+    """Issues of the whole case have claim -1."""
+    issues = matrix.red_team(_order_rows(spark, d), _drafts(spark, d))
+    return issues.select("case_id", F.coalesce("claim_id", F.lit(-1)).alias("claim_id"), "rule", "severity")
+
+
+@query(f"{_ISSUES} SELECT case_id, count(*) AS total, count(*) FILTER (severity = 'alta') AS alta, count(*) FILTER (severity = 'media') AS media, count(*) FILTER (severity = 'bassa') AS bassa FROM i GROUP BY case_id")
+def severity_counts(spark, d):
+    return matrix.severity_counts(matrix.red_team(_order_rows(spark, d), _drafts(spark, d)))
+
+
+@query()
+def rule_actions(spark, d):
+    return matrix.actions(matrix.red_team(_order_rows(spark, d), _drafts(spark, d)))
+
+
+@query(
+    f"""
+    {_ISSUES}, dc AS (SELECT o_custkey AS case_id, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS proc, count(*) FILTER (o_orderstatus = 'F') AS acc, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS ver FROM orders GROUP BY 1),
+    sc AS (SELECT o_custkey AS case_id, count(DISTINCT l_partkey) AS cited, count(l_partkey) AS sources, count(*) FILTER (l_discount * 10 < 0.45) AS weak, count(*) FILTER (l_linestatus = 'O') AS decisive FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+    cc AS (SELECT case_id, count(*) AS claims, count(*) FILTER (price < 50000) AS low, count(*) FILTER (q) AS questions, count(*) FILTER (n = 0) AS uncovered, count(*) FILTER (st <> 'F') AS nor, count(*) FILTER (st = 'F' AND p = '2-HIGH') AS contra FROM x GROUP BY 1),
+    ic AS (SELECT case_id, count(*) FILTER (severity = 'alta') AS severe FROM i GROUP BY 1),
+    du AS (SELECT o_custkey AS case_id, count(*) - count(DISTINCT lower(o_orderpriority)) AS dup FROM orders GROUP BY 1),
+    a AS (SELECT c_custkey AS case_id, c_mktsegment = 'BUILDING' AS done, c_nationkey < 12 AS part, coalesce(total, 0) AS total, coalesce(proc, 0) AS proc, coalesce(acc, 0) AS acc, coalesce(ver, 0) AS ver, coalesce(cited, 0) AS cited, coalesce(sources, 0) AS sources,
+                 coalesce(weak, 0) AS weak, coalesce(decisive, 0) AS decisive, coalesce(claims, 0) AS claims, coalesce(low, 0) AS low, coalesce(questions, 0) AS questions, coalesce(uncovered, 0) AS uncovered, coalesce(nor, 0) AS nor, coalesce(contra, 0) AS contra,
+                 coalesce(severe, 0) AS severe, coalesce(dup, 0) AS dup, c_acctbal >= 0 AS ok
+          FROM customer LEFT JOIN dc ON dc.case_id = c_custkey LEFT JOIN sc ON sc.case_id = c_custkey LEFT JOIN cc ON cc.case_id = c_custkey LEFT JOIN ic ON ic.case_id = c_custkey LEFT JOIN du ON du.case_id = c_custkey),
+    b AS (SELECT *, (total = 0)::INT + (proc > 0)::INT + (ver > 0)::INT + (acc = 0)::INT + (NOT done)::INT + (claims = 0 AND done)::INT + (NOT part)::INT + (nor > 0)::INT + (NOT ok)::INT + (severe > 0)::INT AS blocks,
+                 (weak > 0)::INT + (questions > 0)::INT + (dup > 0)::INT + (low > 0)::INT AS warnings FROM a)
+    SELECT case_id, blocks AS n_blocks, warnings AS n_warnings, greatest(0, least(100, 100 - 12 * blocks - 4 * warnings)) AS score, cited AS cited_documents, acc AS usable_documents, CAST(round_even(cited / greatest(acc, 1) * 100, 0) AS BIGINT) AS coverage_percent,
+           claims, low AS low_confidence, sources, weak AS weak_sources, uncovered AS uncovered_rows, decisive AS decisive_sources, questions AS open_questions, contra AS contradictions FROM b
+    """
+)
+def readiness_score(spark, d):
+    c = _t(spark, d, "customer")
+    cases = c.select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_mktsegment") == "BUILDING", "completata").otherwise("in_attesa").alias("analysis_state"))
+    clean = c.select(F.col("c_custkey").alias("case_id"), (F.col("c_acctbal") >= 0).alias("ok"))
+    out = matrix.readiness(cases, _order_documents(spark, d), _order_rows(spark, d), _drafts(spark, d), clean)
+    return out.withColumns({"n_blocks": F.size("blocks"), "n_warnings": F.size("warnings")}).drop("blocks", "warnings")
+
+
+# ---------------------------------------------------------------- cascades, web and JSON
+
+
+@query(
+    """
+    SELECT item_id, CASE WHEN contains(l, 'riconvenzional') THEN 'riconvenzionale' WHEN contains(l, 'contest') OR contains(l, 'rigett') THEN 'difesa_eccezione' WHEN contains(l, 'prova') OR contains(l, 'ctu') THEN
+           (CASE WHEN contains(l, 'penale') OR contains(l, 'condann') OR contains(l, 'pagamento') OR contains(l, 'risarc') OR contains(l, 'accert') OR contains(l, 'applicare') THEN 'domanda' ELSE 'istruttoria' END) ELSE 'domanda' END AS kind
+    FROM (SELECT item_id, lower(text) AS l FROM benchmark)
+    """
+)
+def class_cascade(spark, d):
+    return _t(spark, d, "benchmark").select("item_id", T.claim_kind(F.col("text"), F.lit("attore")).alias("kind"))
+
+
+@query(
+    r"""
+    SELECT page_id, host, CASE WHEN url = '' THEN 'non_indicata' WHEN contains(host, 'studio') OR contains(host, 'blog') THEN 'bassa' ELSE 'media' END AS trust
+    FROM (SELECT page_id, coalesce(url, '') AS url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages)
+    """
+)
+def url_trust(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.url_host(F.col("url")).alias("host"), T.url_trust(F.col("url")).alias("trust"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages")
+def html_results(spark, d):
+    return _t(spark, d, "pages").select("page_id", files.plain_text(F.col("html")).alias("body"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, d):
+    return _t(spark, d, "events").select("event_id", F.get_json_object(T.json_object(F.col("props")), "$.k").try_cast("long").alias("k"))
+
+
+_LINKS = r"""l AS (SELECT page_id, regexp_replace(url, '^[a-z]+://([^/?#]*).*$', '\1') AS host, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref="([^"]*)"', 1)) AS href FROM pages)"""
+
+
+@query(rf"WITH {_LINKS}, e AS (SELECT DISTINCT 'p' || page_id AS a, href AS b FROM l) SELECT node, count(*) AS degree, round(4 + 2.2 * sqrt(count(*)), 6) AS size FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY node")
+def link_graph_degree(spark, d):
+    return graph.degrees(_link_edges(spark, d))
+
+
+def _link_edges(spark, d):
+    links = files.links(_t(spark, d, "pages"))
+    return links.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("from_key"), F.col("href").alias("to_key"), F.lit("cita").alias("kind"))
+
+
+@query(rf"WITH {_LINKS} SELECT DISTINCT 'p' || page_id AS other FROM l WHERE href = '/the'")
+def neighbours(spark, d):
+    return graph.neighbours(_link_edges(spark, d), "/the")
+
+
+@query(rf"WITH {_LINKS}, k AS (SELECT 'p' || page_id AS key FROM pages WHERE page_id % 2 = 0 UNION SELECT href FROM l WHERE length(href) <= 6) SELECT DISTINCT 'p' || page_id AS from_key, href AS to_key FROM l WHERE 'p' || page_id IN (SELECT key FROM k) AND href IN (SELECT key FROM k)")
+def visible_edges(spark, d):
+    """A user sees even pages and short targets."""
+    e = _link_edges(spark, d).distinct()
+    even = _t(spark, d, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("key"))
+    keys = even.unionByName(e.where(F.length("to_key") <= 6).select(F.col("to_key").alias("key"))).distinct()
+    return graph.visible_edges(e, keys).select("from_key", "to_key")
+
+
+@query("SELECT o_custkey AS case_id, o_orderkey AS old_id, count(l_partkey) AS n_attachments FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def id_remap_roundtrip(spark, d):
+    """Customers as cases: exported to JSON with their orders (claims) and parts (documents), imported with new ids."""
+    o, items = _t(spark, d, "orders"), _t(spark, d, "lineitem")
+    joined = items.join(o, items["l_orderkey"] == o["o_orderkey"])
+    cases = _t(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_name").alias("title"))
+    none = F.lit(None).cast("string")
+    docs = joined.select(F.col("o_custkey").alias("case_id"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate").alias("doc_id"), F.lit("generici").alias("section"), none.alias("file_name"), none.alias("text")).distinct()
+    own = joined.groupBy("o_orderkey").agg(F.collect_list(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")).alias("attachments"))
+    claims = o.join(own, "o_orderkey", "left").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("claim_id"), F.lit("attore").alias("party"), F.col("o_orderkey").cast("string").alias("text"), F.lit("domanda").alias("kind"), "attachments")
+    _, back, attached = portable.import_cases(portable.export_cases(cases, docs, claims))
+    n = attached.groupBy("claim_id").agg(F.count("*").alias("n"))
+    return back.join(n, "claim_id", "left").select("case_id", F.col("text").cast("long").alias("old_id"), F.coalesce("n", F.lit(0)).alias("n_attachments"))
+
+
+# ---------------------------------------------------------------- no SQL equivalent
+
+
+@query()
+def evidence_trace(spark, d):
+    """Full trace, sequence ratio included: benchmark items as claims, documents in a hundred cases by source and lang."""
+    docs = _t(spark, d, "documents")
+    case = F.pmod(F.xxhash64("source", "lang"), F.lit(1000))
+    section = F.when(F.col("lang") == "en", "attore").when(F.col("lang") == "de", "convenuto").otherwise("generici")
+    evidence_docs = docs.select("doc_id", case.alias("case_id"), section.alias("section"), "text")
+    cases = evidence_docs.select("case_id").distinct()
+    items = _t(spark, d, "benchmark").select("item_id", "text")
+    first = cases.select("case_id", F.row_number().over(Window.orderBy("case_id")).alias("r"))
+    n = cases.count()
+    claims = items.withColumn("r", F.pmod("item_id", F.lit(max(1, n))) + 1).join(F.broadcast(first), "r").select(F.col("item_id").alias("claim_id"), "case_id", F.lit("attore").alias("party"), F.lit("domanda").alias("kind"), "text", F.array().cast("array<bigint>").alias("attachments"))
+    return evidence.trace(claims, evidence_docs).select("claim_id", "doc_id", "pos", "score", "reliability", "rank", "anchor")
+
+
+@query()
+def registry(spark, d):
+    """Documents of a source as a case: pattern spans, numbered placeholders, and one registry a case."""
+    docs = _t(spark, d, "documents").where(F.rlike("text", F.lit(C.PII["EMAIL"])))
+    done = privacy.pseudonymise(docs.select("doc_id", F.xxhash64("source").alias("case_id"), F.col("doc_id").alias("ord"), "text"))
+    return privacy.case_registry(done).select("case_id", "doc_id", F.size("registry").alias("n_entities"), F.length("text").alias("n_chars"))
+
+
+@query()
+def claim_dedup(spark, d):
+    """Benchmark items as the claims of one case a first letter."""
+    items = _t(spark, d, "benchmark").select(F.lower(F.substring("text", 1, 1)).alias("case_id"), F.col("item_id").alias("seq"), F.lit("attore").alias("party"), "text")
+    return claims_op.drop_near_duplicates(items).select("case_id", "seq")
+
+
+@query()
+def communities(spark, d):
+    return graph.communities(_link_edges(spark, d))
+
+
+@query()
+def entity_keys(spark, d):
+    """Normal forms of customer names."""
+    return _t(spark, d, "customer").select("c_custkey", S.entity_key(F.col("c_name")).alias("key"))
