@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, text_bytes
+from .common import bounded, scratch, text_bytes
 
 #: Languages told apart.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -150,7 +150,8 @@ def evidence(scores: DataFrame) -> dict[str, DataFrame]:
         per = rows.groupBy(name).agg(_sums().alias("c"))
         return per.select(name, _per(F.col("c"), everything, lambda c, g: F.log((c + VALUE_WEIGHT) / (g + VALUE_WEIGHT * len(LANGUAGES)))).alias(f"_by{name}"))
 
-    return {"host": prior, "declared": value("_declared"), "suffix": value("_suffix")}
+    # Written out, a small table has a known size, and the join with the texts needs no shuffle of them.
+    return {"host": scratch(prior, "language-hosts"), "declared": scratch(value("_declared"), "language-declared"), "suffix": scratch(value("_suffix"), "language-suffixes")}
 
 
 def fuse(scores: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
