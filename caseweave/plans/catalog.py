@@ -479,9 +479,9 @@ def id_remap_roundtrip(spark, d):
 
 @query()
 def evidence_trace(spark, d):
-    """Full trace, sequence ratio included: benchmark items as claims, documents in a hundred cases by source and lang."""
+    """Full trace, sequence ratio included: benchmark items as claims, documents in a thousand cases by source, language and length."""
     docs = _t(spark, d, "documents")
-    case = F.pmod(F.xxhash64("source", "lang"), F.lit(1000))
+    case = F.pmod(F.xxhash64("source", "lang", "n_chars"), F.lit(1000))
     section = F.when(F.col("lang") == "en", "attore").when(F.col("lang") == "de", "convenuto").otherwise("generici")
     evidence_docs = docs.select("doc_id", case.alias("case_id"), section.alias("section"), "text")
     cases = evidence_docs.select("case_id").distinct()
