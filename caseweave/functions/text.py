@@ -17,6 +17,11 @@ def _trim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once: inside lambdas, an outer expression is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _any_in(c: Column, stems: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for stem in stems:
@@ -71,32 +76,40 @@ def segments(c: Column) -> Column:
     parts = F.filter(F.transform(F.split(tidy, "(?U)" + C.SENTENCE_END), _trim), lambda p: p != "")
 
     def windows(p: Column) -> Column:
-        words = F.split(p, r"(?U)\s+")
-        starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(C.WINDOW_STEP))
-        return F.when(F.size(words) <= C.WINDOW_WORDS, F.array(p)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, C.WINDOW_WORDS), " ")))
+        def cut(words: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(C.WINDOW_STEP))
+            return F.when(F.size(words) <= C.WINDOW_WORDS, F.array(p)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, C.WINDOW_WORDS), " ")))
+
+        return _let(F.split(p, r"(?U)\s+"), cut)
 
     return F.flatten(F.transform(parts, windows))
 
 
 def word_windows(c: Column, size: int = C.WINDOW_WORDS, step: int = C.WINDOW_STEP) -> Column:
     """Windows of words over a whole text, as array<struct<start, n_words>>."""
-    words = F.filter(F.split(_text(c), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)))
-    return F.when(n > 0, F.transform(starts, lambda i: F.struct(i.alias("start"), F.least(F.lit(size), n - i).alias("n_words"))))
+
+    def cut(n: Column) -> Column:
+        starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)))
+        return F.when(n > 0, F.transform(starts, lambda i: F.struct(i.alias("start"), F.least(F.lit(size), n - i).alias("n_words"))))
+
+    return _let(F.size(F.filter(F.split(_text(c), r"\s+"), lambda w: w != "")), cut)
 
 
 def snippet(c: Column, terms: Column, numbers: Column, limit: int = C.SNIPPET_CHARS) -> Column:
     """At most ``limit`` characters with the earliest hit a third in, and dots where text is cut off."""
+
+    def cut(t: Column) -> Column:
+        flat, low = t["flat"], t["low"]
+        places = F.concat(F.transform(terms, lambda w: F.instr(low, w) - 1), F.transform(numbers, lambda n: F.instr(flat, n) - 1))
+        hit = F.coalesce(F.array_min(F.filter(places, lambda p: p >= 0)), F.lit(0))
+        end = F.least(F.length(flat), F.greatest(F.lit(0), hit - limit // 3) + limit)
+        start = F.greatest(F.lit(0), end - limit)
+        body = _trim(F.substring(flat, start + 1, end - start))
+        dots = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), body, F.when(end < F.length(flat), F.lit("...")).otherwise(F.lit("")))
+        return F.when(F.length(flat) <= limit, flat).otherwise(dots)
+
     flat = _trim(F.regexp_replace(_text(c), r"(?U)\s+", " "))
-    low = F.lower(flat)
-    places = F.concat(F.transform(terms, lambda t: F.instr(low, t) - 1), F.transform(numbers, lambda n: F.instr(flat, n) - 1))
-    hit = F.coalesce(F.array_min(F.filter(places, lambda p: p >= 0)), F.lit(0))
-    end = F.least(F.length(flat), F.greatest(F.lit(0), hit - limit // 3) + limit)
-    start = F.greatest(F.lit(0), end - limit)
-    body = _trim(F.substring(flat, start + 1, end - start))
-    cut = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), body, F.when(end < F.length(flat), F.lit("...")).otherwise(F.lit("")))
-    return F.when(F.length(flat) <= limit, flat).otherwise(cut)
+    return _let(F.struct(flat.alias("flat"), F.lower(flat).alias("low")), cut)
 
 
 def reliability(score: Column) -> Column:
