@@ -134,7 +134,8 @@ def claim_kind(c: Column, party: Column) -> Column:
 
 def confidence(raw: Column) -> Column:
     """A number forced into [0, 1]; DEFAULT_CONFIDENCE where it is none."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw.try_cast("double"))), F.lit(C.DEFAULT_CONFIDENCE))
+    number = raw.try_cast("double")
+    return F.when(number.isNull(), F.lit(C.DEFAULT_CONFIDENCE)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def url_host(url: Column) -> Column:
