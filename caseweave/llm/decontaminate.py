@@ -108,14 +108,13 @@ def matches(texts: list[bytes], bench: Windows) -> tuple[np.ndarray, np.ndarray]
     number = np.searchsorted(bench.vocabulary, hashes)
     number = np.where(bench.vocabulary[np.minimum(number, len(bench.vocabulary) - 1)] == hashes, number + 1, 0)
     ends = np.cumsum(counts)
-    # How many benchmark words follow without a break, the text's end included.
+    # How many benchmark words follow without a break; a text's end is one.
     stop = np.zeros(len(number) + 1, bool)
-    stop[np.concatenate([ends, np.flatnonzero(number == 0)])] = True
+    stop[ends] = True
+    stop[:-1] |= number == 0
     stops = np.flatnonzero(stop)
-    run = stops[np.searchsorted(stops, np.arange(len(number)))] - np.arange(len(number))
+    run = stops[np.searchsorted(stops, np.arange(len(number)), "right")] - np.arange(len(number))
     run[number == 0] = 0
-    last = ends[np.searchsorted(ends, np.arange(len(number)), "right")] - np.arange(len(number))
-    run = np.minimum(run, last)
     starts = np.flatnonzero(run >= bench.size.min())
     if not len(starts):
         return counts, none
