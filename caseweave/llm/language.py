@@ -37,14 +37,14 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of the bytes of letters (their middle is a letter), and the text each is from."""
+    """Hashed trigrams around each byte of a letter, text after text, and where in them each text ends."""
     data = _FOLD[np.frombuffer(b"\0\0".join(texts) + b"\0\0\0", np.uint8)]
     wide = data.astype(np.uint32)
     code = (wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:]
     at = np.flatnonzero(data[1:-1] != 32)
     code = (code[at] * np.uint32(2654435761)) >> np.uint32(32 - TABLE_BITS)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 2)
-    return code, np.searchsorted(at, ends)
+    return code, np.searchsorted(at, ends - 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
