@@ -22,10 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/caseweave/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what this application wrote with scratch(). Call it when no DataFrame built on it is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends at files every executor can read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/caseweave/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
