@@ -40,3 +40,13 @@ def compose(parts: DataFrame, key: str, order: list[str], text_col: str, separat
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(text_col).alias("_text"))))
     joined = F.array_join(F.transform(rows, lambda r: r["_text"]), separator)
     return parts.where(F.col(text_col).isNotNull()).groupBy(key).agg(F.substring(joined, 1, limit).alias("context"))
+
+
+def rag_context(fragments: DataFrame, query: list[float], user: int | None, k: int = 3, chars: int = 300) -> DataFrame:
+    """One row: the first ``chars`` characters of the nearest fragments that are global or one's own, nearest first.
+
+    fragments: vec_id, embedding, text, owner. Staff rights don't count here; without fragments the context is empty.
+    """
+    near = nearest(visible(fragments, "owner", user), query, k)
+    rows = F.array_sort(F.collect_list(F.struct("distance", "vec_id", F.substring("text", 1, chars).alias("t"))))
+    return near.agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n").alias("context"))

@@ -474,6 +474,125 @@ def id_remap_roundtrip(spark, d):
     return back.join(n, "claim_id", "left").select("case_id", F.col("text").cast("long").alias("old_id"), F.coalesce("n", F.lit(0)).alias("n_attachments"))
 
 
+# ---------------------------------------------------------------- smaller operators
+
+
+@query("SELECT o_custkey AS case_id, l_orderkey AS claim_id, l_partkey AS doc_id, round(l_discount * 10, 6) AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey ORDER BY l_discount DESC, l_orderkey, l_partkey, l_linenumber LIMIT 5")
+def key_evidence(spark, d):
+    """The five best sources over all claims."""
+    items, o = _t(spark, d, "lineitem"), _t(spark, d, "orders")
+    rows = items.join(o, items["l_orderkey"] == o["o_orderkey"]).orderBy(F.desc("l_discount"), "l_orderkey", "l_partkey", "l_linenumber").limit(5)
+    return rows.select(F.col("o_custkey").alias("case_id"), F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("doc_id"), F.round(F.col("l_discount") * 10, 6).alias("score"))
+
+
+@query("SELECT o_custkey AS case_id, string_agg(n || '. ' || o_orderpriority, chr(10) ORDER BY n) AS text FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1")
+def operative_skeleton(spark, d):
+    o = _t(spark, d, "orders")
+    return workflow.operative_skeleton(o.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("claim_id"), F.col("o_orderpriority").alias("text")))
+
+
+@query(
+    """
+    WITH dc AS (SELECT o_custkey AS case_id, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS proc, count(*) FILTER (o_orderstatus = 'F') AS acc, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS ver,
+                       count(*) FILTER (o_orderpriority = '1-URGENT') AS deep, count(*) FILTER (o_totalprice > 250000) AS reasoned FROM orders GROUP BY 1)
+    SELECT c_custkey AS case_id, coalesce(total, 0) AS documents, coalesce(acc, 0) AS ready, coalesce(ver, 0) AS to_verify, coalesce(proc, 0) AS processing, coalesce(acc > 0 AND proc = 0, false) AS can_start,
+           coalesce(acc > 0 AND ver > 0, false) AS can_start_in_part, c_mktsegment = 'BUILDING' AS analysed, coalesce(total, 0) AS claims, coalesce(deep, 0) AS deepened, coalesce(reasoned, 0) AS reasoned, c_nationkey < 12 AS operative_part
+    FROM customer LEFT JOIN dc ON case_id = c_custkey
+    """
+)
+def case_checklist(spark, d):
+    c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
+    cases = c.select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_mktsegment") == "BUILDING", "completata").otherwise("in_attesa").alias("analysis_state"))
+    own = o.select(F.col("o_custkey").alias("case_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "approfondita").otherwise("estratta").alias("state"), F.when(F.col("o_totalprice") > 250000, "x").otherwise("").alias("reasoning"))
+    return workflow.checklist(cases, _order_documents(spark, d), own, _drafts(spark, d))
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus <> 'O' THEN 'accettato_senza_verifica' ELSE 'da_verificare' END AS acceptance FROM orders")
+def bulk_accept(spark, d):
+    """Documents verified before are set back as well."""
+    return workflow.bulk_accept(_order_documents(spark, d)).select("doc_id", "acceptance")
+
+
+@query(
+    r"""
+    SELECT doc_id, lang || '/' || CASE WHEN n = 1 THEN b ELSE regexp_extract(b, '^(.*?)(\.[^.]*)?$', 1) || '_' || n || regexp_extract(b, '^(.*?)(\.[^.]*)?$', 2) END AS entry
+    FROM (SELECT doc_id, lang, source || '.txt' AS b, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)
+    """
+)
+def archive_names(spark, d):
+    """Entry names of an archive: a section (language) and a file name (source), later ones numbered."""
+    docs = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("section"), F.concat("source", F.lit(".txt")).alias("file_name"))
+    return files.safe_names(docs).select("doc_id", "entry")
+
+
+@query("SELECT doc_id, length(replace(replace(coalesce(text, ''), ' ', ''), chr(10), '')) / greatest(n_chars // 2000, 1) >= 20 AS native, length(trim(coalesce(text, ''))) < 3 AS doubtful, lang = 'fr' OR n_chars < 100 AS low FROM documents")
+def extraction_flags(spark, d):
+    """Native-text test (2,000 characters a page), doubtful text, and low confidence."""
+    docs = _t(spark, d, "documents")
+    unsure = F.when(F.col("lang") == "fr", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    return docs.select(
+        "doc_id", files.native_pdf(F.col("text"), F.expr("n_chars div 2000")).alias("native"), files.doubtful_page(F.col("text")).alias("doubtful"), files.low_confidence(unsure, F.when(F.col("n_chars") < 100, 0.5).otherwise(0.9)).alias("low")
+    )
+
+
+@query(
+    """
+    SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'insufficiente' WHEN page_id % 5 = 0 THEN 'media' WHEN contains(host, 'studio') OR contains(host, 'blog') THEN 'bassa' ELSE 'media' END AS reliability,
+           CASE WHEN contains(l, 'normattiva') OR contains(l, 'gazzettaufficiale') OR contains(l, 'art.') OR contains(l, 'codice') OR contains(l, 'd.lgs') OR contains(l, 'legge') THEN 'norma'
+                WHEN contains(l, 'cassazione') OR contains(l, 'tribunale') OR contains(l, 'corte') OR contains(l, 'sentenza') OR contains(l, 'ordinanza') THEN 'giurisprudenza'
+                WHEN contains(l, 'massima') OR contains(l, 'principio di diritto') THEN 'massima' WHEN contains(l, 'rivista') OR contains(l, 'commento') OR contains(l, 'dottrina') OR contains(l, 'autore') THEN 'dottrina'
+                WHEN page_id % 5 = 0 THEN 'materiale manuale' ELSE 'fonte web' END AS kind
+    FROM (SELECT page_id, lower(html) AS l, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS host FROM pages)
+    """
+)
+def research_leads(spark, d):
+    """Pages as leads: every seventh insufficient, every fifth manual without an address."""
+    p = _t(spark, d, "pages")
+    manual = F.col("page_id") % 5 == 0
+    url = F.when(manual, F.lit("")).otherwise(F.col("url"))
+    return p.select("page_id", T.lead_reliability(url, F.col("page_id") % 7 == 0, manual).alias("reliability"), T.source_kind(F.col("html"), manual).alias("kind"))
+
+
+@query("SELECT event_id, coalesce(greatest(0, least(1, value / 20)), 0.65) AS confidence, CAST(round_even(greatest(0, least(1, value / 50)) * 100, 0) AS INT) AS percent FROM events WHERE value IS NOT NULL")
+def confidence_and_progress(spark, d):
+    e = _t(spark, d, "events").where("value IS NOT NULL")
+    return e.select("event_id", T.confidence((F.col("value") / 20).cast("string")).alias("confidence"), T.percent(F.col("value"), F.lit(50)).alias("percent"))
+
+
+@query("SELECT c_custkey AS key, CASE WHEN c_nationkey % 3 = 0 THEN 'caso' WHEN c_nationkey % 3 = 1 THEN 'corpus' ELSE 'globale' END AS origin FROM customer WHERE (c_nationkey % 3 = 0 AND c_nationkey = 3) OR (c_nationkey % 3 = 1 AND c_nationkey IN (1, 4)) OR c_nationkey % 3 = 2")
+def visible_nodes(spark, d):
+    """Customers as nodes: a third belong to a case (nation 3 is the user's), a third to a document (1 is global, 4 the user's)."""
+    n = F.col("c_nationkey")
+    nodes = _t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.lit("concetto").alias("kind"), F.col("c_name").alias("label"), F.lit("").alias("summary"), F.when(n % 3 == 1, n).alias("doc_id"), F.when(n % 3 == 0, n).alias("case_id"))
+    nation = _t(spark, d, "nation")
+    docs = nation.select(F.col("n_nationkey").alias("doc_id"), F.when(F.col("n_nationkey") != 1, F.col("n_nationkey")).alias("creator_id"))
+    docs = docs.withColumn("creator_id", F.when(F.col("doc_id") == 4, F.lit(3)).otherwise(F.col("creator_id") + F.when(F.col("doc_id") == 3, 100).otherwise(0)))
+    cases = nation.select(F.col("n_nationkey").alias("case_id"), F.col("n_nationkey").alias("owner_id"))
+    return graph.project(graph.visible_nodes(nodes, docs, cases, 3)).select("key", "origin")
+
+
+@query("SELECT p_partkey AS key, p_name AS label FROM part WHERE contains(lower(p_name || ' ' || p_partkey || ' ' || p_type || ' ' || p_brand), 'ring') ORDER BY p_partkey LIMIT 8")
+def node_search(spark, d):
+    nodes = _t(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("kind"), F.col("p_name").alias("label"), F.col("p_brand").alias("summary"))
+    return graph.search(nodes, "RING").select("key", "label")
+
+
+@query("SELECT DISTINCT lower(replace(c_name, '#', ' ')) AS from_key, lower(o_orderpriority[3:]) AS to_key, CASE o_orderstatus WHEN 'F' THEN 'cita' ELSE 'correlato' END AS kind FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority <> '4-NOT SPECIFIED'")
+def merged_edges(spark, d):
+    """Customer to priority, with unknown kinds as ``correlato``."""
+    o, c = _t(spark, d, "orders").where("o_orderpriority <> '4-NOT SPECIFIED'"), _t(spark, d, "customer")
+    e = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("seq"), F.col("c_name").alias("from_label"), F.substring("o_orderpriority", 3, 20).alias("to_label"), F.when(F.col("o_orderstatus") == "F", "cita").otherwise("x").alias("kind"))
+    return graph.merge_edges(e).select("from_key", "to_key", "kind")
+
+
+@query()
+def rag_context(spark, d):
+    """Vectors with their document's text; the label stands for the owner."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    rows = _t(spark, d, "embeddings").join(docs, "vec_id").withColumnRenamed("label", "owner")
+    return retrieval.rag_context(rows, _first_vector(spark, d), 0)
+
+
 # ---------------------------------------------------------------- no SQL equivalent
 
 
