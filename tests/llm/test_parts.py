@@ -240,4 +240,5 @@ def test_pipeline_takes_odd_rows(spark, write_docs, odd_rows):
     got = corpus_pipeline.run(spark, folder)
     ids = {r["doc_id"] for r in got.collect()}
     assert not ids & {1, 2, 3, 7, 8, 5} and got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert {r["_id"] for r in got.collect()} == {"y"}  # a column of theirs, not the operator's
     assert corpus_pipeline.run(spark, write_docs([])).count() == 0
