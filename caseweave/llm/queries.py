@@ -146,17 +146,17 @@ SQL: dict[str, str] = {
     """,
     "op5_bloom_lines": """
         WITH lines AS (
-            SELECT doc_id, i, unnest(l) AS line, unnest(range(len(l))) AS pos
+            SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS id, i, unnest(l) AS line, unnest(range(len(l))) AS pos
             FROM (SELECT doc_id, row_number() OVER () AS i, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
         ), keyed AS (
             SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
         ), gone AS (
-            SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+            SELECT k, max(id) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT id) >= 3
         )
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
-        FROM (SELECT keyed.*, gone.k IS NOT NULL AND doc_id <> keeper AS lost FROM keyed LEFT JOIN gone USING (k))
+        FROM (SELECT keyed.*, gone.k IS NOT NULL AND id <> keeper AS lost FROM keyed LEFT JOIN gone USING (k))
         GROUP BY doc_id, i
     """,
 }

@@ -248,3 +248,23 @@ def test_op10(spark, folder, odd_rows):
 @pytest.mark.parametrize("name", [n for n in q.QUERIES])
 def test_empty_table(spark, empty, name):
     assert rows(spark, empty, name) == []
+
+
+@pytest.mark.parametrize("name", ["op4_sampled_splitters", "op6_weak_supervision", "op8_hash_threshold_mix"])
+def test_native_operators_run_no_python(spark, folder, name):
+    plan = q.QUERIES[name](spark, folder)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("name", list(q.SQL))
+def test_sql_gives_the_same_rows(spark, folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    rel = con.sql(q.SQL[name])
+    columns = sorted(rel.columns)
+    near = lambda v: round(v, 6) if isinstance(v, float) else v
+    want = Counter(tuple(near(r[rel.columns.index(c)]) for c in columns) for r in rel.fetchall())
+    assert Counter(tuple(near(r[c]) for c in columns) for r in rows(spark, folder, name)) == want
