@@ -154,3 +154,45 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["event_type"], r["n"]) for r in spark.table("counts").collect()] == [("a", 2)]
+
+
+def test_relevant_attachments(spark):
+    docs = spark.createDataFrame([(1, "fornitura saldo"), (2, "fornitura"), (3, "altro ancora"), (4, "saldo fornitura ritardo")], "doc_id long, text string")
+    tokens = spark.createDataFrame([(1, ["fornitura", "saldo", "ritardo"]), (2, ["mancante"]), (3, [])], "claim_id long, tokens array<string>")
+    wanted = spark.createDataFrame([(c, doc, k) for c in (1, 2, 3) for k, doc in enumerate((3, 2, 1, 4))], "claim_id long, doc_id long, ord int")
+    got = {}
+    for r in evidence.relevant_attachments(tokens, wanted, docs).orderBy("claim_id", "rank").collect():
+        got.setdefault(r["claim_id"], []).append(r["doc_id"])
+    assert got == {1: [4, 1, 2], 2: [3], 3: [3, 2, 1]}
+
+
+def test_rag_context_is_scoped_and_never_fails(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "a" * 400, None), (2, [0.9, 0.1], "b", 7), (3, [1.0, 0.0], "c", 8)], "vec_id long, embedding array<float>, text string, owner long")
+    assert retrieval.rag_context(rows, [1.0, 0.0], 7).first()["context"] == "a" * 300 + "\n\nb"
+    assert retrieval.rag_context(rows.where("vec_id < 0"), [1.0, 0.0], 7).first()["context"] == ""
+
+
+def test_outgoing_queries_are_masked(spark):
+    from caseweave.operators import privacy
+
+    rows = spark.createDataFrame([(1, 1, ["danni a Mario Rossi", " ", "x", "quarta"], [("[PRIVATE_PERSON_1]", "Mario Rossi")])], "case_id long, claim_id long, queries array<string>, entities array<struct<ph:string,value:string>>")
+    assert [r["query"] for r in privacy.research_queries(rows).orderBy("pos").collect()] == ["danni a [PRIVATE_PERSON_1]", "x"]
+
+
+def test_report_lines_and_burden(spark):
+    source = "array<struct<anchor:string,score:double>>"
+    rows = spark.createDataFrame([(1, 1, "domanda", [(f"a{k}", k / 10) for k in range(7)])], f"case_id long, claim_id long, text string, sources {source}")
+    events = spark.createDataFrame([(1, k, "nota", dt.datetime(2024, 1, 1, 10, k)) for k in range(45)], "case_id long, event_id long, kind string, ts timestamp")
+    lines = workflow.report_lines(rows, events).orderBy("ord").collect()
+    assert [r["style"] for r in lines] == ["claim"] + ["source"] * 5 + ["event"] * 40 and lines[1]["text"] == "a6 0.60" and lines[6]["text"] == "01/01/2024 10:44 nota"
+    one = lambda k, t, g: spark.range(1).select(claims.burden(F.lit(k), F.lit("attore"), F.lit(t), F.lit(g)).alias("b")).first()["b"]
+    assert one("domanda", "pagare 12.450", "prova di 12.450") == "prova di 12.450"
+    assert one("domanda", "pagare 12.450", "prova di 99.000") == "domanda:attore"
+    assert one("domanda", "penale per ritardo", "prova del danno") == "penale_ritardo"
+    assert one("istruttoria", "ctu", "prova del fatto") == "istruttoria:attore"
+
+
+def test_undisputed(spark):
+    says = spark.createDataFrame([(1, "l'esistenza del contratto è pacifica"), (1, "il danno"), (2, "l'esistenza del contratto è pacifica")], "case_id long, text string")
+    docs = spark.createDataFrame([(1, "attore", "il contratto"), (1, "convenuto", "contratto d'appalto"), (2, "attore", "il contratto")], "case_id long, section string, text string")
+    assert [r["supported"] for r in claims.undisputed(says, docs).orderBy("case_id", "text").collect()] == [False, True, False]
