@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions import constants as C
@@ -30,16 +30,24 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, id_col: str = "v
     """The k (1 to 20) nearest vectors by cosine distance, ties by id; the cut-off applies to what the top k holds."""
     k = min(max(int(k), 1), 20)
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.where(F.col(vector_col).isNotNull()).withColumn("distance", cosine_distance(F.col(vector_col), q)).where("distance IS NOT NULL")
-    top = scored.orderBy("distance", id_col).limit(k).withColumn("distance", F.round(F.greatest("distance", F.lit(0.0)), 6))
+    scored = vectors.where(F.col(vector_col).isNotNull()).withColumn("_raw", cosine_distance(F.col(vector_col), q)).where("_raw IS NOT NULL")
+    # Rounded before the sort: a projection above the limit would keep Spark from taking the top k in one step.
+    scored = scored.withColumn("distance", F.round(F.greatest("_raw", F.lit(0.0)), 6))
+    top = scored.orderBy("_raw", id_col).limit(k).drop("_raw")
     return top if cut_off is None else top.where(F.col("distance") <= cut_off)
 
 
 def compose(parts: DataFrame, key: str, order: list[str], text_col: str, separator: str = "\n\n", limit: int = C.CONTEXT_CHARS) -> DataFrame:
-    """Texts of each key joined in order, cut at ``limit`` characters. A context is bounded by what a model reads."""
+    """Texts of each key joined in order, cut at ``limit`` characters.
+
+    Rows that begin behind the limit go before anything is gathered, so a key's list is bounded whatever its size.
+    """
+    upto = Window.partitionBy(key).orderBy(*order, text_col).rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(F.length(text_col) + len(separator)).over(upto), F.lit(0))
+    near = parts.where(F.col(text_col).isNotNull()).withColumn("_begin", begin).where(F.col("_begin") < limit)
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(text_col).alias("_text"))))
     joined = F.array_join(F.transform(rows, lambda r: r["_text"]), separator)
-    return parts.where(F.col(text_col).isNotNull()).groupBy(key).agg(F.substring(joined, 1, limit).alias("context"))
+    return near.groupBy(key).agg(F.substring(joined, 1, limit).alias("context"))
 
 
 def rag_context(fragments: DataFrame, query: list[float], user: int | None, k: int = 3, chars: int = 300) -> DataFrame:
