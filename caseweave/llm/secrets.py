@@ -2,7 +2,7 @@
 
 Patterns propose candidates. Each is described by its length, its character transitions, how much of it dictionary
 words cover, its path, and the words beside it; a random forest (Spark ML), fitted on labelled findings, scores it.
-The dictionary and the letter transitions come from a bounded sample of the texts themselves.
+The dictionary and the letter transitions come from the words of all texts, by grouped counts.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, text_bytes
+from .common import bounded, scratch, text_bytes
 
-#: Texts sampled for the dictionary, at most about; words kept of them; labelled findings drawn where none are given.
-SAMPLE_TEXTS, DICTIONARY_WORDS, LABELLED = 2000, 4000, 3000
+#: Words of the dictionary, the most frequent ones; labelled findings drawn where none are given.
+DICTIONARY_WORDS, LABELLED = 4000, 3000
 TREES, DEPTH, SEED, ACCEPT = 30, 8, 7, 0.5
 #: Bytes of context on either side.
 CONTEXT = 48
@@ -45,17 +45,18 @@ Lexicon = tuple[frozenset, dict]
 
 
 def lexicon(docs: DataFrame, text_col: str = "text") -> Lexicon:
-    """The most frequent words of a sample of the texts, and log probabilities of letter pairs in them."""
-    n = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 20)) < min(1.0, SAMPLE_TEXTS / max(1, n)) * (1 << 20))
-    words = drawn.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]{4,20}"), F.lit(0))).alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).collect()
-    pairs: dict[str, float] = {}
-    for w, c in top:
-        for a, b in zip(w, w[1:], strict=False):
-            pairs[a + b] = pairs.get(a + b, 0) + c
-    total = sum(pairs.values()) or 1
-    return frozenset(w for w, _ in top), {k: math.log(v / total) for k, v in pairs.items()}
+    """The DICTIONARY_WORDS most frequent words of all texts, and log probabilities of letter pairs in all their words.
+
+    Words are counted within tasks before the shuffle. Only the dictionary and at most 26 * 26 pairs reach the driver.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_col), F.lit("[a-z]{4,20}"), F.lit(0))).alias("w"))
+    counts = scratch(words.groupBy("w").count(), "secret-words")
+    top = counts.orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS).collect()
+    at = F.sequence(F.lit(1), F.length("w") - 1)
+    pairs = counts.select("count", F.explode(F.transform(at, lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair"))
+    n = {r[0]: r[1] for r in pairs.groupBy("pair").agg(F.sum("count")).collect()}
+    total = sum(n.values()) or 1
+    return frozenset(r[0] for r in top), {k: math.log(v / total) for k, v in n.items()}
 
 
 def _kind(c: str) -> int:

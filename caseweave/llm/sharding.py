@@ -6,7 +6,7 @@ overfull get more splitters from a denser draw, and records are range-partitione
 its records; cut points between shards are multiples of the total over the number of shards, so shard sizes differ
 from their mean by one record at most.
 
-The driver holds at most ``MAX_RANGES`` splitters and one size per range.
+The driver holds one size per range and at most 2 * ``MAX_RANGES`` splitters: no more are added once there are MAX_RANGES.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def splitters(keys: DataFrame, shards: int, rows: int, total: int) -> tuple[list
             break
         part = keys.withColumn("_r", _range_of(found)).where(F.col("_r").isin(full))
         more = _draw(part, F.lit(4 * ranges * DRAWS / max(1, total)), turn)
-        found = sorted({*found, *[(h, i) for h, i, _ in more[:: 2 * DRAWS]]})[:MAX_RANGES]
+        found = sorted({*found, *[(h, i) for h, i, _ in more[:: 2 * DRAWS]]})
     return found, sizes
 
 
