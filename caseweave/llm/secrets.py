@@ -29,12 +29,10 @@ DICTIONARY_WORDS, LABELLED = 4000, 3000
 TREES, DEPTH, SEED, ACCEPT = 30, 8, 7, 0.5
 #: Bytes of context on either side.
 CONTEXT = 48
-#: Longest part of a candidate that is read as one value; a longer run goes on as the next candidate.
-LONGEST = 512
 
-# What proposes a candidate.
-TOKEN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,%d}={0,2}" % LONGEST)
-ASSIGNED = re.compile(rb"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credential)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>{}$]{8,%d})" % LONGEST)
+# What proposes a candidate. Runs have no upper bound: each is read once, from its first byte to its last.
+TOKEN = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+ASSIGNED = re.compile(rb"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credential)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>{}$]{8,})")
 # Words beside a candidate, and parts of its path.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api", "auth", "credential", "bearer", "private", "access")
 HARMLESS_WORDS = ("sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "commit", "revision", "uuid", "etag", "integrity", "example", "placeholder", "file", "path", "id")
@@ -177,8 +175,8 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, int]] | DataFrame, w
 def scan(df: DataFrame, text_col: str = "text", path_col: str = "source", findings: list[tuple[str, str, int]] | DataFrame | None = None) -> DataFrame:
     """One row a candidate of ``df``: its other columns, ``start``, ``end``, ``value``, ``probability``, ``is_secret``.
 
-    Null or empty texts hold none; a null path says nothing; long runs are read in parts of LONGEST bytes. Columns of
-    ``df`` with those names are replaced. An empty table gives an empty result.
+    Null or empty texts hold none; a null path says nothing; a run of any length is one value. Columns of ``df`` with
+    those names are replaced. An empty table gives an empty result.
     """
     spark = df.sparkSession
     words = lexicon(df, text_col)
