@@ -27,12 +27,15 @@ SEED, WORDS, BITS, MAX_DIFFERENT = 42, 3, 64, 3
 BLOCKS, BLOCK_BITS = 4, 16
 #: Leaves of a trie node that one task may walk; levels by which a heavier node is split; leaf pairs finished directly.
 NODE_LEAVES, SPLIT_LEVELS, DIRECT = 1 << 15, 8, 64
+#: Shingle size and least Jaccard similarity of near copies in keep_similar_one(); bands of minima, and minima a band.
+SIMILAR_WORDS, SIMILAR = 5, 0.8
+BANDS, BAND_ROWS = 24, 6
 #: Leaves that a task gathers before it walks them.
 BUFFER = 1 << 17
 
 
-def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
-    """64-bit SimHash of each text, from XXH64 of its word shingles, repeats included."""
+def shingles(texts: list[bytes], words: int) -> tuple[list[int], np.ndarray]:
+    """XXH64 of each text's word shingles, text after text, repeats included, and their number a text."""
     hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     digest = xxhash.xxh64_intdigest
@@ -48,6 +51,12 @@ def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
         last = (ends[min(words, len(parts)) - 1 :] - 1).tolist()
         hashes += [digest(joined[a:b], SEED) for a, b in zip(starts[:n], last, strict=True)]
         counts[i] = n
+    return hashes, counts
+
+
+def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
+    """64-bit SimHash of each text, from XXH64 of its word shingles, repeats included."""
+    hashes, counts = shingles(texts, words)
     out = np.zeros(len(texts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
@@ -282,3 +291,89 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     if not again.isEmpty():
         out = out.dropDuplicates(["_id", "_text_hash"])
     return out.select(df.columns)
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of a text's shingles as a hash (``sig``) and BANDS keys of minima of it; no keys for an empty set."""
+    rng = np.random.default_rng(SEED)
+    turn, mix = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
+    for batch in batches:
+        for small in bounded(batch, "text"):
+            hashes, counts = shingles(text_bytes(small.column("text")), SIMILAR_WORDS)
+            h, ends = np.array(hashes, np.uint64), np.cumsum(counts)
+            sig = [xxhash.xxh64_intdigest(np.unique(h[e - n : e]).tobytes(), SEED) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            some = np.flatnonzero(counts)
+            keys = np.zeros((len(some), BANDS), np.uint64)
+            if len(some):
+                for j in range(BANDS * BAND_ROWS):
+                    keys[:, j // BAND_ROWS] += np.minimum.reduceat(h * turn[j], (ends - counts)[some]) * mix[j]
+            offsets = np.concatenate([[0], np.cumsum((counts > 0) * BANDS)])
+            bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([small.column("_id"), small.column("_text_hash"), pa.array(np.array(sig, np.uint64).view(np.int64)), bands], ["_id", "_text_hash", "sig", "bands"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of SIMILAR or more."""
+    last, own = None, None
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        near = []
+        for k in range(len(a)):
+            if a[k] != last:
+                last, own = a[k], np.unique(np.array(shingles(text_bytes(batch.column("text_a").slice(k, 1)), SIMILAR_WORDS)[0], np.uint64))
+            other = np.unique(np.array(shingles(text_bytes(batch.column("text_b").slice(k, 1)), SIMILAR_WORDS)[0], np.uint64))
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            if both >= SIMILAR * (len(own) + len(other) - both):
+                near.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in near], pa.int64()), pa.array([b[k] for k in near], pa.int64())], ["a", "b"])
+
+
+def similar_links(units: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links (a, b) of ``units`` (sig, bands) at a similarity of SIMILAR or more; ``texts`` has a ``text`` a ``sig``.
+
+    Units that share a band's key are compared with one of them, another by each band. What is similar to it leaves,
+    as it does itself; the others are compared again, until no key has two units.
+    """
+    rows = units.select("sig", F.posexplode("bands").alias("band", "key"))
+    rows = rows.join(rows.groupBy("band", "key").count().where("count > 1").drop("count"), ["band", "key"])
+    rows, links, pool = scratch(rows, "similar-rows"), None, None
+    if rows.isEmpty():
+        return None
+    pool = scratch(texts.join(rows.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "similar-texts")
+    side = lambda name: pool.select(F.col("sig").alias(name), F.col("text").alias(f"text_{name}"))
+    while not rows.isEmpty():
+        first = rows.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("sig", "band"), "sig"))["sig"].alias("a"))
+        rest = rows.join(first, ["band", "key"]).where("sig != a").withColumnRenamed("sig", "b")
+        rest = scratch(rest.select("band", "key", "a", "b"), "similar-rest")
+        asked = rest.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
+        near = scratch(asked.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"), "similar-near")
+        links = near if links is None else links.unionByName(near)
+        left = rest.join(near, ["a", "b"], "left_anti").select("band", "key", F.col("b").alias("sig"))
+        left = left.join(left.groupBy("band", "key").count().where("count > 1").drop("count"), ["band", "key"])
+        rows = scratch(left, "similar-rows")
+    return links
+
+
+def keep_similar_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near copies: of texts linked by a Jaccard similarity of SIMILAR or more over sets of
+    SIMILAR_WORDS-word shingles, the document with the smallest id stays, in one row.
+
+    A SimHash of 64 bits can't propose these pairs: at a similarity of 0.8 about 10 bits differ. So bands of minima do,
+    and each link is checked exactly. Texts with no word are copies of each other.
+    """
+    named = df.withColumns({"_id": id_or_last(id_col), "_text_hash": text_hash(text_col)})
+    docs = named.select("_id", "_text_hash", F.col(text_col).alias("text"))
+    rows = scratch(docs.mapInArrow(_bands, "_id long, _text_hash long, sig long, bands array<long>"), "similar-docs")
+    units = scratch(rows.groupBy("sig").agg(F.min(F.struct("_id", "_text_hash")).alias("first"), F.first("bands").alias("bands")), "similar-units")
+    firsts = units.select("sig", "first.*")
+    links = similar_links(units.select("sig", "bands"), docs.join(firsts, ["_id", "_text_hash"]).select("sig", "text"))
+    kept = firsts
+    if links is not None:
+        found = components(links).withColumnRenamed("node", "sig")
+        rooted = units.join(found, "sig", "left").select("first", F.coalesce("root", "sig").alias("root"))
+        kept = rooted.groupBy("root").agg(F.min("first").alias("k")).select("k.*")
+    again = rows.groupBy("_id", "_text_hash").count().where("count > 1")
+    out = named.join(kept, ["_id", "_text_hash"], "left_semi")
+    if not again.isEmpty():
+        out = out.dropDuplicates(["_id", "_text_hash"])
+    return out.select(df.columns)

@@ -5,7 +5,8 @@ import string
 
 import pytest
 
-from caseweave.llm import secrets
+import corpus_pipeline
+from caseweave.llm import secrets, simhash
 
 
 @pytest.mark.parametrize("n", [513, 5000])
@@ -16,3 +17,31 @@ def test_secret_runs_are_read_whole(n):
         text = f"{before}{run} and more".encode()
         assert [text[a:b].decode() for a, b in secrets.candidates(text)] == [run]
     assert secrets.features(late, "", "", "", (frozenset(), {}))[0] == 200.0
+
+
+def test_near_copies_leave_the_corpus(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 8)))
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+    texts = []
+    for n in [30, 60, 120, 300] * 10:
+        texts.append([word() for _ in range(n)])
+        for _ in range(3):  # a copy with some words changed, on both sides of the limit
+            copy = list(texts[-1])
+            for i in rng.sample(range(n), rng.randint(1, 1 + n // 40)):
+                copy[i] = word()
+            texts.append(copy)
+    similar = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    found, root = [sets(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and similar(found[i], found[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want, got = set(root), {r["doc_id"] for r in simhash.keep_similar_one(df).collect()}
+    plain = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    print(len(texts), len(want), len(got), len(got - want), len(want - got), len(plain))
+    assert not want - got and len(want) < 0.8 * len(texts)
+    assert len(got - want) <= 0.01 * (len(texts) - len(want))
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == got
