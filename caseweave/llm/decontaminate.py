@@ -165,10 +165,10 @@ def find_matches(df: DataFrame, bench: DataFrame, text_col: str = "text", item_c
     """``df`` with ``n_words`` and ``matches``: the longest verbatim matches with benchmark items and their places.
 
     Null or empty texts have no words; items without words match nothing; equal items match alike; items with a null
-    id are left out. Columns of ``df`` named n_words or matches are replaced. Every row of ``df`` gives one row.
+    id match as others do, under a null id. Columns of ``df`` named n_words or matches are replaced. Every row of ``df`` gives one row.
     """
     spark = df.sparkSession
-    items = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL")
+    items = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) * 2 // block_bytes)) if size > block_bytes else 1
     rows = df.drop("n_words", "matches").withColumn("_text", F.col(text_col))

@@ -6,7 +6,7 @@ import string
 import pytest
 
 import corpus_pipeline
-from caseweave.llm import secrets, simhash
+from caseweave.llm import decontaminate, secrets, simhash
 
 
 @pytest.mark.parametrize("n", [513, 5000])
@@ -45,3 +45,13 @@ def test_near_copies_leave_the_corpus(spark):
     assert not want - got and len(want) < 0.8 * len(texts)
     assert len(got - want) <= 0.01 * (len(texts) - len(want))
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == got
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 32])
+def test_benchmark_items_without_an_id_hit_words(spark, block_bytes):
+    words = [f"word{i}" for i in range(40)]
+    bench = spark.createDataFrame([(None, " ".join(words[:20])), (7, " ".join(words[25:40]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words))], "doc_id long, text string")
+    found = decontaminate.find_matches(docs, bench, block_bytes=block_bytes)
+    got = {r[0]: r[1:] for r in found.select("doc_id", decontaminate.hit_words(found["matches"]), decontaminate.item_ids(found["matches"])).collect()}
+    assert got == {1: (20, [None]), 2: (35, ["7", None])}
