@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions import constants as C
 from caseweave.functions import text as T
+from caseweave.scratch import scratch
 
 
 def merge_nodes(mentions: DataFrame) -> DataFrame:
@@ -90,21 +89,14 @@ def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
     A deterministic stand-in for modularity communities, which start from random places. Each round is a join and two
     grouped counts; rounds are written out to cut lineage.
     """
-    spark = edges.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/caseweave/communities-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    links = kept(undirected(edges), "links")
-    labels = kept(links.select("node").distinct().withColumn("community", F.col("node")), "labels-0")
+    links = scratch(undirected(edges), "links")
+    labels = scratch(links.select("node").distinct().withColumn("community", F.col("node")), "labels-0")
     for i in range(1, rounds + 1):
         around = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "community").agg(F.count("*").alias("n"))
         best = around.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("c"))
         # Odd rounds move only towards smaller labels, so two neighbours don't swap for ever.
         move = F.when(F.lit(i % 2 == 0) | (F.col("c") < F.col("community")), F.col("c")).otherwise(F.col("community"))
-        new = kept(labels.join(best, "node").select("node", move.alias("community"), (move != F.col("community")).alias("moved")), f"labels-{i}")
+        new = scratch(labels.join(best, "node").select("node", move.alias("community"), (move != F.col("community")).alias("moved")), f"labels-{i}")
         still = new.where("moved").isEmpty()
         labels = new.select("node", "community")
         if still and i % 2 == 0:
