@@ -1,54 +1,37 @@
-"""What several training-data operators share: scratch tables and bounded Arrow batches."""
+"""What several training-data operators share: ids, texts and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
-LOCAL_SCRATCH = "/tmp/checkpoints"
-#: Null ids stand after every other id.
-NULL_ID = 2**63 - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-
-
-def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/caseweave/{spark.sparkContext.applicationId}"
+from caseweave.scratch import clear_scratch, scratch, shared_dir
 
+__all__ = ["NULL_ID", "bounded", "clear_scratch", "id_or_last", "scratch", "shared_dir", "table", "text_bytes", "text_keys"]
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what this application wrote with scratch(). Call it when no DataFrame built on it is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends at files every executor can read."""
-    spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Null ids stand after every other id.
+NULL_ID = 2**63 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_or_last(column: str):
+def id_or_last(column: str) -> Column:
     """A long id with null ids after all others."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def text_keys(column: str) -> tuple[Column, Column]:
+    """128 bits that stand for a text: two hashes of different beginnings. Null has its own."""
+    return F.xxhash64(column, F.octet_length(F.col(column))), F.xxhash64(F.lit("second"), F.col(column))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,43 +1,47 @@
 """Suffix-array dedup of byte strings by bucket-pointer refinement.
 
-A byte goes if a SPAN-byte string over it also starts in a document with a smaller id. Only sampled suffixes are
-sorted: of each SPAN-byte window, the GRAM-byte string with the smallest hash is an anchor, so equal windows have equal
-anchors in equal places. All windows of an anchor lie in its context, SPAN - GRAM bytes before it and SPAN from it.
-
-1. Anchors are dealt into buckets by the hash of their gram. Within a slice of a scan, one anchor stands for all that
-   share its gram, so a gram in a third of all documents adds a row a slice, not a row a document. A later document
-   with the same gram and context is covered there and then (contexts are compared by a second hash).
-2. What is left are grams with several contexts: the ends of repeats. Their contexts are fetched from the texts and
-   dealt into buckets. In each, suffixes fall into buckets by their first 8 bytes, which are refined by sorting on the
-   bucket identifiers of later offsets: 8 and 8 give 16, 16 and 16 give 32, 32 and 32 shifted by 18 give all 50 bytes.
-   A suffix alone in its bucket is unique and drops out. Suffixes that share the last bucket are equal byte by byte;
-   those whose document isn't the first are repeats.
-3. A gram with more than HOT contexts is not gathered in one task: its windows are grouped by their bytes instead.
-
-Documents are keyed by id and text hash, so rows with equal ids are kept apart.
+A byte goes if a SPAN-byte string over it also starts in a document with a smaller id. Every SPAN-byte window of a text
+belongs to the GRAM-byte string in it with the smallest hash, so equal windows belong to equal grams, and windows next
+to each other that share their gram are a run. The bytes of a run's windows are its context.
+
+1. Runs are dealt into buckets by the hash of their gram, as hashes and places only. A gram that no other document has
+   can't repeat; the runs of all others are asked for. This is a filter: it decides no byte.
+2. The contexts asked for are fetched from the texts and dealt into buckets by their gram. In each, suffixes fall into
+   buckets by their first 8 bytes, which are refined by sorting on the bucket identifiers of later offsets: 8 and 8 give
+   16, 16 and 16 give 32, 32 and 32 shifted by 18 give all 50 bytes. A suffix alone in its bucket is unique and drops
+   out. Suffixes that share the last bucket are equal byte by byte; those whose document isn't the first are repeats.
+
+Copies inside one slice of a scan needn't travel: a run whose bytes equal those of a smaller id's run in the slice, which
+is looked up byte by byte, is covered at once, so a passage in a third of all documents is a context a slice. A gram with
+more than HOT contexts all the same isn't gathered in a task: its windows are grouped by their bytes.
+
+Documents are keyed by id and 128 bits of their text, so rows with equal or null ids are kept apart.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, bounded, id_or_last, scratch, text_bytes
+from .common import NULL_ID, id_or_last, scratch, text_bytes, text_keys
 
-SPAN, GRAM = 50, 24
-LEFT = SPAN - GRAM
-WINDOW = LEFT + 1
-#: Text of a slice; text and contexts a bucket is meant for; fewest buckets; contexts of one gram in a task.
-SLICE_BYTES, BUCKET_BYTES, BUCKET_CONTEXTS, BUCKETS, HOT = 4 << 20, 16 << 20, 20_000, 64, 50_000
+SPAN, GRAM = 50, 16
+WINDOW = SPAN - GRAM + 1
+#: Text of a slice; windows of a run at most.
+SLICE_BYTES, RUN = 4 << 20, 64
+#: Text whose runs a bucket is meant for; contexts a bucket is meant for; contexts of one gram in a task at most.
+BUCKET_BYTES, BUCKET_CONTEXTS, HOT = 4 << 20, 20_000, 50_000
+#: Runs that a task holds before it drops what is settled.
+CHUNK = 200_000
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_KEY = "_id long, _h int"
+_KEY = "_id long, _h long, _g long"
+_KEYS = ["_id", "_h", "_g"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,191 +49,351 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _slide(a: np.ndarray, w: int, op) -> np.ndarray:
-    """op over every window of w values, by doubling."""
+def _slide(a: np.ndarray, w: int) -> np.ndarray:
+    """The least of every window of w values, by doubling."""
     out, have = a, 1
     while have * 2 <= w:
-        out, have = op(out[:-have], out[have:]), have * 2
+        out, have = np.minimum(out[:-have], out[have:]), have * 2
     n = len(a) - w + 1
-    return out[:n] if have == w else op(out[:n], out[w - have : w - have + n])
+    return out[:n] if have == w else np.minimum(out[:n], out[w - have : w - have + n])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place in it, gram hash and context hash of every anchor."""
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(n, _BASE, np.uint64)), np.cumprod(np.full(n, pow(_BASE, -1, 2**64), np.uint64))
+
+
+def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Text, first byte in it, windows, gram hash and context hash of every run; each window stands in one run."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     n = int(sizes.sum())
     if n < SPAN:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(texts)), sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    power, back = np.cumprod(np.full(n, _BASE, np.uint64)), np.cumprod(np.full(n, _INVERSE, np.uint64))
+    power, back = (x[:n] for x in _powers(1 << max(23, n.bit_length())))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
-    del power
-    gram = _mix((total[GRAM:] - total[:-GRAM]) * back[: n - GRAM + 1])
-    least = _slide(gram, WINDOW, np.minimum)
-    least[np.arange(SPAN, SPAN + len(least)) > ends[owner[: len(least)]]] = 0  # no window across texts
-    zero = np.zeros(WINDOW - 1, np.uint64)
-    most = _slide(np.concatenate([zero, least, zero]), WINDOW, np.maximum)
-    at = np.flatnonzero((most == gram) & (gram > 0))
-    text = owner[at]
-    left = np.minimum(LEFT, at - (ends - sizes)[text])
-    right = np.minimum(SPAN, ends[text] - at)
-    shape = (left * 64 + right).astype(np.uint64)
-    context = _mix((total[at + right] - total[at - left]) * back[at - left] + shape * np.uint64(0xC2B2AE3D27D4EB4F))
-    return text, at - (ends - sizes)[text], gram[at], context
-
-
-def _planes(x: np.ndarray, n: int) -> bytes:
-    """The n low bytes of numbers, first byte of all first: like bytes stand together and compress."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
-
-
-def _unplane(data: memoryview, count: int, n: int) -> np.ndarray:
+    least = _slide(_mix((total[GRAM:] - total[:-GRAM]) * back[: n - GRAM + 1]), WINDOW)
+    m = len(least)
+    # No window crosses the end of a text.
+    cut = np.zeros(m + 1, np.int8)
+    np.add.at(cut, np.clip(ends - SPAN + 1, np.concatenate([[0], ends[:-1]]), m), 1)
+    np.add.at(cut, np.minimum(ends, m), -1)
+    whole = np.cumsum(cut[:m]) == 0
+    new = np.ones(m, bool)
+    new[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
+    new[np.minimum(ends[ends < m], m - 1)] = True
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, m))
+    first, count = first[whole[first]], count[whole[first]]
+    # Long runs, of texts that repeat themselves, are cut.
+    parts = -(-count // RUN)
+    turn = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(first, parts) + turn * RUN
+    count = np.minimum(np.repeat(count, parts) - turn * RUN, RUN)
+    text = np.searchsorted(ends, first, "right")
+    context = _mix((total[first + count + SPAN - 1] - total[first]) * back[first] + count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return text, first - (ends - sizes)[text], count, least[first], context
+
+
+def _bytes(x: np.ndarray, n: int) -> bytes:
+    """The n low bytes of numbers, all first bytes first: like bytes stand together and compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def _numbers(data: memoryview, count: int, n: int) -> np.ndarray:
     out = np.zeros((count, 8), np.uint8)
-    out[:, :n] = np.frombuffer(data, np.uint8).reshape(n, count).T
+    out[:, :n] = np.frombuffer(data, np.uint8, count * n).reshape(n, count).T
     return out.view("<u8").reshape(-1)
 
 
-def _pack(ids, hashes, doc, place, gram, context, asked) -> bytes:
+def _pack(keys: np.ndarray, doc: np.ndarray, columns: list[tuple[np.ndarray, int]], tail: bytes = b"") -> bytes:
+    """Rows as bytes: the keys of their documents once, each row's document, and columns of so many bytes a value."""
     own, number = np.unique(doc, return_inverse=True)
-    return b"".join(
-        [np.array([len(own), len(doc)], "<u4").tobytes(), _planes(ids[own].view(np.uint64), 8), _planes(hashes[own].astype(np.uint32), 4), _planes(number, 4), _planes(place, 4), asked.astype(np.uint8).tobytes(), _planes(gram, 5), _planes(context, 5)]
-    )
+    parts = [np.array([len(own), len(doc)], "<u4").tobytes(), *[_bytes(keys[own, k].view(np.uint64), 8) for k in range(3)], _bytes(number, 4), *[_bytes(c, n) for c, n in columns], tail]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    view, at = memoryview(blob), 8
-    docs, n = np.frombuffer(blob[:8], "<u4").tolist()
-    parts = []
-    for count, size in ((docs, 8), (docs, 4), (n, 4), (n, 4), (n, 1), (n, 5), (n, 5)):
-        parts.append(_unplane(view[at : at + count * size], count, size))
+def _unpack(blob: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], memoryview]:
+    view = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+    docs, n = np.frombuffer(view, "<u4", 2).tolist()
+    at, out = 8, []
+    for count, size in [(docs, 8)] * 3 + [(n, size) for size in (4, *sizes)]:
+        out.append(_numbers(view[at:], count, size))
         at += count * size
-    ids, hashes, number, place, asked, gram, context = parts
-    number = number.astype(np.int64)
-    return ids.view(np.int64)[number], hashes.astype(np.uint32).view(np.int32)[number], place.astype(np.int64), asked > 0, gram, context
+    return np.stack(out[:3], axis=1).view(np.int64), out[3].astype(np.int64), out[4:], view[at:]
 
 
-def _lists(keys: list[np.ndarray], values: np.ndarray) -> tuple[list[np.ndarray], pa.Array]:
-    """Values (32-bit) of equal, adjacent keys as one binary each."""
-    new = np.ones(len(values), bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    first = np.flatnonzero(new)
-    offsets = np.append(first, len(values)).astype(np.int32) * 4
-    data = pa.py_buffer(np.ascontiguousarray(values.astype("<u4")).tobytes())
-    return [k[first] for k in keys], pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), data])
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of keys, and the number of each row among them."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    order = np.lexsort(keys.T)
+    new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]).any(axis=1)])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return keys[order][new], number
 
 
-COVER, ASK = 1, 2
-_STEP = f"bucket int, kind int, {_KEY}, data binary"
+def _per_document(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, list[bytes]]:
+    """Keys of the documents and, for each, its rows as bytes in the order of their places."""
+    order = np.lexsort((place, doc))
+    doc = doc[order]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    rows = np.concatenate([c[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n] for c, n in columns], axis=1).tobytes()
+    width = sum(n for _, n in columns)
+    ends = np.append(first[1:], len(doc)) * width
+    return keys[doc[first]], [rows[a:b] for a, b in zip((first * width).tolist(), ends.tolist(), strict=True)]
+
+
+def _rows_of(lists: list[bytes] | None, sizes: list[int]) -> list[np.ndarray]:
+    data = np.frombuffer(b"".join(lists or []), np.uint8).reshape(-1, sum(sizes))
+    out, at = [], 0
+    for n in sizes:
+        wide = np.zeros((len(data), 8), np.uint8)
+        wide[:, :n] = data[:, at : at + n]
+        out.append(wide.view("<u8").reshape(-1).astype(np.int64))
+        at += n
+    return out
+
+
+COVER, ASK, HOTTEST = 1, 2, 3
+_STEP = f"kind int, bucket int, {_KEY}, n long, data binary"
+
+
+def _step(kind: int, bucket, keys: np.ndarray, n, data: list[bytes]) -> pa.RecordBatch:
+    size = len(data)
+    bucket, n = (np.broadcast_to(np.asarray(x, np.int64), size) for x in (bucket, n))
+    columns = [pa.array(np.full(size, kind, np.int32)), pa.array(bucket.astype(np.int32)), *[pa.array(keys[:, k]) for k in range(3)], pa.array(n), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "bucket", *_KEYS, "n", "data"])
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, to be shuffled."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in _KEYS], pa.array(map(press, text_bytes(batch.column("text"))), pa.binary())], [*_KEYS, "z"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Keys, first byte and bytes of pieces of texts, about SLICE_BYTES at a time. Pieces of a long text overlap."""
+    keys, offsets, pieces, held, met = [], [], [], 0, set()
+    for batch in batches:
+        for key, text in zip(zip(*[batch.column(k).to_pylist() for k in _KEYS], strict=True), text_bytes(batch.column("text")), strict=True):
+            if key in met:  # a repeated row
+                continue
+            met.add(key)
+            for at in range(0, max(1, len(text) - SPAN + 1), SLICE_BYTES):
+                piece = text[at : at + SLICE_BYTES + SPAN - 1]
+                keys.append(key)
+                offsets.append(at)
+                pieces.append(piece)
+                held += len(piece)
+                if held >= SLICE_BYTES:
+                    yield np.array(keys, np.int64), np.array(offsets, np.int64), pieces
+                    keys, offsets, pieces, held, met = [], [], [], 0, set()
+    if pieces:
+        yield np.array(keys, np.int64), np.array(offsets, np.int64), pieces
+
+
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes from a and from b are equal, pair by pair."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 1 << 15):
+        at = np.minimum(np.arange(RUN + SPAN - 1), (size[k : k + (1 << 15)] - 1)[:, None])
+        out[k : k + (1 << 15)] = (data[a[k : k + (1 << 15), None] + at] == data[b[k : k + (1 << 15), None] + at]).all(axis=1)
+    return out
 
 
 def _deal(buckets: int):
-    """Documents to packed anchors by bucket (kind 0), and to places already known as covered or asked."""
+    """Documents to packed runs by bucket (kind 0), and to places that are covered inside a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for small in (s for batch in batches for s in bounded(batch, "text", SLICE_BYTES)):
-            ids = small.column("_id").to_numpy().astype(np.int64)
-            hashes = small.column("_h").to_numpy().astype(np.int32)
-            doc, place, gram, context = anchors(text_bytes(small.column("text")))
+        for keys, offsets, pieces in _slices(batches):
+            doc, place, count, gram, context = runs(pieces)
             if not len(doc):
                 continue
-            order = np.lexsort((place, doc, ids[doc], context, gram))
-            doc, place, gram, context = (x[order] for x in (doc, place, gram, context))
-            own = ids[doc]
-            new = np.concatenate([[True], gram[1:] != gram[:-1]])
-            alike = new | np.concatenate([[True], context[1:] != context[:-1]])
-            first, group = np.flatnonzero(new), np.cumsum(new) - 1
-            covered = own > own[np.flatnonzero(alike)][np.cumsum(alike) - 1]
-            smallest = np.minimum.reduceat(own, first)[group]
-            # The anchors of the smallest id stand for their gram; others with their own context ask for it.
-            stands = own == smallest
-            ask = ~covered & ~stands
-            asked = np.logical_or.reduceat(ask, first)[group]
-            for kind, mask in ((COVER, covered), (ASK, ask)):
-                if mask.any():
-                    d, p = doc[mask], place[mask]
-                    order = np.lexsort((p, d))
-                    (d,), data = _lists([d[order]], p[order])
-                    yield _rows(hashes[d] % buckets, kind, ids[d], hashes[d], data)
-            keep = np.flatnonzero(stands & ~covered)
-            bucket = (gram[keep] >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.lexsort((place[keep], doc[keep], bucket))
-            keep, bucket = keep[order], bucket[order]
+            ids = keys[:, 0]
+            order = np.lexsort((place, doc, ids[doc], count, context, gram))
+            doc, place, count, gram, context = (x[order] for x in (doc, place, count, gram, context))
+            alike = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | (count[1:] != count[:-1])])
+            head = np.flatnonzero(alike)[np.cumsum(alike) - 1]
+            later = np.flatnonzero(ids[doc] > ids[doc[head]])
+            data = np.frombuffer(b"".join(pieces), np.uint8)
+            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            at = (np.cumsum(sizes) - sizes)[doc] + place
+            covered = np.zeros(len(doc), bool)
+            covered[later] = _same_bytes(data, at[later], at[head[later]], count[later] + SPAN - 1)
+            if covered.any():
+                yield _covers(keys, doc[covered], (place + offsets[doc])[covered], count[covered])
+            keep = np.flatnonzero(~covered)
+            doc, place, count, gram = doc[keep], (place + offsets[doc])[keep], count[keep], gram[keep]
+            bucket = ((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((place, doc, bucket))
+            doc, place, count, gram, bucket = (x[order] for x in (doc, place, count, gram, bucket))
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            blobs = [_pack(ids, hashes, doc[k], place[k], gram[k], context[k], asked[k]) for k in np.split(keep, cuts[1:])]
-            yield _rows(bucket[cuts], 0, np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int32), pa.array(blobs, pa.binary()))
+            blobs = [_pack(keys, doc[k], [(place[k], 4), (count[k], 1), (gram[k], 4)]) for k in np.split(np.arange(len(doc)), cuts[1:])]
+            yield _step(0, bucket[cuts], np.zeros((len(cuts), 3), np.int64), 0, blobs)
 
     return run
 
 
-def _rows(bucket, kind, ids, hashes, data) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(bucket).astype(np.int32)), pa.array(np.full(len(data), kind, np.int32)), pa.array(ids), pa.array(hashes), data], ["bucket", "kind", "_id", "_h", "data"])
+def _covers(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """Covered bytes of documents; runs that follow each other are one interval."""
+    order = np.lexsort((place, doc))
+    doc, place, count = doc[order], place[order], count[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + count[:-1])])
+    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(doc)) - 1
+    own, data = _per_document(keys, doc[first], place[first], [(place[first], 4), (place[last] + count[last] + SPAN - 1, 4)])
+    return _step(COVER, 0, own, 0, data)
+
 
+def _ask(hot: int):
+    """Buckets of runs, one after the other, to the runs whose gram stands in two documents, by document.
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets, one after the other, to places covered and asked by document."""
+    A bucket streams through: what stays in memory is one run a gram, and the grams already found twice.
+    """
 
-    def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, place, asked, gram, context = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
-        order = np.lexsort((ids, context, gram))
-        ids, hashes, place, asked, gram, context = (x[order] for x in (ids, hashes, place, asked, gram, context))
-        new = np.concatenate([[True], gram[1:] != gram[:-1]])
-        alike = new | np.concatenate([[True], context[1:] != context[:-1]])
-        first, group, contexts = np.flatnonzero(new), np.cumsum(new) - 1, np.flatnonzero(alike)
-        covered = ids > ids[contexts][np.cumsum(alike) - 1]
-        several = np.add.reduceat(alike.astype(np.int64), first) > 1
-        several &= np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-        several |= np.logical_or.reduceat(asked, first)
-        for kind, mask in ((COVER, covered), (ASK, ~covered & several[group])):
-            if mask.any():
-                i, h, p = ids[mask], hashes[mask], place[mask]
-                order = np.lexsort((p, h, i))
-                (i, h), data = _lists([i[order], h[order]], p[order])
-                yield _rows(np.zeros(len(i)), kind, i, h, data)
+    def settle(bucket: int, blobs: list[bytes], state: dict) -> Iterator[pa.RecordBatch]:
+        parts = [state["waiting"], *[_unpack(b, [4, 1, 4])[:3] for b in blobs]]
+        base = np.cumsum([0, *[len(p[0]) for p in parts]])
+        keys = np.concatenate([p[0] for p in parts])
+        doc = np.concatenate([p[1] + b for p, b in zip(parts, base[:-1], strict=True)])
+        place, count, gram = (np.concatenate([p[2][k] for p in parts]).astype(np.int64) for k in range(3))
+        keys, number = _distinct(keys)
+        doc = number[doc]
+        order = np.lexsort((place, doc, gram))
+        once = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in (gram, doc, place)], axis=0)])
+        order = order[once]
+        doc, place, count, gram = doc[order], place[order], count[order], gram[order]
+        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        known = np.isin(gram[first], state["twice"], assume_unique=True)
+        twice = known | (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
+        size = np.diff(np.append(first, len(gram)))
+        number = np.concatenate([state["number"], np.zeros(int((twice & ~known).sum()), np.int64)])
+        state["twice"], state["number"] = np.concatenate([state["twice"], gram[first][twice & ~known]]), number
+        order = np.argsort(state["twice"])
+        state["twice"], state["number"] = state["twice"][order], number[order]
+        state["number"][np.searchsorted(state["twice"], gram[first][twice])] += size[twice]
+        asked = np.repeat(twice, size)
+        if asked.any():
+            low = (gram[asked].astype(np.uint64) << np.uint64(24)) | np.uint64(bucket & 0xFFFFFF)
+            own, data = _per_document(keys, doc[asked], place[asked], [(place[asked], 4), (count[asked], 1), (low, 7)])
+            yield _step(ASK, bucket, own, [len(d) // 12 for d in data], data)
+        own, doc = np.unique(doc[~asked], return_inverse=True)
+        state["waiting"] = (keys[own], doc, [x[~asked] for x in (place, count, gram)])
+
+    def end(bucket: int, state: dict) -> Iterator[pa.RecordBatch]:
+        crowded = state["twice"][state["number"] > hot]
+        if len(crowded):
+            data = ((crowded.astype(np.uint64) << np.uint64(24)) | np.uint64(bucket & 0xFFFFFF)).astype("<u8").tobytes()
+            yield _step(HOTTEST, bucket, np.zeros((1, 3), np.int64), len(crowded), [data])
+
+    def fresh() -> dict:
+        none = np.zeros(0, np.int64)
+        return {"twice": none, "number": none, "waiting": (np.zeros((0, 3), np.int64), none, [none, none, none])}
 
-    held, now = [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, now, held, size = fresh(), None, [], 0
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            if (kinds > 0).any():
+                yield batch.filter(pa.array(kinds > 0))
+            for i in np.flatnonzero(kinds == 0).tolist():
+                bucket = batch.column("bucket")[i].as_py()
+                if now is not None and bucket != now:
+                    if held:
+                        yield from settle(now, held, state)
+                    yield from end(now, state)
+                    state, held, size = fresh(), [], 0
+                now = bucket
+                blob = batch.column("data")[i].as_py()
+                held.append(blob)
+                size += len(blob) // 8
+                if size >= CHUNK:
+                    yield from settle(now, held, state)
+                    held, size = [], 0
+        if held:
+            yield from settle(now, held, state)
+        if now is not None:
+            yield from end(now, state)
+
+    return run
+
+
+def _asked(small: pa.RecordBatch) -> Iterator[tuple[tuple, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Key and text of each document, and place, windows, gram and heat of the runs that it is asked for."""
+    press = zstandard.ZstdDecompressor().decompress
+    keys = zip(*[small.column(k).to_pylist() for k in _KEYS], strict=True)
+    for key, z, asks, hots in zip(keys, small.column("z").to_pylist(), small.column("asks").to_pylist(), small.column("hot").to_pylist(), strict=True):
+        place, count, gram = _rows_of(asks, [4, 1, 7])
+        crowded = np.frombuffer(b"".join(h for h in hots or [] if h), "<u8").astype(np.int64)
+        yield key, press(z), place, count, gram, np.isin(gram, crowded)
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices with about SLICE_BYTES of the texts' contexts."""
     for batch in batches:
-        kinds = batch.column("kind").to_numpy()
-        if (kinds > 0).any():
-            yield batch.filter(pa.array(kinds > 0))
-        for i in np.flatnonzero(kinds == 0).tolist():
-            bucket = batch.column("bucket")[i].as_py()
-            if bucket != now and held:
-                yield from settle(held)
-                held = []
-            now = bucket
-            held.append(batch.column("data")[i].as_py())
-    if held:
-        yield from settle(held)
+        n = np.cumsum(batch.column("n").to_numpy() * (SPAN + WINDOW))
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
 
+def _contexts(parts: int):
+    """Packed contexts by bucket, but for those of crowded grams."""
 
-def _places(lists: list) -> np.ndarray:
-    return np.frombuffer(b"".join(lists or []), "<u4").astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for small in _few(batches):
+            keys, doc, places, counts, grams, pieces = [], [], [], [], [], []
+            for key, text, place, count, gram, crowded in _asked(small):
+                place, count, gram = (x[~crowded] for x in (place, count, gram))
+                doc.append(np.full(len(place), len(keys), np.int64))
+                keys.append(key)
+                places.append(place)
+                counts.append(count)
+                grams.append(gram)
+                pieces += [text[a:b] for a, b in zip(place.tolist(), (place + count + SPAN - 1).tolist(), strict=True)]
+            doc, place, count, gram = (np.concatenate(x) for x in (doc, places, counts, grams))
+            if not len(doc):
+                continue
+            bucket = (_mix(gram.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((place, doc, bucket))
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0]))
+            table = np.array(keys, np.int64)
+            blobs = [_pack(table, doc[k], [(place[k], 4), (count[k], 1)], b"".join([pieces[i] for i in k.tolist()])) for k in np.split(order, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
+    return run
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for small in (s for batch in batches for s in bounded(batch, "text", SLICE_BYTES)):
+
+def _crowded_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of crowded grams, one a row."""
+    for small in _few(batches):
         out = []
-        for i, h, text, lists in zip(small.column("_id").to_pylist(), small.column("_h").to_pylist(), text_bytes(small.column("text")), small.column("asks").to_pylist(), strict=True):
-            for p in np.unique(_places(lists)).tolist():
-                a = max(0, p - LEFT)
-                out.append((i, h, a, xxhash.xxh3_64_intdigest(text[p : p + GRAM]) - 2**63, text[a : p + SPAN]))
+        for key, text, place, count, _, crowded in _asked(small):
+            for a, n in zip(place[crowded].tolist(), count[crowded].tolist(), strict=True):
+                out += [(*key, k, text[k : k + SPAN]) for k in range(a, a + n)]
         columns = list(zip(*out, strict=True)) if out else [()] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_id", "_h", "start", "gram", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], [*_KEYS, "start", "w"])
+
 
+def refine(contexts: bytes, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset in it) of each SPAN-byte suffix that also starts in a context of a smaller id.
 
-def refine(contexts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset in it) of each SPAN-byte suffix that also starts in a context of a smaller id."""
-    sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    left = np.cumsum(sizes)[owner] - np.arange(len(owner))  # bytes to the end of its context
-    wide = np.concatenate([np.frombuffer(b"".join(contexts), np.uint8), np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(len(owner), np.uint64)
+    ``contexts`` has the contexts one after the other, ``sizes`` their bytes and ``ids`` their documents' ids.
+    """
+    n = len(contexts)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    left = (np.repeat(ends, sizes) - np.arange(n)).astype(np.int32)  # bytes to the end of its context
+    wide = np.concatenate([np.frombuffer(contexts, np.uint8), np.zeros(8, np.uint8)])
+    key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | wide[k : k + len(key)]
-    at, bucket = np.flatnonzero(left >= 8), np.full(len(owner) + SPAN, -1, np.int64)
+        key = (key << np.uint64(8)) | wide[k : k + n]
+    at, bucket = np.flatnonzero(left >= 8), np.full(n + SPAN, -1, np.int32)
     key = key[at]
     for have, shift in ((8, 8), (16, 16), (32, SPAN - 32), (SPAN, 0)):
         _, number, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -238,105 +402,118 @@ def refine(contexts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
         bucket[at[several]] = number[several]
         if have == SPAN:
             break
-        at = np.flatnonzero((left >= have + shift) & (bucket[: len(owner)] >= 0) & (bucket[shift : shift + len(owner)] >= 0))
+        at = np.flatnonzero((left >= have + shift) & (bucket[:n] >= 0) & (bucket[shift : shift + n] >= 0))
         key = (bucket[at].astype(np.uint64) << np.uint64(32)) | bucket[at + shift].astype(np.uint64)
     at = np.flatnonzero(bucket >= 0)
     if not len(at):
         return at, at
-    order = np.argsort(bucket[at], kind="stable")
-    at = at[order]
+    at = at[np.argsort(bucket[at], kind="stable")]
     own, number = ids[owner[at]], bucket[at]
     new = np.concatenate([[True], number[1:] != number[:-1]])
     repeat = np.sort(at[own > np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]])
-    return owner[repeat], repeat - (np.cumsum(sizes) - sizes)[owner[repeat]]
+    return owner[repeat].astype(np.int64), repeat - (ends - sizes)[owner[repeat]]
 
 
 def _refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        ids, hashes, start = (table.column(c).to_numpy() for c in ("_id", "_h", "start"))
-        context, offset = refine(table.column("context").to_pylist(), ids)
+    def settle(blobs: list[bytes]) -> pa.RecordBatch:
+        parts = [_unpack(b, [4, 1]) for b in blobs]
+        base = np.cumsum([0, *[len(p[0]) for p in parts]])
+        keys = np.concatenate([p[0] for p in parts])
+        doc = np.concatenate([p[1] + b for p, b in zip(parts, base[:-1], strict=True)])
+        place, count = (np.concatenate([p[2][k] for p in parts]).astype(np.int64) for k in range(2))
+        context, offset = refine(b"".join(p[3] for p in parts), count + SPAN - 1, keys[doc, 0])
         new = np.ones(len(context), bool)
         new[1:] = (context[1:] != context[:-1]) | (offset[1:] != offset[:-1] + 1)
         a, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(context))[: int(new.sum())] - 1
         c = context[a]
-        return pa.RecordBatch.from_arrays([pa.array(ids[c]), pa.array(hashes[c]), pa.array((start[c] + offset[a]).astype(np.int64)), pa.array((start[c] + offset[last] + SPAN).astype(np.int64))], ["_id", "_h", "start", "stop"])
+        if not len(c):
+            return _spans(np.zeros((0, 3), np.int64), [])
+        return _spans(*_per_document(keys, doc[c], place[c] + offset[a], [(place[c] + offset[a], 4), (place[c] + offset[last] + SPAN, 4)]))
 
     held, now = [], None
     for batch in batches:
-        bucket = batch.column("bucket").to_numpy()
-        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            if bucket[a] != now and held:
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if bucket != now and held:
                 yield settle(held)
                 held = []
-            now = bucket[a]
-            held.append(batch.slice(a, b - a))
+            now = bucket
+            held.append(data)
     if held:
         yield settle(held)
 
 
-def _hot_repeats(contexts: DataFrame) -> DataFrame:
-    """Repeats among contexts of hot grams: windows grouped by their bytes, smallest id first."""
-    n = F.length("context") - SPAN
-    window = F.explode(F.transform(F.sequence(F.lit(0), n), lambda k: F.struct((F.col("start") + k).alias("a"), F.substring(F.col("context"), k + 1, F.lit(SPAN)).alias("w"))))
-    rows = contexts.where(n >= 0).select("_id", "_h", window.alias("x")).select("_id", "_h", "x.*")
-    least = scratch(rows.groupBy("w").agg(F.min("_id").alias("first")), "suffix-hot")
-    return rows.join(least, "w").where(F.col("_id") > F.col("first")).select("_id", "_h", F.col("a").cast("long").alias("start"), (F.col("a") + SPAN).cast("long").alias("stop"))
+_SPANS = f"{_KEY}, data binary"
+
+
+def _spans(keys: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array(keys[:, k]) for k in range(3)], pa.array(data, pa.binary())], [*_KEYS, "data"])
+
+
+def _crowded_repeats(windows: DataFrame) -> DataFrame:
+    """Repeats among the windows of crowded grams: grouped by their bytes, the smallest id is the first."""
+    least = windows.groupBy("w").agg(F.min("_id").alias("first"))
+    rows = windows.join(least, "w").where(F.col("_id") > F.col("first"))
+    return rows.select(*_KEYS, "start").mapInArrow(_window_spans, _SPANS)
+
+
+def _window_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            keys, start = np.stack([batch.column(k).to_numpy() for k in _KEYS], axis=1), batch.column("start").to_numpy()
+            own, doc = _distinct(keys)
+            yield _spans(*_per_document(own, doc, start, [(start, 4), (start + SPAN, 4)]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for small in (s for batch in batches for s in bounded(batch, "text", SLICE_BYTES)):
+    press = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
         out = []
-        for text, covers, spans in zip(text_bytes(small.column("text")), small.column("covers").to_pylist(), small.column("spans").to_pylist(), strict=True):
-            place = _places(covers)
-            a = np.concatenate([np.maximum(place - LEFT, 0), np.array([s["start"] for s in spans or []], np.int64)])
+        for z, lists in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            text = press(z)
+            a, b = _rows_of(lists, [4, 4])
             if not len(a):
                 out.append((len(text), 0, 0, text))
                 continue
-            b = np.concatenate([np.minimum(place + SPAN, len(text)), np.array([s["stop"] for s in spans or []], np.int64)])
-            depth = np.bincount(a, minlength=len(text) + 1) - np.bincount(b, minlength=len(text) + 1)
-            gone = np.cumsum(depth)[: len(text)] > 0
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((len(text), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), kept))
-        n, removed, runs, kept = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([small.column("_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], ["_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def _release(df: DataFrame) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps before the next ones write theirs."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+            order = np.argsort(a, kind="stable")
+            a, reach = a[order], np.maximum.accumulate(b[order])
+            new = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+            a, b = a[new], np.append(reach[new[1:] - 1], reach[-1])
+            kept = b"".join(text[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True))
+            out.append((len(text), int((b - a).sum()), len(a), kept))
+        n, removed, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row a document: the id, ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (binary).
 
-    Null text is empty. Rows with equal ids never cover each other; null ids stand last. Other columns of ``df`` are
-    not read. An empty table gives an empty result.
+    Null text is empty. Rows with equal ids never cover each other; null ids stand last and don't cover each other.
+    Repeated rows give equal rows. Other columns of ``df`` are not read. An empty table gives an empty result.
     """
-    docs = df.select(id_or_last(id_col).alias("_id"), F.pmod(F.xxhash64(text_col), F.lit(2**31)).cast("int").alias("_h"), F.col(text_col).alias("text"))
+    first, second = text_keys(text_col)
+    docs = df.select(id_or_last(id_col).alias("_id"), first.alias("_h"), second.alias("_g"), F.col(text_col).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(BUCKETS, int(total) // BUCKET_BYTES)
-    dealt = docs.mapInArrow(_deal(buckets), _STEP).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    known = scratch(dealt.mapInArrow(_judge, _STEP).select("kind", "_id", "_h", "data"), "suffix-places")
-    del dealt
-    _release(df)
-
-    asks = known.where(F.col("kind") == ASK).groupBy("_id", "_h").agg(F.collect_list("data").alias("asks"))
-    contexts = scratch(docs.join(asks, ["_id", "_h"]).mapInArrow(_contexts, f"{_KEY}, start int, gram long, context binary"), "suffix-contexts")
-    _release(df)
-    crowded = scratch(contexts.groupBy("gram").count().where(F.col("count") > hot).select("gram"), "suffix-crowded")
-    parts = max(BUCKETS, contexts.count() // BUCKET_CONTEXTS)
-    normal = contexts.join(crowded, "gram", "left_anti").withColumn("bucket", F.pmod("gram", F.lit(parts)).cast("int")).drop("gram")
-    found = normal.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine_buckets, f"{_KEY}, start long, stop long")
-    if not crowded.isEmpty():
-        found = found.unionByName(_hot_repeats(contexts.join(crowded, "gram", "left_semi")))
-    spans = scratch(found, "suffix-spans").groupBy("_id", "_h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    covers = known.where(F.col("kind") == COVER).groupBy("_id", "_h").agg(F.collect_list("data").alias("covers"))
-    _release(df)
-    both = covers.join(spans, ["_id", "_h"], "full")
-    out = docs.join(both, ["_id", "_h"], "left").mapInArrow(_cut, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    buckets = int(total) // BUCKET_BYTES + 1
+    dealt = docs.mapInArrow(_deal(buckets), _STEP).repartition("bucket").sortWithinPartitions("bucket")
+    known = scratch(dealt.mapInArrow(_ask(hot), _STEP), "suffix-runs")
+
+    n = known.where(F.col("kind") == ASK).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    crowded = known.where(F.col("kind") == HOTTEST).select("bucket", F.col("data").alias("crowded"))
+    squeezed = docs.mapInArrow(_squeeze, f"{_KEY}, z binary")
+    runs_asked = known.where(F.col("kind") == ASK).select(*_KEYS, "bucket", "n", "data")
+
+    def fetch(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.collect_set("data").alias("asks"), F.collect_set("crowded").alias("hot"))
+        return squeezed.join(lists, _KEYS)
+
+    some_crowded = not crowded.isEmpty()
+    asked = fetch(runs_asked.join(crowded, "bucket", "left") if some_crowded else runs_asked.withColumn("crowded", F.lit(None).cast("binary")))
+    packed = asked.mapInArrow(_contexts(int(n) // BUCKET_CONTEXTS + 1), "bucket int, data binary")
+    spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine_buckets, _SPANS)
+    spans = spans.unionByName(known.where(F.col("kind") == COVER).select(*_KEYS, "data"))
+    if some_crowded:
+        windows = scratch(fetch(runs_asked.join(crowded, "bucket")).mapInArrow(_crowded_windows, f"{_KEY}, start long, w binary"), "suffix-crowded")
+        spans = spans.unionByName(_crowded_repeats(windows))
+    found = spans.groupBy(*_KEYS).agg(F.collect_set("data").alias("spans"))
+    out = squeezed.join(found, _KEYS, "left").mapInArrow(_cut, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")

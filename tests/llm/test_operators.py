@@ -210,15 +210,20 @@ def test_op8_comes_near_its_targets(spark, write_docs):
         assert abs(taken[source[r["doc_id"]]] - r["target"]) <= max(97, 0.005 * r["target"])
 
 
-@pytest.mark.parametrize("hot", [50_000, 2])
-def test_op9(spark, write_docs, odd_rows, hot):
+@pytest.mark.parametrize(("hot", "chunk", "slice_bytes"), [(50_000, 200_000, 4 << 20), (2, 50, 4000)])
+def test_op9(spark, write_docs, odd_rows, monkeypatch, hot, chunk, slice_bytes):
     from pyspark.sql import functions as F
 
     from caseweave.llm import suffixdedup
 
+    monkeypatch.setattr(suffixdedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffixdedup, "SLICE_BYTES", slice_bytes)
     passage = "questo passaggio lungo piu di cinquanta byte si ripete in molti documenti diversi"
     docs = [*odd_rows, *[(100 + i, f"inizio {i * i} {passage}{i} fine {passage}", "a") for i in range(12)]]
-    docs = [(i, t if t is None or len(t) < 60_000 else t[:3000], s) for i, t, s in docs]
+    # A passage between other words in a third of the rows, null ids with texts of their own and with one text, long periodic texts.
+    docs += [(1000 + i % 90, f"{sha(str(i))} {passage} {sha(str(-i))}", "a") for i in range(120)]
+    docs += [(None, f"{sha(str(i // 2))}{passage}{i % 7}{sha(str(i % 5))}", "a") for i in range(120)]
+    docs += [(2000 + i, ("ab" * (30_000 + i)) + sha(str(i)), "a") for i in range(3)] + [(2100, passage, "b")] * 40
     first = {}
     for i, t in sorted(((LAST if i is None else i, (t or "").encode()) for i, t, _ in docs), key=lambda x: x[0]):
         for k in range(len(t) - 49):
