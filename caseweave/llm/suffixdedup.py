@@ -4,18 +4,18 @@ A byte goes if a SPAN-byte string over it also starts in a document with a small
 belongs to the GRAM-byte string in it with the smallest hash, so equal windows belong to equal grams, and windows next
 to each other that share their gram are a run. The bytes of a run's windows are its context.
 
+Documents are bound into slices of a few MB, compressed and numbered, so that a document is a place in a slice.
+
 1. Runs are dealt into buckets by the hash of their gram, as hashes and places only. A gram that no other document has
    can't repeat; the runs of all others are asked for. This is a filter: it decides no byte.
-2. The contexts asked for are fetched from the texts and dealt into buckets by their gram. In each, suffixes fall into
+2. The contexts asked for are fetched from the slices and dealt into buckets by their gram. In each, suffixes fall into
    buckets by their first 8 bytes, which are refined by sorting on the bucket identifiers of later offsets: 8 and 8 give
    16, 16 and 16 give 32, 32 and 32 shifted by 18 give all 50 bytes. A suffix alone in its bucket is unique and drops
    out. Suffixes that share the last bucket are equal byte by byte; those whose document isn't the first are repeats.
 
-Copies inside one slice of a scan needn't travel: a run whose bytes equal those of a smaller id's run in the slice, which
-is looked up byte by byte, is covered at once, so a passage in a third of all documents is a context a slice. A gram with
-more than HOT contexts all the same isn't gathered in a task: its windows are grouped by their bytes.
-
-Documents are keyed by id and 128 bits of their text, so rows with equal or null ids are kept apart.
+Copies inside one slice needn't travel: a run whose bytes equal those of a smaller id's run in the slice, which is looked
+up byte by byte, is covered at once, so a passage in a third of all documents is a context a slice. A gram with more than
+HOT contexts all the same isn't gathered in a task: its windows are grouped by their bytes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_or_last, scratch, text_bytes, text_keys
+from .common import NULL_ID, id_or_last, scratch, text_bytes
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
@@ -40,8 +40,6 @@ BUCKET_BYTES, BUCKET_CONTEXTS, HOT = 4 << 20, 20_000, 50_000
 #: Runs that a task holds before it drops what is settled.
 CHUNK = 200_000
 _BASE = 0x9E3779B97F4A7C15
-_KEY = "_id long, _h long, _g long"
-_KEYS = ["_id", "_h", "_g"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,202 +94,179 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return text, first - (ends - sizes)[text], count, least[first], context
 
 
-def _bytes(x: np.ndarray, n: int) -> bytes:
-    """The n low bytes of numbers, all first bytes first: like bytes stand together and compress."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
-
-
-def _numbers(data: memoryview, count: int, n: int) -> np.ndarray:
-    out = np.zeros((count, 8), np.uint8)
-    out[:, :n] = np.frombuffer(data, np.uint8, count * n).reshape(n, count).T
-    return out.view("<u8").reshape(-1)
-
+def _press(columns: list[tuple[np.ndarray, int]], tail: bytes = b"") -> bytes:
+    """Columns of numbers, so many low bytes of each, and a tail, compressed; all first bytes stand first, then all second ones."""
+    n = len(columns[0][0])
+    parts = [np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes() for c, size in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([n], "<u4").tobytes(), *parts, tail]))
 
-def _pack(keys: np.ndarray, doc: np.ndarray, columns: list[tuple[np.ndarray, int]], tail: bytes = b"") -> bytes:
-    """Rows as bytes: the keys of their documents once, each row's document, and columns of so many bytes a value."""
-    own, number = np.unique(doc, return_inverse=True)
-    parts = [np.array([len(own), len(doc)], "<u4").tobytes(), *[_bytes(keys[own, k].view(np.uint64), 8) for k in range(3)], _bytes(number, 4), *[_bytes(c, n) for c, n in columns], tail]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
-
-def _unpack(blob: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], memoryview]:
+def _open(blob: bytes, sizes: list[int]) -> tuple[list[np.ndarray], memoryview]:
     view = memoryview(zstandard.ZstdDecompressor().decompress(blob))
-    docs, n = np.frombuffer(view, "<u4", 2).tolist()
-    at, out = 8, []
-    for count, size in [(docs, 8)] * 3 + [(n, size) for size in (4, *sizes)]:
-        out.append(_numbers(view[at:], count, size))
-        at += count * size
-    return np.stack(out[:3], axis=1).view(np.int64), out[3].astype(np.int64), out[4:], view[at:]
-
-
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of keys, and the number of each row among them."""
-    if not len(keys):
-        return keys, np.zeros(0, np.int64)
-    order = np.lexsort(keys.T)
-    new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]).any(axis=1)])
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return keys[order][new], number
-
-
-def _per_document(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, list[bytes]]:
-    """Keys of the documents and, for each, its rows as bytes in the order of their places."""
-    order = np.lexsort((place, doc))
-    doc = doc[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    rows = np.concatenate([c[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n] for c, n in columns], axis=1).tobytes()
-    width = sum(n for _, n in columns)
-    ends = np.append(first[1:], len(doc)) * width
-    return keys[doc[first]], [rows[a:b] for a, b in zip((first * width).tolist(), ends.tolist(), strict=True)]
-
-
-def _rows_of(lists: list[bytes] | None, sizes: list[int]) -> list[np.ndarray]:
-    data = np.frombuffer(b"".join(lists or []), np.uint8).reshape(-1, sum(sizes))
-    out, at = [], 0
-    for n in sizes:
-        wide = np.zeros((len(data), 8), np.uint8)
-        wide[:, :n] = data[:, at : at + n]
-        out.append(wide.view("<u8").reshape(-1).astype(np.int64))
-        at += n
-    return out
+    n, at, out = int(np.frombuffer(view, "<u4", 1)[0]), 4, []
+    for size in sizes:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :size] = np.frombuffer(view, np.uint8, n * size, at).reshape(size, n).T
+        out.append(wide.view("<i8").reshape(-1))
+        at += n * size
+    return out, view[at:]
 
 
-COVER, ASK, HOTTEST = 1, 2, 3
-_STEP = f"kind int, bucket int, {_KEY}, n long, data binary"
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; numpy.cumsum undoes it."""
+    return np.diff(x, prepend=0)
 
 
-def _step(kind: int, bucket, keys: np.ndarray, n, data: list[bytes]) -> pa.RecordBatch:
-    size = len(data)
-    bucket, n = (np.broadcast_to(np.asarray(x, np.int64), size) for x in (bucket, n))
-    columns = [pa.array(np.full(size, kind, np.int32)), pa.array(bucket.astype(np.int32)), *[pa.array(keys[:, k]) for k in range(3)], pa.array(n), pa.array(data, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "bucket", *_KEYS, "n", "data"])
+def _bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to slices: ids and sizes of the texts, and their bytes one after the other, compressed."""
 
+    def slice_(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        known = _press([(np.array(ids, np.int64), 8), (np.fromiter(map(len, texts), np.int64, len(texts)), 4)])
+        z = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+        return pa.RecordBatch.from_arrays([pa.array([known], pa.binary()), pa.array([z], pa.binary())], ["docs", "z"])
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, to be shuffled."""
-    press = zstandard.ZstdCompressor(level=1).compress
+    ids, texts, held = [], [], 0
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in _KEYS], pa.array(map(press, text_bytes(batch.column("text"))), pa.binary())], [*_KEYS, "z"])
+        for i, text in zip(batch.column("_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
+            if ids and held + len(text) > SLICE_BYTES:
+                yield slice_(ids, texts)
+                ids, texts, held = [], [], 0
+            ids.append(i)
+            texts.append(text)
+            held += len(text)
+    if ids:
+        yield slice_(ids, texts)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Keys, first byte and bytes of pieces of texts, about SLICE_BYTES at a time. Pieces of a long text overlap."""
-    keys, offsets, pieces, held, met = [], [], [], 0, set()
-    for batch in batches:
-        for key, text in zip(zip(*[batch.column(k).to_pylist() for k in _KEYS], strict=True), text_bytes(batch.column("text")), strict=True):
-            if key in met:  # a repeated row
-                continue
-            met.add(key)
-            for at in range(0, max(1, len(text) - SPAN + 1), SLICE_BYTES):
-                piece = text[at : at + SLICE_BYTES + SPAN - 1]
-                keys.append(key)
-                offsets.append(at)
-                pieces.append(piece)
-                held += len(piece)
-                if held >= SLICE_BYTES:
-                    yield np.array(keys, np.int64), np.array(offsets, np.int64), pieces
-                    keys, offsets, pieces, held, met = [], [], [], 0, set()
-    if pieces:
-        yield np.array(keys, np.int64), np.array(offsets, np.int64), pieces
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, bytes]]:
+    """Number, ids, ends of the texts, and bytes of each slice."""
+    for k in range(batch.num_rows):
+        (ids, sizes), _ = _open(batch.column("docs")[k].as_py(), [8, 4])
+        yield k, ids, np.cumsum(sizes), zstandard.ZstdDecompressor().decompress(batch.column("z")[k].as_py())
 
 
 def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the size bytes from a and from b are equal, pair by pair."""
     out = np.zeros(len(a), bool)
     for k in range(0, len(a), 1 << 15):
-        at = np.minimum(np.arange(RUN + SPAN - 1), (size[k : k + (1 << 15)] - 1)[:, None])
-        out[k : k + (1 << 15)] = (data[a[k : k + (1 << 15), None] + at] == data[b[k : k + (1 << 15), None] + at]).all(axis=1)
+        own = slice(k, k + (1 << 15))
+        at = np.minimum(np.arange(RUN + SPAN - 1), (size[own] - 1)[:, None])
+        out[own] = (data[a[own, None] + at] == data[b[own, None] + at]).all(axis=1)
     return out
 
 
+COVER, ASK, HOTTEST = 1, 2, 3
+_STEP = "kind int, bucket int, slice long, n long, data binary"
+
+
+def _step(kind: int, bucket, number, n, data: list[bytes]) -> pa.RecordBatch:
+    wide = [np.broadcast_to(np.asarray(x, np.int64), len(data)) for x in (kind, bucket, number, n)]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([*[pa.array(x).cast(k) for x, k in zip(wide, kinds, strict=True)], pa.array(data, pa.binary())], ["kind", "bucket", "slice", "n", "data"])
+
+
+def _intervals(start: np.ndarray, stop: np.ndarray) -> bytes:
+    """Intervals as bytes, those that touch joined."""
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    start, stop = start[new], np.append(reach[new[1:] - 1], reach[-1])
+    return _press([(_steps(start), 4), (stop - start, 4)])
+
+
 def _deal(buckets: int):
-    """Documents to packed runs by bucket (kind 0), and to places that are covered inside a slice."""
+    """Slices to packed runs by bucket (kind 0), and to bytes that are covered inside a slice."""
+
+    def pieces(ends: np.ndarray, text: bytes) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+        """Document, place and bytes of pieces, about SLICE_BYTES at a time. Pieces of a long text overlap."""
+        docs, places, parts, held = [], [], [], 0
+        for doc, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            for at in range(a, max(a + 1, b - SPAN + 1), SLICE_BYTES):
+                parts.append(text[at : min(b, at + SLICE_BYTES + SPAN - 1)])
+                docs.append(doc)
+                places.append(at)
+                held += len(parts[-1])
+                if held >= SLICE_BYTES:
+                    yield docs, places, parts
+                    docs, places, parts, held = [], [], [], 0
+        if parts:
+            yield docs, places, parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, offsets, pieces in _slices(batches):
-            doc, place, count, gram, context = runs(pieces)
-            if not len(doc):
-                continue
-            ids = keys[:, 0]
-            order = np.lexsort((place, doc, ids[doc], count, context, gram))
-            doc, place, count, gram, context = (x[order] for x in (doc, place, count, gram, context))
-            alike = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]) | (count[1:] != count[:-1])])
-            head = np.flatnonzero(alike)[np.cumsum(alike) - 1]
-            later = np.flatnonzero(ids[doc] > ids[doc[head]])
-            data = np.frombuffer(b"".join(pieces), np.uint8)
-            sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            at = (np.cumsum(sizes) - sizes)[doc] + place
-            covered = np.zeros(len(doc), bool)
-            covered[later] = _same_bytes(data, at[later], at[head[later]], count[later] + SPAN - 1)
-            if covered.any():
-                yield _covers(keys, doc[covered], (place + offsets[doc])[covered], count[covered])
-            keep = np.flatnonzero(~covered)
-            doc, place, count, gram = doc[keep], (place + offsets[doc])[keep], count[keep], gram[keep]
-            bucket = ((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((place, doc, bucket))
-            doc, place, count, gram, bucket = (x[order] for x in (doc, place, count, gram, bucket))
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            blobs = [_pack(keys, doc[k], [(place[k], 4), (count[k], 1), (gram[k], 4)]) for k in np.split(np.arange(len(doc)), cuts[1:])]
-            yield _step(0, bucket[cuts], np.zeros((len(cuts), 3), np.int64), 0, blobs)
+        for batch in batches:
+            for k, ids, ends, text in _slices(batch):
+                for docs, places, parts in pieces(ends, text):
+                    yield from deal(batch.column("slice")[k].as_py(), ids, np.frombuffer(text, np.uint8), np.array(docs), np.array(places), parts)
+
+    def deal(number: int, ids: np.ndarray, data: np.ndarray, docs: np.ndarray, places: np.ndarray, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        piece, place, count, gram, context = runs(parts)
+        if not len(piece):
+            return
+        doc, at = docs[piece], places[piece] + place
+        order = np.lexsort((ids[doc], context, gram))
+        doc, at, count, gram, context = (x[order] for x in (doc, at, count, gram, context))
+        alike = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])])
+        head = np.flatnonzero(alike)[np.cumsum(alike) - 1]
+        later = np.flatnonzero((ids[doc] > ids[doc[head]]) & (count == count[head]))
+        covered = np.zeros(len(doc), bool)
+        covered[later] = _same_bytes(data, at[later], at[head[later]], count[later] + SPAN - 1)
+        if covered.any():
+            yield _step(COVER, number % buckets, number, 0, [_intervals(at[covered], (at + count)[covered] + SPAN - 1)])
+        doc, at, count, gram = (x[~covered] for x in (doc, at, count, gram))
+        bucket = ((gram >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((at, bucket))
+        doc, at, count, gram, bucket = (x[order] for x in (doc, at, count, gram, bucket))
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = [*cuts[1:].tolist(), len(doc)]
+        own = [slice(a, b) for a, b in zip(cuts.tolist(), ends, strict=True)]
+        yield _step(0, bucket[cuts], number, np.diff([*cuts, len(doc)]), [_press([(_steps(doc[o]), 4), (_steps(at[o]), 4), (count[o], 1), (gram[o], 4)]) for o in own])
 
     return run
 
 
-def _covers(keys: np.ndarray, doc: np.ndarray, place: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    """Covered bytes of documents; runs that follow each other are one interval."""
-    order = np.lexsort((place, doc))
-    doc, place, count = doc[order], place[order], count[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + count[:-1])])
-    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(doc)) - 1
-    own, data = _per_document(keys, doc[first], place[first], [(place[first], 4), (place[last] + count[last] + SPAN - 1, 4)])
-    return _step(COVER, 0, own, 0, data)
-
-
 def _ask(hot: int):
-    """Buckets of runs, one after the other, to the runs whose gram stands in two documents, by document.
+    """Buckets of runs, one after the other, to the runs whose gram stands in two documents, by slice.
 
-    A bucket streams through: what stays in memory is one run a gram, and the grams already found twice.
+    A bucket streams through: what stays in memory is a run of each gram met once, and the grams met twice.
     """
 
-    def settle(bucket: int, blobs: list[bytes], state: dict) -> Iterator[pa.RecordBatch]:
-        parts = [state["waiting"], *[_unpack(b, [4, 1, 4])[:3] for b in blobs]]
-        base = np.cumsum([0, *[len(p[0]) for p in parts]])
-        keys = np.concatenate([p[0] for p in parts])
-        doc = np.concatenate([p[1] + b for p, b in zip(parts, base[:-1], strict=True)])
-        place, count, gram = (np.concatenate([p[2][k] for p in parts]).astype(np.int64) for k in range(3))
-        keys, number = _distinct(keys)
-        doc = number[doc]
-        order = np.lexsort((place, doc, gram))
-        once = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in (gram, doc, place)], axis=0)])
-        order = order[once]
-        doc, place, count, gram = doc[order], place[order], count[order], gram[order]
-        first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        known = np.isin(gram[first], state["twice"], assume_unique=True)
-        twice = known | (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
+    def settle(bucket: int, held: list[tuple[int, bytes]], state: dict) -> Iterator[pa.RecordBatch]:
+        rows = [state["waiting"]]
+        for number, blob in held:
+            (doc, at, count, gram), _ = _open(blob, [4, 4, 1, 4])
+            rows.append(np.stack([np.full(len(doc), number), np.cumsum(doc.astype(np.int32)), np.cumsum(at), count, gram]))
+        number, doc, at, count, gram = rows = np.concatenate(rows, axis=1)
+        rows = rows[:, np.lexsort((at, number, gram))]
+        number, doc, at, count, gram = rows
+        new = np.concatenate([[True], gram[1:] != gram[:-1]])
+        first = np.flatnonzero(new)
+        other = ~new
+        other[1:] &= (number[1:] != number[:-1]) | (doc[1:] != doc[:-1])
         size = np.diff(np.append(first, len(gram)))
-        number = np.concatenate([state["number"], np.zeros(int((twice & ~known).sum()), np.int64)])
-        state["twice"], state["number"] = np.concatenate([state["twice"], gram[first][twice & ~known]]), number
-        order = np.argsort(state["twice"])
-        state["twice"], state["number"] = state["twice"][order], number[order]
-        state["number"][np.searchsorted(state["twice"], gram[first][twice])] += size[twice]
+        known = np.isin(gram[first], state["twice"], assume_unique=True)
+        twice = known | np.logical_or.reduceat(other, first)
+        grams = np.concatenate([state["twice"], gram[first][twice & ~known]])
+        met = np.concatenate([state["met"], np.zeros(len(grams) - len(state["met"]), np.int64)])
+        order = np.argsort(grams)
+        state["twice"], state["met"] = grams[order], met[order]
+        state["met"][np.searchsorted(state["twice"], gram[first][twice])] += size[twice]
         asked = np.repeat(twice, size)
-        if asked.any():
-            low = (gram[asked].astype(np.uint64) << np.uint64(24)) | np.uint64(bucket & 0xFFFFFF)
-            own, data = _per_document(keys, doc[asked], place[asked], [(place[asked], 4), (count[asked], 1), (low, 7)])
-            yield _step(ASK, bucket, own, [len(d) // 12 for d in data], data)
-        own, doc = np.unique(doc[~asked], return_inverse=True)
-        state["waiting"] = (keys[own], doc, [x[~asked] for x in (place, count, gram)])
+        state["waiting"] = rows[:, ~asked]
+        rows = rows[:, asked]
+        rows = rows[:, np.lexsort((rows[2], rows[0]))]
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(rows[0]) != 0])) if rows.shape[1] else []
+        parts = np.split(rows, cuts[1:], axis=1) if len(cuts) else []
+        if parts:
+            yield _step(ASK, bucket, [p[0, 0] for p in parts], [p.shape[1] for p in parts], [_press([(_steps(p[1]), 4), (_steps(p[2]), 4), (p[3], 1), (p[4], 4)]) for p in parts])
 
     def end(bucket: int, state: dict) -> Iterator[pa.RecordBatch]:
-        crowded = state["twice"][state["number"] > hot]
+        crowded = state["twice"][state["met"] > hot]
         if len(crowded):
-            data = ((crowded.astype(np.uint64) << np.uint64(24)) | np.uint64(bucket & 0xFFFFFF)).astype("<u8").tobytes()
-            yield _step(HOTTEST, bucket, np.zeros((1, 3), np.int64), len(crowded), [data])
+            yield _step(HOTTEST, bucket, 0, len(crowded), [_press([(crowded, 4)])])
 
     def fresh() -> dict:
         none = np.zeros(0, np.int64)
-        return {"twice": none, "number": none, "waiting": (np.zeros((0, 3), np.int64), none, [none, none, none])}
+        return {"twice": none, "met": none, "waiting": np.zeros((5, 0), np.int64)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, now, held, size = fresh(), None, [], 0
@@ -307,9 +282,8 @@ def _ask(hot: int):
                     yield from end(now, state)
                     state, held, size = fresh(), [], 0
                 now = bucket
-                blob = batch.column("data")[i].as_py()
-                held.append(blob)
-                size += len(blob) // 8
+                held.append((batch.column("slice")[i].as_py(), batch.column("data")[i].as_py()))
+                size += batch.column("n")[i].as_py()
                 if size >= CHUNK:
                     yield from settle(now, held, state)
                     held, size = [], 0
@@ -321,63 +295,51 @@ def _ask(hot: int):
     return run
 
 
-def _asked(small: pa.RecordBatch) -> Iterator[tuple[tuple, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Key and text of each document, and place, windows, gram and heat of the runs that it is asked for."""
-    press = zstandard.ZstdDecompressor().decompress
-    keys = zip(*[small.column(k).to_pylist() for k in _KEYS], strict=True)
-    for key, z, asks, hots in zip(keys, small.column("z").to_pylist(), small.column("asks").to_pylist(), small.column("hot").to_pylist(), strict=True):
-        place, count, gram = _rows_of(asks, [4, 1, 7])
-        crowded = np.frombuffer(b"".join(h for h in hots or [] if h), "<u8").astype(np.int64)
-        yield key, press(z), place, count, gram, np.isin(gram, crowded)
-
-
-def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices with about SLICE_BYTES of the texts' contexts."""
-    for batch in batches:
-        n = np.cumsum(batch.column("n").to_numpy() * (SPAN + WINDOW))
-        at = 0
-        while at < len(n):
-            to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + SLICE_BYTES, "right")))
-            yield batch.slice(at, to - at)
-            at = to
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, bytes, np.ndarray]]:
+    """Number, ids of the documents, bytes of each slice, and what it is asked for: document, place, windows, gram and whether that is crowded."""
+    for k, ids, _, text in _slices(batch):
+        rows = []
+        for ask in batch.column("asks")[k].as_py():
+            (doc, at, count, gram), _ = _open(ask["data"], [4, 4, 1, 4])
+            crowded = _open(ask["crowded"], [4])[0][0] if ask["crowded"] else np.zeros(0, np.int64)
+            rows.append(np.stack([np.cumsum(doc.astype(np.int32)), np.cumsum(at), count, gram | (ask["bucket"] << 32), np.isin(gram, crowded)]))
+        yield batch.column("slice")[k].as_py(), ids, text, np.concatenate(rows, axis=1)
 
 
 def _contexts(parts: int):
     """Packed contexts by bucket, but for those of crowded grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for small in _few(batches):
-            keys, doc, places, counts, grams, pieces = [], [], [], [], [], []
-            for key, text, place, count, gram, crowded in _asked(small):
-                place, count, gram = (x[~crowded] for x in (place, count, gram))
-                doc.append(np.full(len(place), len(keys), np.int64))
-                keys.append(key)
-                places.append(place)
-                counts.append(count)
-                grams.append(gram)
-                pieces += [text[a:b] for a, b in zip(place.tolist(), (place + count + SPAN - 1).tolist(), strict=True)]
-            doc, place, count, gram = (np.concatenate(x) for x in (doc, places, counts, grams))
-            if not len(doc):
-                continue
-            bucket = (_mix(gram.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((place, doc, bucket))
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0]))
-            table = np.array(keys, np.int64)
-            blobs = [_pack(table, doc[k], [(place[k], 4), (count[k], 1)], b"".join([pieces[i] for i in k.tolist()])) for k in np.split(order, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "data"])
+        for batch in batches:
+            for number, ids, text, rows in _asked(batch):
+                doc, at, count, gram, _ = rows[:, rows[4] == 0]
+                if not len(doc):
+                    continue
+                bucket = (_mix(gram.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((at, bucket))
+                doc, at, count, bucket = doc[order], at[order], count[order], bucket[order]
+                cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) > 0]))
+                bounds, blobs = [*cuts.tolist(), len(doc)], []
+                spans = list(zip(at.tolist(), (at + count + SPAN - 1).tolist(), strict=True))
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    blobs.append(_press([(_steps(ids[doc[a:b]]), 8), (_steps(at[a:b]), 4), (count[a:b], 1)], b"".join([text[i:j] for i, j in spans[a:b]])))
+                wide = np.full(len(blobs), number)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(wide), pa.array(blobs, pa.binary())], ["bucket", "slice", "data"])
 
     return run
 
 
 def _crowded_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of crowded grams, one a row."""
-    for small in _few(batches):
-        out = []
-        for key, text, place, count, _, crowded in _asked(small):
-            for a, n in zip(place[crowded].tolist(), count[crowded].tolist(), strict=True):
-                out += [(*key, k, text[k : k + SPAN]) for k in range(a, a + n)]
-        columns = list(zip(*out, strict=True)) if out else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 4 + [pa.binary()], strict=True)], [*_KEYS, "start", "w"])
+    for batch in batches:
+        for number, ids, text, rows in _asked(batch):
+            doc, at, count, _, _ = rows[:, rows[4] == 1]
+            start = np.repeat(at, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            own = np.repeat(ids[doc], count)
+            for k in range(0, len(start), 1 << 16):
+                a = start[k : k + (1 << 16)]
+                columns = [pa.array(np.full(len(a), number)), pa.array(own[k : k + (1 << 16)]), pa.array(a), pa.array([text[i : i + SPAN] for i in a.tolist()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "_id", "start", "w"])
 
 
 def refine(contexts: bytes, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -414,74 +376,86 @@ def refine(contexts: bytes, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
     return owner[repeat].astype(np.int64), repeat - (ends - sizes)[owner[repeat]]
 
 
+_SPANS = "slice long, data binary"
+
+
+def _spans(number: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Intervals of each slice."""
+    order = np.argsort(number, kind="stable")
+    number, start, stop = number[order], start[order], stop[order]
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(number) != 0])) if len(number) else np.zeros(0, np.int64)
+    bounds = [*cuts.tolist(), len(number)]
+    data = [_intervals(start[a:b], stop[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)] if len(cuts) else []
+    return pa.RecordBatch.from_arrays([pa.array(number[cuts]), pa.array(data, pa.binary())], ["slice", "data"])
+
+
 def _refine_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def settle(blobs: list[bytes]) -> pa.RecordBatch:
-        parts = [_unpack(b, [4, 1]) for b in blobs]
-        base = np.cumsum([0, *[len(p[0]) for p in parts]])
-        keys = np.concatenate([p[0] for p in parts])
-        doc = np.concatenate([p[1] + b for p, b in zip(parts, base[:-1], strict=True)])
-        place, count = (np.concatenate([p[2][k] for p in parts]).astype(np.int64) for k in range(2))
-        context, offset = refine(b"".join(p[3] for p in parts), count + SPAN - 1, keys[doc, 0])
+    def settle(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        rows, texts = [], []
+        for number, blob in held:
+            (ids, at, count), text = _open(blob, [8, 4, 1])
+            rows.append(np.stack([np.full(len(ids), number), np.cumsum(ids), np.cumsum(at), count]))
+            texts.append(text)
+        number, ids, at, count = np.concatenate(rows, axis=1)
+        context, offset = refine(b"".join(texts), count + SPAN - 1, ids)
         new = np.ones(len(context), bool)
         new[1:] = (context[1:] != context[:-1]) | (offset[1:] != offset[:-1] + 1)
-        a, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(context))[: int(new.sum())] - 1
-        c = context[a]
-        if not len(c):
-            return _spans(np.zeros((0, 3), np.int64), [])
-        return _spans(*_per_document(keys, doc[c], place[c] + offset[a], [(place[c] + offset[a], 4), (place[c] + offset[last] + SPAN, 4)]))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(context))[: len(first)] - 1
+        c = context[first]
+        return _spans(number[c], at[c] + offset[first], at[c] + offset[last] + SPAN)
 
     held, now = [], None
     for batch in batches:
-        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+        for bucket, number, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "slice", "data")), strict=True):
             if bucket != now and held:
                 yield settle(held)
                 held = []
             now = bucket
-            held.append(data)
+            held.append((number, data))
     if held:
         yield settle(held)
 
 
-_SPANS = f"{_KEY}, data binary"
-
-
-def _spans(keys: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*[pa.array(keys[:, k]) for k in range(3)], pa.array(data, pa.binary())], [*_KEYS, "data"])
-
-
 def _crowded_repeats(windows: DataFrame) -> DataFrame:
     """Repeats among the windows of crowded grams: grouped by their bytes, the smallest id is the first."""
     least = windows.groupBy("w").agg(F.min("_id").alias("first"))
-    rows = windows.join(least, "w").where(F.col("_id") > F.col("first"))
-    return rows.select(*_KEYS, "start").mapInArrow(_window_spans, _SPANS)
+    return windows.join(least, "w").where(F.col("_id") > F.col("first")).select("slice", "start").mapInArrow(_window_spans, _SPANS)
 
 
 def _window_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            keys, start = np.stack([batch.column(k).to_numpy() for k in _KEYS], axis=1), batch.column("start").to_numpy()
-            own, doc = _distinct(keys)
-            yield _spans(*_per_document(own, doc, start, [(start, 4), (start + SPAN, 4)]))
+        start = batch.column("start").to_numpy()
+        yield _spans(batch.column("slice").to_numpy(), start, start + SPAN)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdDecompressor().decompress
+    """Slices and their spans to documents without the covered bytes."""
     for batch in batches:
-        out = []
-        for z, lists in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            text = press(z)
-            a, b = _rows_of(lists, [4, 4])
-            if not len(a):
-                out.append((len(text), 0, 0, text))
-                continue
-            order = np.argsort(a, kind="stable")
-            a, reach = a[order], np.maximum.accumulate(b[order])
-            new = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
-            a, b = a[new], np.append(reach[new[1:] - 1], reach[-1])
-            kept = b"".join(text[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True))
-            out.append((len(text), int((b - a).sum()), len(a), kept))
-        n, removed, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        for k, ids, ends, text in _slices(batch):
+            spans = [_open(s, [4, 4])[0] for s in batch.column("spans")[k].as_py() or []]
+            a = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(s[0]) for s in spans]])
+            b = a + np.concatenate([np.zeros(0, np.int64), *[s[1] for s in spans]])
+            if len(a):
+                (a, b), _ = _open(_intervals(a, b), [4, 4])
+                a = np.cumsum(a)
+                b = a + b
+                # Runs of removed bytes end with their document.
+                edges = ends[np.searchsorted(ends, a, "right")] < b
+                while edges.any():
+                    split = ends[np.searchsorted(ends, a[edges], "right")]
+                    a, b = np.concatenate([a[~edges], a[edges], split]), np.concatenate([b[~edges], split, b[edges]])
+                    order = np.argsort(a)
+                    a, b = a[order], b[order]
+                    edges = ends[np.searchsorted(ends, a, "right")] < b
+            out, starts = [], [0, *ends[:-1].tolist()]
+            lows, highs = np.searchsorted(a, starts), np.searchsorted(a, ends)
+            for low, high, i, j in zip(lows.tolist(), highs.tolist(), starts, ends.tolist(), strict=True):
+                x, y = a[low:high].tolist(), b[low:high].tolist()
+                kept = b"".join(text[p:q] for p, q in zip([i, *y], [*x, j], strict=True))
+                out.append((j - i, j - i - len(kept), len(x), kept))
+            n, removed, count, kept = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -490,30 +464,28 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     Null text is empty. Rows with equal ids never cover each other; null ids stand last and don't cover each other.
     Repeated rows give equal rows. Other columns of ``df`` are not read. An empty table gives an empty result.
     """
-    first, second = text_keys(text_col)
-    docs = df.select(id_or_last(id_col).alias("_id"), first.alias("_h"), second.alias("_g"), F.col(text_col).alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(total) // BUCKET_BYTES + 1
-    dealt = docs.mapInArrow(_deal(buckets), _STEP).repartition("bucket").sortWithinPartitions("bucket")
+    bound = df.select(id_or_last(id_col).alias("_id"), F.col(text_col).alias("text")).mapInArrow(_bind, "docs binary, z binary")
+    slices = scratch(bound.select(F.monotonically_increasing_id().alias("slice"), "docs", "z"), "suffix-slices")
+    buckets = slices.count() * SLICE_BYTES // BUCKET_BYTES + 1
+    dealt = slices.mapInArrow(_deal(buckets), _STEP).repartition("bucket").sortWithinPartitions("bucket")
     known = scratch(dealt.mapInArrow(_ask(hot), _STEP), "suffix-runs")
+    del bound, dealt
 
-    n = known.where(F.col("kind") == ASK).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    asks = known.where(F.col("kind") == ASK)
+    n = asks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     crowded = known.where(F.col("kind") == HOTTEST).select("bucket", F.col("data").alias("crowded"))
-    squeezed = docs.mapInArrow(_squeeze, f"{_KEY}, z binary")
-    runs_asked = known.where(F.col("kind") == ASK).select(*_KEYS, "bucket", "n", "data")
+    some_crowded = not crowded.isEmpty()
+    heat = asks.join(crowded, "bucket", "left") if some_crowded else asks.withColumn("crowded", F.lit(None).cast("binary"))
 
     def fetch(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy(*_KEYS).agg(F.sum("n").alias("n"), F.collect_set("data").alias("asks"), F.collect_set("crowded").alias("hot"))
-        return squeezed.join(lists, _KEYS)
+        return slices.join(rows.groupBy("slice").agg(F.collect_list(F.struct("bucket", "data", "crowded")).alias("asks")), "slice")
 
-    some_crowded = not crowded.isEmpty()
-    asked = fetch(runs_asked.join(crowded, "bucket", "left") if some_crowded else runs_asked.withColumn("crowded", F.lit(None).cast("binary")))
-    packed = asked.mapInArrow(_contexts(int(n) // BUCKET_CONTEXTS + 1), "bucket int, data binary")
+    packed = fetch(heat).mapInArrow(_contexts(int(n) // BUCKET_CONTEXTS + 1), "bucket int, slice long, data binary")
     spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine_buckets, _SPANS)
-    spans = spans.unionByName(known.where(F.col("kind") == COVER).select(*_KEYS, "data"))
     if some_crowded:
-        windows = scratch(fetch(runs_asked.join(crowded, "bucket")).mapInArrow(_crowded_windows, f"{_KEY}, start long, w binary"), "suffix-crowded")
+        windows = scratch(fetch(heat.where(F.col("crowded").isNotNull())).mapInArrow(_crowded_windows, "slice long, _id long, start long, w binary"), "suffix-crowded")
         spans = spans.unionByName(_crowded_repeats(windows))
-    found = spans.groupBy(*_KEYS).agg(F.collect_set("data").alias("spans"))
-    out = squeezed.join(found, _KEYS, "left").mapInArrow(_cut, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    spans = spans.unionByName(known.where(F.col("kind") == COVER).select("slice", "data"))
+    found = spans.groupBy("slice").agg(F.collect_list("data").alias("spans"))
+    out = slices.join(found, "slice", "left").mapInArrow(_cut, "_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("_id") != NULL_ID, F.col("_id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
