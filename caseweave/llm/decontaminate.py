@@ -3,8 +3,9 @@
 Each shard of documents (a bounded slice of a scan task) becomes one sequence of word numbers, and a suffix array over
 it: the start positions sorted by the words that follow. Suffixes that no benchmark window could match, because a word
 outside the benchmark stands among their first words, are left out. Every suffix of every benchmark item is then
-found in the array by binary search, which gives all places of its 13-word windows; windows that continue each other
-on both sides are joined into the longest verbatim matches with their places.
+found in the array by binary search, which gives all places of its distinct 13-word windows as ranges of the array.
+Places that touch are runs of hit words; each item in a run gives its longest verbatim match from there. Words are told
+apart by a hash first and then by their letters.
 
 The benchmark travels to the tasks in blocks of at most BLOCK_BYTES of text, each item whole. There is one block at
 most sizes, and then nothing is shuffled; with more, the matches of all blocks are merged by document.
@@ -13,7 +14,6 @@ most sizes, and then nothing is shuffled; with more, the matches of all blocks a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, and the number of words of each text."""
+def words(texts: list[bytes], base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, the number of words of each text, and the words themselves: their
+    letters in a row, the first letter of each, and their sizes."""
     data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     inside = _KIND[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -45,29 +46,26 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), np.zeros(0, np.uint8), none, none
     sizes = ends - starts
-    letters = _LOWER[data[inside]].astype(np.uint64) + np.uint64(1)
+    letters = _LOWER[data[inside]]
     first = np.cumsum(sizes) - sizes
-    power = np.cumprod(np.full(int(sizes.max()), BASE, np.uint64))
-    hashes = np.add.reduceat(letters * power[np.arange(len(letters)) - np.repeat(first, sizes)], first)
+    power = np.cumprod(np.full(int(sizes.max()), base, np.uint64))
+    hashes = np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(letters)) - np.repeat(first, sizes)], first)
     hashes ^= hashes >> np.uint64(29)
     hashes = hashes * np.uint64(0xBF58476D1CE4E5B9) + sizes.astype(np.uint64)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    return hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)])))
+    return hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))), letters, first, sizes
 
 
-@dataclass
-class Windows:
-    """A block of the benchmark: its words and, for each window, item, place in the item, and word numbers."""
-
-    vocabulary: np.ndarray
-    ids: list
-    item: np.ndarray
-    place: np.ndarray
-    size: np.ndarray
-    low: np.ndarray  # search keys: the window's words, then the smallest continuation
-    high: np.ndarray  # and the largest
+def _equal(a: np.ndarray, a_first: np.ndarray, b: np.ndarray, b_first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether words of the same size are equal letter by letter."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    same = a[np.repeat(a_first, sizes) + at] == b[np.repeat(b_first, sizes) + at]
+    return np.logical_and.reduceat(same, np.cumsum(sizes) - sizes)
 
 
 def _keys(rows: np.ndarray) -> np.ndarray:
@@ -75,38 +73,63 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * WINDOW}").reshape(-1)
 
 
-def windows(items: list[tuple[int, str]]) -> Windows:
-    hashes, counts = words([(t or "").encode() for _, t in items])
-    vocabulary, number = np.unique(hashes, return_inverse=True)
+def windows(items: list[tuple[int | None, str | None]], base: int = BASE) -> dict:
+    """A block of the benchmark as plain arrays, to be broadcast.
+
+    Its vocabulary (hashes in order and the letters behind them), the word numbers of all items and where each item
+    begins, its distinct windows as search keys (their words, then the smallest and the largest continuation), and for
+    each the items that hold it (``owners``, from ``owned[k]`` on) with its first place in the item.
+    """
+    hashes, counts, letters, first, sizes = words([(t or "").encode() for _, t in items], base)
+    vocabulary, sample, number = np.unique(hashes, return_index=True, return_inverse=True)
+    if not (sizes == sizes[sample[number]]).all() or not _equal(letters, first, letters, first[sample[number]], sizes).all():
+        return windows(items, (base * 5 + 2) % 2**64 | 1)  # two words share a hash
     number = number.astype(np.int64) + 1
+    begin = np.cumsum(counts) - counts
     item, place, size, rows = [], [], [], []
-    at = 0
     for k, n in enumerate(counts.tolist()):
-        own = number[at : at + n]
-        at += n
         if n:
             m = min(n, WINDOW)
-            view = np.lib.stride_tricks.sliding_window_view(own, m)
+            view = np.lib.stride_tricks.sliding_window_view(number[begin[k] : begin[k] + n], m)
             block = np.zeros((len(view), WINDOW), np.int64)
             block[:, :m] = view
             rows.append(block)
-            item += [k] * len(view)
-            place += range(len(view))
-            size += [m] * len(view)
+            item.append(np.full(len(view), k))
+            place.append(np.arange(len(view)))
+            size.append(np.full(len(view), m))
     low = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.int64)
-    size_ = np.array(size, np.int64)
-    high = np.where(np.arange(WINDOW) < size_[:, None], low, 2**32 - 1)
-    return Windows(vocabulary, [i for i, _ in items], np.array(item, np.int64), np.array(place, np.int64), size_, _keys(low), _keys(high))
-
-
-def matches(texts: list[bytes], bench: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each text, and rows (text, item, first word in the text, first word in the item, words) of the longest matches."""
-    hashes, counts = words(texts)
-    none = np.zeros((0, 5), np.int64)
-    if not len(hashes) or not len(bench.size):
-        return counts, none
-    number = np.searchsorted(bench.vocabulary, hashes)
-    number = np.where(bench.vocabulary[np.minimum(number, len(bench.vocabulary) - 1)] == hashes, number + 1, 0)
+    item, place, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (item, place, size))
+    _, window = np.unique(_keys(low), return_inverse=True)
+    # One row a distinct window and item, at its first place there.
+    order = np.lexsort((place, item, window))
+    window, item, place, size, low = window[order], item[order], place[order], size[order], low[order]
+    once = np.ones(len(window), bool)
+    once[1:] = (window[1:] != window[:-1]) | (item[1:] != item[:-1])
+    window, item, place, size, low = window[once], item[once], place[once], size[once], low[once]
+    owned = np.flatnonzero(np.diff(window, prepend=-1))
+    low, size = low[owned], size[owned]
+    high = np.where(np.arange(WINDOW) < size[:, None], low, 2**32 - 1)
+    return {
+        "base": base, "vocabulary": vocabulary, "letters": letters, "first": first[sample], "sizes": sizes[sample], "ids": [i for i, _ in items], "number": number, "begin": begin, "count": counts,
+        "low": _keys(low), "high": _keys(high), "size": size, "owned": np.append(owned, len(window)), "owners": item, "place": place,
+    }
+
+
+def matches(texts: list[bytes], bench: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text; rows (text, first hit word, word behind) of its runs of hit words; and rows (text, item, first
+    word in the text, first word in the item, words) of its longest matches.
+
+    A hit word may stand in many places of many items. Each item in a run of hit words gives one match: from the first
+    window of the item in the run on, as long as text and item go on alike.
+    """
+    hashes, counts, letters, first, sizes = words(texts, bench["base"])
+    none = counts, np.zeros((0, 3), np.int64), np.zeros((0, 5), np.int64)
+    if not len(hashes) or not len(bench["size"]):
+        return none
+    number = np.minimum(np.searchsorted(bench["vocabulary"], hashes), len(bench["vocabulary"]) - 1)
+    known = np.flatnonzero((bench["vocabulary"][number] == hashes) & (bench["sizes"][number] == sizes))
+    known = known[_equal(letters, first[known], bench["letters"], bench["first"][number[known]], sizes[known])]
+    number = np.where(np.isin(np.arange(len(number)), known, assume_unique=True), number + 1, 0)
     ends = np.cumsum(counts)
     # How many benchmark words follow without a break; a text's end is one.
     stop = np.zeros(len(number) + 1, bool)
@@ -115,92 +138,123 @@ def matches(texts: list[bytes], bench: Windows) -> tuple[np.ndarray, np.ndarray]
     stops = np.flatnonzero(stop)
     run = stops[np.searchsorted(stops, np.arange(len(number)), "right")] - np.arange(len(number))
     run[number == 0] = 0
-    starts = np.flatnonzero(run >= bench.size.min())
+    starts = np.flatnonzero(run >= bench["size"].min())
     if not len(starts):
-        return counts, none
+        return none
     padded = np.concatenate([number, np.zeros(WINDOW, np.int64)])
     rows = padded[starts[:, None] + np.arange(WINDOW)]
     rows[np.arange(WINDOW) >= run[starts][:, None]] = 0
     keys = _keys(rows)
     order = np.argsort(keys, kind="stable")
     array = keys[order]
-    left, right = np.searchsorted(array, bench.low, "left"), np.searchsorted(array, bench.high, "right")
-    found = right - left
+    left, right = np.searchsorted(array, bench["low"], "left"), np.searchsorted(array, bench["high"], "right")
+    # A place of the text holds one window of 13 words and a shorter one of each size at most.
+    found = np.maximum(right - left, 0)
     window = np.repeat(np.arange(len(found)), found)
     at = starts[order[np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found) + left[window]]]
-    text = np.searchsorted(ends, at, "right")
-    item, place = bench.item[window], bench.place[window]
-    size = bench.size[window]
-    # Windows on one diagonal of (text, item) that follow each other are one match.
-    order = np.lexsort((at, at - place, item, text))
-    text, item, at, place, size = (x[order] for x in (text, item, at, place, size))
     if not len(at):
-        return counts, none
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] != at[:-1] + 1)])
-    first = np.flatnonzero(new)
-    final = np.append(first[1:], len(at)) - 1
-    begin = at[first] - (ends - counts)[text[first]]
-    return counts, np.stack([text[first], item[first], begin, place[first], at[final] + size[final] - at[first]], axis=1)
+        return none
+    place = np.argsort(at, kind="stable")
+    at, window = at[place], window[place]
+    reach = np.maximum.accumulate(at + bench["size"][window])
+    text = np.searchsorted(ends, at, "right")
+    new = np.concatenate([[True], (at[1:] > reach[:-1]) | (text[1:] != text[:-1])])
+    group = np.cumsum(new) - 1
+    open_ = np.flatnonzero(new)
+    close = np.append(reach[open_[1:] - 1], reach[-1])
+    begin = (ends - counts)[text[open_]]
+    hits = np.stack([text[open_], at[open_] - begin, close - begin], axis=1)
+    # Distinct windows of each run, then distinct items of each run, each at its first place.
+    order = np.lexsort((at, window, group))
+    once = order[np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (window[order][1:] != window[order][:-1])])]
+    group, window, at = group[once], window[once], at[once]
+    n = bench["owned"][window + 1] - bench["owned"][window]
+    pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bench["owned"][window], n)
+    group, at, item, place = np.repeat(group, n), np.repeat(at, n), bench["owners"][pick], bench["place"][pick]
+    order = np.lexsort((place, at, item, group))
+    once = order[np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (item[order][1:] != item[order][:-1])])]
+    group, at, item, place = group[once], at[once], item[once], place[once]
+    text = hits[group, 0]
+    most = np.minimum(ends[text] - at, bench["count"][item] - place)
+    size, live = np.zeros(len(at), np.int64), np.arange(len(at))
+    while len(live):
+        live = live[size[live] < most[live]]
+        live = live[number[at[live] + size[live]] == bench["number"][bench["begin"][item[live]] + place[live] + size[live]]]
+        size[live] += 1
+    return counts, hits, np.stack([text, item, at - (ends - counts)[text], place, size], axis=1)
 
 
 _MATCH = "array<struct<item_id:bigint,doc_word:bigint,item_word:bigint,n_words:bigint>>"
+_HITS = "array<struct<start:bigint,stop:bigint>>"
+
+
+def _lists(rows: np.ndarray, n: int, columns: list[pa.Array], names: list[str]) -> pa.Array:
+    """Rows in the order of their text (first column) as one list of structs a text."""
+    offsets = np.searchsorted(rows[:, 0], np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names))
 
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench: Windows = shared.value
-        kind = pa.struct([("item_id", pa.int64()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
+        bench = shared.value
+        ids = pa.array(bench["ids"], pa.int64())
         for small in (s for batch in batches for s in bounded(batch, "_text", SHARD_BYTES)):
-            counts, found = matches(text_bytes(small.column("_text")), bench)
-            lists: list[list] = [[] for _ in counts]
-            for text, item, at, place, n in found.tolist():
-                lists[text].append({"item_id": bench.ids[item], "doc_word": at, "item_word": place, "n_words": n})
+            counts, hits, found = matches(text_bytes(small.column("_text")), bench)
+            found = found[np.lexsort((found[:, 2], found[:, 0]))]
+            spans = _lists(hits, len(counts), [pa.array(hits[:, 1]), pa.array(hits[:, 2])], ["start", "stop"])
+            own = ids.take(pa.array(found[:, 1])) if len(found) else pa.array([], pa.int64())
+            lists = _lists(found, len(counts), [own, *[pa.array(found[:, k]) for k in (2, 3, 4)]], ["item_id", "doc_word", "item_word", "n_words"])
             rest = [small.column(i) for i in range(small.num_columns)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), pa.array(lists, pa.list_(kind))], [*small.schema.names, "_n", "_found"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(counts, pa.int64()), spans, lists], [*small.schema.names, "_n", "_hits", "_found"])
 
     return run
 
 
 def find_matches(df: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``df`` with ``n_words`` and ``matches``: the longest verbatim matches with benchmark items and their places.
+    """``df`` with ``n_words``, ``hits`` (runs of hit words) and ``matches`` (longest matches with items and their places).
 
     Null or empty texts have no words; items without words match nothing; equal items match alike; items with a null
-    id match as others do, under a null id. Columns of ``df`` named n_words or matches are replaced. Every row of ``df`` gives one row.
+    id match as others do, under a null id. Columns of ``df`` with those names are replaced. Every row of ``df`` gives
+    one row, repeated rows too; an empty table gives an empty result. A benchmark over ``block_bytes`` of text is taken
+    in blocks, one scan of ``df`` a block, one block in memory at a time.
     """
     spark = df.sparkSession
     items = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) * 2 // block_bytes)) if size > block_bytes else 1
-    rows = df.drop("n_words", "matches").withColumn("_text", F.col(text_col))
-    schema = lambda x: f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in x.schema)}, _n long, _found {_MATCH}"
-    scans = []
-    for k in range(blocks):
-        own = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
-        shared = spark.sparkContext.broadcast(windows(own))
-        scans.append((rows, shared))
+    rows = df.drop("n_words", "hits", "matches")
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    back = [f"_row.`{c}`" for c in df.columns if c not in ("n_words", "hits", "matches")]
+    schema = lambda x: f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in x.schema)}, _n long, _hits {_HITS}, _found {_MATCH}"
+
+    def block(k: int):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        return spark.sparkContext.broadcast(windows([(r[0], r[1]) for r in own]))
+
     if blocks == 1:
-        found = rows.mapInArrow(_scan(scans[0][1]), schema(rows))
-        return found.drop("_text").withColumnsRenamed({"_n": "n_words", "_found": "matches"})
+        found = rows.mapInArrow(_scan(block(0)), schema(rows))
+        return found.select(*back, F.col("_n").alias("n_words"), F.col("_hits").alias("hits"), F.col("_found").alias("matches"))
     # Only texts with a match leave a block's scan; a text stands for all rows that hold it.
     parts = None
-    for _, shared in scans:
-        texts = df.select(F.sha2(F.col(text_col), 256).alias("_key"), F.col(text_col).alias("_text"))
-        hit = texts.mapInArrow(_scan(shared), schema(texts)).where(F.size("_found") > 0).select("_key", "_found")
-        hit = scratch(hit.groupBy("_key").agg(F.first("_found").alias("_found")), "decontaminate-block")
+    texts = df.select(F.sha2(F.col(text_col), 256).alias("_key"), F.col(text_col).alias("_text"))
+    for k in range(blocks):
+        shared = block(k)
+        hit = texts.mapInArrow(_scan(shared), schema(texts)).where(F.size("_hits") > 0).select("_key", "_hits", "_found")
+        hit = scratch(hit.groupBy("_key").agg(F.first("_hits").alias("_hits"), F.first("_found").alias("_found")), "decontaminate-block")
+        shared.destroy()
         parts = hit if parts is None else parts.unionByName(hit)
-    merged = parts.groupBy("_key").agg(F.flatten(F.collect_list("_found")).alias("matches"))
+    merged = parts.groupBy("_key").agg(F.flatten(F.collect_list("_hits")).alias("hits"), F.flatten(F.collect_list("_found")).alias("matches"))
     empty = spark.sparkContext.broadcast(windows([]))
-    counted = rows.mapInArrow(_scan(empty), schema(rows)).withColumnRenamed("_n", "n_words").withColumn("_key", F.sha2("_text", 256))
-    none = F.array().cast(_MATCH)
-    return counted.drop("_found", "_text").join(merged, "_key", "left").drop("_key").withColumn("matches", F.coalesce("matches", none))
+    counted = rows.mapInArrow(_scan(empty), schema(rows)).withColumn("_key", F.sha2("_text", 256)).select("_row", "_key", F.col("_n").alias("n_words"))
+    joined = counted.join(merged, "_key", "left")
+    return joined.select(*back, "n_words", F.coalesce("hits", F.array().cast(_HITS)).alias("hits"), F.coalesce("matches", F.array().cast(_MATCH)).alias("matches"))
 
 
-def hit_words(matches: Column) -> Column:
-    """Words covered by matches: a fold over them in the order of their start."""
-    spans = F.array_sort(F.transform(matches, lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["n_words"]).alias("b"))))
+def hit_words(hits: Column) -> Column:
+    """Words covered by runs, which may overlap: a fold over them in the order of their start."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
-    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], s["upto"]))).alias("n"), F.greatest(s["upto"], x["b"]).alias("upto"))
-    return F.aggregate(spans, start, step, lambda s: s["n"])
+    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(x["start"], s["upto"]))).alias("n"), F.greatest(s["upto"], x["stop"]).alias("upto"))
+    return F.aggregate(F.array_sort(hits), start, step, lambda s: s["n"])
 
 
 def item_ids(matches: Column) -> Column:
@@ -213,6 +267,6 @@ def contaminated(n_words: Column, n_hit: Column) -> Column:
 
 
 def judge(df: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with n_words, matches, ``n_hit``, ``item_ids`` (sorted as strings) and ``contaminated``."""
-    found = find_matches(df, bench, text_col).withColumns({"n_hit": hit_words(F.col("matches")), "item_ids": item_ids(F.col("matches"))})
+    """``df`` with n_words, hits, matches, ``n_hit``, ``item_ids`` (sorted as strings) and ``contaminated``; odd rows as in find_matches()."""
+    found = find_matches(df, bench, text_col).withColumns({"n_hit": hit_words(F.col("hits")), "item_ids": item_ids(F.col("matches"))})
     return found.withColumn("contaminated", contaminated(F.col("n_words"), F.col("n_hit")))

@@ -72,14 +72,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_id", "host", "declared", "language", F.round("probability", 6).alias("probability"), "accepted")
 
 
-def _mix_sql(rounds: int = mixing.ROUNDS) -> str:
-    """op8 as running sums in hash order: each round takes what fits a source's rest, and goes on behind what doesn't."""
+def _mix_sql(rounds: int = 12) -> str:
+    """op8 as running sums in hash order. Each round takes what fits a source's rest, and goes on behind what doesn't; the
+    operator goes on until nothing is open, SQL spells the rounds out."""
     parts = [
         """
         WITH d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
                    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents
-        ), k AS (SELECT source, h, sum(size) AS n FROM d GROUP BY source, h
         ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
         ), w AS (
             SELECT source, source_size, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM s
@@ -95,12 +95,13 @@ def _mix_sql(rounds: int = mixing.ROUNDS) -> str:
     ]
     for r in range(rounds):
         parts.append(f"""
-        , run{r} AS (
-            SELECT st.source, k.h, n, sum(n) OVER (PARTITION BY st.source ORDER BY k.h) AS upto, rest FROM k JOIN st{r} st ON k.source IS NOT DISTINCT FROM st.source AND st.open AND k.h > st.frm
+        , fit{r} AS (
+            SELECT st.source, d.h, rest, sum(d.size) AS n FROM d JOIN st{r} st ON d.source IS NOT DISTINCT FROM st.source AND st.open AND d.h > st.frm AND d.size <= st.rest GROUP BY st.source, d.h, rest
+        ), run{r} AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM fit{r}
         ), x{r} AS (SELECT source, min(h) FILTER (upto > rest) AS hx, min_by(upto - n, h) FILTER (upto > rest) AS before, min_by(n, h) FILTER (upto > rest) AS nx FROM run{r} GROUP BY source
         ), y{r} AS (
             SELECT st.*, hx, before, coalesce((rest - before) * 2 >= nx, false) AS take FROM st{r} st LEFT JOIN x{r} x ON x.source IS NOT DISTINCT FROM st.source
-        ), sp{r} AS (SELECT source, frm AS lo, CASE WHEN hx IS NULL THEN 1 << 60 ELSE hx + CAST(take AS INT) END AS hi FROM y{r} WHERE open
+        ), sp{r} AS (SELECT source, frm AS lo, CASE WHEN hx IS NULL THEN 1152921504606846976 ELSE hx + CAST(take AS INT) END AS hi, rest AS most FROM y{r} WHERE open
         ), st{r + 1} AS (
             SELECT source, source_size, target, base, CASE WHEN open AND hx IS NOT NULL THEN rest - before ELSE rest END AS rest, coalesce(hx, frm) AS frm,
                    open AND hx IS NOT NULL AND NOT take AND rest - before > {mixing.NEAR} * target AS open FROM y{r}
@@ -111,7 +112,7 @@ def _mix_sql(rounds: int = mixing.ROUNDS) -> str:
         + f"""
         , spans AS ({spans})
         SELECT doc_id, d.size, source_size, target,
-               CAST(d.size * least(3, base + CAST(EXISTS (SELECT 1 FROM spans WHERE spans.source IS NOT DISTINCT FROM d.source AND d.h > lo AND d.h < hi) AS INT)) AS BIGINT) AS taken
+               CAST(d.size * least(3, base + CAST(EXISTS (SELECT 1 FROM spans WHERE spans.source IS NOT DISTINCT FROM d.source AND d.h > lo AND d.h < hi AND d.size <= most) AS INT)) AS BIGINT) AS taken
         FROM d JOIN st0 ON st0.source IS NOT DISTINCT FROM d.source
     """
     )

@@ -210,6 +210,18 @@ def test_op8_comes_near_its_targets(spark, write_docs):
         assert abs(taken[source[r["doc_id"]]] - r["target"]) <= max(97, 0.005 * r["target"])
 
 
+def test_op8_passes_over_any_number_of_large_records(spark, write_docs):
+    """Most of a source's first records are too large for its rest; small ones behind them still fill it."""
+    docs = [(i, "w " * (4000 if i % 20 else 1 + i % 7), "big" if i % 2 else "small") for i in range(400)]
+    docs += [(1000 + i, "w " * 3, s) for i in range(700) for s in ("big", "small")[i % 2 : i % 2 + 1]]
+    got, source = rows(spark, write_docs(docs), "op8_hash_threshold_mix"), {i: s for i, _, s in docs}
+    taken, target = Counter(), {}
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert all(abs(taken[s] - t) <= max(4, 0.005 * t) for s, t in target.items()), (taken, target)
+
+
 @pytest.mark.parametrize(("hot", "chunk", "slice_bytes"), [(50_000, 200_000, 4 << 20), (2, 50, 4000)])
 def test_op9(spark, write_docs, odd_rows, monkeypatch, hot, chunk, slice_bytes):
     from pyspark.sql import functions as F

@@ -1,13 +1,20 @@
 """Operators on what lies beyond a former bound."""
 
+import os
 import random
 import string
+import subprocess
+import sys
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from caseweave.llm import decontaminate, secrets, simhash
 
+ROOT = Path(__file__).resolve().parent.parent.parent
+
 
 @pytest.mark.parametrize("n", [513, 5000])
 def test_secret_runs_are_read_whole(n):
@@ -53,5 +60,40 @@ def test_benchmark_items_without_an_id_hit_words(spark, block_bytes):
     bench = spark.createDataFrame([(None, " ".join(words[:20])), (7, " ".join(words[25:40]))], "item_id long, text string")
     docs = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words))], "doc_id long, text string")
     found = decontaminate.find_matches(docs, bench, block_bytes=block_bytes)
-    got = {r[0]: r[1:] for r in found.select("doc_id", decontaminate.hit_words(found["matches"]), decontaminate.item_ids(found["matches"])).collect()}
+    got = {r[0]: r[1:] for r in found.select("doc_id", decontaminate.hit_words(found["hits"]), decontaminate.item_ids(found["matches"])).collect()}
     assert got == {1: (20, [None]), 2: (35, ["7", None])}
+
+
+def test_repetitive_text_against_repetitive_item_stays_small():
+    """Every place of the text matches many places of the item; what comes out grows with the text alone."""
+    import tracemalloc
+
+    bench = decontaminate.windows([(1, "la la ba " * 170), (2, "altro testo " * 20)])
+    text = ("la la ba " * 17_000).encode()
+    tracemalloc.start()
+    counts, hits, found = decontaminate.matches([text, b"", b"la la ba altro"], bench)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert counts.tolist() == [51_000, 0, 4] and hits.tolist() == [[0, 0, 51_000]] and found.tolist() == [[0, 0, 0, 0, 510]]
+
+
+def test_words_with_equal_hashes_are_told_apart():
+    """Letters decide: a vocabulary in which every hash is the same still matches nothing but its own words."""
+    bench = decontaminate.windows([(1, " ".join(f"w{i}" for i in range(20)))])
+    hashes, counts, letters, first, sizes = decontaminate.words([b"x0 x1 x2"])
+    same = decontaminate._equal(letters, first, bench["letters"], bench["first"][:3], np.array([2, 2, 2]))
+    assert not same.any() and len(hashes) == 3 and counts.tolist() == [3] and sizes.tolist() == [2, 2, 2]
+
+
+def test_workers_that_cannot_import_the_package(tmp_path):
+    """The queries run from another folder, where neither driver path nor worker path holds the repository."""
+    code = (
+        f"import sys, importlib\nsys.path.insert(0, {str(ROOT)!r})\n"
+        "import __spark_entry__ as e\nfrom caseweave.llm import queries\nsys.path.pop(0)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local-cluster[1,2,1024]').config('spark.executor.memory', '1g').config('spark.ui.enabled', 'false')"
+        f".config('spark.sql.shuffle.partitions', '2').config('spark.checkpoint.dir', {str(tmp_path / 'shared')!r}).getOrCreate()\n"
+        "for n in ('op5_bloom_lines', 'op7_suffix_arrays', 'op10_language_id'):\n    print(n, e.queries()[n](s, '/root/testdata/sf0.001').count() > 0)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["op5_bloom_lines", "True", "op7_suffix_arrays", "True", "op10_language_id", "True"], done.stderr[-3000:]
