@@ -1,8 +1,8 @@
 """Personal data by weak-supervision aggregation, with DataFrame functions only.
 
 Base spans (email, ip, card, phone) come from fixed patterns and always stay. Beyond them, wider patterns propose
-candidate spans, and labelers vote on each: its shape by pattern, cue words around it from a gazetteer, and the
-context of the document. Expectation-maximisation over the table of vote patterns (one row a pattern, not a span)
+candidate spans, and labelers vote on each: its shape by pattern, its checksum and numbering plan, cue words before it
+from a gazetteer, and the context it stands in. Expectation-maximisation over the table of vote patterns (one row a pattern, not a span)
 estimates how reliable each labeler is without any labels, and gives every pattern a probability. These are the soft
 labels of the final span classifier, a naive Bayes model over features of the span itself, counted by grouped
 aggregation over all candidates. Spans it accepts are added.
@@ -35,41 +35,63 @@ CANDIDATES = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "local_phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])",
-    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
+    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Sr|Sra)\.?\x20[A-Z][a-z]{1,30}(?:\x20[A-Z][a-z]{1,30})?",
 }
-# The gazetteer of cue words by kind, looked for in the CONTEXT code points before a candidate.
+# The gazetteer of cue words by kind, in four languages, looked for in the CONTEXT code points before a candidate.
 GAZETTEER = {
-    "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
-    "ssn": ("ssn", "social", "security", "id", "passport", "ausweis"),
-    "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon"),
-    "name": ("dear", "name", "contact", "from", "signed", "patient"),
+    "iban": ("iban", "account", "bank", "transfer", "konto", "kontonummer", "bankverbindung", "compte", "banque", "virement", "cuenta", "banco"),
+    "ssn": ("ssn", "social", "security", "id", "passport", "ausweis", "sozialversicherung", "steuer", "passeport", "carte", "seguridad", "pasaporte"),
+    "local_phone": ("phone", "tel", "call", "mobile", "cell", "fax", "telefon", "anruf", "handy", "telephone", "appelez", "llame"),
+    "name": ("dear", "name", "contact", "from", "signed", "patient", "lieber", "liebe", "gezeichnet", "cher", "nom", "nombre"),
 }
 CONTEXT = 40
+LABELERS, FEATURES = ("l1", "l2", "l3", "l4"), ("f1", "f2", "f3", "f4")
+#: Matches added up in a block; code points of a stretch, as a power of two.
+BLOCK, STRETCH = 64, 6
 #: Words that make a number an order, a version or a sum rather than a person's.
 COUNTER_CUES = ("order", "version", "invoice", "total", "isbn", "serial", "page", "item")
 #: Rounds of expectation-maximisation; prior share of true candidates; least probability of an added span.
 ROUNDS, PRIOR, ACCEPT = 25, 0.5, 0.5
 
 
+_SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), the value being computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """All leftmost, non-overlapping matches as array<struct<start, end, value>>, in code points, end exclusive.
+    """All leftmost, non-overlapping matches as array<struct<start, end, value, before>>, in code points, end exclusive.
 
-    Matches and the pieces between them take turns, so a match begins where the lengths before it add up to.
+    Matches and the pieces between them take turns, so a match begins where the lengths before it add up to. They are
+    added up in blocks of BLOCK, and the blocks' places before them, so long texts of matches stay cheap. ``before`` is
+    the end of what stands between the match and the one before it, that one included.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    pairs = F.zip_with(between, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    before = F.concat(F.array(F.lit("")), found)
+    pairs = F.zip_with(F.arrays_zip(between.alias("gap"), before.alias("last")), found, lambda p, hit: F.struct(F.length(p["gap"]).alias("gap"), hit.alias("hit"), F.lower(F.substring(F.concat(p["last"], p["gap"]), -CONTEXT, CONTEXT)).alias("before")))
     pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
-    kind = "array<struct<start:int,end:int,value:string>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    width = lambda p: p["gap"] + F.length(p["hit"])
 
     def add(state: Column, p: Column) -> Column:
-        start = state["at"] + p["gap"]
-        end = start + F.length(p["hit"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("value")))
+        start, end = state["at"] + p["gap"], state["at"] + width(p)
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("value"), p["before"].alias("before")))
         return F.struct(end.alias("at"), F.concat(state["out"], one).alias("out"))
 
-    return F.aggregate(pairs, empty, add, lambda s: s["out"])
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + width(p)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, none, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda s: s["out"])))
+
+    def blocks(p: Column) -> Column:
+        n = F.ceil(F.size(p) / BLOCK).cast("int")
+        return F.when(n == 0, F.array().cast(_SPAN)).otherwise(_once(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.slice(p, (k - 1) * BLOCK + 1, F.lit(BLOCK))), placed))
+
+    return _once(pairs, blocks)
 
 
 def guarded_spans(text: Column, pattern: str, need: str | None = None) -> Column:
@@ -77,7 +99,7 @@ def guarded_spans(text: Column, pattern: str, need: str | None = None) -> Column
     hit = F.rlike(text, F.lit(pattern))
     if need is not None:
         hit = F.contains(text, F.lit(need)) & hit
-    return F.when(hit, spans(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    return F.when(hit, spans(text, pattern)).otherwise(F.array().cast(_SPAN))
 
 
 def digits(value: Column) -> Column:
@@ -106,29 +128,49 @@ def _check(kind: str):
     return lambda s: valid(kind, s["value"])
 
 
-def _of(kind: str):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
-
-
 def base_spans(df: DataFrame, text: str = "_text") -> DataFrame:
     """``df`` with one array of checked spans a kind."""
     df = df.withColumns({f"_raw_{k}": guarded_spans(F.col(text), PATTERNS[k], NEEDS[k]) for k in KINDS})
     return df.withColumns({f"_{k}": F.filter(f"_raw_{k}", _check(k)) for k in KINDS}).drop(*[f"_raw_{k}" for k in KINDS])
 
 
-def candidates(df: DataFrame) -> DataFrame:
-    """One row a candidate beyond the base that overlaps no base span: key, kind, start, end, and its votes."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    found = [F.transform(guarded_spans(F.col("_text"), p), _of(k)) for k, p in CANDIDATES.items()]
-    taken = F.concat(*[F.coalesce(F.col(f"_{k}"), none) for k in KINDS])
-    rows = df.select("_row", "_text", taken.alias("_taken"), F.concat(*found).alias("_c")).where(F.size("_c") > 0)
-    free = F.filter("_c", lambda c: ~F.exists("_taken", lambda t: (t["start"] < c["end"]) & (c["start"] < t["end"])))
-    around = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), F.lower(F.substring(F.col("_text"), F.greatest(c["start"] - CONTEXT, F.lit(0)) + 1, F.least(c["start"], F.lit(CONTEXT)))).alias("before"))
-    return rows.select("_row", F.explode(F.transform(free, around)).alias("c")).select("_row", "c.*")
+def proposed(text: Column) -> Column:
+    """Candidates of every kind beyond the base, as array<struct<kind, start, end, value, before>>."""
+    of = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), *[s[c].alias(c) for c in ("start", "end", "value", "before")])
+    return F.concat(*[F.transform(guarded_spans(text, p), of(k)) for k, p in CANDIDATES.items()])
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """One row a candidate that overlaps no base span: ``_row``, kind, start, end, value, before.
+
+    ``found`` has the base arrays and ``_c`` of proposed(). Candidates and base spans meet by document and stretch of
+    STRETCH code points, so a text full of both is no quadratic case, and no group is gathered.
+    """
+    stretches = lambda s: F.explode(F.sequence(F.shiftright(s["start"], STRETCH), F.shiftright(s["end"] - 1, STRETCH))).alias("at")
+    rows = found.where(F.size("_c") > 0).dropDuplicates(["_row"])  # repeated rows count once
+    free = rows.select("_row", F.explode("_c").alias("c"))
+    base = rows.select("_row", F.explode(F.concat(*[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])).alias("b"))
+    met = free.select("_row", "c", stretches(F.col("c"))).join(base.select("_row", "b", stretches(F.col("b"))), ["_row", "at"]).where((F.col("b.start") < F.col("c.end")) & (F.col("c.start") < F.col("b.end")))
+    taken = met.select("_row", F.struct("c.kind", "c.start", "c.end").alias("k")).distinct()
+    return free.withColumn("k", F.struct("c.kind", "c.start", "c.end")).join(taken, ["_row", "k"], "left_anti").select("_row", "c.*")
+
+
+def checksum(kind: Column, value: Column) -> Column:
+    """A labeler by arithmetic and numbering plans: IBAN modulo 97, ranges of the other numbers; 0 for names."""
+    plain = F.upper(F.regexp_replace(value, " ", ""))
+    moved = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda s, c: F.when(F.rlike(c, F.lit("^[A-Z]$")), (s * 100 + F.ascii(c) - 55) % 97).when(c == "", s).otherwise((s * 10 + F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0))) % 97))
+    number = digits(value)
+    return (
+        F.when(kind == "iban", F.when(rest == 1, 1).otherwise(-1))
+        .when(kind == "ssn", F.when(F.substring(number, 1, 3).between("001", "899") & (F.substring(number, 1, 3) != "666"), 1).otherwise(-1))
+        .when(kind == "local_phone", F.when(F.rlike(number, F.lit("^[2-9][0-8][0-9][2-9]")), 1).otherwise(0))
+        .otherwise(0)
+    )
 
 
 def votes(rows: DataFrame) -> DataFrame:
-    """Three labelers: 1 for personal data, -1 against, 0 for none. Features of the final classifier come along."""
+    """Four labelers: 1 for personal data, -1 against, 0 for none. Features of the final classifier come along."""
     v, before = F.col("value"), F.col("before")
     number = digits(v)
     distinct = F.size(F.array_distinct(F.split(number, "")))
@@ -144,7 +186,7 @@ def votes(rows: DataFrame) -> DataFrame:
     context = F.when(F.rlike(before, F.lit(rf"(?:^|[^a-z])(?:{'|'.join(COUNTER_CUES)})")), -1).when(F.rlike(before, F.lit("[:=#]\\s*$")), 1).otherwise(0)
     variety = F.when(F.length(number) == 0, F.lit("none")).when(distinct <= 2, F.lit("few")).otherwise(F.lit("many"))
     length = F.least(F.lit(8), F.floor(F.length(v) / 4)).cast("string")
-    return rows.withColumns({"l1": shape, "l2": gazetteer, "l3": context, "f1": F.col("kind"), "f2": length, "f3": variety, "f4": F.rlike(before, F.lit("[a-z]\\s*$")).cast("string")})
+    return rows.withColumns({"l1": shape, "l2": gazetteer, "l3": context, "l4": checksum(F.col("kind"), v), "f1": F.col("kind"), "f2": length, "f3": variety, "f4": F.rlike(before, F.lit("[a-z]\\s*$")).cast("string")})
 
 
 def reliabilities(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int, ...], float]:
@@ -171,17 +213,17 @@ def reliabilities(patterns: list[tuple[tuple[int, ...], int]]) -> dict[tuple[int
 
 def classify(rows: DataFrame) -> DataFrame:
     """Candidates that the final classifier accepts."""
-    marks = ("l1", "l2", "l3")
-    counted = rows.groupBy(*marks).count().collect()  # 27 rows at most
-    soft = reliabilities(sorted(((r[0], r[1], r[2]), r[3]) for r in counted))
+    counted = rows.groupBy(*LABELERS).count().collect()  # 81 rows at most
+    soft = reliabilities(sorted((tuple(r[m] for m in LABELERS), r["count"]) for r in counted))
+    pattern = F.concat_ws(",", *[F.col(m).cast("string") for m in LABELERS])
     p = F.lit(PRIOR)
-    for (a, b, c), q in soft.items():
-        p = F.when((F.col("l1") == a) & (F.col("l2") == b) & (F.col("l3") == c), F.lit(q)).otherwise(p)
+    if soft:
+        p = F.create_map(*[F.lit(x) for v, q in soft.items() for x in (",".join(map(str, v)), q)])[pattern]
     rows = rows.withColumn("p", p)
     total = rows.agg(F.coalesce(F.sum("p"), F.lit(0.0)), F.count("*")).first()
     yes, no = total[0] + 1.0, total[1] - total[0] + 1.0
     logit = F.log(F.col("p") / (1 - F.col("p")))
-    for f in ("f1", "f2", "f3", "f4"):
+    for f in FEATURES:
         # A few values each: kind, length class, variety, context.
         for value, a, b in rows.groupBy(f).agg(F.sum("p"), F.sum(1 - F.col("p"))).collect():
             weight = math.log((a + 1.0) / (yes + 1.0)) - math.log((b + 1.0) / (no + 1.0))
@@ -193,16 +235,16 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``id``, base arrays ``_email`` ... ``_phone`` and ``_added`` (array of kind, start, end) for every row of ``df``.
 
     Null text counts as empty; rows with equal ids are kept apart by their texts, and equal rows get equal spans. Null
-    ids are allowed. An empty table gives an empty result. Added spans overlap no base span.
+    ids are allowed. An empty table gives an empty result. Added spans overlap no base span. Texts are read once.
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col, F.octet_length(F.col(text_col))).alias("h"))
     rows = df.select(F.col(id_col).alias("id"), key.alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    based = base_spans(rows)
-    voted = scratch(votes(candidates(based)).drop("value", "before"), "pii-candidates")
+    found = base_spans(rows.withColumn("_c", proposed(F.col("_text")))).drop("_text")
+    found = scratch(found.withColumns({f"_{k}": F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))) for k in KINDS}), "pii-found")
+    voted = scratch(votes(candidates(found)).drop("value", "before"), "pii-candidates")
     added = classify(voted).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("_added"))
-    plain = scratch(based.drop("_text"), "pii-base")
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return plain.join(added, "_row", "left").withColumn("_added", F.coalesce("_added", none)).drop("_row")
+    return found.drop("_c").join(added, "_row", "left").withColumn("_added", F.coalesce("_added", none)).drop("_row")
 
 
 def listed(kind: str) -> Column:

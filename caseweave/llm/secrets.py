@@ -2,7 +2,9 @@
 
 Patterns propose candidates. Each is described by its length, its character transitions, how much of it dictionary
 words cover, its path, and the words beside it; a random forest (Spark ML), fitted on labelled findings, scores it.
-The dictionary and the letter transitions come from the words of all texts, by grouped counts.
+The dictionary and the letter transitions come from the words of all texts, by grouped counts. Where no labels are
+given, rules that look at a finding's form alone label those of the texts themselves that are plain, LABELLED of each kind
+at most, and drawn findings stand for kinds that the texts may lack.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, scratch, text_bytes
 
-#: Words of the dictionary, the most frequent ones; labelled findings drawn where none are given.
+#: Words of the dictionary, the most frequent ones; where no labels are given, drawn findings, and labelled ones of the texts of each kind at most (about).
 DICTIONARY_WORDS, LABELLED = 4000, 3000
 TREES, DEPTH, SEED, ACCEPT = 30, 8, 7, 0.5
 #: Bytes of context on either side.
@@ -37,6 +39,11 @@ ASSIGNED = re.compile(rb"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api", "auth", "credential", "bearer", "private", "access")
 HARMLESS_WORDS = ("sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "commit", "revision", "uuid", "etag", "integrity", "example", "placeholder", "file", "path", "id")
 HARMLESS_PATHS = ("test", "example", "sample", "fixture", "mock", "doc", "lock", "vendor", "readme")
+# Forms by which a finding is plainly a secret or plainly none.
+PLAIN_SECRET = re.compile(r"(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{20,}|sk_live_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{35})")
+PLAIN_KEY = re.compile(r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential)[\"']?\s{0,3}[:=]\s{0,3}([\"'])$")
+PLAIN_HARMLESS = re.compile(r"(?i)[0-9]+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|.*(?:x{4}|0{6}|example|placeholder|changeme|your[_-]).*")
+PLAIN_DIGEST = re.compile(r"(?i)(?:sha-?1|sha-?256|md5|commit|checksum|digest|revision|etag|integrity)\W{0,3}$")
 FEATURES = ("length", "switches", "letter_fit", "digit_share", "hex", "repeats", "coverage", "path_harmless", "path_config", "word_secret", "word_harmless", "assigned", "quoted")
 
 Lexicon = tuple[frozenset, dict]
@@ -95,6 +102,16 @@ def features(value: str, before: str, after: str, path: str, words: Lexicon) ->
     ]
 
 
+def rule_label(value: str, before: str, after: str) -> int | None:
+    """1 for a finding that is a secret by its form, 0 for one that is none, None for all others."""
+    if PLAIN_HARMLESS.fullmatch(value) or PLAIN_DIGEST.search(before) or len(set(value)) <= 4:
+        return 0
+    quoted = PLAIN_KEY.search(before)
+    if PLAIN_SECRET.fullmatch(value) or quoted and after[:1] == quoted[1] and re.fullmatch(r"(?=.*[0-9])[A-Za-z0-9+/_=-]{20,}", value):
+        return 1
+    return None
+
+
 def candidates(text: bytes) -> list[tuple[int, int]]:
     """Byte spans of candidates: assigned values, and long tokens with a digit; of overlapping ones the first stays."""
     found = [m.span(1) for m in ASSIGNED.finditer(text)]
@@ -107,34 +124,38 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def _describe(words: Lexicon, carry: list[str]):
+def _describe(words: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for small in (s for batch in batches for s in bounded(batch, "_text", 16 << 20)):
-            rows, starts, ends, values, columns = [], [], [], [], []
+            rows, starts, ends, values, rules, columns = [], [], [], [], [], []
             for i, (text, path) in enumerate(zip(text_bytes(small.column("_text")), small.column("_path").to_pylist(), strict=True)):
+                byte, point = 0, 0
                 for a, b in candidates(text):
                     value = text[a:b].decode("utf-8", "replace")
                     before, after = text[max(0, a - CONTEXT) : a].decode("utf-8", "replace"), text[b : b + CONTEXT].decode("utf-8", "replace")
+                    point += len(text[byte:a].decode("utf-8", "replace"))
+                    starts.append(point)
+                    byte, point = b, point + len(value)
+                    ends.append(point)
                     rows.append(i)
-                    starts.append(len(text[:a].decode("utf-8", "replace")))
-                    ends.append(starts[-1] + len(value))
                     values.append(value)
+                    rules.append(rule_label(value, before, after))
                     columns.append(features(value, before, after, path or "", words))
             kept = pa.array(rows, pa.int64())
-            own = [small.column(c).take(kept) for c in carry]
+            own = small.column("_carry").take(kept)
             each = [pa.array([c[k] for c in columns], pa.float64()) for k in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(values, pa.string()), *each], [*carry, "start", "end", "value", *FEATURES])
+            found = [pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(values, pa.string()), pa.array(rules, pa.int32())]
+            yield pa.RecordBatch.from_arrays([own, *found, *each], ["_carry", "start", "end", "value", "_rule", *FEATURES])
 
     return run
 
 
 def describe(df: DataFrame, words: Lexicon, text_col: str, path_col: str) -> DataFrame:
-    """One row a candidate: the other columns of ``df``, ``start``, ``end`` (code points), ``value`` and FEATURES."""
-    taken = {"start", "end", "value", *FEATURES, text_col}
-    rows = df.select("*", F.col(text_col).alias("_text"), F.col(path_col).cast("string").alias("_path"))
-    carry = [f for f in df.schema if f.name not in taken]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carry] + ["start long, end long, value string", *[f"{f} double" for f in FEATURES]])
-    return rows.mapInArrow(_describe(words, [f.name for f in carry]), schema)
+    """One row a candidate: the other columns of ``df`` as ``_carry``, ``start``, ``end`` (code points), ``value``, ``_rule`` (rule_label) and FEATURES."""
+    carry = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("_carry")
+    rows = df.select(carry, F.col(text_col).alias("_text"), F.col(path_col).cast("string").alias("_path"))
+    schema = f"_carry {rows.schema['_carry'].dataType.simpleString()}, start long, end long, value string, _rule int, " + ", ".join(f"{f} double" for f in FEATURES)
+    return rows.mapInArrow(_describe(words), schema)
 
 
 def labelled_findings(words: Lexicon, n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, int]]:
@@ -164,22 +185,44 @@ def labelled_findings(words: Lexicon, n: int = LABELLED, seed: int = SEED) -> li
     return out
 
 
+def _forest(rows: DataFrame) -> PipelineModel:
+    """A forest fitted on described findings with a ``label``."""
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="_features", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
+    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), forest]).fit(rows.select(F.col("label").cast("double").alias("label"), *FEATURES))
+
+
 def fit(spark: SparkSession, findings: list[tuple[str, str, int]] | DataFrame, words: Lexicon) -> PipelineModel:
     """A forest fitted on labelled findings: (path, text, label), each text holding one finding. A bounded set."""
     rows = findings if isinstance(findings, DataFrame) else spark.createDataFrame(findings, "path string, text string, label int")
-    described = describe(rows, words, "text", "path").withColumn("label", F.col("label").cast("double"))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featuresCol="_features", probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_features"), forest]).fit(described)
+    return _forest(describe(rows, words, "text", "path").withColumn("label", F.col("_carry.label")))
+
+
+def plain_findings(described: DataFrame, most: int = LABELLED) -> DataFrame:
+    """Described findings that rules can label, about ``most`` of each label, drawn by the hash of their value."""
+    ruled = described.where(F.col("_rule").isNotNull()).withColumn("label", F.col("_rule"))
+    share = F.lit(0.0)
+    for label, n in ruled.groupBy("label").count().collect():  # two rows
+        share = F.when(F.col("label") == label, F.lit(min(1.0, most / n))).otherwise(share)
+    return ruled.where(F.pmod(F.xxhash64("value"), F.lit(1 << 30)) < share * (1 << 30))
 
 
 def scan(df: DataFrame, text_col: str = "text", path_col: str = "source", findings: list[tuple[str, str, int]] | DataFrame | None = None) -> DataFrame:
     """One row a candidate of ``df``: its other columns, ``start``, ``end``, ``value``, ``probability``, ``is_secret``.
 
     Null or empty texts hold none; a null path says nothing; a run of any length is one value. Columns of ``df`` with
-    those names are replaced. An empty table gives an empty result.
+    those names are replaced; no other name can clash. Repeated rows give repeated findings. An empty table gives an
+    empty result.
     """
     spark = df.sparkSession
+    made = ("start", "end", "value", "probability", "is_secret")
+    kept = [c for c in df.columns if c not in made and c != text_col]
     words = lexicon(df, text_col)
-    model = fit(spark, labelled_findings(words) if findings is None else findings, words)
-    scored = model.transform(describe(df.drop("probability", "is_secret"), words, text_col, path_col)).withColumn("probability", vector_to_array("_probability")[1])
-    return scored.withColumn("is_secret", F.col("probability") >= ACCEPT).drop("_features", "_probability", "_raw", "_prediction", *FEATURES)
+    described = scratch(describe(df.drop(*[c for c in made if c not in (text_col, path_col)]), words, text_col, path_col), "secret-candidates")
+    if findings is None:
+        drawn = describe(spark.createDataFrame(labelled_findings(words), "path string, text string, label int"), words, "text", "path")
+        columns = ["label", *FEATURES]
+        model = _forest(drawn.withColumn("label", F.col("_carry.label")).select(columns).unionByName(plain_findings(described).select(columns)))
+    else:
+        model = fit(spark, findings, words)
+    scored = model.transform(described).withColumn("probability", vector_to_array("_probability")[1])
+    return scored.select(*[F.col("_carry")[c].alias(c) for c in kept], "start", "end", "value", "probability", (F.col("probability") >= ACCEPT).alias("is_secret"))

@@ -135,6 +135,86 @@ def test_op6_added_spans(spark, write_docs):
     assert not any("ssn" in got[100 + i] for i in range(60))
 
 
+def test_op6_added_spans_by_brute_force(spark, write_docs):
+    """Expectation-maximisation and the classifier once more, span by span in plain Python, from patterns and votes of its own."""
+    import math
+    import random
+
+    from caseweave.llm import pii
+
+    rng = random.Random(4)
+    cues, odd = ["SSN: ", "social ", "order ", "version ", "call ", "tel ", "page ", "", "x y ", "account "], ["DE89 3704 0044 0532 0130 00", "GB00 1234 5678 9012 3456 00", "Dr Anna Weber", "Ms Li"]
+    number = lambda: rng.choice([f"{rng.randint(1, 999):03d}-{rng.randint(0, 99):02d}-{rng.randint(0, 9999):04d}", f"({rng.randint(100, 999)}) {rng.randint(100, 999)}-{rng.randint(0, 9999):04d}", rng.choice(odd)])
+    docs = [(i, "".join(f"{rng.choice(cues)}{number()}, aé {rng.choice(['', '10.0.0.7 ', '+49 30 1234567 '])}" for _ in range(rng.randint(0, 6))), "a") for i in range(150)]
+    docs += docs[:5] + [(None, docs[7][1], "a")] * 3
+
+    def luhn97(v):
+        v = v.replace(" ", "").upper()
+        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+    def base(t):
+        out = []
+        for k in ("ip", "phone", "card"):
+            for m in re.finditer({"ip": r"[0-9]+(?:\.[0-9]+){3}", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "card": r"[0-9](?:[\x20-]?[0-9])+"}[k], t):
+                d = re.sub("[^0-9]", "", m[0])
+                if k == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or k == "phone" and 9 <= len(d) <= 15 or k == "card" and 13 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0:
+                    out.append(m.span())
+        return out
+
+    spans = []
+    for i, t in sorted({(d[0], d[1]) for d in docs}, key=str):
+        taken = base(t)
+        for kind, p in pii.CANDIDATES.items():
+            end, last = 0, ""
+            for m in re.finditer(p, t):
+                before, (v, a, b) = (last + t[end : m.start()])[-pii.CONTEXT :].lower(), (m[0], *m.span())
+                end, last = b, v
+                if any(x < b and a < y for x, y in taken):
+                    continue
+                d = re.sub("[^0-9]", "", v)
+                shape = {"iban": 1 if 15 <= len(v.replace(" ", "")) <= 34 else -1, "ssn": -1 if re.search("^(?:000|666|9[0-9]{2})|-00-|-0000$", v) else 1, "local_phone": -1 if re.search(r"^\(?[01]", v) else 1, "name": int(len(v) >= 7)}[kind]
+                gazetteer = int(re.search(rf"(?:^|[^a-z])(?:{'|'.join(pii.GAZETTEER[kind])})[^a-z]*(?:[a-z]+[^a-z]+){{0,2}}$", before) is not None)
+                context = -1 if re.search(rf"(?:^|[^a-z])(?:{'|'.join(pii.COUNTER_CUES)})", before) else int(re.search(r"[:=#]\s*$", before) is not None)
+                check = {"iban": lambda v=v: 1 if luhn97(v) else -1, "ssn": lambda d=d: 1 if "001" <= d[:3] <= "899" and d[:3] != "666" else -1, "local_phone": lambda d=d: int(re.match("[2-9][0-8][0-9][2-9]", d) is not None), "name": lambda: 0}[kind]()
+                variety = "none" if not d else "few" if len(set(d)) <= 2 else "many"
+                spans.append(((i, t), kind, a, b, (shape, gazetteer, context, check), (kind, str(min(8, len(v) // 4)), variety, str(re.search(r"[a-z]\s*$", before) is not None).lower())))
+    p = [min(0.95, max(0.05, 0.5 + 0.2 * sum(s[4]))) for s in spans]
+    for _ in range(pii.ROUNDS):
+        yes, n = sum(p), len(p)
+        share = (yes + pii.PRIOR) / (n + 1)
+        rate = {}
+        for k in range(4):
+            for vote in (-1, 0, 1):
+                own = [q for q, s in zip(p, spans, strict=True) if s[4][k] == vote]
+                rate[k, vote] = (sum(own) + (1 if vote > 0 else 0.5)) / (yes + 2), (len(own) - sum(own) + (1 if vote < 0 else 0.5)) / (n - yes + 2)
+        odds = [math.log(share / (1 - share)) + sum(math.log(rate[k, s[4][k]][0] / rate[k, s[4][k]][1]) for k in range(4)) for s in spans]
+        p = [1 / (1 + math.exp(-max(-30, min(30, o)))) for o in odds]
+    yes, no = sum(p) + 1, len(p) - sum(p) + 1
+    weight = {}
+    for k in range(4):
+        for value in {s[5][k] for s in spans}:
+            own = [q for q, s in zip(p, spans, strict=True) if s[5][k] == value]
+            weight[k, value] = math.log((sum(own) + 1) / (yes + 1)) - math.log((len(own) - sum(own) + 1) / (no + 1))
+    want = {}
+    for q, s in zip(p, spans, strict=True):
+        if 1 / (1 + math.exp(-(math.log(q / (1 - q)) + sum(0.5 * weight[k, s[5][k]] for k in range(4))))) >= pii.ACCEPT:
+            want.setdefault(s[0], []).append((s[1], s[2], s[3]))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = pii.find_pii(df.select("doc_id", "text")).join(df.withColumnRenamed("doc_id", "id").groupBy("id").agg({"text": "first"}).toDF("id", "t"), "id").collect()
+    assert len(spans) > len([x for v in want.values() for x in v]) > 50
+    for r in got:
+        assert sorted(tuple(x) for x in r["_added"]) == sorted(want.get((r["id"], r["t"]), [])), r["t"]
+
+
+def test_op6_long_text_of_numbers(spark, write_docs):
+    import time
+
+    text = ", ".join(f"+49 30 {i:07d}" for i in range(16_000))
+    began = time.time()
+    (r,) = rows(spark, write_docs([(1, text, "a")]), "op6_weak_supervision")
+    assert r["n_phone"] == 16_000 and r["spans"].split(",")[-1] == f"phone:{len(text) - 14}:{len(text)}" and time.time() - began < 20
+
+
 def brute_matches(text, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))

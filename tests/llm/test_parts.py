@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from caseweave.llm import language, media, secrets, simhash, suffixdedup
@@ -216,10 +217,71 @@ def test_secret_forest_on_held_out_findings(spark):
     words = secrets.lexicon(table(spark, SF, "documents"))
     model = secrets.fit(spark, secrets.labelled_findings(words, 1500), words)
     held = spark.createDataFrame(secrets.labelled_findings(words, 600, seed=91), "path string, text string, label int")
-    rows = model.transform(secrets.describe(held, words, "text", "path")).select("label", "_prediction").collect()
+    rows = model.transform(secrets.describe(held, words, "text", "path")).select("_carry.label", "_prediction").collect()
     assert sum(r["label"] == r["_prediction"] for r in rows) >= 0.95 * len(rows)
 
 
+def test_secret_candidates_and_places_by_brute_force(spark):
+    """Tokens letter by letter, places in code points, runs of any length, many findings in one text."""
+    rng = random.Random(5)
+    inside = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    texts = [None, "", "a" * 600 + "1", ("x" * 1199) + "2 é " + ("y" * 99_999) + "3", "\u00e9 \U0001f600 " * 50 + "k9" * 40]
+    for _ in range(60):
+        texts.append("".join(rng.choice(["é", " ", "\n", '"', "ab", "Z9", "k" * 15, "0" * 17, "+/", "=", "ñ", "q1w2e3r4t5y6u7i8"]) for _ in range(rng.randint(1, 300))))
+
+    def brute(t):
+        out, at = [], 0
+        while at < len(t):
+            if t[at] not in inside or at and t[at - 1] in inside:
+                at += 1
+                continue
+            end = at
+            while end < len(t) and t[end] in inside:
+                end += 1
+            if end - at >= 16:
+                stop = end
+                while stop < min(len(t), end + 2) and t[stop] == "=":
+                    stop += 1
+                if any(c.isdigit() for c in t[at:stop]):
+                    out.append((at, stop, t[at:stop]))
+            at = end
+        return out
+
+    df = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], "doc_id long, text string, source string, _rule string")
+    got = {}
+    for r in secrets.scan(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["value"]))
+        assert 0 <= r["probability"] <= 1 and r["_rule"] == "x"
+    assert {i: sorted(v) for i, v in got.items()} == {i: brute(t) for i, t in enumerate(texts) if t and brute(t)}
+    log = " ".join(f"token={i:032x} é" for i in range(20_000))  # places are counted on, not from the start each time
+    batch = spark.createDataFrame([(1, log, "s")], "doc_id long, text string, source string")
+    last = secrets.describe(batch, (frozenset(), {}), "text", "source").orderBy("start").tail(1)[0]
+    assert log[last["start"] : last["end"]] == last["value"] == f"{19_999:032x}"
+
+
+def test_secret_features_by_hand():
+    words = (frozenset({"word", "words", "house"}), {"wo": -1.0, "or": -3.0})
+    got = dict(zip(secrets.FEATURES, secrets.features("wordhouseX12", 'the api_key = "', '" end', "conf/app.env", words), strict=True))
+    assert got["length"] == 12 and got["switches"] == 2 / 12 and got["coverage"] == 9 / 12 and got["digit_share"] == 2 / 12
+    assert got["letter_fit"] == (-1.0 - 3.0 - 14.0 * 7) / 9 and got["repeats"] == len(set("wordhousex12")) / 12
+    assert (got["hex"], got["path_harmless"], got["path_config"], got["word_secret"], got["word_harmless"], got["assigned"], got["quoted"]) == (0, 0, 1, 1, 0, 1, 1)
+
+
+def test_secrets_of_the_tables(spark):
+    """Precision and recall on findings of the tables that rules can label, fitted on one half of them, held out the other."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    words = secrets.lexicon(docs)
+    described = secrets.describe(docs.select("doc_id", "text", "source"), words, "text", "source").where("_rule IS NOT NULL").withColumn("label", F.col("_rule")).cache()
+    odd = F.pmod(F.xxhash64("value"), F.lit(2)) == 1
+    drawn = secrets.describe(spark.createDataFrame(secrets.labelled_findings(words), "path string, text string, label int"), words, "text", "path").withColumn("label", F.col("_carry.label"))
+    columns = ["label", *secrets.FEATURES]
+    model = secrets._forest(drawn.select(columns).unionByName(described.where(odd).select(columns)))
+    rows = model.transform(described.where(~odd)).select("label", "_prediction").collect()
+    hit = sum(r["label"] == 1 == r["_prediction"] for r in rows)
+    print("precision", hit, sum(r["_prediction"] for r in rows), "recall", hit, sum(r["label"] for r in rows), "of", len(rows))
+    assert hit >= 0.95 * sum(r["label"] for r in rows) and hit >= 0.95 * sum(r["_prediction"] for r in rows) and hit > 0
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     columns, seen = docs.columns, docs.count()
