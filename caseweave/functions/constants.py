@@ -26,9 +26,9 @@ PLACEHOLDER_GROUPS = (
 )
 WORD_GROUPS = ("PERSON", "PRIVATE_PERSON", "ORG", "ORGANIZATION", "ORGANIZZAZIONE")
 LOOSE_GROUPS = ("ORG", "ORGANIZATION", "PERSON", "PRIVATE_PERSON")
+ADDRESS_GROUPS, DATE_GROUPS = ("PRIVATE_ADDRESS", "ADDRESS"), ("PRIVATE_DATE", "DATE")
 ORG_CUES = ("associazione", "azienda", "condominio", "cooperativa", "ditta", "ente", "fondazione", "impresa", "istituto", "societa", "srl", "spa", "snc", "sas")
 STREET_WORDS = ("via", "viale", "piazza", "corso", "largo")
-ALLOWED_MARKERS = ("[DA DECIDERE]",)
 
 # Patterns, as Java and Python both read them.
 PLACEHOLDER = r"\[[A-Z_]+_\d+\]"
@@ -37,6 +37,13 @@ NUMBER = r"(?:€\s*)?\b\d{1,3}(?:[.\s]\d{3})+(?:,\d+)?\b|\b\d+/\d{2,4}\b|\b\d{1
 WORD = r"[\wÀ-ÖØ-öø-ÿ']+"
 SENTENCE_END = r"\n{2,}|(?<=[.;:!?])\s+(?=(?:\[[A-Z_]+_\d+\]|[A-ZÀ-Ö]))"
 COMPANY_SUFFIX = r"\b(s\.?\s*r\.?\s*l\.?|s\.?\s*p\.?\s*a\.?|s\.?\s*n\.?\s*c\.?|s\.?\s*a\.?\s*s\.?|societa|societa'|cooperativa|coop|impresa|ditta)\b"
+# Forms that need no map: allowed markers, and placeholders of a known group.
+KNOWN_FORM = rf"\[DA DECIDERE\]|\[(?:{'|'.join(PLACEHOLDER_GROUPS)})_\d+\]"
+# Spacing around placeholders, rule after rule; $1 is the first group.
+SPACING = (
+    (rf"(?<=[\wÀ-ÖØ-öø-ÿ])({PLACEHOLDER})", " $1"), (rf"(?<=[.;:!?])(?={PLACEHOLDER})", " "), (rf"({PLACEHOLDER})(?=[\wÀ-ÖØ-öø-ÿ])", "$1 "),
+    (rf"({PLACEHOLDER})(?={PLACEHOLDER})", "$1 "), (rf"({PLACEHOLDER})(?:\s+\1)+", "$1"), (r"\s+([,.;:!?])", "$1"), (r"([(\[])\s+", "$1"), (r"\s+([)\]])", "$1"), (r"[ \t]{2,}", " "),
+)
 PII = {
     "CODICE_FISCALE": r"\b[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]\b",
     "IBAN": r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b",
@@ -78,6 +85,7 @@ TRANSITIONS = (
 )
 
 # Thresholds.
+REPAIR_RATIO, NEEDLE_CHARS, STREET_CHARS = 0.78, 4, 32
 CHUNK_CHARS, CONTEXT_CHARS, CASE_CHARS, SNIPPET_CHARS = 800, 16_000, 8_000, 420
 WINDOW_WORDS, WINDOW_STEP = 90, 70
 TRACE_KEEP, WEAK_SCORE, STRONG, USEFUL = 0.18, 0.45, 0.68, 0.38

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,43 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(_text(c), F.lit("(?U)" + pattern), F.lit(group))
 
 
+_SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
+#: Matches whose places are added up together.
+BLOCK = 64
+
+
+def match_spans(c: Column, pattern: str, context: int = 0) -> Column:
+    """All leftmost, non-overlapping matches as array<struct<start, end, value, before>>, in code points, end exclusive.
+
+    Matches and the pieces between them take turns, so a match begins where the lengths before it add up to. They are
+    added up in blocks, and the blocks' places before them, so long texts of matches stay cheap. ``before`` is the end of
+    what stands between the match and the one before it, that one included, in lower case.
+    """
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    last = F.concat(F.array(F.lit("")), found)
+    around = lambda p: F.lower(F.substring(F.concat(p["last"], p["gap"]), -context, context)) if context else F.lit("")
+    pairs = F.zip_with(F.arrays_zip(F.split(c, pattern, -1).alias("gap"), last.alias("last")), found, lambda p, hit: F.struct(F.length(p["gap"]).alias("gap"), hit.alias("hit"), around(p).alias("before")))
+    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    width = lambda p: p["gap"] + F.length(p["hit"])
+
+    def add(state: Column, p: Column) -> Column:
+        start, end = state["at"] + p["gap"], state["at"] + width(p)
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("value"), p["before"].alias("before")))
+        return F.struct(end.alias("at"), F.concat(state["out"], one).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + width(p)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, none, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda s: s["out"])))
+
+    def blocks(p: Column) -> Column:
+        n = F.ceil(F.size(p) / BLOCK).cast("int")
+        return F.when(n == 0, F.array().cast(_SPAN)).otherwise(_let(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.slice(p, (k - 1) * BLOCK + 1, F.lit(BLOCK))), placed))
+
+    return _let(pairs, blocks)
+
+
 def normalise_claim(c: Column) -> Column:
     """Placeholders out, lower case, anything but letters and digits to single spaces."""
     bare = F.lower(F.regexp_replace(_text(c), C.PLACEHOLDER, " "))
@@ -176,12 +215,27 @@ def case_tag(c: Column) -> Column:
     return tag
 
 
+def _ascii_forms() -> tuple[str, str, dict[str, str]]:
+    """Characters with an ASCII part in their compatibility decomposition: those of one letter, their letters, and the others."""
+    forms = {chr(k): "".join(x for x in unicodedata.normalize("NFKD", chr(k)) if x < "\x80") for k in range(0x80, 0x20000) if not 0xD800 <= k < 0xE000}
+    single = {c: f for c, f in forms.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in forms.items() if len(f) > 1}
+
+
+_FROM, _TO, _LIGATURES = _ascii_forms()
+
+
+def ascii_letters(c: Column) -> Column:
+    """Decomposed, and what isn't ASCII left out. Texts in ASCII pass by; ligatures and the like go letter by letter."""
+    wide = F.map_from_arrays(F.array(*[F.lit(x) for x in _LIGATURES]), F.array(*[F.lit(x) for x in _LIGATURES.values()]))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(wide, x), x)), "")
+    whole = F.when(F.rlike(c, F.lit("[" + "".join(_LIGATURES) + "]")), spelled).otherwise(c)
+    return F.when(F.rlike(c, F.lit(r"^[\x00-\x7F]*$")), c).otherwise(F.regexp_replace(F.translate(whole, _FROM, _TO), r"[^\x00-\x7F]", ""))
+
+
 def graph_key(c: Column) -> Column:
-    """Latin letters without accents, lower case, other characters to single spaces, at most 255 characters."""
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-    plain = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-    ascii_ = F.regexp_replace(F.translate(_text(c), accented, plain), r"[^\x00-\x7F]", "")
-    return F.substring(F.trim(F.regexp_replace(F.lower(ascii_), "[^a-z0-9]+", " ")), 1, 255)
+    """Letters and digits without accents, lower case, other characters to single spaces, at most 255 characters."""
+    return F.substring(F.trim(F.regexp_replace(F.lower(ascii_letters(_text(c))), "[^a-z0-9]+", " ")), 1, 255)
 
 
 def reference_present(label: Column, text: Column) -> Column:
@@ -194,13 +248,8 @@ def reference_present(label: Column, text: Column) -> Column:
 
 def tidy_placeholders(c: Column) -> Column:
     """Single spaces around placeholders, repeats of one merged, none before punctuation."""
-    p, letter = C.PLACEHOLDER, r"[\wÀ-ÖØ-öø-ÿ]"
-    steps = (
-        (rf"(?U)(?<={letter})({p})", " $1"), (rf"(?<=[.;:!?])(?={p})", " "), (rf"(?U)({p})(?={letter})", "$1 "), (rf"({p})(?={p})", "$1 "),
-        (rf"({p})(?:\s+\1)+", "$1"), (r"(?U)\s+([,.;:!?])", "$1"), (r"(?U)([(\[])\s+", "$1"), (r"(?U)\s+([)\]])", "$1"), (r"[ \t]{2,}", " "),
-    )
-    for pattern, to in steps:
-        c = F.regexp_replace(c, pattern, to)
+    for pattern, to in C.SPACING:
+        c = F.regexp_replace(c, "(?U)" + pattern, to)
     return c
 
 
@@ -210,8 +259,7 @@ def placeholder_group(c: Column) -> Column:
 
 def placeholder_valid(token: Column, known: Column) -> Column:
     """An allowed marker, or a well-formed placeholder that is mapped or of a known group."""
-    formed = F.rlike(token, F.lit(f"^{C.PLACEHOLDER}$"))
-    return token.isin(*C.ALLOWED_MARKERS) | (formed & (F.array_contains(known, token) | placeholder_group(token).isin(*C.PLACEHOLDER_GROUPS)))
+    return F.rlike(token, F.lit(f"^(?:{C.KNOWN_FORM})$")) | (F.rlike(token, F.lit(f"^{C.PLACEHOLDER}$")) & F.array_contains(known, token))
 
 
 def restore(c: Column, entities: Column) -> Column:

@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from caseweave.operators.privacy import Registry
+from caseweave.operators.privacy import CaseNames
 
 OUTPUT = "case_id long, doc_id long, text string"
 STATE = "phs array<string>, reals array<string>"
 
 
 def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    registry = Registry(dict(zip(*state.get, strict=True)) if state.exists else None)
+    names = CaseNames(dict(zip(*state.get, strict=True)) if state.exists else None)
     rows = pd.concat(list(frames)).sort_values(["ord", "doc_id"])
-    texts = [registry.add(r.masked or "", {e["ph"]: e["value"] for e in r.entities}) for r in rows.itertuples()]
-    state.update((list(registry.known.keys()), list(registry.known.values())))
+    texts = [names.rewrite(r.masked or "", {e["ph"]: e["value"] for e in r.entities}) for r in rows.itertuples()]
+    state.update((list(names.known.keys()), list(names.known.values())))
     yield pd.DataFrame({"case_id": [key[0]] * len(rows), "doc_id": rows["doc_id"].to_numpy(), "text": texts})
 
 

@@ -11,56 +11,50 @@ from caseweave.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
-def plain_add(known, text, entities):
-    """Registry.add() with plain searches of the whole registry."""
+def plain_rewrite(known, text, entities):
+    """CaseNames.rewrite() with plain searches of all names."""
+    C, norms = privacy.C, lambda: [(entity_norm(v), p) for p, v in known.items() if entity_norm(v)]
 
-    def new(group, value):
-        numbers = [int(p.rsplit("_", 1)[1][:-1]) for p in known if p.startswith(f"[{group}_") and p[len(group) + 2 : -1].isdigit()]
-        known[f"[{group}_{max(numbers, default=0) + 1}]"] = value
-        return list(known)[-1]
+    def admit(group, value):
+        taken = [int(m[1]) for p in known if (m := re.fullmatch(rf"\[{group}_(\d+)\]", p))]
+        known[ph := f"[{group}_{max(taken, default=0) + 1}]"] = value
+        return ph
 
-    def find(value, group):
-        norm = entity_norm(value)
-        same = next((p for p, v in known.items() if v == value), None)
-        if same or not norm:
-            return same
-        mine = {entity_norm(v): p for p, v in known.items() if privacy._any_group(p) == group and entity_norm(v)}
-        return mine.get(norm) or next((p for n, p in mine.items() if privacy._near(norm, n, group)), None)
+    def lookup(value, group):
+        if equal := [p for p, v in known.items() if v == value]:
+            return equal[-1]
+        norm, own = entity_norm(value), {n: p for n, p in norms() if privacy._any_group(p) == group}
+        near = [p for n, p in own.items() if norm and group in privacy.NEAR and privacy.NEAR[group](norm, n)]
+        return own.get(norm) or (near or [None])[0]
 
-    for i, ph in enumerate(entities):
-        text = text.replace(ph, f"\0{i}\0")
-    for i, (ph, value) in enumerate(entities.items()):
-        clean, group = " ".join(value.split()), privacy._any_group(ph)
-        text = text.replace(f"\0{i}\0", find(clean, group) or new(group, clean))
-    for ph in list(known):
-        value, group = known[ph], privacy._any_group(ph)
-        if "DATE" in group and (m := re.search(rf"{re.escape(ph)}\s*(\d)\b", text)):
-            cut, whole = re.search(r"\b(?:19|20)\d$", value), re.search(r"\b(?:19|20)\d{2}$", value)
-            if cut or (whole and m[1] == value[-1]):
-                text = text[: m.start()] + ph + text[m.end() :]
-                known[ph] = value + m[1] if cut else value
-        if "ADDRESS" in group and 0 < len(value) <= 32 and (m := re.search(rf"\b([A-ZÀ-Ö][a-zà-öø-ÿ]{{2,12}})\s*{re.escape(ph)}", text)) and entity_norm(m[1]) not in privacy.C.STREET_WORDS:
-            text = text[: m.start()] + ph + text[m.end() :]
-            if value[0].islower():
-                known[ph] = m[1] + value
+    canonical = {ph: lookup(" ".join(v.split()), privacy._any_group(ph)) or admit(privacy._any_group(ph), " ".join(v.split())) for ph, v in entities.items()}
+    text = re.sub(C.PLACEHOLDER, lambda m: canonical.get(m[0], m[0]), text)
+    for ph, value in list(known.items()):
+        if "DATE" in ph and (year := re.search(r"\b(?:19|20)\d{1,2}$", value)):
+            digit = r"(\d)" if len(year[0]) == 3 else f"({value[-1]})"
+            if m := re.search(rf"{re.escape(ph)}\s*{digit}\b", text):
+                text, known[ph] = text[: m.start()] + ph + text[m.end() :], value + m[1] * (len(year[0]) == 3)
+        if "ADDRESS" in ph and 0 < len(value) <= 32:
+            m = re.search(rf"\b([A-ZÀ-Ö][a-zà-öø-ÿ]{{2,12}})\s*{re.escape(ph)}", text)
+            if m and entity_norm(m[1]) not in C.STREET_WORDS:
+                text, known[ph] = text[: m.start()] + ph + text[m.end() :], m[1] * value[0].islower() + value
     for kind, token in sorted(privacy._unknown(text, known), key=lambda c: -len(c[1])):
         norm = entity_norm(token)
-        if len(norm) >= 4 and not any(norm in n or n in norm for n in map(entity_norm, known.values()) if n):
-            company = kind == "organizzazione" or (kind != "persona" and set(norm.split()) & set(privacy.C.ORG_CUES))
-            new("ORGANIZZAZIONE" if company else "PRIVATE_PERSON", token)
-    return privacy._tidy(privacy._mask(text, known))
+        if len(norm) >= 4 and not any(norm in n or n in norm for n, _ in norms()):
+            admit("ORGANIZZAZIONE" if kind == "organizzazione" or kind != "persona" and set(norm.split()) & set(C.ORG_CUES) else "PRIVATE_PERSON", token)
+    return privacy._mask(text, known)
 
 
 def test_registry_index_equals_plain_searches():
     rng = random.Random(4)
     first, last = ("Anna", "Carlo", "Élise", "İlker", "Maria", "Nina"), ("Bianchi", "Neri", "Strauß", "De Luca", "D'Amico", "Rossi")
     name = lambda: f"{rng.choice(first)} {rng.choice(last)}"
-    known, registry = {}, privacy.Registry()
+    known, registry = {}, privacy.CaseNames()
     for _ in range(120):
         entities = {f"[{g}_{k}]": v for k, (g, v) in enumerate([("PRIVATE_PERSON", name()), ("ORG", f"{rng.choice(last)} Srl"), ("EMAIL", f"{rng.choice(first)}@x.it"), ("PRIVATE_ADDRESS", f"via {rng.choice(last)} {rng.randint(1, 3)}")][: rng.randint(0, 4)])}
         words = [*entities, name(), name().upper(), f"avv. {rng.choice(last)}", f"{name()} Cooperativa", "[PRIVATE_PERSO_1]", "e poi", "+39 02", f"({rng.choice(last).lower()})"]
         text = " ".join(rng.sample(words, len(words)))
-        assert registry.add(text, entities) == plain_add(known, text, entities)
+        assert registry.rewrite(text, entities) == plain_rewrite(known, text, entities)
         assert list(registry.known.items()) == list(known.items())
 
 
@@ -72,5 +66,5 @@ def test_registry_takes_documents_without_an_email(spark):
     known = {}
     for r in map(lambda r: SimpleNamespace(**r.asDict()), privacy.pseudonymise(rows).orderBy("case_id", "doc_id").collect()):
         mine = known.setdefault(r.case_id, {})
-        text = plain_add(mine, r.masked, {e["ph"]: e["value"] for e in r.entities})
+        text = plain_rewrite(mine, r.masked, {e["ph"]: e["value"] for e in r.entities})
         assert (got[r.case_id, r.doc_id]["n_entities"], got[r.case_id, r.doc_id]["n_chars"]) == (len(mine), len(text))
