@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseweave.functions.text import match_spans
+
 from .common import scratch
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,8 +48,8 @@ GAZETTEER = {
 }
 CONTEXT = 40
 LABELERS, FEATURES = ("l1", "l2", "l3", "l4"), ("f1", "f2", "f3", "f4")
-#: Matches added up in a block; code points of a stretch, as a power of two.
-BLOCK, STRETCH = 64, 6
+#: Code points of a stretch, as a power of two.
+STRETCH = 6
 #: Words that make a number an order, a version or a sum rather than a person's.
 COUNTER_CUES = ("order", "version", "invoice", "total", "isbn", "serial", "page", "item")
 #: Rounds of expectation-maximisation; prior share of true candidates; least probability of an added span.
@@ -57,49 +59,12 @@ ROUNDS, PRIOR, ACCEPT = 25, 0.5, 0.5
 _SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
 
 
-def _once(value: Column, f) -> Column:
-    """f(value), the value being computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def spans(text: Column, pattern: str) -> Column:
-    """All leftmost, non-overlapping matches as array<struct<start, end, value, before>>, in code points, end exclusive.
-
-    Matches and the pieces between them take turns, so a match begins where the lengths before it add up to. They are
-    added up in blocks of BLOCK, and the blocks' places before them, so long texts of matches stay cheap. ``before`` is
-    the end of what stands between the match and the one before it, that one included.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    before = F.concat(F.array(F.lit("")), found)
-    pairs = F.zip_with(F.arrays_zip(between.alias("gap"), before.alias("last")), found, lambda p, hit: F.struct(F.length(p["gap"]).alias("gap"), hit.alias("hit"), F.lower(F.substring(F.concat(p["last"], p["gap"]), -CONTEXT, CONTEXT)).alias("before")))
-    pairs = F.filter(pairs, lambda p: p["hit"].isNotNull())
-    width = lambda p: p["gap"] + F.length(p["hit"])
-
-    def add(state: Column, p: Column) -> Column:
-        start, end = state["at"] + p["gap"], state["at"] + width(p)
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("value"), p["before"].alias("before")))
-        return F.struct(end.alias("at"), F.concat(state["out"], one).alias("out"))
-
-    def placed(blocks: Column) -> Column:
-        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + width(p)))
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        starts = F.aggregate(sums, none, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
-        return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda s: s["out"])))
-
-    def blocks(p: Column) -> Column:
-        n = F.ceil(F.size(p) / BLOCK).cast("int")
-        return F.when(n == 0, F.array().cast(_SPAN)).otherwise(_once(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.slice(p, (k - 1) * BLOCK + 1, F.lit(BLOCK))), placed))
-
-    return _once(pairs, blocks)
-
-
 def guarded_spans(text: Column, pattern: str, need: str | None = None) -> Column:
-    """spans(), computed only for texts that hold a match."""
+    """match_spans() with CONTEXT code points before each, computed only for texts that hold a match."""
     hit = F.rlike(text, F.lit(pattern))
     if need is not None:
         hit = F.contains(text, F.lit(need)) & hit
-    return F.when(hit, spans(text, pattern)).otherwise(F.array().cast(_SPAN))
+    return F.when(hit, match_spans(text, pattern, CONTEXT)).otherwise(F.array().cast(_SPAN))
 
 
 def digits(value: Column) -> Column:
