@@ -92,3 +92,31 @@ TRACE_KEEP, WEAK_SCORE, STRONG, USEFUL = 0.18, 0.45, 0.68, 0.38
 NEAR, USABLE = 0.28, 0.38
 LOW_CONFIDENCE, DEFAULT_CONFIDENCE = 0.55, 0.65
 BLOCK_COST, WARNING_COST = 12, 4
+
+# Events of the editor; lengths of a dashboard's lists.
+EDITOR_EVENTS = ("bozza_aggiornata", "motivazione_aggiornata")
+DASHBOARD = {"placeholders": 12, "claims": 12, "gaps": 10, "risks": 8, "actions": 8}
+# Marks of a generated operative part; openings of search leads and what pasted ones open with; signs of a lost model server.
+SKELETON_MARKS = ("Convenuto/ricorrente", "[DA DECIDERE]", "Spese di lite:", "Il Giudice, ogni diversa domanda")
+SEARCH_OPENINGS = ("La ricerca web suggerisce", "La ricerca suggerisce", "Dalla ricerca web emerge", "Dalla ricerca emerge")
+PASTED_OPENING = "Dai risultati incollati emerge"
+UNREACHABLE = ("host.docker.internal", "11434", "network is unreachable", "connection refused", "connecterror")
+# Sentences of a reasoning that no model wrote.
+FALLBACK_START = ("La richiesta di parte ", " riguarda: ")
+FALLBACK_MIDDLE = {
+    "istruttoria": " La valutazione deve concentrarsi su rilevanza, ammissibilita' e utilita' del mezzo istruttorio rispetto ai fatti controversi.",
+    "difesa_eccezione": " La decisione richiede di verificare se le contestazioni e le eccezioni risultano specifiche e supportate dagli atti.",
+    "": " La decisione richiede di verificare prova del fatto costitutivo, eventuali fatti impeditivi o estintivi e coerenza degli importi indicati.",
+}
+FALLBACK_END = " Restano da sciogliere i quesiti aperti indicati nella scheda."
+UNCONTESTED_DOUBT = "Verifica se il fatto è davvero non contestato: "
+# Drafting templates (id, label, scope, structure, method).
+TEMPLATES = (
+    ("civile_ordinario", "Civile ordinario", "civile", "Svolgimento del processo; Motivi della decisione; P.Q.M.", "separa domande, eccezioni e istruttoria; esplicita onere probatorio e fatti controversi; mantieni le valutazioni discrezionali come quesiti."),
+    ("appalto", "Appalto", "civile", "rapporto contrattuale; consegna/collaudo; contestazioni tecniche; penali; danni; riconvenzionale.", "distinguere difetti, ritardo, nesso causale, concause e utilita' di CTU."),
+    ("opposizione_di", "Opposizione a decreto ingiuntivo", "civile", "decreto opposto; motivi di opposizione; prova del credito; eccezioni; decisione su revoca/conferma.", "verifica titolo, esigibilita', contestazioni specifiche e riparto dell'onere."),
+    ("responsabilita", "Responsabilita' civile", "civile", "fatto dannoso; condotta; nesso causale; danno; concorso; liquidazione.", "separa allegazione, prova, causalita' e quantificazione."),
+    ("penale", "Penale", "penale", "imputazione; prove dell'accusa; difese; qualificazione giuridica; trattamento sanzionatorio o formule assolutorie; statuizioni civili.", "tenere distinto fatto storico, elemento soggettivo e alternative ricostruttive."),
+    ("cautelare", "Cautelare", "civile", "fumus; periculum; bilanciamento; misura.", "evidenzia urgenza, irreparabilita', proporzionalita' e punti da decidere."),
+    ("lavoro", "Lavoro", "lavoro", "rapporto; mansioni/inquadramento; fatti contestati; prova; conteggi; decisione.", "distinguere allegazioni datoriali e del lavoratore, documenti retributivi e prova testimoniale."),
+)

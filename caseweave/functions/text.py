@@ -14,7 +14,7 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def _trim(c: Column) -> Column:
+def trimmed(c: Column) -> Column:
     """Unicode white space off both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -75,7 +75,7 @@ def match_spans(c: Column, pattern: str, context: int = 0) -> Column:
 def normalise_claim(c: Column) -> Column:
     """Placeholders out, lower case, anything but letters and digits to single spaces."""
     bare = F.lower(F.regexp_replace(_text(c), C.PLACEHOLDER, " "))
-    return _trim(F.regexp_replace(bare, r"(?U)[^\wÀ-ÖØ-öø-ÿ]+", " "))
+    return trimmed(F.regexp_replace(bare, r"(?U)[^\wÀ-ÖØ-öø-ÿ]+", " "))
 
 
 def relevance_tokens(c: Column) -> Column:
@@ -105,14 +105,14 @@ def jaccard(a: Column, b: Column) -> Column:
 def chunks(c: Column, size: int = C.CHUNK_CHARS) -> Column:
     """Blank-line paragraphs, trimmed, in slices of ``size``; a text without any is one empty chunk."""
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.length(p) - 1, F.lit(0)), F.lit(size)), lambda i: F.substring(p, i + 1, F.lit(size)))
-    parts = F.filter(F.transform(F.split(_text(c), "\n\n"), _trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(_text(c), "\n\n"), trimmed), lambda p: p != "")
     return F.when(F.size(parts) > 0, F.flatten(F.transform(parts, cut))).otherwise(F.array(F.lit("")))
 
 
 def segments(c: Column) -> Column:
     """Paragraphs and sentences; longer ones as windows of WINDOW_WORDS words every WINDOW_STEP."""
-    tidy = _trim(F.regexp_replace(F.regexp_replace(_text(c), "[ \t]+", " "), "\n{3,}", "\n\n"))
-    parts = F.filter(F.transform(F.split(tidy, "(?U)" + C.SENTENCE_END), _trim), lambda p: p != "")
+    tidy = trimmed(F.regexp_replace(F.regexp_replace(_text(c), "[ \t]+", " "), "\n{3,}", "\n\n"))
+    parts = F.filter(F.transform(F.split(tidy, "(?U)" + C.SENTENCE_END), trimmed), lambda p: p != "")
 
     def windows(p: Column) -> Column:
         def cut(words: Column) -> Column:
@@ -143,11 +143,11 @@ def snippet(c: Column, terms: Column, numbers: Column, limit: int = C.SNIPPET_CH
         hit = F.coalesce(F.array_min(F.filter(places, lambda p: p >= 0)), F.lit(0))
         end = F.least(F.length(flat), F.greatest(F.lit(0), hit - limit // 3) + limit)
         start = F.greatest(F.lit(0), end - limit)
-        body = _trim(F.substring(flat, start + 1, end - start))
+        body = trimmed(F.substring(flat, start + 1, end - start))
         dots = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), body, F.when(end < F.length(flat), F.lit("...")).otherwise(F.lit("")))
         return F.when(F.length(flat) <= limit, flat).otherwise(dots)
 
-    flat = _trim(F.regexp_replace(_text(c), r"(?U)\s+", " "))
+    flat = trimmed(F.regexp_replace(_text(c), r"(?U)\s+", " "))
     return _let(F.struct(flat.alias("flat"), F.lower(flat).alias("low")), cut)
 
 
@@ -284,13 +284,13 @@ def salvage_field(c: Column, name: str) -> Column:
 
 def clean_value(c: Column) -> Column:
     """The last line of an entity value that isn't blank, in single spaces."""
-    lines = F.filter(F.transform(F.split(_text(c), "\n"), lambda x: F.regexp_replace(x, r"^[ \t:-]+|[ \t:-]+$", "")), lambda x: _trim(x) != "")
-    return _trim(F.regexp_replace(F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("")), r"(?U)\s+", " "))
+    lines = F.filter(F.transform(F.split(_text(c), "\n"), lambda x: F.regexp_replace(x, r"^[ \t:-]+|[ \t:-]+$", "")), lambda x: trimmed(x) != "")
+    return trimmed(F.regexp_replace(F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("")), r"(?U)\s+", " "))
 
 
 def opening_text(c: Column, limit: int = 320) -> Column:
-    tidy = _trim(_text(c))
-    return F.when(F.length(tidy) <= limit, tidy).otherwise(F.concat(_trim(F.substring(tidy, 1, limit - 3)), F.lit("...")))
+    tidy = trimmed(_text(c))
+    return F.when(F.length(tidy) <= limit, tidy).otherwise(F.concat(trimmed(F.substring(tidy, 1, limit - 3)), F.lit("...")))
 
 
 def percent(done: Column, total: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +41,60 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 5, id_col: str = "v
     return top if cut_off is None else top.where(F.col("distance") <= cut_off)
 
 
+def nearest_all(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
+    """(query_id, vec_id, distance): the k (1 to 20) nearest vectors of every query (query_id, vector), ties by id.
+
+    Queries go out in blocks of about ``block``, so what travels is bounded; each task keeps the k best of a query, and
+    only those are shuffled. Vectors of length zero or of another length than the query's are near nothing.
+    """
+    k, spark = min(max(int(k), 1), 20), queries.sparkSession
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    blocks = -(-asked.count() // block)
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    found = None
+    for n in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
+        shared = spark.sparkContext.broadcast([(r[0], np.array(r[1])) for r in own])
+        part = rows.mapInArrow(_best(shared, k), "query_id long, vec_id long, raw double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("raw")).limit(0)
+    first = Window.partitionBy("query_id").orderBy("raw", "vec_id")
+    top = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+    return top.select("query_id", "vec_id", F.round(F.greatest("raw", F.lit(0.0)), 6).alias("distance"))
+
+
+def _best(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size: dict[int, tuple[list, list]] = {}
+        for i, v in shared.value:
+            if norm := np.linalg.norm(v):
+                ids, units = by_size.setdefault(len(v), ([], []))
+                ids.append(i)
+                units.append(v / norm)
+        best: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            ids, lists = batch.column("vec_id").to_numpy(), batch.column("v")
+            sizes = np.diff(lists.offsets.to_numpy())
+            for size, (asked, units) in by_size.items():
+                own = np.flatnonzero(sizes == size)
+                if not len(own):
+                    continue
+                table = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                norms = np.linalg.norm(table, axis=1)
+                own, table = own[norms > 0], table[norms > 0] / norms[norms > 0][:, None]
+                far = 1 - np.stack(units) @ table.T
+                for q, row in zip(asked, far, strict=True):
+                    # All that tie with the k-th are looked at, so the smallest ids stay.
+                    near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + 1e-12) if len(row) > k else np.arange(len(row))
+                    best[q] = sorted(best.get(q, []) + list(zip(row[near].tolist(), ids[own[near]].tolist(), strict=True)))[:k]
+        rows = [(q, i, d) for q, found in best.items() for d, i in found]
+        q, i, d = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(d, pa.float64())], ["query_id", "vec_id", "raw"])
+
+    return run
+
+
 def compose(parts: DataFrame, key: str, order: list[str], text_col: str, separator: str = "\n\n", limit: int = C.CONTEXT_CHARS) -> DataFrame:
     """Texts of each key joined in order, cut at ``limit`` characters.
 
