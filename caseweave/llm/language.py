@@ -4,10 +4,14 @@ A text's likelihood under each language comes from letter trigrams, counted on a
 a declared markup language and an address suffix say is learned by grouped aggregation over all rows: how often each
 value goes with each language, by the text alone. The prior of a host is its own such counts, smoothed towards its
 domain's, and these towards all rows'. The posterior is the product of the four.
+
+A text may be in none of the languages. That class, ``und``, has a background of bytes: trigrams as likely as their bytes
+are in the sample, mixed with all trigrams alike. What it beats is rejected.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,8 +31,8 @@ TABLE_BITS = 16
 TEMPER = 0.25
 #: Weights of the domain in a host's prior and of all rows in a domain's; smoothing of declared values and suffixes.
 HOST_WEIGHT, DOMAIN_WEIGHT, VALUE_WEIGHT = 5.0, 20.0, 1.0
-#: Least posterior of an accepted row.
-ACCEPT = 0.5
+#: Least posterior of an accepted row; prior of a text in none of the languages.
+ACCEPT, OTHER = 0.5, 0.02
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -48,32 +52,55 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((len(LANGUAGES), 1 << TABLE_BITS), np.int64)
+    counts, letters = np.zeros((len(LANGUAGES), 1 << TABLE_BITS), np.int64), np.zeros(256, np.int64)
     for small in (s for batch in batches for s in bounded(batch, "text")):
-        codes, ends = trigrams(text_bytes(small.column("text")))
+        texts = text_bytes(small.column("text"))
+        letters += np.bincount(_FOLD[np.frombuffer(b" ".join(texts), np.uint8)], minlength=256)
+        codes, ends = trigrams(texts)
         for k, name in enumerate(small.column("lang").to_pylist()):
             own = codes[ends[k - 1] if k else 0 : ends[k]]
             np.add.at(counts[LANGUAGES.index(name)], own, 1)
     lang, code = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(code, pa.int32()), pa.array(counts[lang, code])], ["lang", "code", "n"])
+    byte = np.flatnonzero(letters)
+    lang, code, n = np.append(lang, np.full(len(byte), len(LANGUAGES))), np.append(code, byte), np.append(counts[lang, code], letters[byte])
+    yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(code, pa.int32()), pa.array(n)], ["lang", "code", "n"])
+
+
+def _background(letters: np.ndarray) -> np.ndarray:
+    """Log probability of each hashed trigram if its bytes were drawn one by one, mixed half and half with all alike."""
+    some = np.flatnonzero(letters)
+    p = letters[some] / max(1, letters.sum())
+    table = np.zeros(1 << TABLE_BITS)
+    for a, share in zip(some.tolist(), p.tolist(), strict=True):
+        code = (np.uint32(a << 16) | (some[:, None].astype(np.uint32) << 8) | some[None, :].astype(np.uint32)) * np.uint32(2654435761) >> np.uint32(32 - TABLE_BITS)
+        np.add.at(table, code.reshape(-1), (share * p[:, None] * p[None, :]).reshape(-1))
+    return np.log(0.5 * table + 0.5 / (1 << TABLE_BITS))
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> np.ndarray:
-    """Log probability of each trigram in each language, from about ``per_language`` rows of each, drawn by hash."""
+    """Log probability of each trigram in each language, from about ``per_language`` rows of each, drawn by hash, and last the background.
+
+    Rows with a null text or label, or another label, are left out; repeated rows count as often as they are drawn. A
+    language without rows, as all of an empty table, has all trigrams alike.
+    """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("lang")).where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull())
     there = dict(rows.groupBy("lang").count().collect())
     share = F.lit(0.0)
     for name, n in there.items():
         share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
-    counts = np.full((len(LANGUAGES), 1 << TABLE_BITS), 0.5)
+    counts, letters = np.full((len(LANGUAGES), 1 << TABLE_BITS), 0.5), np.zeros(256)
     for lang, code, n in drawn.mapInArrow(_count, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n")).collect():
-        counts[lang, code] += n
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+        if lang < len(LANGUAGES):
+            counts[lang, code] += n
+        else:
+            letters[code] += n
+    known = np.log(counts / counts.sum(axis=1, keepdims=True))
+    return np.concatenate([known, _background(letters)[None]]).astype(np.float32)
 
 
-def text_log_likelihoods(texts: list[bytes], model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tempered log likelihoods by text and language, the best being 0, and the number of trigrams."""
+def text_log_likelihoods(texts: list[bytes], model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tempered log likelihoods by text and language, the best being 0, that of the background, and the number of trigrams."""
     codes, ends = trigrams(texts)
     n = np.diff(np.concatenate([[0], ends]))
     out = np.zeros((len(texts), len(model)))
@@ -82,7 +109,8 @@ def text_log_likelihoods(texts: list[bytes], model: np.ndarray) -> tuple[np.ndar
         for k, row in enumerate(model):
             out[some, k] = np.add.reduceat(row[codes], (ends - n)[some], dtype=np.float64)
     out *= TEMPER
-    return out - out.max(axis=1, keepdims=True), n
+    best = out[:, :-1].max(axis=1)
+    return out[:, :-1] - best[:, None], out[:, -1] - best, n
 
 
 def _score(shared, clean: bool):
@@ -92,22 +120,23 @@ def _score(shared, clean: bool):
             texts = text_bytes(small.column("_text"))
             if clean:
                 texts = [markup.sub(b" ", t) if m else t for t, m in zip(texts, small.column("_markup").to_pylist(), strict=True)]
-            log, n = text_log_likelihoods(texts, shared.value)
+            log, other, n = text_log_likelihoods(texts, shared.value)
             rest = [name for name in small.schema.names if name not in ("_text", "_markup")]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, log.size + 1, log.shape[1]), pa.int32()), pa.array(log.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*[small.column(c) for c in rest], lists, pa.array(n, pa.int64())], [*rest, "_log", "_letters"])
+            yield pa.RecordBatch.from_arrays([*[small.column(c) for c in rest], lists, pa.array(other), pa.array(n, pa.int64())], [*rest, "_log", "_other", "_letters"])
 
     return run
 
 
 def score(df: DataFrame, model: np.ndarray) -> DataFrame:
-    """``df`` without its column ``_text`` but with text evidence: ``_log`` by language and ``_letters`` (trigrams).
+    """``df`` without its column ``_text`` but with text evidence: ``_log`` by language, ``_other`` of the
+    background, and ``_letters`` (trigrams).
 
-    ``_text`` may be null. Where a boolean ``_markup`` is there and true, tags, comments, scripts and styles go first.
+    ``_text`` may be null or empty, which is no evidence; every row gives one row. Where a boolean ``_markup`` is there and true, tags, comments, scripts and styles go first.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in df.schema if f.name not in ("_text", "_markup")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["_log array<double>", "_letters long"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["_log array<double>", "_other double", "_letters long"])
     return df.mapInArrow(_score(shared, "_markup" in df.columns), schema)
 
 
@@ -157,19 +186,23 @@ def evidence(scores: DataFrame) -> dict[str, DataFrame]:
 def fuse(scores: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
     """``scores`` with ``language``, ``probability`` and ``accepted`` in place of the working columns.
 
-    A value that ``known`` lacks says nothing. A row without a letter is ``und`` and rejected, as is one whose best
-    posterior is under ACCEPT.
+    A value that ``known`` lacks says nothing. A row without a letter is ``und`` and rejected, as is one for which the
+    background wins (its probability is then that of being in none of the languages); a row whose best posterior is
+    under ACCEPT is rejected too. Ties go to the language that comes first. An empty table gives an empty result.
     """
     out = scores.join(known["host"], ["_domain", "_host"], "left").join(known["declared"], "_declared", "left").join(known["suffix"], "_suffix", "left")
     log = F.col("_log")
     for name in ("_by_host", "_by_declared", "_by_suffix"):
         log = F.when(F.col(name).isNull(), log).otherwise(_per(log, F.col(name), lambda a, b: a + b))
-    out = out.withColumn("_post", log).withColumn("_post", _softmax(F.col("_post")))
+    values = F.coalesce(F.array_max("_by_declared"), F.lit(0.0)) + F.coalesce(F.array_max("_by_suffix"), F.lit(0.0))
+    out = out.withColumn("_post", F.concat(log, F.array(F.col("_other") + math.log(OTHER) + values)))
+    out = out.withColumn("_post", _softmax(F.col("_post")))
     best = F.array_max("_post")
-    name = F.get(F.array(*[F.lit(x) for x in LANGUAGES]), (F.array_position("_post", best) - 1).cast("int"))
-    some = F.col("_letters") > 0
-    out = out.withColumns({"language": F.when(some, name).otherwise(F.lit("und")), "probability": F.when(some, best).otherwise(F.lit(0.0)), "accepted": some & (best >= ACCEPT)})
-    return out.drop("_log", "_letters", "_post", "_host", "_domain", "_declared", "_suffix", "_by_host", "_by_declared", "_by_suffix")
+    name = F.get(F.array(*[F.lit(x) for x in (*LANGUAGES, "und")]), (F.array_position("_post", best) - 1).cast("int"))
+    name = F.when(F.col("_letters") > 0, name).otherwise(F.lit("und"))
+    known = name != "und"
+    out = out.withColumns({"language": name, "probability": F.when(F.col("_letters") > 0, best).otherwise(F.lit(0.0)), "accepted": known & (best >= ACCEPT)})
+    return out.drop("_log", "_other", "_letters", "_post", "_host", "_domain", "_declared", "_suffix", "_by_host", "_by_declared", "_by_suffix")
 
 
 def web_evidence(url: Column, html: Column) -> dict[str, Column]:

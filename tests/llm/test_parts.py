@@ -197,7 +197,7 @@ def test_language_model_on_held_out_rows(spark):
     docs = table(spark, SF, "documents")
     model = language.train(docs.where("doc_id % 2 = 0"))
     held = [(r["text"], r["lang"]) for r in docs.where("doc_id % 2 = 1").collect()]
-    log, _ = language.text_log_likelihoods([t.encode() for t, _ in held], model)
+    log, _, _ = language.text_log_likelihoods([t.encode() for t, _ in held], model)
     right = [language.LANGUAGES[k] == lang for k, (_, lang) in zip(log.argmax(axis=1).tolist(), held, strict=True)]
     assert sum(right) >= 0.97 * len(right)
 
@@ -282,6 +282,23 @@ def test_secrets_of_the_tables(spark):
     assert hit >= 0.95 * sum(r["label"] for r in rows) and hit >= 0.95 * sum(r["_prediction"] for r in rows) and hit > 0
 
 
+def test_language_recall_with_the_declared_language_hidden(spark):
+    """Each language by text and source alone, on the half of the rows that the model isn't fitted on; other languages and junk are und."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    half = F.pmod(F.xxhash64("text"), F.lit(2)) == 0
+    model = language.train(docs.where(half))
+    others = ["Szybki brązowy lis przeskakuje nad leniwym psem każdego ranka i wraca do domu", "Быстрая коричневая лиса прыгает через ленивую собаку", "敏捷的棕色狐狸跳过懒狗", "xqzj kvwp zzzq jjkx wqpv zxcv qqqq wwww kkkk " * 3]
+    rows = docs.where(~half).select("doc_id", "source", "text", "lang").unionByName(spark.createDataFrame([(-1 - i, "web", t, "none") for i, t in enumerate(others)], "doc_id long, source string, text string, lang string"))
+    scores = language.score(rows.select("doc_id", "lang", *[c.alias(k) for k, c in language.plain_evidence(F.col("source"), F.lit(None).cast("string"), F.col("text")).items()]), model).cache()
+    found = language.fuse(scores, language.evidence(scores)).where("lang IN ('de', 'en', 'es', 'fr', 'none')").select("lang", "language", "accepted").collect()
+    for name in ("de", "en", "es", "fr"):
+        own = [r for r in found if r["lang"] == name]
+        right = sum(r["language"] == name for r in own)
+        print(name, right, len(own))
+        assert right >= 0.95 * len(own) > 10
+    assert not any(r["accepted"] for r in found if r["lang"] == "none")
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     columns, seen = docs.columns, docs.count()
