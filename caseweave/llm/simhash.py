@@ -30,8 +30,10 @@ NODE_LEAVES, SPLIT_LEVELS, DIRECT = 1 << 15, 8, 64
 #: Shingle size and least Jaccard similarity of near copies in keep_similar_one(); bands of minima, and minima a band.
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 BANDS, BAND_ROWS = 24, 6
-#: Leaves that a task gathers before it walks them.
-BUFFER = 1 << 17
+#: Further minima of a text; finer keys that take the place of a crowded one, and minima of each.
+FINE, FINER, FINER_ROWS = 24, 4, 3
+#: Leaves that a task gathers before it walks them; node pairs that it walks together.
+BUFFER, FRONTIER = 1 << 17, 1 << 18
 
 
 def shingles(texts: list[bytes], words: int) -> tuple[list[int], np.ndarray]:
@@ -92,8 +94,14 @@ def walk(keys: np.ndarray, low: np.ndarray, high: np.ndarray, other_low: np.ndar
 
     A node is a slice of ``keys``, sorted within it; ``level`` is how many leading bits its leaves share.
     """
-    left, right = [], []
-    while len(low):
+    left, right, waiting = [], [], []
+    while len(low) or waiting:
+        if not len(low):
+            low, high, other_low, other_high, differ, level = waiting.pop()
+        elif len(low) > FRONTIER:  # the rest waits, so what is held at once is bounded
+            state = (low, high, other_low, other_high, differ, level)
+            waiting.append(tuple(x[FRONTIER:] for x in state))
+            low, high, other_low, other_high, differ, level = (x[:FRONTIER] for x in state)
         n, m, same = high - low, other_high - other_low, low == other_low
         done = (n * m <= DIRECT) | (level >= BITS)
         if done.any():
@@ -107,7 +115,7 @@ def walk(keys: np.ndarray, low: np.ndarray, high: np.ndarray, other_low: np.ndar
             right.append(b[near])
             low, high, other_low, other_high, differ, level, same = (x[~done] for x in (low, high, other_low, other_high, differ, level, same))
         if not len(low):
-            break
+            continue
         middle, other_middle = _split(keys, low, high, level), _split(keys, other_low, other_high, level)
         out = []
         for a0, a1, b0, b1, cost, keep in (
@@ -294,22 +302,25 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of a text's shingles as a hash (``sig``) and BANDS keys of minima of it; no keys for an empty set."""
+    """The set of a text's shingles as a hash (``sig``), BANDS keys of minima of it, and FINE further minima; none for an empty set."""
     rng = np.random.default_rng(SEED)
-    turn, mix = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
+    turn, mix = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS + FINE), np.uint64) | np.uint64(1)
     for batch in batches:
         for small in bounded(batch, "text"):
             hashes, counts = shingles(text_bytes(small.column("text")), SIMILAR_WORDS)
             h, ends = np.array(hashes, np.uint64), np.cumsum(counts)
             sig = [xxhash.xxh64_intdigest(np.unique(h[e - n : e]).tobytes(), SEED) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             some = np.flatnonzero(counts)
-            keys = np.zeros((len(some), BANDS), np.uint64)
+            keys, fine = np.zeros((len(some), BANDS), np.uint64), np.zeros((len(some), FINE), np.uint64)
             if len(some):
-                for j in range(BANDS * BAND_ROWS):
-                    keys[:, j // BAND_ROWS] += np.minimum.reduceat(h * turn[j], (ends - counts)[some]) * mix[j]
-            offsets = np.concatenate([[0], np.cumsum((counts > 0) * BANDS)])
-            bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([small.column("_id"), small.column("_text_hash"), pa.array(np.array(sig, np.uint64).view(np.int64)), bands], ["_id", "_text_hash", "sig", "bands"])
+                for j in range(BANDS * BAND_ROWS + FINE):
+                    least = np.minimum.reduceat(h * turn[j], (ends - counts)[some])
+                    if j < BANDS * BAND_ROWS:
+                        keys[:, j // BAND_ROWS] += least * mix[j]
+                    else:
+                        fine[:, j - BANDS * BAND_ROWS] = least
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((counts > 0) * x.shape[1])]), pa.int32()), pa.array(x.reshape(-1).view(np.int64))) for x in (keys, fine)]
+            yield pa.RecordBatch.from_arrays([small.column("_id"), small.column("_text_hash"), pa.array(np.array(sig, np.uint64).view(np.int64)), *lists], ["_id", "_text_hash", "sig", "bands", "fine"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,29 +339,39 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in near], pa.int64()), pa.array([b[k] for k in near], pa.int64())], ["a", "b"])
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows whose key has another row."""
+    return rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key")
+
+
 def similar_links(units: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links (a, b) of ``units`` (sig, bands) at a similarity of SIMILAR or more; ``texts`` has a ``text`` a ``sig``.
+    """Links (a, b) of ``units`` (sig, bands, fine) at a similarity of SIMILAR or more; ``texts`` has a ``text`` a ``sig``.
 
     Units that share a band's key are compared with one of them, another by each band. What is similar to it leaves,
-    as it does itself; the others are compared again, until no key has two units.
+    as it does itself; the others are compared again. Keys that are still shared then are crowded
+    with texts that have a passage in common and little else: each gives way to FINER keys of its own and FINER_ROWS
+    further minima, so a passage in any number of texts takes a few turns. That goes on until no key has two units.
     """
-    rows = units.select("sig", F.posexplode("bands").alias("band", "key"))
-    rows = rows.join(rows.groupBy("band", "key").count().where("count > 1").drop("count"), ["band", "key"])
-    rows, links, pool = scratch(rows, "similar-rows"), None, None
+    rng = np.random.default_rng(SEED + 1)
+    keyed = units.select("sig", F.posexplode("bands").alias("band", "key")).select("sig", F.xxhash64("band", "key").alias("key"))
+    rows, links = scratch(_shared(keyed), "similar-rows"), None
     if rows.isEmpty():
         return None
     pool = scratch(texts.join(rows.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "similar-texts")
     side = lambda name: pool.select(F.col("sig").alias(name), F.col("text").alias(f"text_{name}"))
+    turn = 0
     while not rows.isEmpty():
-        first = rows.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("sig", "band"), "sig"))["sig"].alias("a"))
-        rest = rows.join(first, ["band", "key"]).where("sig != a").withColumnRenamed("sig", "b")
-        rest = scratch(rest.select("band", "key", "a", "b"), "similar-rest")
+        if turn:
+            picks = [rng.choice(FINE, FINER_ROWS, replace=False).tolist() for _ in range(FINER)]
+            finer = F.array(*[F.xxhash64("key", F.lit(k), *[F.get("fine", F.lit(j)) for j in pick]) for k, pick in enumerate(picks)])
+            rows = scratch(_shared(rows.join(units.select("sig", "fine"), "sig").select("sig", F.explode(finer).alias("key"))), "similar-rows")
+        first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", "key", F.lit(turn)), "sig"))["sig"].alias("a"))
+        rest = scratch(rows.join(first, "key").where("sig != a").withColumnRenamed("sig", "b").select("key", "a", "b"), "similar-rest")
         asked = rest.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
         near = scratch(asked.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"), "similar-near")
         links = near if links is None else links.unionByName(near)
-        left = rest.join(near, ["a", "b"], "left_anti").select("band", "key", F.col("b").alias("sig"))
-        left = left.join(left.groupBy("band", "key").count().where("count > 1").drop("count"), ["band", "key"])
-        rows = scratch(left, "similar-rows")
+        left = rest.join(near, ["a", "b"], "left_anti").select("key", F.col("b").alias("sig"))
+        rows, turn = scratch(_shared(left), "similar-rows"), turn + 1
     return links
 
 
@@ -363,10 +384,10 @@ def keep_similar_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     named = df.withColumns({"_id": id_or_last(id_col), "_text_hash": text_hash(text_col)})
     docs = named.select("_id", "_text_hash", F.col(text_col).alias("text"))
-    rows = scratch(docs.mapInArrow(_bands, "_id long, _text_hash long, sig long, bands array<long>"), "similar-docs")
-    units = scratch(rows.groupBy("sig").agg(F.min(F.struct("_id", "_text_hash")).alias("first"), F.first("bands").alias("bands")), "similar-units")
+    rows = scratch(docs.mapInArrow(_bands, "_id long, _text_hash long, sig long, bands array<long>, fine array<long>"), "similar-docs")
+    units = scratch(rows.groupBy("sig").agg(F.min(F.struct("_id", "_text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("fine").alias("fine")), "similar-units")
     firsts = units.select("sig", "first.*")
-    links = similar_links(units.select("sig", "bands"), docs.join(firsts, ["_id", "_text_hash"]).select("sig", "text"))
+    links = similar_links(units.select("sig", "bands", "fine"), docs.join(firsts, ["_id", "_text_hash"]).select("sig", "text"))
     kept = firsts
     if links is not None:
         found = components(links).withColumnRenamed("node", "sig")

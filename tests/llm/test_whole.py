@@ -54,6 +54,20 @@ def test_near_copies_leave_the_corpus(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()} == got
 
 
+def test_a_passage_in_many_texts_takes_few_turns(spark, monkeypatch):
+    """Texts that share most of a passage but aren't similar; some have near copies. None is left out, none taken for another's copy."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    passage, tags = [word() for _ in range(120)], []
+    texts = [passage + [word() for _ in range(60)] for _ in range(300)]
+    texts += [[*t[:-2], word(), word()] for t in texts[:20]]
+    plain = simhash.scratch
+    monkeypatch.setattr(simhash, "scratch", lambda df, tag: (tags.append(tag), plain(df, tag))[1])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_similar_one(df).collect()} == set(range(300))
+    assert tags.count("similar-near") <= 12
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 32])
 def test_benchmark_items_without_an_id_hit_words(spark, block_bytes):
     words = [f"word{i}" for i in range(40)]
