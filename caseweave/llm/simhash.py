@@ -30,8 +30,6 @@ NODE_LEAVES, SPLIT_LEVELS, DIRECT = 1 << 15, 8, 64
 #: Shingle size and least Jaccard similarity of near copies in keep_similar_one(); bands of minima, and minima a band.
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 BANDS, BAND_ROWS = 24, 6
-#: Further minima of a text; finer keys that take the place of a crowded one, and minima of each.
-FINE, FINER, FINER_ROWS = 24, 4, 3
 #: Leaves that a task gathers before it walks them; node pairs that it walks together.
 BUFFER, FRONTIER = 1 << 17, 1 << 18
 
@@ -302,41 +300,32 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of a text's shingles as a hash (``sig``), BANDS keys of minima of it, and FINE further minima; none for an empty set."""
+    """The set of a text's shingles as a hash (``sig``), and BANDS keys of minima of it; none for an empty set."""
     rng = np.random.default_rng(SEED)
-    turn, mix = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS + FINE), np.uint64) | np.uint64(1)
+    turn, mix = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
     for batch in batches:
         for small in bounded(batch, "text"):
             hashes, counts = shingles(text_bytes(small.column("text")), SIMILAR_WORDS)
             h, ends = np.array(hashes, np.uint64), np.cumsum(counts)
             sig = [xxhash.xxh64_intdigest(np.unique(h[e - n : e]).tobytes(), SEED) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             some = np.flatnonzero(counts)
-            keys, fine = np.zeros((len(some), BANDS), np.uint64), np.zeros((len(some), FINE), np.uint64)
+            keys = np.zeros((len(some), BANDS), np.uint64)
             if len(some):
-                for j in range(BANDS * BAND_ROWS + FINE):
-                    least = np.minimum.reduceat(h * turn[j], (ends - counts)[some])
-                    if j < BANDS * BAND_ROWS:
-                        keys[:, j // BAND_ROWS] += least * mix[j]
-                    else:
-                        fine[:, j - BANDS * BAND_ROWS] = least
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((counts > 0) * x.shape[1])]), pa.int32()), pa.array(x.reshape(-1).view(np.int64))) for x in (keys, fine)]
-            yield pa.RecordBatch.from_arrays([small.column("_id"), small.column("_text_hash"), pa.array(np.array(sig, np.uint64).view(np.int64)), *lists], ["_id", "_text_hash", "sig", "bands", "fine"])
-
-
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of SIMILAR or more."""
-    last, own = None, None
+                for j in range(BANDS * BAND_ROWS):
+                    keys[:, j // BAND_ROWS] += np.minimum.reduceat(h * turn[j], (ends - counts)[some]) * mix[j]
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((counts > 0) * BANDS)]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([small.column("_id"), small.column("_text_hash"), pa.array(np.array(sig, np.uint64).view(np.int64)), bands], ["_id", "_text_hash", "sig", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's set of shingles, as hashes."""
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        near = []
-        for k in range(len(a)):
-            if a[k] != last:
-                last, own = a[k], np.unique(np.array(shingles(text_bytes(batch.column("text_a").slice(k, 1)), SIMILAR_WORDS)[0], np.uint64))
-            other = np.unique(np.array(shingles(text_bytes(batch.column("text_b").slice(k, 1)), SIMILAR_WORDS)[0], np.uint64))
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            if both >= SIMILAR * (len(own) + len(other) - both):
-                near.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in near], pa.int64()), pa.array([b[k] for k in near], pa.int64())], ["a", "b"])
+        for small in bounded(batch, "text"):
+            hashes, counts = shingles(text_bytes(small.column("text")), SIMILAR_WORDS)
+            each = [np.unique(x) for x in np.split(np.array(hashes, np.uint64), np.cumsum(counts)[:-1])] if len(counts) else []
+            ends = np.cumsum([0, *map(len, each)])
+            sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *each]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([small.column("sig"), sets], ["sig", "set"])
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -344,35 +333,64 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.join(rows.groupBy("key").count().where("count > 1").select("key"), "key")
 
 
+def _judged(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have a Jaccard similarity of SIMILAR or more."""
+    side = lambda name: sets.select(F.col("sig").alias(name), F.col("set").alias(f"set_{name}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    found = asked.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
+    return scratch(found.where(both >= SIMILAR * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), "similar-near")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """Prefix filter: rows (``sig``, ``key``, ``n``, ``strong``), a row for each of a set's rarest shingles, n being its size.
+
+    In one order of all shingles, rarest first, two sets with a similarity of t share a shingle among the first
+    (1 - t) n + 1 of the longer and the first (1 - 2t / (1 + t)) n + 1 of the shorter; the latter are ``strong``.
+    """
+    each = sets.select("sig", F.size("set").alias("n"), F.explode("set").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "key").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
+    least = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1
+    rows = ranked.select("sig", "n", F.posexplode(F.slice("s", F.lit(1), least(SIMILAR).cast("int"))).alias("at", "x"))
+    return rows.where("x.often > 1").select("sig", F.col("x.key").alias("key"), "n", (F.col("at") < least(2 * SIMILAR / (1 + SIMILAR))).alias("strong"))
+
+
 def similar_links(units: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links (a, b) of ``units`` (sig, bands, fine) at a similarity of SIMILAR or more; ``texts`` has a ``text`` a ``sig``.
+    """Links (a, b) of ``units`` (sig, bands) at a similarity of SIMILAR or more; ``texts`` has a ``text`` a ``sig``.
 
-    Units that share a band's key are compared with one of them, another by each band. What is similar to it leaves,
-    as it does itself; the others are compared again. Keys that are still shared then are crowded
-    with texts that have a passage in common and little else: each gives way to FINER keys of its own and FINER_ROWS
-    further minima, so a passage in any number of texts takes a few turns. That goes on until no key has two units.
+    Units that share a band's key are compared with one of them, another by each band. Keys in which some aren't similar
+    to it are crowded with texts that have much in common: their units meet again by prefixes(), the shingles that are
+    rare among them. There strong units of each key are compared with those of the key that a link could join by it.
+    What is similar to one leaves the key, as they do themselves, until no key has a strong unit and another.
     """
-    rng = np.random.default_rng(SEED + 1)
     keyed = units.select("sig", F.posexplode("bands").alias("band", "key")).select("sig", F.xxhash64("band", "key").alias("key"))
-    rows, links = scratch(_shared(keyed), "similar-rows"), None
+    rows = scratch(_shared(keyed), "similar-rows")
     if rows.isEmpty():
         return None
-    pool = scratch(texts.join(rows.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "similar-texts")
-    side = lambda name: pool.select(F.col("sig").alias(name), F.col("text").alias(f"text_{name}"))
-    turn = 0
-    while not rows.isEmpty():
-        if turn:
-            picks = [rng.choice(FINE, FINER_ROWS, replace=False).tolist() for _ in range(FINER)]
-            finer = F.array(*[F.xxhash64("key", F.lit(k), *[F.get("fine", F.lit(j)) for j in pick]) for k, pick in enumerate(picks)])
-            rows = scratch(_shared(rows.join(units.select("sig", "fine"), "sig").select("sig", F.explode(finer).alias("key"))), "similar-rows")
-        first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", "key", F.lit(turn)), "sig"))["sig"].alias("a"))
-        rest = scratch(rows.join(first, "key").where("sig != a").withColumnRenamed("sig", "b").select("key", "a", "b"), "similar-rest")
-        asked = rest.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
-        near = scratch(asked.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"), "similar-near")
-        links = near if links is None else links.unionByName(near)
-        left = rest.join(near, ["a", "b"], "left_anti").select("key", F.col("b").alias("sig"))
-        rows, turn = scratch(_shared(left), "similar-rows"), turn + 1
-    return links
+    pool = texts.join(rows.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+    sets = scratch(pool.select("sig", "text").mapInArrow(_sets, "sig long, set array<long>"), "similar-sets")
+    first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", "key"), "sig"))["sig"].alias("a"))
+    rest = rows.join(first, "key").where("sig != a").withColumnRenamed("sig", "b")
+    links = _judged(rest, sets)
+    crowded = rest.join(links, ["a", "b"], "left_anti").select("key").distinct()
+    again = rows.join(crowded, "key").select("sig").distinct()
+    rows, turn = scratch(_shared(prefixes(sets.join(again, "sig", "left_semi"))), "similar-rows"), 0
+    while True:
+        # Twice as many of a key's strong units at every turn, and always one: turns grow with the logarithm of a key.
+        draw = F.xxhash64("sig", "key", F.lit(turn))
+        sizes = rows.where("strong").groupBy("key").agg(F.count("*").alias("m"), F.min(draw).alias("least"))
+        drawn = (draw == F.col("least")) | (F.shiftrightunsigned(draw, 34) * F.col("m") < F.lit(2.0**30) * 2.0**turn)
+        chosen = rows.where("strong").join(sizes, "key").where(drawn).select("key", F.col("sig").alias("a"), F.col("n").alias("n_a"))
+        if chosen.isEmpty():
+            return links
+        fits = (F.least("n", "n_a") >= SIMILAR * F.greatest("n", "n_a") - 1e-6) & (F.col("strong") | (F.col("n") >= F.col("n_a")))
+        asked = rows.join(chosen, "key").where("sig != a").where(fits).select("key", "a", F.col("sig").alias("b"))
+        near = _judged(asked, sets)
+        links = links.unionByName(near)
+        done = asked.join(near, ["a", "b"]).select("key", F.col("b").alias("sig")).unionByName(chosen.select("key", F.col("a").alias("sig")))
+        rows = rows.join(done, ["key", "sig"], "left_anti")
+        open_keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("strong").alias("any")).where("size > 1 AND any").select("key")
+        rows, turn = scratch(rows.join(open_keys, "key"), "similar-rows"), turn + 1
 
 
 def keep_similar_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,10 +402,10 @@ def keep_similar_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     named = df.withColumns({"_id": id_or_last(id_col), "_text_hash": text_hash(text_col)})
     docs = named.select("_id", "_text_hash", F.col(text_col).alias("text"))
-    rows = scratch(docs.mapInArrow(_bands, "_id long, _text_hash long, sig long, bands array<long>, fine array<long>"), "similar-docs")
-    units = scratch(rows.groupBy("sig").agg(F.min(F.struct("_id", "_text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("fine").alias("fine")), "similar-units")
+    rows = scratch(docs.mapInArrow(_bands, "_id long, _text_hash long, sig long, bands array<long>"), "similar-docs")
+    units = scratch(rows.groupBy("sig").agg(F.min(F.struct("_id", "_text_hash")).alias("first"), F.first("bands").alias("bands")), "similar-units")
     firsts = units.select("sig", "first.*")
-    links = similar_links(units.select("sig", "bands", "fine"), docs.join(firsts, ["_id", "_text_hash"]).select("sig", "text"))
+    links = similar_links(units.select("sig", "bands"), docs.join(firsts, ["_id", "_text_hash"]).select("sig", "text"))
     kept = firsts
     if links is not None:
         found = components(links).withColumnRenamed("node", "sig")

@@ -111,3 +111,29 @@ def test_workers_that_cannot_import_the_package(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=300)
     assert done.stdout.split() == ["op5_bloom_lines", "True", "op7_suffix_arrays", "True", "op10_language_id", "True"], done.stderr[-3000:]
+
+
+def test_variants_of_one_text_on_both_sides_of_the_limit(spark, monkeypatch):
+    """Copies of one text, most of them less similar to each other than the limit: the groups are those of brute force."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    base, tags = [word() for _ in range(120)], []
+    texts = []
+    for k in range(250):
+        copy = list(base)
+        for i in rng.sample(range(120), 2 + k % 7):
+            copy[i] = word()
+        texts.append(copy)
+    found, root = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(found[i] & found[j]) >= 0.8 * len(found[i] | found[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    plain = simhash.scratch
+    monkeypatch.setattr(simhash, "scratch", lambda df, tag: (tags.append(tag), plain(df, tag))[1])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.keep_similar_one(df).collect()}
+    print(len(set(root)), len(got), len(got - set(root)), tags.count("similar-near"))
+    assert not set(root) - got and len(got - set(root)) <= 3
+    assert tags.count("similar-near") <= 14
