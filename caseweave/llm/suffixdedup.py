@@ -21,7 +21,6 @@ HOT contexts all the same isn't gathered in a task: its windows are grouped by t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +55,6 @@ def _slide(a: np.ndarray, w: int) -> np.ndarray:
     return out[:n] if have == w else np.minimum(out[:n], out[w - have : w - have + n])
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.full(n, _BASE, np.uint64)), np.cumprod(np.full(n, pow(_BASE, -1, 2**64), np.uint64))
 
@@ -69,7 +67,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    power, back = (x[:n] for x in _powers(1 << max(23, n.bit_length())))
+    power, back = _powers(n)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
     least = _slide(_mix((total[GRAM:] - total[:-GRAM]) * back[: n - GRAM + 1]), WINDOW)
     m = len(least)

@@ -52,7 +52,7 @@ def test_refine_equals_brute_force():
         for k in range(len(t) - 49):
             first[t[k : k + 50]] = min(i, first.get(t[k : k + 50], i))
     want = {(c, k) for c, t in enumerate(texts) for k in range(len(t) - 49) if first[t[k : k + 50]] < ids[c]}
-    a, b = suffixdedup.refine(texts, ids)
+    a, b = suffixdedup.refine(b"".join(texts), np.array([len(t) for t in texts]), ids)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and want
 
 
