@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caseweave.scratch import clear_scratch, scratch, shared_dir
 
-__all__ = ["NULL_ID", "bounded", "clear_scratch", "id_or_last", "scratch", "shared_dir", "table", "text_bytes", "text_keys"]
+__all__ = ["NULL_ID", "bounded", "clear_scratch", "id_or_last", "scratch", "shared_dir", "table", "text_bytes", "text_keys", "widened"]
 
 #: Null ids stand after every other id.
 NULL_ID = 2**63 - 1
@@ -32,6 +33,11 @@ def text_keys(column: str) -> tuple[Column, Column]:
     return F.xxhash64(column, F.octet_length(F.col(column))), F.xxhash64(F.lit("second"), F.col(column))
 
 
+def widened(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` and further fields, whatever the names inside its structs."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, media, mixing, pii, secrets, sharding, simhash, suffixdedup
+from . import audit, decontaminate, language, linededup, media, mixing, periodic, pieces, pii, secrets, sharding, simhash, suffixdedup
 from .common import scratch, table
 
 
@@ -72,6 +72,79 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page_id", "host", "declared", "language", F.round("probability", 6).alias("probability"), "accepted")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with a periodic end in every tenth text, told by the CRC-32 of its id: from word a on, words of
+    period p repeat. Null ids and texts without words stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.withColumn("_h", h).withColumn("_w", F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n, g = F.size("_w"), F.floor(F.col("_h") / 10)
+    rows = rows.withColumn("_a", F.when(n > 0, F.pmod(g, n).cast("int"))).withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + g % 8))).cast("int"))
+    end = F.transform(F.sequence(F.lit(0), n - F.col("_a") - 1), lambda i: F.get("_w", F.col("_a") + i % F.col("_p")))
+    text = F.when(n > 0, F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), end), " ")).otherwise(F.col("text"))
+    return rows.withColumn("text", text).drop("_h", "_w", "_a", "_p")
+
+
+def op11_partition_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.find_runs(docs)
+    # The longest run; of equal ones the first, then the one of the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    rows = found.withColumn("_best", best)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.floor(1000 * F.col("_best.length") / -F.col("_best.period")).alias("exponent_milli"), F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
+    whole = pieces.decode_ids(coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids"), model)
+    return whole.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.failed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return audit.interactions(found, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+def _audit_sql() -> str:
+    """op13: counts by the set of failed filters, then every order over the 32 sets."""
+    bit = lambda k: f"CASE WHEN {k} THEN 1 ELSE 0 END"
+    return f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), least AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t
+        ), l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), m AS (
+            SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+                   {bit("len(w) < 200")} + 2 * {bit("100 * len(list_distinct(w)) < 50 * len(w)")}
+                   + 4 * {bit("100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t)")} + 8 * {bit("regexp_matches(t, '[#$%&*|]')")}
+                   + 16 * {bit("first_id IS NOT NULL AND d.doc_id IS DISTINCT FROM first_id")} AS mask
+            FROM d JOIN least USING (t) LEFT JOIN l ON l.doc_id = d.doc_id
+        ), c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask
+        ), f(name, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+        ), o AS (
+            SELECT [a.b, b.b, c.b, d.b, e.b] AS bits, a.name || b.name || c.name || d.name || e.name AS filter_order
+            FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND (a.b | b.b | c.b | d.b | e.b) = 31
+        ), s AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0) AS earlier FROM o, range(1, 6) AS r(step)
+        ), x AS (
+            SELECT part, filter_order, step, own, CAST(sum(n) FILTER (mask & (earlier + own) = 0) AS BIGINT) AS kept, CAST(sum(n) FILTER (mask & own > 0 AND mask & earlier = 0) AS BIGINT) AS removed,
+                   CAST(sum(n) FILTER (mask & own > 0 AND mask & earlier > 0) AS BIGINT) AS redundant, CAST(sum(n) FILTER (mask = own) AS BIGINT) AS unique_fails,
+                   CAST(sum(good) FILTER (mask & own > 0 AND mask & earlier = 0) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (mask & own > 0 AND mask & earlier = 0) AS BIGINT) AS toxic_lost
+            FROM c, s GROUP BY part, filter_order, step, own
+        )
+        SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+               coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM x
+    """
+
+
 def _mix_sql(rounds: int = 12) -> str:
     """op8 as running sums in hash order. Each round takes what fits a source's rest, and goes on behind what doesn't; the
     operator goes on until nothing is open, SQL spells the rounds out."""
@@ -118,9 +191,10 @@ def _mix_sql(rounds: int = 12) -> str:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_trie, op2_secret_forest, op3_progressive_jpeg, op4_sampled_splitters, op5_bloom_lines, op6_weak_supervision, op7_suffix_arrays, op8_hash_threshold_mix, op9_bucket_pointers, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash_trie, op2_secret_forest, op3_progressive_jpeg, op4_sampled_splitters, op5_bloom_lines, op6_weak_supervision, op7_suffix_arrays, op8_hash_threshold_mix, op9_bucket_pointers, op10_language_id, op11_partition_refinement, op12_merge_rounds, op13_filter_audit)}
 SQL: dict[str, str] = {
     "op8_hash_threshold_mix": _mix_sql(),
+    "op13_filter_audit": _audit_sql(),
     "op7_suffix_arrays": """
         WITH d AS (
             SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
