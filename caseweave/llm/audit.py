@@ -25,6 +25,8 @@ COPY = 1 << FILTERS.index("E")
 MIN_WORDS, MIN_DISTINCT_PERCENT, MAX_CAPITAL_PERCENT = 200, 50, 3
 #: Text that a task holds at once to find its own copies.
 HELD_BYTES = 32 << 20
+#: Text of one partition after routing, about.
+PART_BYTES = 64 << 20
 
 _SIGN = re.compile(r"[#$%&*|]")
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
@@ -121,8 +123,9 @@ def failed(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", part_c
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     rows = df.select(F.xxhash64(text), text, F.col(id_col).cast("long"), F.coalesce(F.col(part_col), F.lit(""))).rdd
-    n = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(size // PART_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     routed = rows.mapPartitions(_contenders).repartitionAndSortWithinPartitions(n, operator.itemgetter(1))
     return spark.createDataFrame(routed.mapPartitions(_copies), "doc_id long, part string, mask int, n long", verifySchema=False)
 
