@@ -27,7 +27,9 @@ MARK = "▁"
 #: Text of one batch.
 BATCH_BYTES = 6 << 20
 #: Rank of a pair that is no piece.
-NONE = 2**31 - 1
+NONE = np.int32(2**31 - 1)
+#: A free place of the table of pairs.
+FREE = -(2**63)
 
 # Fixed values of the model file's format: piece types, and the number of the model type BPE.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -59,6 +61,11 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    """Where the search for each key begins in a table of ``size`` places (a power of two)."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (size - 1).bit_length())).astype(np.int64)
+
+
 def load(path: str) -> dict:
     """The tables of a model file: BPE with byte fallback, text taken as it is but for a mark at its beginning.
 
@@ -88,7 +95,13 @@ def load(path: str) -> dict:
             a, b = of(p[:cut]), of(p[cut:])
             if a is not None and b is not None:
                 pairs[(a << 32) + b] = i
-    keys = np.array(sorted(pairs), np.int64)
+    keys = np.full(1 << max(4, (4 * len(pairs)).bit_length()), FREE, np.int64)
+    made = np.zeros(len(keys), np.int64)
+    wanted = np.fromiter(pairs, np.int64, len(pairs))
+    for slot, key in zip(_slot(wanted, len(keys)).tolist(), wanted.tolist(), strict=True):
+        while keys[slot] != FREE:
+            slot = (slot + 1) & (len(keys) - 1)
+        keys[slot], made[slot] = key, pairs[key]
     surface = [b"" if k in (CONTROL, BYTE) else (trainer.get(44, b" \xe2\x81\x87 ") if k == UNKNOWN else p.replace(MARK, " ").encode()) for p, k in zip(pieces, kinds, strict=True)]
     byte = np.full(256, -1, np.int64)
     for i, k in enumerate(kinds):
@@ -96,7 +109,7 @@ def load(path: str) -> dict:
             byte[int(pieces[i][3:5], 16)] = i
             surface[i] = bytes([int(pieces[i][3:5], 16)])
     tables = {
-        "symbol": symbol, "keys": keys, "made": np.array([pairs[k] for k in keys.tolist()], np.int64), "rank": rank.astype(np.int32), "byte": byte, "surface": surface, "control": np.array(kinds) == CONTROL,
+        "symbol": symbol, "keys": keys, "made": made, "ranks": rank.astype(np.int32)[made], "byte": byte, "surface": surface, "control": np.array(kinds) == CONTROL,
         "plain": np.array(kinds) == NORMAL, "is_byte": np.array(kinds) == BYTE, "words": not any(re.search(f"[^{MARK}]{MARK}", p) for p in number), "long": 0,
     }
     # A long run of marks begins with its longest piece and goes on as a shorter run does; where that holds it may be cut.
@@ -109,20 +122,23 @@ def load(path: str) -> dict:
 
 
 def _pairs(model: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The piece that each pair of symbols makes, and its rank (NONE without a piece)."""
-    if not len(model["keys"]):
-        return np.zeros(len(a), np.int64), np.full(len(a), NONE, np.int32)
+    """The piece that each pair of symbols makes, and its rank (NONE without a piece), from an open hash table."""
     key = (a << 32) + b
-    at = np.minimum(np.searchsorted(model["keys"], key), len(model["keys"]) - 1)
-    made = model["made"][at]
-    return made, np.where((model["keys"][at] == key) & (a >= 0), model["rank"][made], NONE).astype(np.int32)
+    slot = _slot(key, len(model["keys"]))
+    there = model["keys"][slot]
+    open_ = np.flatnonzero((there != key) & (there != FREE))
+    while len(open_):
+        slot[open_] = (slot[open_] + 1) & (len(model["keys"]) - 1)
+        there = model["keys"][slot[open_]]
+        open_ = open_[(there != key[open_]) & (there != FREE)]
+    return model["made"][slot], np.where(model["keys"][slot] == key, model["ranks"][slot], NONE)
 
 
 def merge(words: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
     """Piece numbers of all words in a row, and how many each has."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     symbol = model["symbol"][np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].astype(np.int64)
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     done_word, done = [word[:0]], [symbol[:0]]
     made, rank = _pairs(model, symbol, np.append(symbol[1:], 0))
     rank[np.append(word[1:], -1) != word] = NONE
@@ -149,10 +165,10 @@ def merge(words: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
         other = symbol[at - 1]
         chained = np.concatenate([[False], at[1:] == at[:-1] + 2])
         other[chained] = new[np.flatnonzero(chained) - 1]
-        before = _pairs(model, other, new)[1]
+        made_before, before = _pairs(model, other, new)
         before[(at == 0) | (word[at - 1] != word[at])] = NONE
         right = np.minimum(at + 2, len(word) - 1)
-        after = _pairs(model, new, symbol[right])[1]
+        made_after, after = _pairs(model, new, symbol[right])
         after[(at + 2 >= len(word)) | (word[right] != word[at])] = NONE
         early = np.minimum(before, after) <= here[at]
         if early.any():
@@ -160,15 +176,17 @@ def merge(words: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
             count = np.cumsum(early) - early
             own = np.concatenate([[True], word[at][1:] != word[at][:-1]])
             ok = count == count[np.flatnonzero(own)[np.cumsum(own) - 1]]
-            at, new = at[ok], new[ok]
+            at, new, made_before, before, made_after, after = (x[ok] for x in (at, new, made_before, before, made_after, after))
         symbol[at] = new
         keep = np.ones(len(symbol), bool)
         keep[at + 1] = False
         where = (np.cumsum(keep) - 1)[at]
         word, symbol, made, rank = word[keep], symbol[keep], made[keep], rank[keep]
-        fresh = np.unique(np.concatenate([where, np.maximum(where - 1, 0)]))
-        made[fresh], rank[fresh] = _pairs(model, symbol[fresh], symbol[np.minimum(fresh + 1, len(symbol) - 1)])
-        rank[fresh[(fresh + 1 >= len(word)) | (word[np.minimum(fresh + 1, len(word) - 1)] != word[fresh])]] = NONE
+        made[where], rank[where] = made_after, after
+        inner = where > 0
+        # After those to the right: a left neighbour merged in the same round is seen as it is now.
+        made[where[inner] - 1] = np.where(before[inner] < NONE, made_before[inner], made[where[inner] - 1])
+        rank[where[inner] - 1] = before[inner]
     word, symbol = np.concatenate(done_word), np.concatenate(done)
     order = np.argsort(word, kind="stable")
     word, symbol = word[order], symbol[order]
@@ -232,6 +250,8 @@ def decode(ids: np.ndarray, model: dict) -> str:
 
     Pieces of control give nothing and end a row of bytes.
     """
+    if not len(ids):
+        return ""
     control, surface = model["control"][ids], model["surface"]
     text = None
     if not control.any():
@@ -248,28 +268,34 @@ def decode(ids: np.ndarray, model: dict) -> str:
     return text[1:] if len(shown) and model["plain"][shown[0]] and text[:1] == " " else text
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: str, make) -> DataFrame:
-    rest = df.drop(target)
-    rows = rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("_row"), F.col(source).alias("_in"))
-    return rows.mapInArrow(make, widened(rows.select("_row"), f"`{target}` {kind}")).select("_row.*", target)
+def _packed(df: DataFrame, source: str, *targets: str) -> DataFrame:
+    rest = df.drop(*targets)
+    return rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("_row"), F.col(source).alias("_in"))
 
 
-def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", to: str = "ids") -> DataFrame:
-    """``df`` with the piece numbers of its texts as ``to`` (array of int), without marks of beginning or end.
+def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", to: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with the piece numbers of its texts as ``to`` (array of int), without marks of beginning or end, and, if
+    ``decoded`` names a column, with the text that decode() makes of them.
 
-    They are those of the sentencepiece library for the same model. Null and empty texts have none. A column named ``to`` is
-    replaced, all others stay; every row gives one row, and an empty table an empty one. Texts are taken whole; memory
+    They are those of the sentencepiece library for the same model. Null and empty texts have none. Columns of those names
+    are replaced, all others stay; every row gives one row, and an empty table an empty one. Texts are taken whole; memory
     goes with a batch of BATCH_BYTES or one longer text.
     """
     shared = df.sparkSession.sparkContext.broadcast(load(model_path))
+    targets = [to, *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for small in (s for batch in batches for s in bounded(batch, "_in", BATCH_BYTES)):
-            ids, counts = encode(small.column("_in").to_pylist(), shared.value)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([small.column("_row"), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["_row", to])
+            ids, counts = encode(small.column("_in").to_pylist(), model)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
+            if decoded:
+                columns.append(pa.array([decode(ids[a:b], model) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays([small.column("_row"), *columns], ["_row", *targets])
 
-    return _mapped(df, text_col, to, "array<int>", run)
+    rows = _packed(df, text_col, *targets)
+    return rows.mapInArrow(run, widened(rows.select("_row"), ", ".join([f"`{to}` array<int>", *([f"`{decoded}` string"] if decoded else [])]))).select("_row.*", *[f"`{t}`" for t in targets])
 
 
 def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -282,8 +308,8 @@ def decode_ids(df: DataFrame, model_path: str, ids_col: str = "ids", to: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("_in")
-            texts = [decode(np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64), shared.value) if x.is_valid and len(x.values) else "" for x in column]
+            texts = [decode(x.values.to_numpy(zero_copy_only=False), shared.value) if x.is_valid and len(x.values) else "" for x in batch.column("_in")]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], ["_row", to])
 
-    return _mapped(df, ids_col, to, "string", run)
+    rows = _packed(df, ids_col, to)
+    return rows.mapInArrow(run, widened(rows.select("_row"), f"`{to}` string")).select("_row.*", f"`{to}`")

@@ -101,11 +101,10 @@ def op11_partition_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded")
     ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")
-    whole = pieces.decode_ids(coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "ids"), model)
-    return whole.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

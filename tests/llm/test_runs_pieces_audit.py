@@ -148,6 +148,9 @@ def test_op12_equals_the_library(spark, write_docs, odd_rows, library):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert [t for _, t in got.dtypes] == ["bigint", "bigint", "string", "string"]
     assert queries.op12_merge_rounds(spark, write_docs([])).count() == 0
+    docs = spark.createDataFrame(odd_rows[:8], "doc_id long, text string, `odd.name` string")
+    back = pieces.decode_ids(pieces.encode_texts(docs, MODEL), MODEL).collect()
+    assert [r["decoded"] for r in back] == [t or "" for _, t, _ in odd_rows[:8]] and back[3]["odd.name"] == "a"
 
 
 def test_other_models_are_refused(tmp_path):
