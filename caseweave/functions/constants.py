@@ -110,13 +110,30 @@ FALLBACK_MIDDLE = {
 }
 FALLBACK_END = " Restano da sciogliere i quesiti aperti indicati nella scheda."
 UNCONTESTED_DOUBT = "Verifica se il fatto è davvero non contestato: "
-# Drafting templates (id, label, scope, structure, method).
-TEMPLATES = (
-    ("civile_ordinario", "Civile ordinario", "civile", "Svolgimento del processo; Motivi della decisione; P.Q.M.", "separa domande, eccezioni e istruttoria; esplicita onere probatorio e fatti controversi; mantieni le valutazioni discrezionali come quesiti."),
-    ("appalto", "Appalto", "civile", "rapporto contrattuale; consegna/collaudo; contestazioni tecniche; penali; danni; riconvenzionale.", "distinguere difetti, ritardo, nesso causale, concause e utilita' di CTU."),
-    ("opposizione_di", "Opposizione a decreto ingiuntivo", "civile", "decreto opposto; motivi di opposizione; prova del credito; eccezioni; decisione su revoca/conferma.", "verifica titolo, esigibilita', contestazioni specifiche e riparto dell'onere."),
-    ("responsabilita", "Responsabilita' civile", "civile", "fatto dannoso; condotta; nesso causale; danno; concorso; liquidazione.", "separa allegazione, prova, causalita' e quantificazione."),
-    ("penale", "Penale", "penale", "imputazione; prove dell'accusa; difese; qualificazione giuridica; trattamento sanzionatorio o formule assolutorie; statuizioni civili.", "tenere distinto fatto storico, elemento soggettivo e alternative ricostruttive."),
-    ("cautelare", "Cautelare", "civile", "fumus; periculum; bilanciamento; misura.", "evidenzia urgenza, irreparabilita', proporzionalita' e punti da decidere."),
-    ("lavoro", "Lavoro", "lavoro", "rapporto; mansioni/inquadramento; fatti contestati; prova; conteggi; decisione.", "distinguere allegazioni datoriali e del lavoratore, documenti retributivi e prova testimoniale."),
-)
+# Actions on a fact; what an action writes where it brings no text of its own; a matrix row's first question.
+FACT_ACTIONS = ("segna_insufficiente", "segna_da_verificare", "crea_quesito")
+COMMENT_TEXTS = {
+    "integra_motivazione": "Integrare la motivazione prima dell'export.",
+    "compila_pqm": "Compilare o riallineare il P.Q.M. rispetto alle motivazioni.",
+    "chiedi_ctu": "Valutare se formulare un quesito tecnico/CTU sui fatti controversi.",
+    "verifica_fonti": "Verificare manualmente pertinenza e affidabilita' degli snippet.",
+    "cerca_fascicolo": "Cercare nel fascicolo una fonte interna non ancora agganciata.",
+}
+QUESTION_TEXT = "Verificare manualmente se la richiesta e' sorretta da fonti interne sufficienti."
+INSUFFICIENT_NOTE = "Marcata insufficiente dalla revisione guidata: mancano fonti interne adeguate."
+FIRST_QUESTION = "Quali fatti costitutivi/impeditivi e quali prove sorreggono questa richiesta?"
+# Labels of a lead's source, and why it is as reliable as it is.
+LEAD_LABELS = {
+    "insufficiente": "Ricerca insufficiente", "manuale": "Materiale manuale da verificare", "non_indicata": "Fonte non indicata", "istituzionale": "Fonte istituzionale",
+    "editoriale": "Banca dati o rivista giuridica", "bassa": "Fonte da verificare con cautela", "media": "Fonte da verificare",
+}
+LEAD_REASONS = {
+    "insufficiente": "La ricerca non ha restituito fonti sufficientemente verificabili.",
+    "alta": "Fonte istituzionale o primaria: usare comunque previa verifica del testo vigente.",
+    "media": "Fonte utile per orientarsi, da confrontare con norma o provvedimento originale.",
+    "bassa": "Fonte potenzialmente fragile: non citarla senza riscontro autonomo.",
+    "": "Fonte non indicata: trattala come appunto interno, non come citazione.",
+}
+# Headers of documents in a composed context, and the longest change log.
+SECTION_LABELS = {"generici": "DOCUMENTI GENERICI", "attore": "FASCICOLO DELL'ATTORE", "convenuto": "FASCICOLO DEL CONVENUTO/RICORRENTE"}
+CHANGE_LOG = 100

@@ -183,19 +183,23 @@ def url_host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.when(host == "", _text(url)).otherwise(host)), r"^www\.", "")
 
 
-def url_trust(url: Column) -> Column:
-    """Trust class of an address, by plain suffix of its host."""
+def _trust(url: Column, none: str, official: str, journal: str, doubtful: str, other: str) -> Column:
     host = url_host(url)
     ends = lambda names: F.exists(F.array(*[F.lit(n) for n in names]), lambda n: F.endswith(host, n))
     return (
-        F.when(_text(url) == "", F.lit("non_indicata"))
-        .when(ends(C.INSTITUTIONAL_HOSTS), F.lit("alta"))
-        .when(ends(C.EDITORIAL_HOSTS), F.lit("media"))
-        .when(_any_in(host, ("studio", "blog")), F.lit("bassa"))
-        .otherwise(F.lit("media"))
+        F.when(_text(url) == "", F.lit(none))
+        .when(ends(C.INSTITUTIONAL_HOSTS), F.lit(official))
+        .when(ends(C.EDITORIAL_HOSTS), F.lit(journal))
+        .when(_any_in(host, ("studio", "blog")), F.lit(doubtful))
+        .otherwise(F.lit(other))
     )
 
 
+def url_trust(url: Column) -> Column:
+    """Trust class of an address, by plain suffix of its host."""
+    return _trust(url, "non_indicata", "alta", "media", "bassa", "media")
+
+
 def source_kind(c: Column, manual: Column) -> Column:
     low, kind = F.lower(_text(c)), F.when(manual, F.lit("materiale manuale")).otherwise(F.lit("fonte web"))
     for name, stems in reversed(C.SOURCE_KINDS):
@@ -207,6 +211,18 @@ def lead_reliability(url: Column, insufficient: Column, manual: Column) -> Colum
     return F.when(insufficient, F.lit("insufficiente")).when(manual & (_text(url) == ""), F.lit("media")).otherwise(url_trust(url))
 
 
+def lead_label(url: Column, insufficient: Column, manual: Column) -> Column:
+    """What a lead's source is called."""
+    names = [C.LEAD_LABELS[k] for k in ("non_indicata", "istituzionale", "editoriale", "bassa", "media")]
+    return F.when(insufficient, F.lit(C.LEAD_LABELS["insufficiente"])).when(manual & (_text(url) == ""), F.lit(C.LEAD_LABELS["manuale"])).otherwise(_trust(url, *names))
+
+
+def lead_reason(reliability: Column) -> Column:
+    """Why a lead is as reliable as lead_reliability() says."""
+    named = F.create_map(*[F.lit(x) for k in ("insufficiente", "alta", "media", "bassa") for x in (k, C.LEAD_REASONS[k])])
+    return F.coalesce(F.try_element_at(named, reliability), F.lit(C.LEAD_REASONS[""]))
+
+
 def case_tag(c: Column) -> Column:
     """First tag whose stem the text holds, or none."""
     low, tag = F.lower(_text(c)), F.lit("")
@@ -293,6 +309,12 @@ def opening_text(c: Column, limit: int = 320) -> Column:
     return F.when(F.length(tidy) <= limit, tidy).otherwise(F.concat(trimmed(F.substring(tidy, 1, limit - 3)), F.lit("...")))
 
 
+def opening_question(questions: Column, burden: Column) -> Column:
+    """The first open question that isn't blank; without one, a standard question where the burden of proof is blank too."""
+    said = F.filter(F.transform(F.coalesce(questions, F.array().cast("array<string>")), lambda q: trimmed(_text(q))), lambda q: q != "")
+    return F.when(F.size(said) > 0, F.get(said, F.lit(0))).when(trimmed(_text(burden)) == "", F.lit(C.FIRST_QUESTION)).otherwise(F.lit(""))
+
+
 def percent(done: Column, total: Column) -> Column:
     """Progress in whole percent, 0 to 100, halves to even."""
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), done / F.greatest(total, F.lit(1))))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions import constants as C
 from caseweave.functions import text as T
+from caseweave.scratch import scratch
 
 from .claims import burden, undisputed
-from .matrix import actions, matrix, red_team
+from .matrix import actions, issue_order, matrix, red_team
 
 
 def _text(c: str | Column) -> Column:
@@ -118,12 +119,6 @@ def lead_lines(results: DataFrame, key: str = "case_id") -> DataFrame:
     return results.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """The drafting templates (id, label, scope, structure, method)."""
-    rows = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("id", "label", "scope", "structure", "method"), t, strict=True)]) for t in C.TEMPLATES]))
-    return spark.range(1).select(rows.alias("t")).select("t.*")
-
-
 def chronology(docs: DataFrame) -> DataFrame:
     """Documents of each case with their place by order and date."""
     w = Window.partitionBy("case_id").orderBy("ord", "created", "doc_id")
@@ -131,9 +126,14 @@ def chronology(docs: DataFrame) -> DataFrame:
     return docs.select("case_id", "doc_id", name.alias("name"), F.row_number().over(w).alias("place"))
 
 
-def key_evidence(rows: DataFrame, n: int = 5) -> DataFrame:
-    """The best sources over all claims of a case: (case_id, place, claim_id, doc_id, score). Kept as a bounded heap a case."""
-    found = rows.select("case_id", "claim_id", F.explode("sources").alias("s")).select("case_id", F.struct((-F.coalesce("s.score", F.lit(0.0))).alias("k"), "claim_id", F.col("s.doc_id").alias("doc_id")).alias("x"))
+def key_evidence(claims: DataFrame, n: int = 5) -> DataFrame:
+    """The best sources over all claims of a case: (case_id, place, claim_id, doc_id, score); ties by claim, then place in its list.
+
+    claims: case_id, claim_id, sources and, if claims have an order of their own, ord. Kept as a bounded heap a case.
+    """
+    order = F.col("ord") if "ord" in claims.columns else F.col("claim_id")
+    found = claims.select("case_id", "claim_id", order.alias("_ord"), F.posexplode("sources").alias("_pos", "s"))
+    found = found.select("case_id", F.struct((-F.coalesce("s.score", F.lit(0.0))).alias("k"), "_ord", "claim_id", "_pos", F.col("s.doc_id").alias("doc_id")).alias("x"))
     w = Window.partitionBy("case_id").orderBy("x")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("case_id", "place", "x.claim_id", "x.doc_id", (-F.col("x.k")).alias("score"))
 
@@ -148,17 +148,20 @@ def _first(df: DataFrame, order: list, n: int, what: Column, name: str) -> DataF
 def dashboard(cases: DataFrame, registry: DataFrame, claims: DataFrame, rows: DataFrame, drafts: DataFrame) -> DataFrame:
     """One row a case: its first placeholders, claims, best sources, gaps, issues and actions, each list capped.
 
-    cases (case_id), registry (case_id, placeholder), claims (case_id, claim_id, ord), rows as in matrix.matrix().
+    cases (case_id), registry (case_id, placeholder), claims (case_id, claim_id, ord, sources), rows as in matrix.matrix(),
+    with claim_ord and fact_ord where their order isn't that of the ids. Issues and actions come row by row and rule by
+    rule in a row, those of the whole case last. The matrix is computed once and written to the shared folder.
     """
-    m = matrix(rows)
+    m = matrix(rows).drop("sources", "open_questions", "not_contested")
+    m = scratch(m.withColumns({f"{k}_ord": F.col(f"{k}_id") for k in ("claim", "fact") if f"{k}_ord" not in m.columns}), "matrix")
     issues = red_team(m, drafts)
     parts = (
         _first(registry.select("case_id", "placeholder").distinct(), ["placeholder"], C.DASHBOARD["placeholders"], F.col("placeholder"), "placeholders"),
         _first(claims, ["ord", "claim_id"], C.DASHBOARD["claims"], F.col("claim_id"), "claims"),
-        _first(key_evidence(rows), ["place"], 5, F.col("doc_id"), "key_evidence"),
-        _first(m.select("case_id", "claim_id", F.posexplode("gaps").alias("p", "gap")), ["claim_id", "p"], C.DASHBOARD["gaps"], F.col("gap"), "gaps"),
-        _first(issues, ["seq", "claim_id"], C.DASHBOARD["risks"], F.col("rule"), "risks"),
-        _first(actions(issues), ["rule", "claim_id", "action"], C.DASHBOARD["actions"], F.col("action"), "actions"),
+        _first(key_evidence(claims), ["place"], 5, F.struct("claim_id", "doc_id", "score"), "key_evidence"),
+        _first(m.select("case_id", "claim_ord", "fact_ord", "fact_id", F.posexplode("gaps").alias("p", "gap")), ["claim_ord", "fact_ord", "fact_id", "p"], C.DASHBOARD["gaps"], F.struct("fact_id", "gap"), "gaps"),
+        _first(issues, [issue_order()], C.DASHBOARD["risks"], F.struct("rule", "claim_id", "fact_id", "severity"), "risks"),
+        _first(actions(issues), ["at"], C.DASHBOARD["actions"], F.struct("action", "claim_id", "fact_id", "severity"), "actions"),
     )
     out = cases.select("case_id")
     for part in parts:
@@ -167,6 +170,18 @@ def dashboard(cases: DataFrame, registry: DataFrame, claims: DataFrame, rows: Da
     return out
 
 
+def assisted_privacy(entities: DataFrame, reports: DataFrame) -> DataFrame:
+    """The privacy part of a readiness report, one row a case: ok, its registry by placeholder, and what looks wrong.
+
+    entities (case_id, placeholder, value), reports (case_id, report), the report as of privacy.privacy_report(). ``residues``
+    are the leaks, then the unknown names.
+    """
+    names = entities.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("placeholder", "value"))).alias("entities"))
+    residues = F.concat(F.transform("report.leaks", lambda x: x["token"]), F.transform("report.unknown", lambda x: x["token"]))
+    rows = reports.join(names, "case_id", "left")
+    return rows.select("case_id", F.col("report.ok").alias("ok"), F.coalesce("entities", F.array().cast(names.schema["entities"].dataType)).alias("entities"), F.col("report.malformed").alias("malformed"), residues.alias("residues"))
+
+
 def export_checklist(ready: DataFrame) -> DataFrame:
     """The seven items to tick before a case is exported, from a row of matrix.readiness() joined with its counts.
 

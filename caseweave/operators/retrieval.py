@@ -108,6 +108,29 @@ def compose(parts: DataFrame, key: str, order: list[str], text_col: str, separat
     return near.groupBy(key).agg(F.substring(joined, 1, limit).alias("context"))
 
 
+def compose_documents(docs: DataFrame, with_ids: bool = False, limit: int = C.CONTEXT_CHARS) -> DataFrame:
+    """(case_id, context): a case's documents in order, each under its section's header, which names its id if wanted.
+
+    docs: case_id, doc_id, section, ord, text (null counts as empty). A section without a label stands in capitals.
+    """
+    label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in C.SECTION_LABELS.items() for x in pair]), F.col("section")), F.upper("section"))
+    head = F.concat(F.lit("### Documento "), F.col("doc_id").cast("string"), F.lit(" — "), label) if with_ids else F.concat(F.lit("### "), label)
+    body = T.trimmed(F.coalesce("text", F.lit("")))
+    rows = docs.select("case_id", "ord", "doc_id", F.concat(head, F.lit("\n"), F.substring(body, 1, limit)).alias("block"))
+    return compose(rows, "case_id", ["ord", "doc_id"], "block", limit=limit)
+
+
+def case_context(drafts: DataFrame, claims: DataFrame, limit: int = C.CASE_CHARS) -> DataFrame:
+    """(case_id, context): the facts of a case's draft, then a line a claim with its party, in order, cut at ``limit``.
+
+    drafts (case_id, in_fact), claims (case_id, claim_id, ord, party, text). Cases with neither are left out.
+    """
+    head = drafts.where(F.coalesce("in_fact", F.lit("")) != "").select("case_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord"), F.lit(0).cast("long").alias("id"), F.concat(F.lit("In fatto: "), "in_fact").alias("line"))
+    line = F.concat(F.lit("Richiesta ("), F.coalesce("party", F.lit("")), F.lit("): "), F.coalesce("text", F.lit("")))
+    lines = head.unionByName(claims.select("case_id", F.lit(1).alias("part"), F.col("ord").cast("long").alias("ord"), F.col("claim_id").cast("long").alias("id"), line.alias("line")))
+    return compose(lines, "case_id", ["part", "ord", "id"], "line", separator="\n", limit=limit)
+
+
 def rag_context(fragments: DataFrame, query: list[float], user: int | None, k: int = 3, chars: int = 300) -> DataFrame:
     """One row: the first ``chars`` characters of the nearest fragments that are global or one's own, nearest first.
 

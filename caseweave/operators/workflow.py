@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseweave.functions import constants as C
+from caseweave.functions import text as T
 
 ACCEPTED = ("verificato", "accettato_senza_verifica")
 
@@ -80,16 +83,84 @@ def changed_fields(before: Column, after: Column) -> Column:
     return F.map_filter(both, lambda k, v: ~v["before"].eqNullSafe(v["after"]))
 
 
-def apply_actions(facts: DataFrame, actions: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Facts with the state that an action sets, and the ledger rows to append.
+class Applied(NamedTuple):
+    """What applying actions gives: changed facts and claims, and rows to append; refused actions change nothing."""
+
+    facts: DataFrame
+    claims: DataFrame
+    comments: DataFrame
+    events: DataFrame
+    refused: DataFrame
+
+
+def apply_actions(facts: DataFrame, claims: DataFrame, actions: DataFrame, now: Column | None = None) -> Applied:
+    """Applies actions in the order of ``seq``, as if one after the other.
+
+    facts (fact_id, claim_id, proof_state, operator_note, question), claims (claim_id, case_id, open_questions), actions
+    (case_id, seq, action, fact_id, claim_id, text, actor); further columns of facts and claims stay. An action's target is
+    its fact, which must belong to a claim of its case, else its claim, if it names one. ``segna_insufficiente`` and
+    ``segna_da_verificare`` set a fact's state (the former fills an empty note), ``crea_quesito`` its question and adds it to
+    the claim's open questions, others write a comment, with a standard text where they bring none. An action that needs a
+    fact and has none, has an unknown target or name, is refused. Each fact and claim comes back once.
+    """
+    when = now if now is not None else F.current_timestamp()
+    own = facts.select(F.col("fact_id").alias("_fact"), F.col("claim_id").alias("_of"))
+    known = claims.select(F.col("claim_id").alias("_claim"), F.col("case_id").alias("_case"))
+    rows = actions.join(own, F.col("fact_id") == F.col("_fact"), "left").withColumn("_wanted", F.coalesce("_of", F.when(F.col("fact_id").isNull(), F.col("claim_id"))))
+    rows = rows.join(known, (F.col("_wanted") == F.col("_claim")) & (F.col("case_id") == F.col("_case")), "left")
+    named = F.col("fact_id").isNotNull() | F.col("claim_id").isNotNull()
+    found = ~named | (F.col("_claim").isNotNull() & (F.col("fact_id").isNull() | F.col("_fact").isNotNull()))
+    on_fact = F.col("action").isin(*C.FACT_ACTIONS) & F.col("_fact").isNotNull()
+    valid = F.coalesce(found & (on_fact | F.col("action").isin(*C.COMMENT_TEXTS)), F.lit(False))
+    said = F.when(F.coalesce("text", F.lit("")) != "", F.col("text"))
+    usual = F.try_element_at(F.create_map(*[F.lit(x) for pair in C.COMMENT_TEXTS.items() for x in pair]), F.col("action"))
+    judged = rows.select(
+        "case_id", "seq", "action", "actor", F.col("_fact").alias("fact_id"), F.col("_claim").alias("claim_id"), valid.alias("valid"), F.coalesce(said, F.when(F.col("action") == "crea_quesito", F.lit(C.QUESTION_TEXT)), usual).alias("text"), usual.alias("usual"),
+    )
+    done = judged.where("valid")
+    state = F.when(F.col("action") == "segna_insufficiente", F.lit("insufficiente")).when(F.col("action") == "segna_da_verificare", F.lit("da_verificare"))
+    asked = F.col("action") == "crea_quesito"
+    by_fact = done.where(F.col("action").isin(*C.FACT_ACTIONS)).groupBy("fact_id").agg(
+        F.max_by(state, F.when(state.isNotNull(), F.col("seq"))).alias("_state"), F.max_by("text", F.when(asked, F.col("seq"))).alias("_question"), F.bool_or(F.col("action") == "segna_insufficiente").alias("_noted")
+    )
+    note = F.when(F.col("_noted") & (F.coalesce("operator_note", F.lit("")) == ""), F.lit(C.INSUFFICIENT_NOTE)).otherwise(F.col("operator_note"))
+    new_facts = facts.join(by_fact, "fact_id", "left").withColumns({"proof_state": F.coalesce("_state", "proof_state"), "question": F.coalesce("_question", "question"), "operator_note": note})
+    # A question that a claim has already isn't added again; each new one comes once, in the order of its first asking.
+    first = done.where(asked).groupBy("claim_id", "text").agg(F.min("seq").alias("seq"))
+    by_claim = first.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("_asked"))
+    old = F.coalesce("open_questions", F.array().cast("array<string>"))
+    added = F.concat(old, F.filter("_asked", lambda q: ~F.array_contains(old, q)))
+    new_claims = claims.join(by_claim, "claim_id", "left").withColumn("open_questions", F.when(F.col("_asked").isNotNull(), added).otherwise(F.col("open_questions")))
+    notes = done.where(F.col("action").isin(*C.COMMENT_TEXTS))
+    section = F.when(F.col("action") == "compila_pqm", F.lit("pqm")).otherwise(F.lit("in_diritto"))
+    comments = notes.select("case_id", "seq", "actor", section.alias("section"), F.col("claim_id").alias("ref_id"), "text", F.lit(False).alias("resolved"))
+    events = done.select("case_id", "seq", "actor", "claim_id", "fact_id", F.lit("azione_lacuna").alias("kind"), F.col("action").alias("field"), F.lit(None).cast("string").alias("before"), F.to_json(F.struct(F.col("action").alias("tipo"))).alias("after"), when.alias("ts"))
+    return Applied(new_facts.select(facts.columns), new_claims.select(claims.columns), comments, events, judged.where("NOT valid").select("case_id", "seq", "action", "actor"))
+
+
+def first_rows(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """A first matrix row (claim_id, text, question, ord) for each claim that has none: its opening text and question.
+
+    claims: claim_id, text, open_questions, burden. facts: claim_id.
+    """
+    bare = missing_rows(claims, facts, "claim_id")
+    return bare.select("claim_id", T.opening_text(F.col("text")).alias("text"), T.opening_question(F.col("open_questions"), F.col("burden")).alias("question"), F.lit(0).alias("ord"))
+
+
+def edit_metadata(docs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with edited display name, place and kind, and the refused edits.
 
-    actions: (fact_id, action, actor). Only actions that set a proof state change a fact; every one is logged.
+    docs: doc_id, display_name, ord, kind, and any other columns. edits (doc_id, seq, display_name, ord, kind): null leaves a
+    field as it is; names are cut at 255 characters and kinds at 64, places are at least 0. An edit whose place (text) is no
+    whole number is refused whole. Of several edits of a document each field's last one holds.
     """
-    state = F.when(F.col("action") == "segna_non_provato", F.lit("non_provato")).when(F.col("action") == "chiedi_ctu", F.lit("da_decidere"))
-    joined = facts.join(actions, "fact_id", "left")
-    done = joined.withColumn("proof_state", F.coalesce(state, F.col("proof_state"))).select(facts.columns)
-    ledger = joined.where("action IS NOT NULL").select("fact_id", "action", "actor", F.col("proof_state").alias("before"), F.coalesce(state, F.col("proof_state")).alias("after"), (now if now is not None else F.current_timestamp()).alias("ts"))
-    return done, ledger
+    place = F.when(F.trim("ord") == "", F.lit(0)).otherwise(F.trim("ord").try_cast("int"))
+    rows = edits.withColumn("_place", place)
+    bad = F.col("ord").isNotNull() & F.col("_place").isNull()
+    last = lambda c, v: F.max_by(v, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}")
+    by_doc = rows.where(~bad).groupBy("doc_id").agg(last("display_name", F.substring("display_name", 1, 255)), last("ord", F.greatest(F.lit(0), F.col("_place"))), last("kind", F.substring("kind", 1, 64)))
+    out = docs.join(by_doc, "doc_id", "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in ("display_name", "ord", "kind")})
+    return out.select(docs.columns), rows.where(bad).drop("_place")
 
 
 def rate_source(sources: Column, anchor: Column, rating: Column) -> Column:

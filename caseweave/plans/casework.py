@@ -10,7 +10,7 @@ from caseweave.functions import text as T
 from caseweave.operators import claims as claims_op
 from caseweave.operators import drafting, graph, matrix, privacy, retrieval, scoping, workflow
 
-from .catalog import _ISSUES, _ROWS, _drafts, _order_documents, _order_rows, _t, query
+from .catalog import _ROWS, _drafts, _order_documents, _order_rows, _t, query
 
 # ---------------------------------------------------------------- searches
 
@@ -248,35 +248,6 @@ def key_evidence_by_case(spark, d):
     return drafting.key_evidence(_order_rows(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query(
-    f"""
-    {_ISSUES}, a AS (
-        SELECT *, row_number() OVER (PARTITION BY case_id, action, claim_id ORDER BY s, k) AS r FROM (
-            SELECT i.*, CASE WHEN claim_id IS NULL THEN 99 ELSE CAST(rule[2:] AS INT) - 1 END AS s, unnest(range(len(names))) AS k, unnest(names) AS action FROM i JOIN (VALUES ('R1', ['cerca_fascicolo', 'segna_non_provato']), ('R2', ['verifica_fonte']),
-                ('R3', ['cambia_stato']), ('R4', ['risolvi_quesiti']), ('R5', ['annota_contraddittorio']), ('R6', ['rivedi_contraddittorio']), ('R7', ['completa_motivazione']), ('R8', ['allinea_motivazione']), ('R9', ['compila_pqm']), ('R10', ['completa_motivazione'])) AS n(rule, names) USING (rule)))
-    SELECT case_id, claim_id, claim_id AS fact_id, action, severity, rule FROM a WHERE r = 1
-    """
-)
-def issue_actions(spark, d):
-    """Actions of all issues, each once (with SQL; rule_actions is the same)."""
-    return matrix.actions(matrix.red_team(_order_rows(spark, d), _drafts(spark, d)))
-
-
-@query(
-    f"""
-    {_ISSUES}, e AS (SELECT c_custkey AS case_id FROM customer), c AS (SELECT o_custkey AS case_id, count(*) AS n FROM orders GROUP BY 1), g AS (SELECT case_id, count(*) AS n FROM i GROUP BY 1), so AS (SELECT o_custkey AS case_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
-    SELECT case_id, CAST(least(coalesce(c.n, 0), 12) AS INT) AS placeholders, CAST(least(coalesce(c.n, 0), 12) AS INT) AS claims, CAST(least(coalesce(so.n, 0), 5) AS INT) AS evidence, CAST(least(coalesce(g.n, 0), 8) AS INT) AS risks
-    FROM e LEFT JOIN c USING (case_id) LEFT JOIN g USING (case_id) LEFT JOIN so USING (case_id)
-    """
-)
-def dashboard_lists(spark, d):
-    rows = _order_rows(spark, d)
-    cases = _t(spark, d, "customer").select(F.col("c_custkey").alias("case_id"))
-    names = rows.select("case_id", F.concat(F.lit("[P_"), F.col("claim_id"), F.lit("]")).alias("placeholder"))
-    out = drafting.dashboard(cases, names, rows.withColumn("ord", F.col("claim_id")), rows, _drafts(spark, d))
-    return out.select("case_id", *[F.size(a).alias(b) for a, b in (("placeholders", "placeholders"), ("claims", "claims"), ("key_evidence", "evidence"), ("risks", "risks"))])
-
-
 # ---------------------------------------------------------------- texts
 
 
@@ -292,14 +263,6 @@ def case_tags(spark, d):
     return rows.where(F.col("tag").isin("", "appalto"))
 
 
-@query("SELECT o_orderkey AS fact_id, CASE WHEN o_orderstatus = 'F' THEN 'non_provato' WHEN o_orderstatus = 'P' THEN 'da_decidere' ELSE 'provato' END AS proof_state FROM orders")
-def applied_actions(spark, d):
-    o = _t(spark, d, "orders")
-    facts = o.select(F.col("o_orderkey").alias("fact_id"), F.lit("provato").alias("proof_state"))
-    todo = o.select(F.col("o_orderkey").alias("fact_id"), F.when(F.col("o_orderstatus") == "F", "segna_non_provato").when(F.col("o_orderstatus") == "P", "chiedi_ctu").otherwise("verifica_fonte").alias("action"), F.lit("u").alias("actor"))
-    return workflow.apply_actions(facts, todo)[0]
-
-
 @query("SELECT o_orderkey AS claim_id, 'caso:' || o_custkey AS from_key, 'art ' || (o_orderkey % 50) || ' cc' AS to_key FROM orders WHERE o_orderstatus = 'F'")
 def case_graph_edges(spark, d):
     """Orders cite an article that their text bears out when they are finished."""
@@ -356,8 +319,3 @@ def stored_or_computed(spark, d):
     o = _t(spark, d, "orders").withColumnRenamed("o_orderkey", "claim_id")
     claims = o.select("claim_id", F.when(F.col("o_orderstatus") == "O", F.array(F.lit("scritto"))).otherwise(F.array().cast("array<string>")).alias("sources"))
     return drafting.stored_or_computed(claims, o.select("claim_id", F.array(F.lit("calcolato")).alias("sources"))).select("claim_id", F.element_at("sources", 1).alias("kept"))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b.replace(chr(39), chr(39) * 2)}', '{c}')" for a, b, c, _, _ in C.TEMPLATES) + ") AS t(id, label, scope)")
-def draft_templates(spark, d):
-    return drafting.templates(spark).select("id", "label", "scope")

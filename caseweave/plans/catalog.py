@@ -368,36 +368,6 @@ def severity_counts(spark, d):
     return matrix.severity_counts(matrix.red_team(_order_rows(spark, d), _drafts(spark, d)))
 
 
-@query()
-def rule_actions(spark, d):
-    return matrix.actions(matrix.red_team(_order_rows(spark, d), _drafts(spark, d)))
-
-
-@query(
-    f"""
-    {_ISSUES}, dc AS (SELECT o_custkey AS case_id, count(*) AS total, count(*) FILTER (o_orderstatus = 'O') AS proc, count(*) FILTER (o_orderstatus = 'F') AS acc, count(*) FILTER (o_orderstatus NOT IN ('O', 'F')) AS ver FROM orders GROUP BY 1),
-    sc AS (SELECT o_custkey AS case_id, count(DISTINCT l_partkey) AS cited, count(l_partkey) AS sources, count(*) FILTER (l_discount * 10 < 0.45) AS weak, count(*) FILTER (l_linestatus = 'O') AS decisive FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
-    cc AS (SELECT case_id, count(*) AS claims, count(*) FILTER (price < 50000) AS low, count(*) FILTER (q) AS questions, count(*) FILTER (n = 0) AS uncovered, count(*) FILTER (st <> 'F') AS nor, count(*) FILTER (st = 'F' AND p = '2-HIGH') AS contra FROM x GROUP BY 1),
-    ic AS (SELECT case_id, count(*) FILTER (severity = 'alta') AS severe FROM i GROUP BY 1),
-    du AS (SELECT o_custkey AS case_id, count(*) - count(DISTINCT lower(o_orderpriority)) AS dup FROM orders GROUP BY 1),
-    a AS (SELECT c_custkey AS case_id, c_mktsegment = 'BUILDING' AS done, c_nationkey < 12 AS part, coalesce(total, 0) AS total, coalesce(proc, 0) AS proc, coalesce(acc, 0) AS acc, coalesce(ver, 0) AS ver, coalesce(cited, 0) AS cited, coalesce(sources, 0) AS sources,
-                 coalesce(weak, 0) AS weak, coalesce(decisive, 0) AS decisive, coalesce(claims, 0) AS claims, coalesce(low, 0) AS low, coalesce(questions, 0) AS questions, coalesce(uncovered, 0) AS uncovered, coalesce(nor, 0) AS nor, coalesce(contra, 0) AS contra,
-                 coalesce(severe, 0) AS severe, coalesce(dup, 0) AS dup, c_acctbal >= 0 AS ok
-          FROM customer LEFT JOIN dc ON dc.case_id = c_custkey LEFT JOIN sc ON sc.case_id = c_custkey LEFT JOIN cc ON cc.case_id = c_custkey LEFT JOIN ic ON ic.case_id = c_custkey LEFT JOIN du ON du.case_id = c_custkey),
-    b AS (SELECT *, (total = 0)::INT + (proc > 0)::INT + (ver > 0)::INT + (acc = 0)::INT + (NOT done)::INT + (claims = 0 AND done)::INT + (NOT part)::INT + (nor > 0)::INT + (NOT ok)::INT + (severe > 0)::INT AS blocks,
-                 (weak > 0)::INT + (questions > 0)::INT + (dup > 0)::INT + (low > 0)::INT AS warnings FROM a)
-    SELECT case_id, blocks AS n_blocks, warnings AS n_warnings, greatest(0, least(100, 100 - 12 * blocks - 4 * warnings)) AS score, cited AS cited_documents, acc AS usable_documents, CAST(round_even(cited / greatest(acc, 1) * 100, 0) AS BIGINT) AS coverage_percent,
-           claims, low AS low_confidence, sources, weak AS weak_sources, uncovered AS uncovered_rows, decisive AS decisive_sources, questions AS open_questions, contra AS contradictions FROM b
-    """
-)
-def readiness_score(spark, d):
-    c = _t(spark, d, "customer")
-    cases = c.select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_mktsegment") == "BUILDING", "completata").otherwise("in_attesa").alias("analysis_state"))
-    clean = c.select(F.col("c_custkey").alias("case_id"), (F.col("c_acctbal") >= 0).alias("ok"))
-    out = matrix.readiness(cases, _order_documents(spark, d), _order_rows(spark, d), _drafts(spark, d), clean)
-    return out.withColumns({"n_blocks": F.size("blocks"), "n_warnings": F.size("warnings")}).drop("blocks", "warnings")
-
-
 # ---------------------------------------------------------------- cascades, web and JSON
 
 

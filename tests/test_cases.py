@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from caseweave.functions import constants as C
 from caseweave.operators import claims, evidence, graph, matrix, retrieval, workflow
 from caseweave.sources import files, portable
 from caseweave.streaming import registry as streams
@@ -43,7 +44,29 @@ def test_red_team_rules(spark):
     issues = matrix.red_team(rows, drafts)
     assert {r["rule"] for r in issues.collect()} == {"R1", "R3", "R7", "R9"}
     assert tuple(matrix.severity_counts(issues).first()) == (1, 4, 3, 1, 0)
-    assert matrix.actions(issues).where("rule = 'R1'").count() == 2
+    got = {(r["action"], r["rule"]) for r in matrix.actions(issues).collect()}
+    assert got == {("cerca_fascicolo", "R1"), ("segna_insufficiente", "R1"), ("crea_quesito", "R1"), ("integra_motivazione", "R7"), ("compila_pqm", "R9")}
+
+
+def test_actions_are_applied_in_order_once_a_fact(spark):
+    facts = spark.createDataFrame([(1, 1, "provato", "", ""), (2, 1, "provato", "nota", "")], "fact_id long, claim_id long, proof_state string, operator_note string, question string")
+    own = spark.createDataFrame([(1, 9, ["a"])], "claim_id long, case_id long, open_questions array<string>")
+    todo = [
+        (9, 1, "segna_insufficiente", 1, None, None), (9, 2, "segna_da_verificare", 1, None, None), (9, 3, "crea_quesito", 1, None, "b"), (9, 4, "crea_quesito", 2, None, "a"), (9, 5, "crea_quesito", 2, None, "b"), (9, 6, "chiedi_ctu", None, 1, ""),
+        (9, 7, "compila_pqm", None, None, "testo"), (9, 8, "segna_insufficiente", None, 1, None), (9, 9, "cambia_stato", 1, None, None), (8, 10, "crea_quesito", 1, None, None), (9, 11, "chiedi_ctu", 77, None, None), (9, 12, "segna_insufficiente", 2, None, None),
+    ]
+    got = workflow.apply_actions(facts, own, spark.createDataFrame([(*t, "u") for t in todo], "case_id long, seq long, action string, fact_id long, claim_id long, text string, actor string"))
+    assert [tuple(r) for r in got.facts.orderBy("fact_id").collect()] == [(1, 1, "da_verificare", C.INSUFFICIENT_NOTE, "b"), (2, 1, "insufficiente", "nota", "b")]
+    assert got.claims.first()["open_questions"] == ["a", "b"]
+    assert [(r["section"], r["ref_id"], r["text"]) for r in got.comments.orderBy("seq").collect()] == [("in_diritto", 1, C.COMMENT_TEXTS["chiedi_ctu"]), ("pqm", None, "testo")]
+    assert [r["seq"] for r in got.refused.orderBy("seq").collect()] == [8, 9, 10, 11] and got.events.count() == 8
+
+
+def test_metadata_edits(spark):
+    docs = spark.createDataFrame([(1, "n", 3, "k", "x"), (2, "m", 1, "", "y")], "doc_id long, display_name string, ord int, kind string, other string")
+    edits = spark.createDataFrame([(1, 1, "a" * 300, None, None), (1, 2, None, "-4", "b"), (1, 3, "z", "due", "c"), (2, 1, "", "", None)], "doc_id long, seq int, display_name string, ord string, kind string")
+    out, refused = workflow.edit_metadata(docs, edits)
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "a" * 255, 0, "b", "x"), (2, "", 0, "", "y")] and [r["seq"] for r in refused.collect()] == [3]
 
 
 def test_usable_and_counts(spark):
@@ -128,7 +151,7 @@ def test_binary_files(spark, tmp_path):
 def test_readiness(spark):
     cases = spark.createDataFrame([(1, "in_attesa")], "case_id long, analysis_state string")
     docs = spark.createDataFrame([], "case_id long, doc_id long, pseudonymised boolean, acceptance string, extraction_state string, anonymisation_state string, file_name string, ord long")
-    r = matrix.readiness(cases, docs, spark.createDataFrame([], ROW), spark.createDataFrame([], "case_id long, operative_part string"), spark.createDataFrame([(1, True)], "case_id long, ok boolean")).first()
+    r = matrix.readiness(cases, docs, spark.createDataFrame([], ROW), spark.createDataFrame([], ROW), spark.createDataFrame([], "case_id long, operative_part string"), spark.createDataFrame([(1, True)], "case_id long, ok boolean")).first()
     assert set(r["blocks"]) == {"no_documents", "none_usable", "analysis_open", "no_draft"} and r["score"] == 52
 
 
