@@ -15,6 +15,7 @@ def write_docs(spark, tmp_path_factory):
         clash = [(i, t, "en", s, len(t or ""), "x", "y", 1) for i, t, s in rows]
         spark.createDataFrame(clash, "doc_id long, text string, lang string, source string, n_chars long, shard string, _id string, size int").write.parquet(f"{d}/documents.parquet")
         spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame([(4, 1, 0), (5, 0, 1), (7, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
         return str(d)
 

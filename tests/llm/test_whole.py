@@ -5,6 +5,7 @@ import random
 import string
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -68,12 +69,12 @@ def test_a_passage_in_many_texts_takes_few_turns(spark, monkeypatch):
     assert tags.count("similar-near") <= 12
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 32])
-def test_benchmark_items_without_an_id_hit_words(spark, block_bytes):
+@pytest.mark.parametrize("block_words", [1 << 20, 8])
+def test_benchmark_items_without_an_id_hit_words(spark, block_words):
     words = [f"word{i}" for i in range(40)]
     bench = spark.createDataFrame([(None, " ".join(words[:20])), (7, " ".join(words[25:40]))], "item_id long, text string")
     docs = spark.createDataFrame([(1, " ".join(words[:20])), (2, " ".join(words))], "doc_id long, text string")
-    found = decontaminate.find_matches(docs, bench, block_bytes=block_bytes)
+    found = decontaminate.find_matches(docs, bench, block_words=block_words)
     got = {r[0]: r[1:] for r in found.select("doc_id", decontaminate.hit_words(found["hits"]), decontaminate.item_ids(found["matches"])).collect()}
     assert got == {1: (20, [None]), 2: (35, ["7", None])}
 
@@ -91,6 +92,39 @@ def test_repetitive_text_against_repetitive_item_stays_small():
     assert counts.tolist() == [51_000, 0, 4] and hits.tolist() == [[0, 0, 51_000]] and found.tolist() == [[0, 0, 0, 0, 510]]
 
 
+def test_a_template_of_many_items_stays_small():
+    """2,000 places of one passage that 10,000 items share: one match an item, and memory that doesn't go with their product."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    items = [(i, f"{passage} item{i} " + " ".join(f"x{i}y{k}" for k in range(12))) for i in range(10_000)]
+    text = " qui ".join([passage] * 2000).encode()
+    tracemalloc.start()
+    bench = decontaminate.windows(items)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    block = sum(v.nbytes for v in bench.values() if hasattr(v, "nbytes"))
+    assert block < 48 * bench["count"].sum()
+    tracemalloc.reset_peak()
+    counts, hits, found = decontaminate.matches([text, b"altro", passage.encode()], bench)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert len(hits) == 2001 and len(found) == 20_000 and (found[:, 4] == 20).all() and set(found[:, 0]) == {0, 2}
+    assert (found[:10_000, 2] == 0).all()
+
+
+def test_matches_in_small_steps_are_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    item = lambda: " ".join(rng.choice("abcde") for _ in range(rng.choice([3, 13, 20, 40])))
+    items = [(i, item()) for i in range(60)]
+    texts = [" zz ".join(rng.choice(items)[1] for _ in range(rng.randint(0, 6))).encode() for _ in range(40)]
+    bench = decontaminate.windows(items)
+    whole = [x.tolist() for x in decontaminate.matches(texts, bench)]
+    docs, table = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((r["doc_id"], sorted(map(tuple, r["matches"])), sorted(map(tuple, r["hits"]))) for r in decontaminate.find_matches(docs, table).collect())
+    first = rows()
+    monkeypatch.setattr(decontaminate, "ROWS", 7)
+    monkeypatch.setattr(decontaminate, "SEARCHED", 5)
+    assert [x.tolist() for x in decontaminate.matches(texts, bench)] == whole and rows() == first
+
+
 def test_words_with_equal_hashes_are_told_apart():
     """Letters decide: a vocabulary in which every hash is the same still matches nothing but its own words."""
     bench = decontaminate.windows([(1, " ".join(f"w{i}" for i in range(20)))])
