@@ -93,6 +93,9 @@ NEAR, USABLE = 0.28, 0.38
 LOW_CONFIDENCE, DEFAULT_CONFIDENCE = 0.55, 0.65
 BLOCK_COST, WARNING_COST = 12, 4
 
+# Words of a passage that speak for a claim of a kind.
+CUES = {"istruttoria": ("ctu", "testimon", "prova"), "riconvenzionale": ("riconvenzional",)}
+
 # Events of the editor; lengths of a dashboard's lists.
 EDITOR_EVENTS = ("bozza_aggiornata", "motivazione_aggiornata")
 DASHBOARD = {"placeholders": 12, "claims": 12, "gaps": 10, "risks": 8, "actions": 8}

@@ -568,17 +568,16 @@ def rag_context(spark, d):
 
 @query()
 def evidence_trace(spark, d):
-    """Full trace, sequence ratio included: benchmark items as claims, documents in a thousand cases by source, language and length."""
-    docs = _t(spark, d, "documents")
-    case = F.pmod(F.xxhash64("source", "lang", "n_chars"), F.lit(1000))
+    """Full trace, sequence ratio included: every benchmark item as a claim against all documents, as those of one case.
+
+    Parties, kinds and attachments go by the item's number, sections by language.
+    """
+    docs, n = _t(spark, d, "documents"), F.col("item_id")
     section = F.when(F.col("lang") == "en", "attore").when(F.col("lang") == "de", "convenuto").otherwise("generici")
-    evidence_docs = docs.select("doc_id", case.alias("case_id"), section.alias("section"), "text")
-    cases = evidence_docs.select("case_id").distinct()
-    items = _t(spark, d, "benchmark").select("item_id", "text")
-    first = cases.select("case_id", F.row_number().over(Window.orderBy("case_id")).alias("r"))
-    n = cases.count()
-    claims = items.withColumn("r", F.pmod("item_id", F.lit(max(1, n))) + 1).join(F.broadcast(first), "r").select(F.col("item_id").alias("claim_id"), "case_id", F.lit("attore").alias("party"), F.lit("domanda").alias("kind"), "text", F.array().cast("array<bigint>").alias("attachments"))
-    return evidence.trace(claims, evidence_docs).select("claim_id", "doc_id", "pos", "score", "reliability", "rank", "anchor")
+    evidence_docs = docs.select("doc_id", F.lit(1).alias("case_id"), section.alias("section"), "text")
+    kind = F.when(n % 3 == 0, "istruttoria").when(n % 3 == 1, "riconvenzionale").otherwise("domanda")
+    claims = _t(spark, d, "benchmark").select(n.alias("claim_id"), F.lit(1).alias("case_id"), F.when(n % 2 == 0, "attore").otherwise("convenuto").alias("party"), kind.alias("kind"), "text", F.array(n, n * 3).alias("attachments"))
+    return evidence.trace(claims, evidence_docs).select("claim_id", "doc_id", "pos", "score", "reliability", "rank", "anchor", F.array_join("terms", " ").alias("terms"), F.array_join("numbers", " ").alias("numbers"))
 
 
 @query()
