@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from caseweave.functions import constants as C
 from caseweave.functions import text as T
+from caseweave.functions.ratio import letter_bound, ratios
+from caseweave.scratch import scratch
 
 ANSWER = "claims array<struct<party:string,text:string,confidence:string,flags:array<string>,open_questions:array<string>>>"
 
@@ -67,44 +69,161 @@ def normalise(claims: DataFrame) -> DataFrame:
     )
 
 
-def _norm(text: str) -> str:
-    bare = re.sub(C.PLACEHOLDER, " ", text or "").casefold()
-    return " ".join(re.sub(r"[^\wÀ-ÖØ-öø-ÿ]+", " ", bare).split())
+#: Two claims are similar if one's normal form holds the other's, they share so much of their words, or are so much alike.
+SHARED, ALIKE = 0.72, 0.82
+#: Length of the parts that containment is looked up by, and texts and characters of a block that is compared with others.
+GRAM, BLOCK, BLOCK_CHARS = 8, 512, 1 << 19
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct parts of GRAM characters of each text, and a shorter text's parts of every length."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            small = batch.slice(k, 64)
+            at, parts = [], []
+            for i, t in enumerate(small.column("norm").to_pylist()):
+                found = {t[j : j + n] for n in range(1, GRAM + 1) for j in range(len(t) - n + 1)}
+                at += [i] * len(found)
+                parts += found
+            rows = small.drop_columns(["norm"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(parts, pa.string())], [*rows.schema.names, "part"])
+
+
+def _contained(texts: DataFrame) -> DataFrame:
+    """Links (x, y): the text of x stands in that of y. A text is looked up by its rarest part of GRAM characters, a shorter one by itself."""
+    rows = texts.select("_g", "id", "norm", F.length("norm").alias("n"))
+    parts = rows.select("_g", "id", "n", "norm").mapInArrow(_grams, StructType([*rows.select("_g", "id", "n").schema.fields, *StructType.fromDDL("part string").fields]))
+    parts = scratch(parts, "claim-parts")
+    long = parts.where(F.length("part") == GRAM)
+    often = long.groupBy("_g", "part").agg(F.count("*").alias("often"))
+    rarest = long.join(often, ["_g", "part"]).groupBy("_g", "id").agg(F.min(F.struct("often", "part"))["part"].alias("part"))
+    keys = rarest.unionByName(rows.where(F.col("n") < GRAM).select("_g", "id", F.col("norm").alias("part")))
+    mine = keys.join(rows, ["_g", "id"]).select("_g", "part", F.col("id").alias("x"), F.col("norm").alias("inner"), F.col("n").alias("n_x"))
+    met = parts.join(mine, ["_g", "part"]).where("n > n_x").select("x", F.col("id").alias("y"), "inner")
+    whole = rows.select(F.col("id").alias("y"), F.col("norm").alias("outer"))
+    return met.join(whole, "y").where(F.contains("outer", F.col("inner"))).select("x", "y")
+
+
+def _sharing(texts: DataFrame) -> DataFrame:
+    """Links (x, y) by common words: of two such texts, the rarest words of both have one in common (prefix filter)."""
+    words = texts.select("_g", "id", F.array_distinct(F.split("norm", " ")).alias("words")).withColumn("n", F.size("words"))
+    each = words.select("_g", "id", "n", F.explode("words").alias("word"))
+    often = each.groupBy("_g", "word").agg(F.count("*").alias("often"))
+    ranked = each.join(often, ["_g", "word"]).where("often > 1 OR n = 1")
+    alone = each.join(often, ["_g", "word"]).where("often = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    order = F.array_sort(F.collect_list(F.struct("often", "word")))
+    first = F.col("n") - F.ceil(F.col("n") * SHARED - 1e-9) + 1 - F.coalesce("alone", F.lit(0))  # words that no other text has come first
+    rows = ranked.groupBy("_g", "id", "n").agg(order.alias("s")).join(alone, "id", "left")
+    keys = rows.where(first > 0).select("_g", "id", "n", F.explode(F.transform(F.slice("s", F.lit(1), F.greatest(first, F.lit(1)).cast("int")), lambda x: x["word"])).alias("word"))
+    side = lambda name: keys.select("_g", "word", F.col("id").alias(name), F.col("n").alias(f"n_{name}"))
+    fits = (F.col("x") < F.col("y")) & (F.least("n_x", "n_y") >= SHARED * F.greatest("n_x", "n_y") - 1e-9)
+    asked = side("x").join(side("y"), ["_g", "word"]).where(fits).select("x", "y").distinct()
+    sets = lambda name: words.select(F.col("id").alias(name), F.col("words").alias(f"w_{name}"))
+    both = F.size(F.array_intersect("w_x", "w_y"))
+    return asked.join(sets("y"), "y").join(sets("x"), "x").where(both >= SHARED * (F.size("w_x") + F.size("w_y") - both)).select("x", "y")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (x, y) of the texts of each unit that are alike: those of its first block with those of its second, or with each other."""
+
+    def settle(sides: tuple[list, list], same: bool) -> pa.RecordBatch:
+        (ids, left), (others, right) = (([i for i, _ in s], [t for _, t in s]) for s in (sides[0], sides[0] if same else sides[1]))
+        found = []
+        sizes = np.array([len(t) for t in right])
+        for i, t in zip(ids, left, strict=True):
+            near = np.flatnonzero(2 * np.minimum(sizes, len(t)) >= ALIKE * (sizes + len(t)) - 1e-9)
+            if same:
+                near = near[np.array([others[k] > i for k in near.tolist()], bool)] if len(near) else near
+            if len(near):
+                mine = [right[k] for k in near.tolist()]
+                near = near[letter_bound([t] * len(near), mine) >= ALIKE - 1e-9]
+                found += [(i, others[k], t, right[k]) for k in near.tolist()]
+        # The later claim is the first text of a comparison, as their order can matter to the ratio.
+        later = [x[3] if x[0] < x[1] else x[2] for x in found]
+        earlier = [x[2] if x[0] < x[1] else x[3] for x in found]
+        alike = ratios(later, earlier, np.full(len(found), ALIKE))
+        kept = [x for x, r in zip(found, alike.tolist(), strict=True) if r >= ALIKE]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], ["x", "y"])
+
+    unit, sides = None, ([], [])
+    for batch in batches:
+        for u, same, side, i, t in zip(*(batch.column(c).to_pylist() for c in ("unit", "same", "side", "id", "norm")), strict=True):
+            if unit != (u, same):
+                if unit is not None:
+                    yield settle(sides, unit[1])
+                unit, sides = (u, same), ([], [])
+            sides[side].append((i, t))
+    if unit is not None:
+        yield settle(sides, unit[1])
+
+
+def _alike(texts: DataFrame) -> DataFrame:
+    """Links (x, y) by the ratio. Only lengths of one band or two neighbouring ones can be alike; a band's texts are dealt to blocks,
+    and each unit of work compares two blocks, so no task reads a band and only links leave it."""
+    n = F.length("norm")
+    rows = texts.select("_g", "id", "norm", F.floor(F.log(n) / float(np.log((2 - ALIKE) / ALIKE)) + 1e-12).alias("band"))
+    sizes = rows.groupBy("_g", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("norm")) / BLOCK_CHARS)).cast("int").alias("blocks"))
+    next_ = sizes.select("_g", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    last = sizes.select("_g", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    plan = scratch(sizes.join(next_, ["_g", "band"], "left").join(last, ["_g", "band"], "left"), "claim-bands")
+    rows = rows.join(plan, ["_g", "band"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    unit = lambda band, x, y, same, side: F.struct(F.xxhash64("_g", band, x, y, F.lit(same)).alias("unit"), F.lit(same).alias("same"), F.lit(side).alias("side"))
+    count = lambda c: F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(0)) - 1)
+    own, band, none = F.col("own").cast("int"), F.col("band"), F.array().cast("array<struct<unit:bigint,same:boolean,side:int>>")
+    some = lambda c, make: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.transform(count(c), make)).otherwise(none)
+    inside = F.transform(count("blocks"), lambda k: F.when(k == own, unit(band, own, own, True, 0)).when(k > own, unit(band, own, k, False, 0)).otherwise(unit(band, k, own, False, 1)))
+    across = F.concat(some("above", lambda k: unit(band, own + 1, -k - 2, False, 0)), some("below", lambda k: unit(band - 1, k + 1, -own - 2, False, 1)))
+    units = rows.select("id", "norm", F.explode(F.concat(inside, across)).alias("u")).select("u.*", "id", "norm")
+    return units.repartition("unit").sortWithinPartitions("unit", "same", "side").mapInArrow(_compare, "x long, y long")
+
+
+def similar_claims(texts: DataFrame) -> DataFrame:
+    """Links (x, y), each once with x < y, between ids of similar texts: texts (_g, id, norm), a norm at most once in each group ``_g``.
+
+    By containment, common words or the ratio; each kind has its own exact candidates, and no group is gathered.
+    """
+    found = _contained(texts).unionByName(_sharing(texts)).unionByName(_alike(texts))
+    return found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
 
+def first_independent(links: DataFrame) -> DataFrame:
+    """Of the ids in ``links`` (x, y; x < y), those that greedy choice in the order of ids drops (``id``): linked to a smaller one that stays.
 
-def similar(a: str, b: str) -> bool:
-    """Normal forms of which one holds the other, share 0.72 of their words, or are alike by 0.82."""
-    if not a or not b:
-        return False
-    if a in b or b in a:
-        return True
-    x, y = set(a.split()), set(b.split())
-    if len(x & y) >= 0.72 * len(x | y):
-        return True
-    return 2 * min(len(a), len(b)) >= 0.82 * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= 0.82
+    All undecided ids without a smaller undecided one beside them stay at once, and those beside them go; so a round
+    decides many, and rounds go with the longest rising path of links, not with the ids.
+    """
+    links, gone, turn = scratch(links, "claim-links"), None, 0
+    while not links.isEmpty():
+        waiting = links.select(F.col("y").alias("id")).distinct()
+        stays = links.select(F.col("x").alias("id")).distinct().join(waiting, "id", "left_anti")
+        out = scratch(links.join(stays.withColumnRenamed("id", "x"), "x", "left_semi").select(F.col("y").alias("id")).distinct(), f"claims-gone-{turn}")
+        gone = out if gone is None else gone.unionByName(out)
+        rest = links.join(stays.withColumnRenamed("id", "x"), "x", "left_anti")
+        for end in ("x", "y"):
+            rest = rest.join(out.withColumnRenamed("id", end), end, "left_anti")
+        links, turn = scratch(rest.select("x", "y"), "claim-links"), turn + 1
+    return gone if gone is not None else links.select(F.col("x").alias("id"))
 
 
 def drop_near_duplicates(claims: DataFrame, group: str = "case_id", order: str = "seq", text: str = "text", party: str = "party") -> DataFrame:
     """The claims, in order, of which none kept before in the same group and party is similar.
 
-    What is kept depends on the order, so a group is read in order; it is streamed, and only kept claims are held.
+    Claims of one normal form are decided by the first of them; those without a word are the same only if their texts are,
+    in any case. Ties of the order go by the text. Null texts count as empty, null groups and parties are one of their own;
+    repeated rows are copies of each other, further columns stay. An empty table gives an empty one.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, {}
-        for batch in batches:
-            keep = []
-            for g, p, t in zip(batch.column(group).to_pylist(), batch.column(party).to_pylist(), batch.column(text).to_pylist(), strict=True):
-                if now is None or now[0] != g:
-                    now, kept = (g,), {}
-                norm = _norm(t)
-                fresh = not any(similar(norm, other) for other in kept.get(p, ()))
-                keep.append(fresh)
-                if fresh:
-                    kept.setdefault(p, []).append(norm)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return claims.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, claims.schema)
+    names = claims.columns
+    packed = claims.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.struct(F.col(group).alias("g"), F.col(party).alias("p")).alias("_g"), F.col(order).alias("_o"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    norm = T.normalise_claim(F.col("_t"))
+    # A text of its own stands behind a mark that no normal form has.
+    rows = scratch(packed.withColumn("_k", F.when(norm != "", norm).otherwise(F.concat(F.lit("\n"), F.lower("_t")))).withColumn("_n", F.monotonically_increasing_id()), "claim-rows")
+    firsts = rows.groupBy("_g", "_k").agg(F.min(F.struct("_o", "_t", "_n")).alias("first"))
+    # Ids in the order of the claims: sorted by range, so no task numbers them all.
+    ranked = scratch(firsts.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id()), "claim-texts")
+    texts = ranked.where(~F.startswith("_k", F.lit("\n"))).select("_g", "id", F.col("_k").alias("norm"))
+    gone = first_independent(similar_claims(texts))
+    kept = ranked.join(gone, "id", "left_anti").select(F.col("first._n").alias("_n"))
+    return rows.join(kept, "_n", "left_semi").select("_row.*")
 
 
 def extract(answers: DataFrame, docs: DataFrame) -> DataFrame:

@@ -590,9 +590,10 @@ def registry(spark, d):
 
 @query()
 def claim_dedup(spark, d):
-    """Benchmark items as the claims of one case a first letter."""
-    items = _t(spark, d, "benchmark").select(F.lower(F.substring("text", 1, 1)).alias("case_id"), F.col("item_id").alias("seq"), F.lit("attore").alias("party"), "text")
-    return claims_op.drop_near_duplicates(items).select("case_id", "seq")
+    """Conversation turns and benchmark items as the claims of one case, a role a party."""
+    items = _t(spark, d, "benchmark").select(F.lit(1).alias("case_id"), F.col("item_id").alias("seq"), F.lit("attore").alias("party"), "text")
+    turns = _t(spark, d, "conversations").select(F.lit(2).alias("case_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("role").alias("party"), "text")
+    return claims_op.drop_near_duplicates(items.unionByName(turns)).select("case_id", "seq", "party")
 
 
 @query()
