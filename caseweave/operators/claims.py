@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from caseweave.functions import constants as C
 from caseweave.functions import text as T
-from caseweave.functions.ratio import letter_bound, ratios
+from caseweave.functions.ratio import letter_counts, ratios
 from caseweave.scratch import scratch
 
 ANSWER = "claims array<struct<party:string,text:string,confidence:string,flags:array<string>,open_questions:array<string>>>"
@@ -75,29 +76,40 @@ SHARED, ALIKE = 0.72, 0.82
 GRAM, BLOCK, BLOCK_CHARS = 8, 512, 1 << 19
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct parts of GRAM characters of each text, and a shorter text's parts of every length."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 64):
-            small = batch.slice(k, 64)
-            at, parts = [], []
-            for i, t in enumerate(small.column("norm").to_pylist()):
-                found = {t[j : j + n] for n in range(1, GRAM + 1) for j in range(len(t) - n + 1)}
-                at += [i] * len(found)
-                parts += found
-            rows = small.drop_columns(["norm"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(parts, pa.string())], [*rows.schema.names, "part"])
+def _parts(sizes: list[int]):
+    """The distinct parts of each text that have one of the sizes, as the hashes that stand for them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                small = batch.slice(k, 64)
+                found = [{hash_of(t[j : j + n]) for n in sizes for j in range(len(t) - n + 1)} for t in small.column("norm").to_pylist()]
+                at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                rows = small.drop_columns(["norm"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([h for x in found for h in x], pa.int64())], [*rows.schema.names, "part"])
+
+    return run
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _contained(texts: DataFrame) -> DataFrame:
-    """Links (x, y): the text of x stands in that of y. A text is looked up by its rarest part of GRAM characters, a shorter one by itself."""
+    """Links (x, y): the text of x stands in that of y. A text is looked up by its rarest part of GRAM characters, a shorter one by itself.
+
+    Hashes of parts propose, the texts themselves decide.
+    """
     rows = texts.select("_g", "id", "norm", F.length("norm").alias("n"))
-    parts = rows.select("_g", "id", "n", "norm").mapInArrow(_grams, StructType([*rows.select("_g", "id", "n").schema.fields, *StructType.fromDDL("part string").fields]))
-    parts = scratch(parts, "claim-parts")
-    long = parts.where(F.length("part") == GRAM)
+    short = [r["n"] for r in rows.where(F.col("n") < GRAM).select("n").distinct().collect()]  # fewer than GRAM values
+    own = lambda df, sizes: df.select("_g", "id", "n", "norm").mapInArrow(_parts(sizes), StructType([*df.select("_g", "id", "n").schema.fields, *StructType.fromDDL("part long").fields]))
+    long = scratch(own(rows.where(F.col("n") >= GRAM), [GRAM]), "claim-parts")
     often = long.groupBy("_g", "part").agg(F.count("*").alias("often"))
-    rarest = long.join(often, ["_g", "part"]).groupBy("_g", "id").agg(F.min(F.struct("often", "part"))["part"].alias("part"))
-    keys = rarest.unionByName(rows.where(F.col("n") < GRAM).select("_g", "id", F.col("norm").alias("part")))
+    keys = long.join(often, ["_g", "part"]).groupBy("_g", "id").agg(F.min(F.struct("often", "part"))["part"].alias("part"))
+    parts = long
+    for n in short:
+        keys = keys.unionByName(own(rows.where(F.col("n") == n), [n]).select("_g", "id", "part"))
+        parts = parts.unionByName(own(rows.where(F.col("n") > n), [n]))
     mine = keys.join(rows, ["_g", "id"]).select("_g", "part", F.col("id").alias("x"), F.col("norm").alias("inner"), F.col("n").alias("n_x"))
     met = parts.join(mine, ["_g", "part"]).where("n > n_x").select("x", F.col("id").alias("y"), "inner")
     whole = rows.select(F.col("id").alias("y"), F.col("norm").alias("outer"))
@@ -129,15 +141,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(sides: tuple[list, list], same: bool) -> pa.RecordBatch:
         (ids, left), (others, right) = (([i for i, _ in s], [t for _, t in s]) for s in (sides[0], sides[0] if same else sides[1]))
         found = []
-        sizes = np.array([len(t) for t in right])
-        for i, t in zip(ids, left, strict=True):
-            near = np.flatnonzero(2 * np.minimum(sizes, len(t)) >= ALIKE * (sizes + len(t)) - 1e-9)
-            if same:
-                near = near[np.array([others[k] > i for k in near.tolist()], bool)] if len(near) else near
-            if len(near):
-                mine = [right[k] for k in near.tolist()]
-                near = near[letter_bound([t] * len(near), mine) >= ALIKE - 1e-9]
-                found += [(i, others[k], t, right[k]) for k in near.tolist()]
+        sizes, counts = np.array([len(t) for t in right]), letter_counts(left + right)
+        mine, theirs = counts[: len(left)], counts[len(left) :]
+        for k, (i, t) in enumerate(zip(ids, left, strict=True)):
+            both = np.minimum(mine[k], theirs).sum(axis=1)
+            near = np.flatnonzero(2 * both >= ALIKE * (sizes + len(t)) - 1e-9)
+            found += [(i, others[j], t, right[j]) for j in near.tolist() if not same or others[j] > i]
         # The later claim is the first text of a comparison, as their order can matter to the ratio.
         later = [x[3] if x[0] < x[1] else x[2] for x in found]
         earlier = [x[2] if x[0] < x[1] else x[3] for x in found]
