@@ -342,7 +342,7 @@ def _judged(asked: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """Prefix filter: rows (``sig``, ``key``, ``n``, ``strong``), a row for each of a set's rarest shingles, n being its size.
+    """Prefix filter: rows (``sig``, ``key``, ``n``, ``at``, ``strong``), a row for each of a set's rarest shingles, n being its size and ``at`` how many are rarer.
 
     In one order of all shingles, rarest first, two sets with a similarity of t share a shingle among the first
     (1 - t) n + 1 of the longer and the first (1 - 2t / (1 + t)) n + 1 of the shorter; the latter are ``strong``.
@@ -352,16 +352,18 @@ def prefixes(sets: DataFrame) -> DataFrame:
     ranked = each.join(often, "key").groupBy("sig", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("s"))
     least = lambda share: F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1
     rows = ranked.select("sig", "n", F.posexplode(F.slice("s", F.lit(1), least(SIMILAR).cast("int"))).alias("at", "x"))
-    return rows.where("x.often > 1").select("sig", F.col("x.key").alias("key"), "n", (F.col("at") < least(2 * SIMILAR / (1 + SIMILAR))).alias("strong"))
+    return rows.where("x.often > 1").select("sig", F.col("x.key").alias("key"), "n", "at", (F.col("at") < least(2 * SIMILAR / (1 + SIMILAR))).alias("strong"))
 
 
 def similar_links(units: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links (a, b) of ``units`` (sig, bands) at a similarity of SIMILAR or more; ``texts`` has a ``text`` a ``sig``.
+    """Links (a, b) of ``units`` (sig, bands) that leave the components of all links at a similarity of SIMILAR or more as they
+    are; ``texts`` has a ``text`` a ``sig``.
 
     Units that share a band's key are compared with one of them, another by each band. Keys in which some aren't similar
     to it are crowded with texts that have much in common: their units meet again by prefixes(), the shingles that are
-    rare among them. There strong units of each key are compared with those of the key that a link could join by it.
-    What is similar to one leaves the key, as they do themselves, until no key has a strong unit and another.
+    rare among them. There each key's strong units are drawn and compared with all of the key's units that a link could join
+    by it, but for those that links have brought into their own component by then. A drawn unit leaves the key, and a key is
+    done once one component is left in it or no strong unit: so no link by a key stays uncompared, and none is lost there.
     """
     keyed = units.select("sig", F.posexplode("bands").alias("band", "key")).select("sig", F.xxhash64("band", "key").alias("key"))
     rows = scratch(_shared(keyed), "similar-rows")
@@ -374,23 +376,40 @@ def similar_links(units: DataFrame, texts: DataFrame) -> DataFrame | None:
     links = _judged(rest, sets)
     crowded = rest.join(links, ["a", "b"], "left_anti").select("key").distinct()
     again = rows.join(crowded, "key").select("sig").distinct()
-    rows, turn = scratch(_shared(prefixes(sets.join(again, "sig", "left_semi"))), "similar-rows"), 0
+    rooted = components(links).withColumnRenamed("node", "sig")
+    rows = _shared(prefixes(sets.join(again, "sig", "left_semi"))).join(rooted, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    rows, fresh, turn = _several(rows), None, 0
     while True:
         # Twice as many of a key's strong units at every turn, and always one: turns grow with the logarithm of a key.
         draw = F.xxhash64("sig", "key", F.lit(turn))
         sizes = rows.where("strong").groupBy("key").agg(F.count("*").alias("m"), F.min(draw).alias("least"))
         drawn = (draw == F.col("least")) | (F.shiftrightunsigned(draw, 34) * F.col("m") < F.lit(2.0**30) * 2.0**turn)
-        chosen = rows.where("strong").join(sizes, "key").where(drawn).select("key", F.col("sig").alias("a"), F.col("n").alias("n_a"))
+        chosen = rows.where("strong").join(sizes, "key").where(drawn).select("key", F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("root").alias("root_a"))
         if chosen.isEmpty():
             return links
-        fits = (F.least("n", "n_a") >= SIMILAR * F.greatest("n", "n_a") - 1e-6) & (F.col("strong") | (F.col("n") >= F.col("n_a")))
-        asked = rows.join(chosen, "key").where("sig != a").where(fits).select("key", "a", F.col("sig").alias("b"))
+        # Two similar sets have nothing in common before the first key they share, and enough from there on in both.
+        enough = F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a")) >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("n_a")) - 1e-6
+        fits = enough & (F.least("n", "n_a") >= SIMILAR * F.greatest("n", "n_a") - 1e-6) & (F.col("strong") | (F.col("n") >= F.col("n_a")))
+        asked = rows.join(chosen, "key").where("root != root_a").where(fits).select("a", F.col("sig").alias("b"), "root_a", "root")
         near = _judged(asked, sets)
         links = links.unionByName(near)
-        done = asked.join(near, ["a", "b"]).select("key", F.col("b").alias("sig")).unionByName(chosen.select("key", F.col("a").alias("sig")))
-        rows = rows.join(done, ["key", "sig"], "left_anti")
-        open_keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.max("strong").alias("any")).where("size > 1 AND any").select("key")
-        rows, turn = scratch(rows.join(open_keys, "key"), "similar-rows"), turn + 1
+        met = asked.join(near, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root").alias("b"))
+        fresh = met if fresh is None else fresh.unionByName(met)
+        rows = rows.join(chosen.select("key", F.col("a").alias("sig")), ["key", "sig"], "left_anti")
+        if turn % MEET == MEET - 1:  # components meet now and then: each time is a few jobs
+            now = components(fresh.distinct()).select(F.col("node").alias("root"), F.col("root").alias("_now"))
+            rows, fresh = rows.join(now, "root", "left").withColumn("root", F.coalesce("_now", "root")).drop("_now"), None
+        rows, turn = _several(rows), turn + 1
+
+
+#: Turns after which the components of the links so far are told again.
+MEET = 3
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows of the keys that have units of several components, and a strong one."""
+    open_ = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("strong").alias("any")).where("x != y AND any").select("key")
+    return scratch(rows.join(open_, "key"), "similar-rows")
 
 
 def keep_similar_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
