@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,30 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends at files every executor can read."""
+#: Spark's setting by which an execution deletes its shuffle files as it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def scratch(df: DataFrame, tag: str, tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage ends at files every executor can read.
+
+    With ``tidy`` the shuffle files of the write go as it ends: what follows reads the table, so nothing asks for them.
+    """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    try:
+        spark.conf.set(TIDY, str(tidy or before == "true").lower())
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that scratch() returned as ``df``. Call it when no DataFrame built on it is needed any more."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().getName() == spark.sparkContext.applicationId:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
