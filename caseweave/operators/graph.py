@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseweave.functions import constants as C
 from caseweave.functions import text as T
-from caseweave.scratch import scratch
+from caseweave.scratch import discard, scratch
 
 
 def merge_nodes(mentions: DataFrame) -> DataFrame:
@@ -83,25 +83,95 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree")).withColumn("size", F.round(4 + 2.2 * F.sqrt("degree"), 6))
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community) by label propagation with fixed tie-breaks: the most frequent label around, the smallest of equals.
+def _wishes(links: DataFrame, at: DataFrame, total: float) -> DataFrame:
+    """(node, k, community, to, gain): for every node that gains by a move, the community around it where it gains most.
 
-    A deterministic stand-in for modularity communities, which start from random places. Each round is a join and two
-    grouped counts; rounds are written out to cut lineage.
+    ``gain`` is the change of modularity times half of ``total``, the others staying where they are.
     """
-    links = scratch(undirected(edges), "links")
-    labels = scratch(links.select("node").distinct().withColumn("community", F.col("node")), "labels-0")
-    for i in range(1, rounds + 1):
-        around = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "community").agg(F.count("*").alias("n"))
-        best = around.groupBy("node").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("c"))
-        # Odd rounds move only towards smaller labels, so two neighbours don't swap for ever.
-        move = F.when(F.lit(i % 2 == 0) | (F.col("c") < F.col("community")), F.col("c")).otherwise(F.col("community"))
-        new = scratch(labels.join(best, "node").select("node", move.alias("community"), (move != F.col("community")).alias("moved")), f"labels-{i}")
-        still = new.where("moved").isEmpty()
-        labels = new.select("node", "community")
-        if still and i % 2 == 0:
+    sizes = at.groupBy("community").agg(F.sum("k").alias("size"))
+    around = links.where("node <> other").join(at.select(F.col("node").alias("other"), F.col("community").alias("near")), "other").groupBy("node", "near").agg(F.sum("w").alias("w"))
+    rows = around.join(at, "node").join(sizes.withColumnRenamed("community", "near"), "near")
+    score = F.when(F.col("near") != F.col("community"), F.struct((F.col("k") * F.col("size") / total - F.col("w")).alias("s"), F.col("near").alias("to")))
+    best = rows.groupBy("node", "k", "community").agg(F.min(score).alias("best"), F.coalesce(F.max(F.when(F.col("near") == F.col("community"), F.col("w"))), F.lit(0.0)).alias("own"))
+    gain = -F.col("best.s") - F.col("own") + F.col("k") * (F.col("size") - F.col("k")) / total
+    return best.where("best IS NOT NULL").join(sizes, "community").select("node", "k", "community", "best.to", gain.alias("gain")).where(F.col("gain") > 1e-9)
+
+
+def _together(wishes: DataFrame, total: float, turn: int) -> DataFrame:
+    """Those of the moves that raise modularity when made at once.
+
+    A community either gives or takes, by its best move. Two nodes that leave or enter one community spoil each other's
+    gain by k k' / total at most; moves that bear their share of all of these are made, and where a community has none
+    such, the move that is the best of both its communities.
+    """
+    most = lambda c, name: wishes.groupBy(F.col(c).alias("c")).agg(F.max("gain").alias(name))
+    drawn = (F.col("enters") == F.col("leaves")) & (F.xxhash64("c", F.lit(turn)) % 2 == 0)
+    roles = most("to", "enters").join(most("community", "leaves"), "c", "full").na.fill(0.0).select("c", ((F.col("enters") > F.col("leaves")) | drawn).alias("takes"))
+    role = lambda c, takes: roles.where(F.col("takes") == takes).select(F.col("c").alias(c))
+    moves = wishes.join(role("to", True), "to", "left_semi").join(role("community", False), "community", "left_semi")
+    for c in ("to", "community"):
+        moves = moves.join(moves.groupBy(c).agg(F.sum("k").alias(f"{c}_k")), c)
+    share = F.col("k") * (F.col("to_k") + F.col("community_k") - 2 * F.col("k")) / (2 * total)
+    moves = moves.withColumn("free", F.col("gain") > share)
+    for c in ("to", "community"):
+        moves = moves.join(moves.groupBy(c).agg(F.max("free").alias(f"{c}_free"), F.min(F.struct(-F.col("gain"), "node"))["node"].alias(f"{c}_best")), c)
+    alone = ~F.col("to_free") & ~F.col("community_free") & (F.col("node") == F.col("to_best")) & (F.col("node") == F.col("community_best"))
+    return moves.where(F.col("free") | alone).select("node", "to")
+
+
+def _settle(links: DataFrame, total: float, rounds: int) -> DataFrame:
+    """(node, k, community) after rounds of moves, each node alone at first; ends when no move gains or few are left."""
+    at = scratch(links.groupBy("node").agg(F.sum("w").alias("k")).withColumn("community", F.col("node")), "places", tidy=True)
+    nodes = at.count()
+    for turn in range(rounds):
+        wishes = scratch(_wishes(links, at, total), "wishes", tidy=True)
+        moves = scratch(_together(wishes, total, turn), "moves", tidy=True)
+        made = moves.count()
+        last, at = at, scratch(at.join(moves, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community")), "places", tidy=True)
+        done = wishes.isEmpty() or (made > 0 and made * 1000 < nodes)
+        for spent in (wishes, moves, last):
+            discard(spent)
+        if done:
+            break
+    return at
+
+
+def communities(edges: DataFrame, rounds: int = 12, levels: int = 10) -> DataFrame:
+    """(node, community): multi-level search for the greatest modularity; a community is named by its smallest node.
+
+    Gains of moves are grouped sums over links, moves that can be made at once are chosen by grouped maxima, and each
+    level's communities are the nodes of the next, smaller graph, until none merge. No step lowers modularity, and a
+    re-run gives the same. An ordered pair of ends counts once, loops not at all; a node without links is alone. Null
+    ends make no link.
+    """
+    ends = edges.select(F.explode(F.array("from_key", "to_key")).alias("node")).where("node IS NOT NULL").distinct()
+    place = scratch(ends.withColumn("community", F.col("node")), "members", tidy=True)
+    pairs = edges.select(F.col("from_key").alias("node"), F.col("to_key").alias("other")).where("node <> other").distinct()
+    links = scratch(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).groupBy("node", "other").agg(F.count("*").cast("double").alias("w")), "links", tidy=True)
+    total = links.agg(F.sum("w")).first()[0]
+    for _ in range(levels if total else 0):
+        own = _settle(links, total, rounds).select("node", "community")
+        if own.where("node <> community").isEmpty():
             break
-    return labels
+        up = own.select(F.col("node").alias("community"), F.col("community").alias("_up"))
+        last, place = place, scratch(place.join(up, "community", "left").select("node", F.coalesce("_up", "community").alias("community")), "members", tidy=True)
+        discard(last)
+        far = own.select(F.col("node").alias("other"), F.col("community").alias("_far"))
+        last, links = links, scratch(links.join(own, "node").join(far, "other").groupBy(F.col("community").alias("node"), F.col("_far").alias("other")).agg(F.sum("w").alias("w")), "links", tidy=True)
+        discard(last)
+        discard(own)
+    names = place.groupBy("community").agg(F.min("node").alias("name"))
+    return place.join(names, "community").select("node", F.col("name").alias("community"))
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> float:
+    """Modularity of members (node, community) over edges as communities() counts them; 0 without links."""
+    pairs = edges.select("from_key", "to_key").where("from_key <> to_key").distinct()
+    side = lambda n, c: members.select(F.col("node").alias(n), F.col("community").alias(c))
+    rows = scratch(pairs.join(side("from_key", "a"), "from_key").join(side("to_key", "b"), "to_key").select("a", "b"), "ends", tidy=True)
+    inside, all_ = rows.agg(F.coalesce(F.avg((F.col("a") == F.col("b")).cast("double")), F.lit(0.0)), F.count("*")).first()
+    sizes = rows.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("k"))
+    return inside - (sizes.agg(F.sum((F.col("k") / (2.0 * all_)) ** 2)).first()[0] if all_ else 0.0)
 
 
 def search(nodes: DataFrame, query: str, kind: str | None = None, limit: int = 8) -> DataFrame:
