@@ -108,27 +108,28 @@ def _together(wishes: DataFrame, total: float, turn: int) -> DataFrame:
     drawn = (F.col("enters") == F.col("leaves")) & (F.xxhash64("c", F.lit(turn)) % 2 == 0)
     roles = most("to", "enters").join(most("community", "leaves"), "c", "full").na.fill(0.0).select("c", ((F.col("enters") > F.col("leaves")) | drawn).alias("takes"))
     role = lambda c, takes: roles.where(F.col("takes") == takes).select(F.col("c").alias(c))
-    moves = wishes.join(role("to", True), "to", "left_semi").join(role("community", False), "community", "left_semi")
-    for c in ("to", "community"):
-        moves = moves.join(moves.groupBy(c).agg(F.sum("k").alias(f"{c}_k")), c)
+    both = scratch(wishes.join(role("to", True), "to", "left_semi").join(role("community", False), "community", "left_semi"), "moves", tidy=True)
+    size = lambda c: both.groupBy(c).agg(F.sum("k").alias(f"{c}_k"))
     share = F.col("k") * (F.col("to_k") + F.col("community_k") - 2 * F.col("k")) / (2 * total)
-    moves = moves.withColumn("free", F.col("gain") > share)
-    for c in ("to", "community"):
-        moves = moves.join(moves.groupBy(c).agg(F.max("free").alias(f"{c}_free"), F.min(F.struct(-F.col("gain"), "node"))["node"].alias(f"{c}_best")), c)
+    sized = scratch(both.join(size("to"), "to").join(size("community"), "community").withColumn("free", F.col("gain") > share), "moves", tidy=True)
+    best = lambda c: sized.groupBy(c).agg(F.max("free").alias(f"{c}_free"), F.min(F.struct(-F.col("gain"), "node"))["node"].alias(f"{c}_best"))
     alone = ~F.col("to_free") & ~F.col("community_free") & (F.col("node") == F.col("to_best")) & (F.col("node") == F.col("community_best"))
-    return moves.where(F.col("free") | alone).select("node", "to")
+    made = scratch(sized.join(best("to"), "to").join(best("community"), "community").where(F.col("free") | alone).select("node", "to"), "moves", tidy=True)
+    discard(both)
+    discard(sized)
+    return made
 
 
 def _settle(links: DataFrame, total: float, rounds: int) -> DataFrame:
-    """(node, k, community) after rounds of moves, each node alone at first; ends when no move gains or few are left."""
+    """(node, k, community) after rounds of moves, each node alone at first; ends when no move gains or a twentieth of the nodes or fewer move."""
     at = scratch(links.groupBy("node").agg(F.sum("w").alias("k")).withColumn("community", F.col("node")), "places", tidy=True)
     nodes = at.count()
     for turn in range(rounds):
         wishes = scratch(_wishes(links, at, total), "wishes", tidy=True)
-        moves = scratch(_together(wishes, total, turn), "moves", tidy=True)
+        moves = _together(wishes, total, turn)
         made = moves.count()
         last, at = at, scratch(at.join(moves, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community")), "places", tidy=True)
-        done = wishes.isEmpty() or (made > 0 and made * 1000 < nodes)
+        done = wishes.isEmpty() or (made > 0 and made * 20 < nodes)
         for spent in (wishes, moves, last):
             discard(spent)
         if done:
