@@ -84,13 +84,17 @@ def changed_fields(before: Column, after: Column) -> Column:
 
 
 class Applied(NamedTuple):
-    """What applying actions gives: changed facts and claims, and rows to append; refused actions change nothing."""
+    """What applying actions gives: changed facts and claims, and rows to append; refused actions change nothing.
+
+    ``outcomes`` are events and refused actions in one pass: (case_id, seq, action, actor, valid, after).
+    """
 
     facts: DataFrame
     claims: DataFrame
     comments: DataFrame
     events: DataFrame
     refused: DataFrame
+    outcomes: DataFrame
 
 
 def apply_actions(facts: DataFrame, claims: DataFrame, actions: DataFrame, now: Column | None = None) -> Applied:
@@ -104,10 +108,13 @@ def apply_actions(facts: DataFrame, claims: DataFrame, actions: DataFrame, now:
     fact and has none, has an unknown target or name, is refused. Each fact and claim comes back once.
     """
     when = now if now is not None else F.current_timestamp()
-    own = facts.select(F.col("fact_id").alias("_fact"), F.col("claim_id").alias("_of"))
+    # Facts and claims are one table of targets, told apart by a mark, so that the actions are dealt out once.
     known = claims.select(F.col("claim_id").alias("_claim"), F.col("case_id").alias("_case"))
-    rows = actions.join(own, F.col("fact_id") == F.col("_fact"), "left").withColumn("_wanted", F.coalesce("_of", F.when(F.col("fact_id").isNull(), F.col("claim_id"))))
-    rows = rows.join(known, (F.col("_wanted") == F.col("_claim")) & (F.col("case_id") == F.col("_case")), "left")
+    own = facts.select(F.col("fact_id").alias("_fact"), F.col("claim_id").alias("_claim")).join(known, "_claim")
+    targets = own.select(F.lit(True).alias("_by_fact"), F.col("_fact").alias("_target"), "_case", "_fact", "_claim")
+    targets = targets.unionByName(known.select(F.lit(False).alias("_by_fact"), F.col("_claim").alias("_target"), "_case", F.lit(None).cast(facts.schema["fact_id"].dataType).alias("_fact"), "_claim"))
+    rows = actions.withColumns({"_fact_named": F.col("fact_id").isNotNull(), "_wanted": F.coalesce("fact_id", "claim_id")})
+    rows = rows.join(targets, (F.col("_wanted") == F.col("_target")) & (F.col("case_id") == F.col("_case")) & (F.col("_fact_named") == F.col("_by_fact")), "left")
     named = F.col("fact_id").isNotNull() | F.col("claim_id").isNotNull()
     found = ~named | (F.col("_claim").isNotNull() & (F.col("fact_id").isNull() | F.col("_fact").isNotNull()))
     on_fact = F.col("action").isin(*C.FACT_ACTIONS) & F.col("_fact").isNotNull()
@@ -135,7 +142,8 @@ def apply_actions(facts: DataFrame, claims: DataFrame, actions: DataFrame, now:
     section = F.when(F.col("action") == "compila_pqm", F.lit("pqm")).otherwise(F.lit("in_diritto"))
     comments = notes.select("case_id", "seq", "actor", section.alias("section"), F.col("claim_id").alias("ref_id"), "text", F.lit(False).alias("resolved"))
     events = done.select("case_id", "seq", "actor", "claim_id", "fact_id", F.lit("azione_lacuna").alias("kind"), F.col("action").alias("field"), F.lit(None).cast("string").alias("before"), F.to_json(F.struct(F.col("action").alias("tipo"))).alias("after"), when.alias("ts"))
-    return Applied(new_facts.select(facts.columns), new_claims.select(claims.columns), comments, events, judged.where("NOT valid").select("case_id", "seq", "action", "actor"))
+    outcomes = judged.select("case_id", "seq", "action", "actor", "valid", F.when(F.col("valid"), F.to_json(F.struct(F.col("action").alias("tipo")))).alias("after"))
+    return Applied(new_facts.select(facts.columns), new_claims.select(claims.columns), comments, events, judged.where("NOT valid").select("case_id", "seq", "action", "actor"), outcomes)
 
 
 def first_rows(claims: DataFrame, facts: DataFrame) -> DataFrame:

@@ -236,9 +236,7 @@ def applied_comments(spark, d):
 )
 def applied_ledger(spark, d):
     """A ledger row of every action; refused ones have no value."""
-    done = _applied(spark, d)
-    events = done.events.select("case_id", "seq", F.col("field").alias("action"), "after")
-    return events.unionByName(done.refused.select("case_id", "seq", "action", F.lit(None).cast("string").alias("after")))
+    return _applied(spark, d).outcomes.select("case_id", "seq", "action", "after")
 
 
 # ---------------------------------------------------------------- matrix rows, contexts and edits
