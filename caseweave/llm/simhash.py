@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseweave.scratch import discard
+from caseweave.scratch import discard, tidied
 
 from .common import NULL_ID, bounded, id_or_last, scratch, text_bytes
 
@@ -239,20 +239,26 @@ def near_links(unique: DataFrame, node_leaves: int = NODE_LEAVES) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_walk_units, "a long, b long")
 
 
+def _tidy(df: DataFrame, tag: str, tidy: bool = True) -> DataFrame:
+    """scratch() whose shuffle files go as it ends, if ``tidy``."""
+    with tidied(df.sparkSession, tidy):
+        return scratch(df, tag)
+
+
 def components(links: DataFrame, tidy: bool = False) -> DataFrame:
     """(``node``, ``root``) for every node of ``links`` (a, b), root being the smallest node of its component.
 
     Large-star and small-star steps in turn, each a grouped minimum and a join, until the links stay the same. With
     ``tidy`` no step's table outlives the next.
     """
-    at, seen = scratch(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "components", tidy), None
+    at, seen = _tidy(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "components", tidy), None
     while True:
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
-        last, at = at, scratch(small.select("x.a", "x.b").where("a != b").distinct(), "components", tidy)
+        last, at = at, _tidy(small.select("x.a", "x.b").where("a != b").distinct(), "components", tidy)
         if tidy:
             discard(last)
         now = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -344,7 +350,7 @@ def _judged(asked: DataFrame, sets: DataFrame) -> DataFrame:
     side = lambda name: sets.select(F.col("sig").alias(name), F.col("set").alias(f"set_{name}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     found = asked.select("a", "b").distinct().join(side("b"), "b").join(side("a"), "a")
-    return scratch(found.where(both >= SIMILAR * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), "similar-near", tidy=True)
+    return _tidy(found.where(both >= SIMILAR * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"), "similar-near")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -372,18 +378,18 @@ def similar_links(units: DataFrame, texts: DataFrame) -> DataFrame | None:
     done once one component is left in it or no strong unit: so no link by a key stays uncompared, and none is lost there.
     """
     keyed = units.select("sig", F.posexplode("bands").alias("band", "key")).select("sig", F.xxhash64("band", "key").alias("key"))
-    rows = scratch(_shared(keyed), "similar-rows", tidy=True)
+    rows = _tidy(_shared(keyed), "similar-rows")
     if rows.isEmpty():
         return None
     pool = texts.join(rows.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
-    sets = scratch(pool.select("sig", "text").mapInArrow(_sets, "sig long, set array<long>"), "similar-sets", tidy=True)
+    sets = _tidy(pool.select("sig", "text").mapInArrow(_sets, "sig long, set array<long>"), "similar-sets")
     first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", "key"), "sig"))["sig"].alias("a"))
     rest = rows.join(first, "key").where("sig != a").withColumnRenamed("sig", "b")
     links = _judged(rest, sets)
     crowded = rest.join(links, ["a", "b"], "left_anti").select("key").distinct()
     again = rows.join(crowded, "key").select("sig").distinct()
     rooted = components(links, tidy=True).withColumnRenamed("node", "sig")
-    rarest = scratch(prefixes(sets.join(again, "sig", "left_semi")).join(rooted, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "similar-rows", tidy=True)
+    rarest = _tidy(prefixes(sets.join(again, "sig", "left_semi")).join(rooted, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "similar-rows")
     discard(rows)
     rows, fresh, turn = _several(rarest, rarest), [], 0
     while True:
@@ -397,10 +403,10 @@ def similar_links(units: DataFrame, texts: DataFrame) -> DataFrame | None:
         # Two similar sets have nothing in common before the first key they share, and enough from there on in both.
         enough = F.least(F.col("n") - F.col("at"), F.col("n_a") - F.col("at_a")) >= SIMILAR / (1 + SIMILAR) * (F.col("n") + F.col("n_a")) - 1e-6
         fits = enough & (F.least("n", "n_a") >= SIMILAR * F.greatest("n", "n_a") - 1e-6) & (F.col("strong") | (F.col("n") >= F.col("n_a")))
-        asked = scratch(rows.join(chosen, "key").where("root != root_a").where(fits).select("a", F.col("sig").alias("b"), "root_a", "root"), "similar-asked", tidy=True)
+        asked = _tidy(rows.join(chosen, "key").where("root != root_a").where(fits).select("a", F.col("sig").alias("b"), "root_a", "root"), "similar-asked")
         near = _judged(asked, sets)
         links = links.unionByName(near)
-        fresh.append(scratch(asked.join(near, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root").alias("b")).distinct(), "similar-met", tidy=True))
+        fresh.append(_tidy(asked.join(near, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root").alias("b")).distinct(), "similar-met"))
         discard(asked)
         left = rows.join(chosen.select("key", F.col("a").alias("sig")), ["key", "sig"], "left_anti")
         if turn % MEET == MEET - 1:  # components meet now and then: each time is a few jobs
@@ -419,7 +425,7 @@ MEET = 3
 def _several(rows: DataFrame, spent: DataFrame) -> DataFrame:
     """Rows of the keys that have units of several components, and a strong one; ``spent`` is the table behind ``rows``, which goes."""
     open_ = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("strong").alias("any")).where("x != y AND any").select("key")
-    out = scratch(rows.join(open_, "key"), "similar-rows", tidy=True)
+    out = _tidy(rows.join(open_, "key"), "similar-rows")
     discard(spent)
     return out
 
@@ -433,8 +439,8 @@ def keep_similar_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     named = df.withColumns({"_id": id_or_last(id_col), "_text_hash": text_hash(text_col)})
     docs = named.select("_id", "_text_hash", F.col(text_col).alias("text"))
-    rows = scratch(docs.mapInArrow(_bands, "_id long, _text_hash long, sig long, bands array<long>"), "similar-docs", tidy=True)
-    units = scratch(rows.groupBy("sig").agg(F.min(F.struct("_id", "_text_hash")).alias("first"), F.first("bands").alias("bands")), "similar-units", tidy=True)
+    rows = _tidy(docs.mapInArrow(_bands, "_id long, _text_hash long, sig long, bands array<long>"), "similar-docs")
+    units = _tidy(rows.groupBy("sig").agg(F.min(F.struct("_id", "_text_hash")).alias("first"), F.first("bands").alias("bands")), "similar-units")
     firsts = units.select("sig", "first.*")
     links = similar_links(units.select("sig", "bands"), docs.join(firsts, ["_id", "_text_hash"]).select("sig", "text"))
     kept = firsts
