@@ -160,8 +160,24 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def _walk_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit and side to star links; units are walked together, about BUFFER leaves at a time."""
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (a, b) of n indices make up a spanning forest: components of more than one index hook to a smaller one by a link."""
+    root, kept, live = np.arange(n), [np.zeros(0, np.int64)], np.arange(len(a))
+    while len(live := live[root[a[live]] != root[b[live]]]):
+        x, y = root[a[live]], root[b[live]]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((low, high))
+        first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
+        root[high[first]] = low[first]
+        kept.append(live[first])
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    return np.concatenate(kept)
+
+
+def _walk_units(batches: Iterator[pa.RecordBatch], near: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit and side to star links, with ``near`` to those links of the walk that make up a spanning forest; units
+    are walked together, about BUFFER leaves at a time."""
 
     def links(rows: list[np.ndarray]) -> pa.RecordBatch:
         unit, side, level, differ, turn, key = (np.concatenate(x) for x in zip(*rows, strict=True))
@@ -175,10 +191,15 @@ def _walk_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = np.where(two, first + 1, first)
         other = np.minimum(other, len(start) - 1)
         a, b = walk(key, start[first], stop[first], start[other], stop[other], differ[start[first]].astype(np.int64), level[start[first]].astype(np.int64))
-        root = forest(a, b, len(key))
-        linked = np.flatnonzero(root != np.arange(len(key)))
+        if near:
+            kept = spanning(a, b, len(key))
+            a, b = a[kept], b[kept]
+        else:
+            root = forest(a, b, len(key))
+            a = np.flatnonzero(root != np.arange(len(key)))
+            b = root[a]
         back = lambda i: _rotate(key[i], turn[i])
-        return pa.RecordBatch.from_arrays([pa.array(back(linked).view(np.int64)), pa.array(back(root[linked]).view(np.int64))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(back(a).view(np.int64)), pa.array(back(b).view(np.int64))], ["a", "b"])
 
     held, n = [], 0
     for batch in batches:
@@ -203,8 +224,11 @@ def _rotate(key: np.ndarray, turn: np.ndarray) -> np.ndarray:
     return np.where(right == 0, key, (key >> right) | (key << ((np.uint64(BITS) - right) % np.uint64(BITS))))
 
 
-def near_links(unique: DataFrame, node_leaves: int = NODE_LEAVES) -> DataFrame:
-    """Links (a, b) that join all fingerprints (column ``fp``, distinct) within MAX_DIFFERENT bits of each other."""
+def near_links(unique: DataFrame, node_leaves: int = NODE_LEAVES, near: bool = False) -> DataFrame:
+    """Links (a, b) that join all fingerprints (column ``fp``, distinct) within MAX_DIFFERENT bits of each other.
+
+    With ``near`` the two of each link are themselves so near, else one is the smallest that a task reaches from the other.
+    """
     leaves = unique.select(F.explode(F.array(*[F.struct(F.lit(t).alias("turn"), rotated(F.col("fp"), F.lit(t)).alias("key")) for t in range(BLOCKS)])).alias("x")).select("x.*")
     cut = lambda depth: _shift(F.col("key"), F.lit(BITS - depth), False)
     counts = leaves.groupBy("turn", cut(BLOCK_BITS).alias("node")).agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -236,7 +260,7 @@ def near_links(unique: DataFrame, node_leaves: int = NODE_LEAVES) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
     unit = F.xxhash64("turn", "l", "r", "level")
     rows = rows.select(unit.alias("unit"), "side", "level", "differ", "turn", "key")
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_walk_units, "a long, b long")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: _walk_units(batches, near), "a long, b long")
 
 
 def _tidy(df: DataFrame, tag: str, tidy: bool = True) -> DataFrame:
@@ -312,12 +336,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of a text's shingles as a hash (``sig``), and BANDS keys of minima of it; none for an empty set."""
+    """The set of a text's shingles as a hash (``sig``), the text's fingerprint, and BANDS keys of minima of the set; none for an empty one."""
     rng = np.random.default_rng(SEED)
     turn, mix = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
     for batch in batches:
         for small in bounded(batch, "text"):
-            hashes, counts = shingles(text_bytes(small.column("text")), SIMILAR_WORDS)
+            texts = text_bytes(small.column("text"))
+            hashes, counts = shingles(texts, SIMILAR_WORDS)
             h, ends = np.array(hashes, np.uint64), np.cumsum(counts)
             sig = [xxhash.xxh64_intdigest(np.unique(h[e - n : e]).tobytes(), SEED) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             some = np.flatnonzero(counts)
@@ -326,7 +351,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(BANDS * BAND_ROWS):
                     keys[:, j // BAND_ROWS] += np.minimum.reduceat(h * turn[j], (ends - counts)[some]) * mix[j]
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((counts > 0) * BANDS)]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([small.column("_id"), small.column("_text_hash"), pa.array(np.array(sig, np.uint64).view(np.int64)), bands], ["_id", "_text_hash", "sig", "bands"])
+            fp = pa.array(fingerprints(texts).view(np.int64))
+            yield pa.RecordBatch.from_arrays([small.column("_id"), small.column("_text_hash"), pa.array(np.array(sig, np.uint64).view(np.int64)), fp, bands], ["_id", "_text_hash", "sig", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,28 +393,42 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return rows.where("x.often > 1").select("sig", F.col("x.key").alias("key"), "n", "at", (F.col("at") < least(2 * SIMILAR / (1 + SIMILAR))).alias("strong"))
 
 
+def trie_pairs(units: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``units`` (sig, fp) that the trie self-join proposes: the first unit of a fingerprint with its others,
+    and the first units of two fingerprints within MAX_DIFFERENT bits, along a spanning forest of such links."""
+    leaves = _tidy(units.groupBy("fp").agg(F.min("sig").alias("first")), "similar-leaves")
+    same = units.join(leaves, "fp").where("sig != first").select(F.col("first").alias("a"), F.col("sig").alias("b"))
+    of = lambda side: leaves.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
+    near = near_links(leaves.select("fp"), near=True).join(of("a"), "a").join(of("b"), "b")
+    return same.unionByName(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def similar_links(units: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Links (a, b) of ``units`` (sig, bands) that leave the components of all links at a similarity of SIMILAR or more as they
+    """Links (a, b) of ``units`` (sig, fp, bands) that leave the components of all links at a similarity of SIMILAR or more as they
     are; ``texts`` has a ``text`` a ``sig``.
 
-    Units that share a band's key are compared with one of them, another by each band. Keys in which some aren't similar
-    to it are crowded with texts that have much in common: their units meet again by prefixes(), the shingles that are
-    rare among them. There each key's strong units are drawn and compared with all of the key's units that a link could join
+    The trie self-join of the fingerprints proposes pairs, and so do bands for those whose fingerprints differ in more bits:
+    units that share a band's key are compared with one of them, another by each band. Every pair is checked exactly. Keys
+    whose units aren't of one component then are crowded with texts that have much in common: their units meet again by
+    prefixes(), the shingles that are rare among them. There each key's strong units are drawn and compared with all of the key's units that a link could join
     by it, but for those that links have brought into their own component by then. A drawn unit leaves the key, and a key is
     done once one component is left in it or no strong unit: so no link by a key stays uncompared, and none is lost there.
     """
     keyed = units.select("sig", F.posexplode("bands").alias("band", "key")).select("sig", F.xxhash64("band", "key").alias("key"))
     rows = _tidy(_shared(keyed), "similar-rows")
-    if rows.isEmpty():
+    tries = _tidy(trie_pairs(units.select("sig", "fp")), "similar-tries")
+    if rows.isEmpty() and tries.isEmpty():
         return None
-    pool = texts.join(rows.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+    asked = rows.select("sig").unionByName(tries.select(F.explode(F.array("a", "b")).alias("sig")))
+    pool = texts.join(asked.distinct(), "sig", "left_semi").dropDuplicates(["sig"])
     sets = _tidy(pool.select("sig", "text").mapInArrow(_sets, "sig long, set array<long>"), "similar-sets")
     first = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", "key"), "sig"))["sig"].alias("a"))
     rest = rows.join(first, "key").where("sig != a").withColumnRenamed("sig", "b")
-    links = _judged(rest, sets)
-    crowded = rest.join(links, ["a", "b"], "left_anti").select("key").distinct()
-    again = rows.join(crowded, "key").select("sig").distinct()
+    links = _judged(rest.select("a", "b").unionByName(tries), sets)
     rooted = components(links, tidy=True).withColumnRenamed("node", "sig")
+    told = rows.join(rooted, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    crowded = told.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    again = rows.join(crowded, "key").select("sig").distinct()
     rarest = _tidy(prefixes(sets.join(again, "sig", "left_semi")).join(rooted, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "similar-rows")
     discard(rows)
     rows, fresh, turn = _several(rarest, rarest), [], 0
@@ -434,15 +474,16 @@ def keep_similar_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``df`` without near copies: of texts linked by a Jaccard similarity of SIMILAR or more over sets of
     SIMILAR_WORDS-word shingles, the document with the smallest id stays, in one row.
 
-    A SimHash of 64 bits can't propose these pairs: at a similarity of 0.8 about 10 bits differ. So bands of minima do,
-    and each link is checked exactly. Texts with no word are copies of each other.
+    Operator 1's fingerprints and tries propose the pairs that differ in at most MAX_DIFFERENT bits. At a similarity of 0.8
+    about 10 of 64 bits differ, so bands of minima propose what the tries can't, and each link is checked exactly. Texts
+    with no word are copies of each other.
     """
     named = df.withColumns({"_id": id_or_last(id_col), "_text_hash": text_hash(text_col)})
     docs = named.select("_id", "_text_hash", F.col(text_col).alias("text"))
-    rows = _tidy(docs.mapInArrow(_bands, "_id long, _text_hash long, sig long, bands array<long>"), "similar-docs")
-    units = _tidy(rows.groupBy("sig").agg(F.min(F.struct("_id", "_text_hash")).alias("first"), F.first("bands").alias("bands")), "similar-units")
-    firsts = units.select("sig", "first.*")
-    links = similar_links(units.select("sig", "bands"), docs.join(firsts, ["_id", "_text_hash"]).select("sig", "text"))
+    rows = _tidy(docs.mapInArrow(_bands, "_id long, _text_hash long, sig long, fp long, bands array<long>"), "similar-docs")
+    units = _tidy(rows.groupBy("sig").agg(F.min(F.struct("_id", "_text_hash", "fp")).alias("first"), F.first("bands").alias("bands")), "similar-units")
+    firsts = units.select("sig", "first._id", "first._text_hash")
+    links = similar_links(units.select("sig", "first.fp", "bands"), docs.join(firsts, ["_id", "_text_hash"]).select("sig", "text"))
     kept = firsts
     if links is not None:
         found = components(links, tidy=True).withColumnRenamed("node", "sig")

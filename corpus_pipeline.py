@@ -36,7 +36,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    """Keeps one document of each group of near copies: SimHash fingerprints joined by tries, completed by bands of minima,
+    every link checked (five-word shingles, similarity 0.8 or more)."""
     return simhash.keep_similar_one(_packed(docs, "doc_id", "text")).select("_row.*")
 
 

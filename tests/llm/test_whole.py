@@ -178,3 +178,39 @@ def test_variants_of_one_text_on_both_sides_of_the_limit(spark, monkeypatch):
     print(len(set(root)), len(got), len(got - set(root)), tags.count("similar-near"))
     assert got == set(root)
     assert tags.count("similar-near") <= 14
+
+
+def test_near_copies_are_joined_by_tries(spark, monkeypatch):
+    """With no band's key shared, what the fingerprints' tries propose is still found, and checked; op1's links are its proposals."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=6))
+    texts = []
+    for _ in range(40):
+        texts.append([word() for _ in range(300)])
+        for at in (299, 150):  # the last word, then one in the middle
+            copy = list(texts[-1])
+            copy[at] = word()
+            texts.append(copy)
+    texts += [list("abc") * 60, list("abc") * 60 + ["abd"] * 3 + list("bca")]  # one set of shingles in other numbers, and more
+    prints = [int(x) for x in simhash.fingerprints([" ".join(t).encode() for t in texts])]
+    sets, root = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts], list(range(len(texts)))
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 3
+            if near and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                linked += 1
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    monkeypatch.setattr(simhash, "_shared", lambda rows: rows.limit(0))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert linked >= 20 and {r["doc_id"] for r in simhash.keep_similar_one(df).collect()} == set(root)
+
+
+def test_links_of_a_spanning_forest_are_links():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (50, 20), (200, 400), (300, 5000)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        kept = simhash.spanning(a, b, n)
+        whole = simhash.forest(a, b, n)
+        assert np.array_equal(simhash.forest(a[kept], b[kept], n), whole) and len(kept) == n - len(np.unique(whole))
