@@ -285,8 +285,8 @@ def change_capture(spark, d):
 # ---------------------------------------------------------------- matrix
 
 
-def _order_rows(spark, d):
-    """Orders as claims of a customer, their line items as traced sources.
+def _order_rows(spark, d, *more):
+    """Orders as claims of a customer, their line items as traced sources, with ``more`` columns of orders.
 
     Score: discount times ten; section by return flag (A the claimant's, R the opponent's, N common); an urgent order
     is marked proven, one without priority has an open question, and a finished one has its reasoning.
@@ -303,7 +303,7 @@ def _order_rows(spark, d):
         some(F.col("o_orderpriority") == "4-NOT SPECIFIED", "quesito").alias("open_questions"), some(F.col("o_orderpriority") == "5-LOW", "pacifico").alias("not_contested"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "provato").when(F.col("o_orderpriority") == "2-HIGH", "insufficiente").otherwise("da_verificare").alias("proof_state"),
         F.when(F.col("o_orderpriority") == "3-MEDIUM", "silente").when(F.col("o_orderpriority") == "5-LOW", "non_contestato").otherwise("da_decidere").alias("adversarial_state"),
-        F.lit("").alias("adversarial_note"), "sources", F.when(F.col("o_totalprice") < 50000, 0.5).otherwise(0.8).alias("confidence"),
+        F.lit("").alias("adversarial_note"), "sources", F.when(F.col("o_totalprice") < 50000, 0.5).otherwise(0.8).alias("confidence"), *more,
     )
 
 

@@ -16,14 +16,13 @@ from caseweave.operators import drafting, matrix, retrieval, workflow
 from .catalog import _ROWS, _drafts, _order_documents, _order_rows, _t, query
 
 
-def _claims(spark, d) -> DataFrame:
-    return _order_rows(spark, d).withColumns({"claim_ord": F.col("claim_id") % 100, "ord": F.col("claim_id") % 100})
+def _claims(spark, d, *more) -> DataFrame:
+    return _order_rows(spark, d, *more).withColumns({"claim_ord": F.col("claim_id") % 100, "ord": F.col("claim_id") % 100})
 
 
 def _facts(spark, d) -> DataFrame:
     """Matrix rows: the fact of _order_rows, and for odd claims another one before it."""
-    price = _t(spark, d, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_totalprice").alias("_price"))
-    rows = _claims(spark, d).drop("fact_id", "ord").join(price, "claim_id")
+    rows = _claims(spark, d, F.col("o_totalprice").alias("_price")).drop("fact_id", "ord")
     first = F.struct((2 * F.col("claim_id")).alias("fact_id"), F.lit(1).alias("fact_ord"), F.col("proof_state"), F.col("adversarial_state"))
     other = F.struct((2 * F.col("claim_id") + 1).alias("fact_id"), F.lit(0).alias("fact_ord"), F.when(F.col("_price") < 150000, "insufficiente").otherwise("provato").alias("proof_state"), F.lit("pacifico").alias("adversarial_state"))
     facts = F.explode(F.when(F.col("claim_id") % 2 == 1, F.array(first, other)).otherwise(F.array(first)))
